@@ -64,3 +64,18 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", limit: int
     ids = ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
     few = ids.limit(limit + 1).count() <= limit
     return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti").select(*docs.columns)
+
+
+def row_slices(batch, column: int, most: int = 4 << 20):  # noqa: ANN001, ANN201  Arrow record batches
+    """The batch in slices of about ``most`` bytes of ``column``, one row at least: what a task holds at once."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start)
