@@ -16,6 +16,7 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from struct import pack
 
@@ -30,7 +31,7 @@ from pulsegrid.llm.common import row_slices
 from pulsegrid.llm.tokens import u32
 
 #: Words in the lexicon, chunks that a process keeps, and different chunks that a task counts at once.
-LEXICON, CHUNKS, COUNTED = 65_536, 200_000, 150_000
+LEXICON, CHUNKS, COUNTED = 65_536, 250_000, 150_000
 _BITS, _NONE = 20, 1 << 62
 _LOW = (1 << _BITS) - 1
 #: Characters that Python splits at, but the tokenizer doesn't.
@@ -237,6 +238,18 @@ class Encoder:
         return b"".join(ids), " ".join(x for x in told if x)
 
 
+@lru_cache(maxsize=2)
+def _bpe(tokenizer_file: str) -> Bpe:
+    """Once in each Python process."""
+    return Bpe(tokenizer_file)
+
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_file: str, lexicon: bytes) -> Encoder:
+    """Once in each Python process: the next task goes on with the same chunks."""
+    return Encoder(_bpe(tokenizer_file), lexicon)
+
+
 def frequent_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text", most: int = LEXICON) -> DataFrame:
     """(word, n): the corpus' most frequent words; ties go to the smaller word.
 
@@ -246,7 +259,7 @@ def frequent_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, held = Bpe(tokenizer_file), Counter()
+        bpe, held = _bpe(tokenizer_file), Counter()
 
         def told() -> pa.RecordBatch:
             words: Counter = Counter()
@@ -287,7 +300,7 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, text_col: str = "text", m
     sent = docs.sparkSession.sparkContext.broadcast(lexicon_for(docs, tokenizer_file, text_col, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(Bpe(tokenizer_file), sent.value)
+        encode = _encoder(tokenizer_file, sent.value)
         for batch in batches:
             for part in row_slices(batch, place):
                 done = [encode((t.as_py() or b"").decode("utf-8", "replace")) for t in part.column(place).cast(pa.binary())]

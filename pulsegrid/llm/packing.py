@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.common import row_slices
-from pulsegrid.llm.tokens import ByteEncoder
+from pulsegrid.llm.tokens import byte_encoder
 
 WINDOW = 1024
 #: Sequences that one partition can number.
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str, pattern: str, id
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, number = ByteEncoder(tokenizer_file, ranks_file, pattern), Packer(window), TaskContext.get().partitionId() * _PER_PARTITION
+        encode, packer, number = byte_encoder(tokenizer_file, ranks_file, pattern), Packer(window), TaskContext.get().partitionId() * _PER_PARTITION
         kind = None
 
         def told() -> pa.RecordBatch:

@@ -8,6 +8,7 @@ white space is encoded whole.
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 
 import numpy as np
 
@@ -65,3 +66,9 @@ class ByteEncoder:
             return (self.exact(first) if first else b"") + b"".join(map(self._chunks.__getitem__, rest))
         except _Mixed:
             return self.exact(text)
+
+
+@lru_cache(maxsize=2)
+def byte_encoder(tokenizer_file: str, ranks_file: str, pattern: str) -> ByteEncoder:
+    """Once in each Python process: the next task goes on with the same chunks."""
+    return ByteEncoder(tokenizer_file, ranks_file, pattern)
