@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from pulsegrid.llm import bpe, linededup, packing, secrets, simhash
+from pulsegrid.llm import bpe, linededup, packing, secrets, simhash, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,14 +31,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, urlfilter.listing(pages))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.convert_pages(_table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_packing, op4_simhash, op5_line_dedup, op8_bpe]
+    own = [op1_secret_scan, op2_packing, op4_simhash, op5_line_dedup, op6_url_filter, op7_warc, op8_bpe]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.ORACLE}
+    return {"op5_line_dedup": linededup.ORACLE, "op6_url_filter": urlfilter.ORACLE, "op7_warc": warc.ORACLE}
