@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from pulsegrid.llm import bpe, linededup, packing, secrets, simhash, urlfilter, warc
+from pulsegrid.llm import bpe, linededup, merkle, mtree, packing, secrets, simhash, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +44,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_packing, op4_simhash, op5_line_dedup, op6_url_filter, op7_warc, op8_bpe]
+    own = [op1_secret_scan, op2_packing, op4_simhash, op5_line_dedup, op6_url_filter, op7_warc, op8_bpe, op9_merkle, op10_top_k]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.ORACLE, "op6_url_filter": urlfilter.ORACLE, "op7_warc": warc.ORACLE}
+    return {"op5_line_dedup": linededup.ORACLE, "op6_url_filter": urlfilter.ORACLE, "op7_warc": warc.ORACLE, "op10_top_k": mtree.ORACLE}
