@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from pulsegrid.llm import bpe, linededup, merkle, mtree, packing, secrets, simhash, urlfilter, warc
+from pulsegrid.llm import bpe, langid, linededup, merkle, mtree, packing, secrets, simhash, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_packing, op4_simhash, op5_line_dedup, op6_url_filter, op7_warc, op8_bpe, op9_merkle, op10_top_k]
+    own = [op1_secret_scan, op2_packing, op3_language_id, op4_simhash, op5_line_dedup, op6_url_filter, op7_warc, op8_bpe, op9_merkle, op10_top_k]
     return {f.__name__: f for f in own}
 
 
