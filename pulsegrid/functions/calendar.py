@@ -65,4 +65,6 @@ def iso_text(ts: Column) -> Column:
 
 
 def age_years(born: Column, now: Column) -> Column:
-    return F.floor(F.months_between(F.to_date(now), born, True) / 12).cast("long")
+    """Whole years; who was born on 29 February is a year older on 1 March."""
+    now, turned = F.to_date(now), F.date_format(F.to_date(now), "MMdd") >= F.date_format(born, "MMdd")
+    return (F.year(now) - F.year(born) - F.when(turned, 0).otherwise(1)).cast("long")

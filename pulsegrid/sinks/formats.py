@@ -88,28 +88,34 @@ def line_protocol(records: DataFrame, measurement: str = "health", precision: st
     Deletions, workouts, records with a finite value and all others go to measurements of their own;
     empty tags are left out, a record that could have no field has no line.
     """
-    clean = lambda c: F.when(F.coalesce(c, F.lit("")) != "", line_key(c))
-    tag = lambda key, c: F.when(clean(c).isNotNull(), F.concat(F.lit(f",{key}="), clean(c))).otherwise("")
-    kind, value, ident = F.col("kind"), F.col("value"), F.coalesce("id", F.lit("")).cast("string")
+    kind, value = F.col("kind"), F.col("value")
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-    span = (line_nanos(F.col("endDate")) - line_nanos(F.col("startDate"))) / 1e9
-    span = F.when(span > 0, span)
-    name = metric_name(F.col("type"))
-    stamp = F.floor(line_nanos(F.col("startDate")) / PRECISIONS[precision]).cast("long") if precision != "ns" else line_nanos(F.col("startDate"))
-    base = F.concat(tag("type", name), tag("source", F.col("source")), tag("device", F.col("device")))
+    stamp, end = line_nanos(F.col("startDate")), line_nanos(F.col("endDate"))
+    tags = {"type": metric_name(F.col("type")), "id": F.col("id").cast("string"), "source": F.col("source"), "device": F.col("device"), "unit": F.col("unit"), "activity": F.col("activity")}
+    # In steps, so that each is computed once.
+    rows = records.withColumns({f"_{k}": F.when(F.coalesce(v, F.lit("")) != "", line_key(v)) for k, v in tags.items()} | {"_stamp": stamp, "_span": (end - stamp) / 1e9, "_finite": finite})
+    rows = rows.withColumns({f"_{k}": F.when(F.col(f"_{k}").isNotNull(), F.concat(F.lit(f",{k}="), F.col(f"_{k}"))).otherwise("") for k in tags} | {"_span": F.when(F.col("_span") > 0, F.col("_span"))})
     field = lambda key, c: F.when(c.isNotNull(), F.concat(F.lit(f"{key}="), c))
-    identity = F.when(ident != "", line_string(ident))
+    named = F.coalesce(F.col("id").cast("string"), F.lit("")) != ""
+    rows = rows.withColumns({"_ident": field("id", F.when(named, line_string(F.col("id").cast("string")))), "_length": field("duration", F.col("_span").cast("string"))})
     gone, workout = kind == "deletion", kind == "workout"
-    tags = F.when(gone, F.concat(tag("type", name), tag("id", ident))).when(workout, F.concat(F.lit(",type=workout"), tag("activity", F.col("activity")), tag("source", F.col("source")), tag("device", F.col("device")))).when(finite, F.concat(base, tag("unit", F.col("unit")))).otherwise(base)
+    route = F.when(gone, "_deletions").when(workout, "_workouts").when(F.col("_finite"), "").otherwise("_events")
+    shown = (
+        F.when(gone, F.concat("_type", "_id"))
+        .when(workout, F.concat(F.lit(",type=workout"), "_activity", "_source", "_device"))
+        .otherwise(F.concat("_type", "_source", "_device", F.when(F.col("_finite"), F.col("_unit")).otherwise("")))
+    )
+    took = F.coalesce(field("duration", F.col("duration").cast("string")), F.col("_length"))
     fields = (
-        F.when(gone, F.when(ident != "", F.lit("deleted=true")))
-        .when(workout, F.concat_ws(",", field("duration", F.coalesce("duration", span).cast("string")), field("id", identity)))
-        .when(finite, F.concat_ws(",", field("value", value.cast("string")), field("duration", span.cast("string"))))
-        .otherwise(F.when(ident != "", F.concat_ws(",", field("id", identity), field("duration", span.cast("string")))))
+        F.when(gone, F.when(named, F.lit("deleted=true")))
+        .when(workout, F.concat_ws(",", took, F.col("_ident")))
+        .when(F.col("_finite"), F.concat_ws(",", field("value", value.cast("string")), F.col("_length")))
+        .otherwise(F.when(named, F.concat_ws(",", "_ident", "_length")))
     )
-    suffix = F.when(gone, "_deletions").when(workout, "_workouts").when(finite, "").otherwise("_events")
-    line = F.concat(line_measurement(F.concat(F.lit(measurement), suffix)), tags, F.lit(" "), fields, F.coalesce(F.concat(F.lit(" "), stamp.cast("string")), F.lit("")))
-    return records.select("id", line.alias("line")).where("line is not null and line not like '% '")
+    rows = rows.select("id", route.alias("_route"), shown.alias("_tags"), fields.alias("_fields"), F.floor(F.col("_stamp") / PRECISIONS[precision]).alias("_stamp") if precision != "ns" else F.col("_stamp"))
+    time = F.coalesce(F.concat(F.lit(" "), F.col("_stamp").cast("string")), F.lit(""))
+    line = F.concat(line_measurement(F.concat(F.lit(measurement), "_route")), F.col("_tags"), F.lit(" "), F.col("_fields"), time)
+    return rows.where("_fields <> ''").select("id", line.alias("line"))
 
 
 def latest_topics(sample: DataFrame, order: str = "start_ts") -> DataFrame:
