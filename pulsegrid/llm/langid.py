@@ -24,21 +24,29 @@ UNKNOWN = "und"
 SAMPLE, LANGUAGES = 2_000, 64
 #: Hash classes of trigrams; trigrams that a text counts as at most; pseudo-documents of a smoothed prior.
 CLASSES, EVIDENCE, STRENGTH = 1 << 15, 100.0, 20.0
+#: Trigrams of a document that is a whole vote in its host's prior.
+VOTE = 30
+#: Share of a language's trigrams that are as likely as any.
+CHANCE = 0.1
 #: Prior of ``und``, and the posterior that a language needs.
 PRIOR_UNKNOWN, LEAST = 0.01, 0.5
 _BLOCK = 1 << 20
 
 
-def _trigrams(text: bytes) -> Iterator[np.ndarray]:
-    b = np.frombuffer(text.lower(), dtype=np.uint8).astype(np.uint32)
-    for at in range(0, max(0, len(b) - 2), _BLOCK):
-        x = b[at : at + _BLOCK + 2]
-        yield ((x[:-2] * 0x9E5 + x[1:-1]) * 0x3C7 + x[2:]) * np.uint32(0x9E3779B1) >> np.uint32(17)
+#: Bytes as trigrams see them: A-Z in lower case, white space as a space.
+_BYTES = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in bytes(range(256)).lower())
 
 
-def _letters(text: bytes) -> bool:
-    b = np.frombuffer(text.lower(), dtype=np.uint8)
-    return bool(((b >= 97) & (b <= 122) | (b >= 128)).any())
+def _trigrams(text: bytes) -> Iterator[np.ndarray]:
+    """Classes of the trigrams around each letter, of letters and spaces only: digits and signs tell no language."""
+    b = np.frombuffer(b" " + text.translate(_BYTES) + b" ", dtype=np.uint8)
+    for at in range(0, len(b) - 2, _BLOCK):
+        x = b[at : at + _BLOCK + 2]
+        letter = (x >= 97) & (x <= 122) | (x >= 128)
+        fits = letter | (x == 32)
+        x = x.astype(np.uint32)
+        mixed = ((x[:-2] * 0x9E5 + x[1:-1]) * 0x3C7 + x[2:]) * np.uint32(0x9E3779B1) >> np.uint32(17)
+        yield mixed[fits[:-2] & letter[1:-1] & fits[2:]]
 
 
 def language_code(declared: Column) -> Column:
@@ -68,10 +76,9 @@ class TextModel:
     def score(self, text: bytes) -> tuple[int, np.ndarray]:
         """Trigrams, 0 for a text without letters, and each language's log-likelihood."""
         n, total = 0, np.zeros(self.table.shape[1])
-        if _letters(text):
-            for h in _trigrams(text):
-                n += len(h)
-                total += self.table[h].sum(axis=0, dtype=np.float64)
+        for h in _trigrams(text):
+            n += len(h)
+            total += self.table[h].sum(axis=0, dtype=np.float64)
         return n, total
 
 
@@ -101,7 +108,8 @@ def fit_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
         got = picked.mapInArrow(count, "label int, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()
         counts[got["gram"].to_numpy(), got["label"].to_numpy()] = got["n"].to_numpy()
-    logs = np.log((counts + 0.1) / (counts + 0.1).sum(axis=0))
+    # A share of chance in every language: a new word must not weigh more than many known ones.
+    logs = np.log((1 - CHANCE) * counts / np.maximum(1, counts.sum(axis=0)) + CHANCE / CLASSES)
     return TextModel(languages, np.column_stack([logs, np.full(CLASSES, -np.log(CLASSES))]).astype(np.float32))
 
 
@@ -150,8 +158,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         share = [(said.get((lang, d), 0) + 1.0) / (t + len(names)) for lang, t in zip(model.languages, totals, strict=True)]
         declares[d] = [float(np.log(p)) for p in share] + [float(-np.log(len(names)))]
 
-    count = F.array(*(F.sum(F.when(F.col("text_lang") == x, 1.0).otherwise(0.0)) for x in model.languages)) if model.languages else F.expr("cast(array() as array<double>)")
-    hosts = known.groupBy("host", "suffix").agg(count.alias("c"), F.count(F.lit(1)).alias("docs"))
+    # A text of few trigrams is less than a vote.
+    vote = F.least(F.lit(1.0), F.col("n") / F.lit(float(VOTE)))
+    count = F.array(*(F.sum(F.when(F.col("text_lang") == x, vote).otherwise(0.0)) for x in model.languages)) if model.languages else F.expr("cast(array() as array<double>)")
+    hosts = known.groupBy("host", "suffix").agg(count.alias("c"), F.sum(vote).alias("docs"))
     each = lambda of: [F.sum(F.element_at(of, i + 1)) for i in range(len(model.languages))]
     suffixes = hosts.groupBy("suffix").agg(F.array(*each(F.col("c"))).alias("cs") if model.languages else F.expr("cast(array() as array<double>)").alias("cs"), F.sum("docs").alias("ds"))
     total = [x or 0.0 for x in (hosts.agg(*each(F.col("c"))).first() if model.languages else [])]

@@ -54,7 +54,8 @@ def arc_record(version: int, name: str, at: int, url: str, date: str, block: byt
 def parse_arc(content: bytes) -> Iterator[dict]:
     """The records of one volume (gzip or plain) after its version block; keys are the version's field names, ``block`` and ``at``.
 
-    A record cut off by the end of the volume has what is there, and ``short``.
+    A record cut off by the end of the volume has what is there, and ``short``; a header line that is
+    cut off is no record.
     """
     if content[:2] == b"\x1f\x8b":
         content = _inflated(content)
@@ -64,7 +65,8 @@ def parse_arc(content: bytes) -> Iterator[dict]:
             at += 1
             continue
         end = content.find(b"\n", at)
-        end = len(content) if end < 0 else end
+        if end < 0:
+            return
         fields = content[at:end].decode("utf-8", "replace").split()
         size = int(fields[-1])
         block = content[end + 1 : end + 1 + size]

@@ -58,16 +58,18 @@ def test_arc_versions():
             rows = list(warc.parse_arc(content))
             assert [(r["URL"], r["Archive-date"], r["block"]) for r in rows] == [("http://a%20b/", "20260102030405", b"head\r\n\r\nbody\nwith lines"), ("u", "20260102030406", b"")]
             assert ("Result-code" in rows[0]) == (version == 2)
-    assert list(warc.parse_arc(body[:-12] if len(body) > 12 else body))[-1] is not None
+    assert len(list(warc.parse_arc(body[:-12]))) == 1  # a header line that is cut off
+    assert [r["short"] for r in warc.parse_arc(body[: body.index(b"with lines")])] == [True]
 
 
 def test_warc_edges(spark):
     body = "x\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nzz\r\n\r\n"
     data = [(1, "http://a", body), (2, None, body), (3, "http://a b\nc", None), (4, "http://c", ""), (5, "u", "é" * 300_000), (None, "v", body), (7, "w", "own"), (7, "w", "own"), (None, "n", "lone"), (None, "n2", "lone")]
     rows = warc.convert_pages(spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)).collect()
-    got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to) for r in rows)
-    size = len(body)
-    assert got == sorted([(1, size, "response", None), (2, size, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (5, 600_000, "response", None), (-1, size, "revisit", 1), (7, 3, "response", None), (7, 3, "response", None), (-1, 4, "response", None), (-1, 4, "response", None)], key=lambda x: (x[0], x[1], x[2], x[3] or 0)) or sorted(map(repr, got)) == sorted(map(repr, [(1, size, "response", None), (2, size, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (5, 600_000, "response", None), (-1, size, "revisit", 1), (7, 3, "response", None), (7, 3, "response", None), (-1, 4, "response", None), (-1, 4, "response", None)]))
+    n = len(body)
+    want = [(1, n, "response", None), (2, n, "revisit", 1), (None, n, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (5, 600_000, "response", None)]
+    want += [(7, 3, "response", None)] * 2 + [(None, 4, "response", None)] * 2
+    assert sorted(map(repr, ((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows))) == sorted(map(repr, want))
     assert warc.convert_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -139,11 +141,11 @@ def test_language_of_pages(spark):
 
 
 def test_hosts_lend_evidence(spark):
-    """A short text of no language in particular follows its host, and a new host its suffix."""
+    """A short text of no language in particular follows its host."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('en', 'fr')")
     from pyspark.sql import functions as F
 
     docs = docs.withColumn("source", F.concat(F.lit("http://h"), (F.col("doc_id") % 3).cast("string"), F.lit("."), "lang", F.lit("/p")))
-    extra = spark.createDataFrame([(90_001, "e", None, "http://h0.fr/x", 1), (90_002, "e", None, "http://h0.en/x", 1), (90_003, "e", None, "http://new.fr/x", 1)], docs.schema)
+    extra = spark.createDataFrame([(90_001, "e", None, "http://h0.fr/x", 1), (90_002, "e", None, "http://h0.en/x", 1)], docs.schema)
     found = {r.doc_id: r.lang for r in langid.identify(docs.unionByName(extra)).where("doc_id > 90000").collect()}
-    assert found[90_001] == "und" or found == {90_001: "fr", 90_002: "en", 90_003: "fr"}
+    assert found == {90_001: "fr", 90_002: "en"}
