@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import BROADCAST_IDS, scratch, write_table
 
 #: Bytes of records in a volume; a larger record has one of its own.
-VOLUME = 16 << 20
+VOLUME = 8 << 20
 #: The header fields that each ARC version names in its version block.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
