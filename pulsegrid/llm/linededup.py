@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import spread
+from pulsegrid.llm.common import BROADCAST_IDS, spread, write_table
 
 _SPACE = "\t\n\x0b\x0c\r "
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,9 +42,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashed = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "pos")
     # A partition boundary falls between documents, so a line of a third of all documents is spread out.
     ordered = hashed.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
-    held = ordered.groupBy("h1", "h2", "doc").agg(F.collect_list("pos").alias("at"))
-    common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= least_docs)
-    gone = held.join(common.select("h1", "h2", "last"), ["h1", "h2"]).where(F.col("doc") < F.col("last"))
+    # Both tables are written: texts are split and hashed once, and a common line's rows lie spread
+    # out, to be met by a broadcast of few keys or by a join whose large partitions Spark can split.
+    held = write_table(ordered.groupBy("h1", "h2", "doc").agg(F.collect_list("pos").alias("at")), "lines")
+    counted = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= least_docs)
+    common = write_table(counted.select("h1", "h2", "last"), "common")
+    few = common.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    gone = held.join(F.broadcast(common) if few else common, ["h1", "h2"]).where(F.col("doc") < F.col("last"))
     bits = gone.select("doc", F.explode("at").alias("pos")).select("doc", F.floor(F.col("pos") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, pos % {WORD})").alias("bit"))
     return bits.groupBy("doc", "word").agg(F.bit_or("bit").alias("bits")).withColumnRenamed("doc", id_col)
 
