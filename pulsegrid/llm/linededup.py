@@ -74,19 +74,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marked = keep_bitmaps(docs, id_col, text_col, **rules)
     lines = lines_of(F.col(text_col))
-    cut = marked.withColumn("_lines", lines)
-    words = F.expr(f"transform(sequence(0, (size(_lines) - 1) div {WORD}), w -> coalesce(try_element_at(dropped_words, w), 0L))")
-    cut = cut.withColumn("_words", F.when(F.col("dropped_words").isNull(), F.lit(None)).otherwise(words))
-    kept = F.expr(f"filter(_lines, (x, i) -> _words is null or shiftright(_words[i div {WORD}], i % {WORD}) & 1 = 0)")
+    cut = marked.withColumn("__lines", lines)
+    words = F.expr(f"transform(sequence(0, (size(__lines) - 1) div {WORD}), w -> coalesce(try_element_at(dropped_words, w), 0L))")
+    cut = cut.withColumn("__words", F.when(F.col("dropped_words").isNull(), F.lit(None)).otherwise(words))
+    kept = F.expr(f"filter(__lines, (x, i) -> __words is null or shiftright(__words[i div {WORD}], i % {WORD}) & 1 = 0)")
     bitmap = F.expr(
         f"""coalesce(array_join(transform(array_sort(map_entries(dropped_words)),
-        e -> concat(e.key, ':', lower(hex(~e.value & (shiftleft(1L, least({WORD}, size(_lines) - e.key * {WORD})) - 1))))), ','), '')"""
+        e -> concat(e.key, ':', lower(hex(~e.value & (shiftleft(1L, least({WORD}, size(__lines) - e.key * {WORD})) - 1))))), ','), '')"""
     )
-    out = cut.withColumn("_kept", kept)
+    out = cut.withColumn("__kept", kept)
     return out.select(
-        *[F.array_join("_kept", "\n").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "keep_bitmap", "dropped_words")],
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+        *[F.array_join("__kept", "\n").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "keep_bitmap", "dropped_words")],
+        F.size("__lines").cast("long").alias("n_lines"),
+        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
         bitmap.alias("keep_bitmap"),
     )
 

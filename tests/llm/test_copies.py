@@ -131,3 +131,10 @@ def test_merkle_trees():
     assert merkle.edits(text, text.replace("Another", "Changed")) == [(19, 31)]
     assert merkle.edits(text, text) == [] and merkle.likeness(merkle.tree(text), merkle.tree(text)) == 1.0
     assert merkle.tree(text).root != merkle.tree(text + " ").root and merkle.tree("a\nb").root != merkle.tree("ab").root
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(d, "the same line in each of them", 7, "w") for d in range(3)], "doc_id long, text string, _lines int, word string")
+    rows = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+    assert [rows[d].text for d in range(3)] == ["", "", "the same line in each of them"]
+    assert {(r._lines, r.word) for r in rows.values()} == {(7, "w")}
