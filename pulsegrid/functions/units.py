@@ -32,14 +32,14 @@ def convert(value: Column, source: Column, target: Column) -> Column:
 def family(unit: Column, type_: Column) -> Column:
     """Lengths are distances or body lengths by the type's name; times have no family."""
     d = dimension(unit)
-    return F.when(d == "length", F.when(F.lower(type_).contains("distance"), "distance").otherwise("length")).when(d != "time", d)
+    return F.when(d == "length", F.when(F.lower(type_).contains("distance"), "distance").otherwise("bodyLength")).when(d == "pressure", "bloodPressure").when(d != "time", d)
 
 
 #: Preferred units of each region by family.
 REGIONS = {
-    "us": {"distance": "mi", "length": "in", "mass": "lb", "temperature": "degF", "volume": "fl_oz_us", "energy": "kcal", "speed": "mi/hr", "pressure": "mmHg"},
-    "uk": {"distance": "mi", "length": "cm", "mass": "kg", "temperature": "degC", "volume": "mL", "energy": "kcal", "speed": "mi/hr", "pressure": "mmHg"},
-    "metric": {"distance": "km", "length": "cm", "mass": "kg", "temperature": "degC", "volume": "mL", "energy": "kcal", "speed": "km/hr", "pressure": "mmHg"},
+    "us": {"distance": "mi", "bodyLength": "in", "mass": "lb", "temperature": "degF", "volume": "fl_oz_us", "energy": "kcal", "speed": "mi/hr", "bloodPressure": "mmHg"},
+    "uk": {"distance": "mi", "bodyLength": "cm", "mass": "kg", "temperature": "degC", "volume": "mL", "energy": "kcal", "speed": "mi/hr", "bloodPressure": "mmHg"},
+    "metric": {"distance": "km", "bodyLength": "cm", "mass": "kg", "temperature": "degC", "volume": "mL", "energy": "kcal", "speed": "km/hr", "bloodPressure": "mmHg"},
 }
 
 

@@ -224,7 +224,7 @@ def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "source", "target", F.round(units.convert(F.col("v"), F.col("source"), F.col("target")), 6).alias("converted"))
 
 
-@query(f"""SELECT p_partkey, u AS unit, CASE WHEN k = 'length' THEN CASE WHEN contains(lower(p_type), 'brass') THEN 'distance' ELSE 'length' END WHEN k <> 'time' THEN k END AS family
+@query(f"""SELECT p_partkey, u AS unit, CASE WHEN k = 'length' THEN CASE WHEN contains(lower(p_type), 'brass') THEN 'distance' ELSE 'bodyLength' END WHEN k = 'pressure' THEN 'bloodPressure' WHEN k <> 'time' THEN k END AS family
 FROM (SELECT *, CASE u WHEN 'degC' THEN 'temperature' {_KINDS} END AS k FROM (SELECT p_partkey, p_type, ['m', 'kg', 'kcal', 's', 'degC', 'count'][(p_partkey % 6)::INTEGER + 1] AS u FROM part))""")
 def unit_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-12: "brass" stands in for "distance"."""
