@@ -40,10 +40,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     keys = lines.select("doc", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least_chars)
     hashed = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "pos")
+    # Hashes are written first: finding the ranges' bounds reads its input twice, and that shall not be the texts.
+    hashed = write_table(hashed, "hashes")
     # A partition boundary falls between documents, so a line of a third of all documents is spread out.
     ordered = hashed.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
-    # Both tables are written: texts are split and hashed once, and a common line's rows lie spread
-    # out, to be met by a broadcast of few keys or by a join whose large partitions Spark can split.
+    # Both tables are written: a common line's rows lie spread out, to be met by a broadcast of few
+    # keys or by a join whose large partitions Spark can split.
     held = write_table(ordered.groupBy("h1", "h2", "doc").agg(F.collect_list("pos").alias("at")), "lines")
     counted = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= least_docs)
     common = write_table(counted.select("h1", "h2", "last"), "common")
