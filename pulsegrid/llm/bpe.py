@@ -253,9 +253,8 @@ def _encoder(tokenizer_file: str, lexicon: bytes) -> Encoder:
 def frequent_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text", most: int = LEXICON) -> DataFrame:
     """(word, n): the corpus' most frequent words; ties go to the smaller word.
 
-    All documents are counted.  A task adds up chunks before it sends words on and leaves out words
-    that it met once in a round of ``COUNTED`` chunks; that and ``most`` only decide which words the
-    lexicon holds, not any id.
+    All words of all documents are counted.  A task adds up ``COUNTED`` different chunks before it
+    sends words on; ``most`` only decides which words the lexicon holds, not any id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +263,8 @@ def frequent_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
         def told() -> pa.RecordBatch:
             words: Counter = Counter()
             for chunk, n in held.items():
-                if n > 1:
-                    for word in bpe.words.findall(bpe.normal(chunk)):
-                        words[word] += n
+                for word in bpe.words.findall(bpe.normal(chunk)):
+                    words[word] += n
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
