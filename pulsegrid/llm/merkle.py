@@ -13,6 +13,8 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,18 +153,30 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Ids are cut into ranges by their quantiles; each range also gets a copy of the next range's first
     document, so that texts are shuffled once and no task needs another's rows.
     """
-    n = spread(docs.sparkSession)
+    n, context = spread(docs.sparkSession), docs.sparkSession.sparkContext
     base = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("long").alias("raw"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     base = base.withColumn("place", F.coalesce("raw", F.lit(_LEAST)))
     at = [i / (4 * n) for i in range(1, 4 * n)]
-    cuts = sorted(set(base.agg(F.percentile_approx("place", at, 10_000).alias("x")).first().x or []))
-    cut = F.array(*(F.lit(x) for x in cuts)) if cuts else F.expr("cast(array() as array<bigint>)")
-    ranged = base.withColumn("range", F.size(F.filter(cut, lambda x: x <= F.col("place"))))
-    first = {r.range: r.first for r in ranged.groupBy("range").agg(F.min("place").alias("first")).collect()}  # a row per range
-    order = sorted(first)
-    # A range's first document, and the range before it that gets its copy.
-    before = [F.when((F.col("range") == r) & (F.col("place") == first[r]), F.lit(order[i - 1])) for i, r in enumerate(order)]
-    copies = F.coalesce(*before, F.lit(None).cast("int"))
+    found = base.agg(F.percentile_approx("place", at, 10_000).alias("x")).first().x or []
+    cuts = context.broadcast(np.unique(np.array(found, dtype=np.int64)))  # four for each partition, as the ranges
+
+    # Ranges are found by bisection: an expression over all cuts would cost each row as many steps.
+    @F.pandas_udf("int")
+    def range_of(place: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts.value, place.to_numpy(), side="right").astype(np.int32))
+
+    ranged = base.withColumn("range", range_of("place"))
+    told = sorted((r.range, r.first) for r in ranged.groupBy("range").agg(F.min("place").alias("first")).collect())
+    firsts = context.broadcast((np.array([r for r, _ in told], dtype=np.int64), np.array([p for _, p in told], dtype=np.int64)))
+
+    @F.pandas_udf("int")
+    def copied_to(place: pd.Series, own: pd.Series) -> pd.Series:
+        """The range before, for documents that are the first of theirs, else -1."""
+        order, first = firsts.value
+        at = np.searchsorted(order, own.to_numpy())
+        return pd.Series(np.where(first[at] == place.to_numpy(), order[at - 1], -1).astype(np.int32))
+
+    copies = F.nullif(copied_to("place", "range"), F.lit(-1))
     rows = ranged.select("id", "text", "place", F.explode(F.array_compact(F.array(F.struct("range", F.lit(0).alias("copy")), F.when(copies.isNotNull(), F.struct(copies.alias("range"), F.lit(1).alias("copy")))))).alias("to"))
     met = rows.select("id", "text", "place", "to.range", "to.copy").repartition(n, "range").sortWithinPartitions("range", "copy", "place", "text")
     kind = docs.schema[id_col].dataType.simpleString()
