@@ -113,40 +113,46 @@ def _matrix(rows: list, width: int) -> np.ndarray:
     return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(number, rows) for each run of equal numbers in the last column: one run is held at a time."""
+    number, rows = None, []
+    for batch in batches:
+        for *row, here in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and here != number:
+                yield number, rows
+                rows = []
+            number = here
+            rows.append(tuple(row))
+    if rows:
+        yield number, rows
+
+
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each row whose id is divisible by ``every``.
 
     All other rows are candidates; ties go to the smaller id.  Shorter vectors count as filled up with
     zeros.  A row that repeats a query's id is the query's own and no candidate for it; repeated ids
-    among candidates count each, a repeated query id is searched once, with its first vector.
+    among candidates count each, a repeated query id is searched once, with its smallest vector.
 
     Rows are dealt into blocks and each block's tree is built once; queries come in groups, and a task
     searches one tree for one group.  What is left is k rows per query and block.
     """
     n = spread(vectors.sparkSession)
-    base = write_table(quantised(vectors, id_col, vector_col, scale), "vectors")
+    # Numbers of rows, written with them, deal vectors into blocks: an id that many rows repeat is spread out.
+    base = write_table(quantised(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
     total, width = base.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     blocks, asked = max(1, -(-total // BLOCK)), max(1, -(-total // (every * QUERIES)))
-    spot = lambda of: F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
+    spot = lambda by, of: F.pmod(F.xxhash64(by), F.lit(of)).cast("int")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for i, v, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(b, []).append((i, v))
-        for b, rows in parts.items():
+        for b, rows in _runs(batches):
             rows.sort()
             made = MTree(np.array([i for i, _ in rows], dtype=np.int64), _matrix([v for _, v in rows], width))
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], names=["block", "tree"])
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, dict] = {}
-        for batch in batches:
-            for i, v, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                old = parts.setdefault(b, {}).setdefault(i, v)
-                parts[b][i] = min(old, v)
-        for b, rows in parts.items():
-            blob = pickle.dumps((np.array(list(rows), dtype=np.int64), _matrix(list(rows.values()), width)))
+        for b, rows in _runs(batches):
+            blob = pickle.dumps((np.array([i for i, _ in rows], dtype=np.int64), _matrix([v for _, v in rows], width)))
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["asked", "queries"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +166,10 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
                         held.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
 
-    trees = base.select("id", "v", spot(blocks).alias("block")).repartition(min(blocks, 4 * n), "block").mapInArrow(build, "block int, tree binary")
+    trees = base.select("id", "v", spot("row", blocks).alias("block")).repartition(min(blocks, 4 * n), "block").sortWithinPartitions("block").mapInArrow(build, "block int, tree binary")
     trees = write_table(trees, "trees")
-    queries = base.where(F.pmod("id", F.lit(every)) == 0).select("id", "v", spot(asked).alias("asked")).repartition(min(asked, 4 * n), "asked").mapInArrow(grouped, "asked int, queries binary")
+    own = base.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
+    queries = own.select("id", "v", spot("id", asked).alias("asked")).repartition(min(asked, 4 * n), "asked").sortWithinPartitions("asked").mapInArrow(grouped, "asked int, queries binary")
     pairs = trees.select("tree", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("asked")).join(queries, "asked")
     found = pairs.select("tree", "queries").repartition(n).mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
