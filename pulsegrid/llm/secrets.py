@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.llm.common import row_slices
 
 @dataclass(frozen=True)
 class Rule:
@@ -382,7 +383,7 @@ def _mapped(docs: DataFrame, text_col: str, out_col: str | None, rules: tuple[Ru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole, place)):
             texts = batch.column(place).cast(pa.binary())
             columns, names = list(batch.columns), list(batch.schema.names)
             found = [scanner.spans(t.as_py() or b"") for t in texts]
