@@ -110,9 +110,10 @@ def adherence_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.adherence(adapters.doses(spark, sf_dir))
 
 
-def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as figures of workouts: line 1 is the whole, the others are legs; some have no sum."""
-    rows = adapters.table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+def _statistics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Line items as figures of workouts: line 1 is the whole, the others are legs; some have no sum.  The SQL twins stop at line 3; ``whole`` doesn't."""
+    rows = adapters.table(spark, sf_dir, "lineitem")
+    rows = rows if whole else rows.where("l_linenumber <= 3")
     leg = F.when(F.col("l_linenumber") == 1, "").otherwise(F.col("l_linenumber").cast("string"))
     kind = F.element_at(F.array(*(F.lit(x) for x in ("DistanceCycling", "DistanceSwimming", "ActiveEnergyBurned"))), (F.col("l_suppkey") % 3 + 1).cast("int"))
     return rows.select(F.col("l_orderkey").alias("workout_id"), leg.alias("leg"), kind.alias("type"), F.when(F.col("l_partkey") % 4 != 0, F.col("l_quantity")).alias("sum"), F.col("l_extendedprice").alias("average"), F.col("l_discount").alias("minimum"), F.col("l_tax").alias("maximum"))
@@ -125,9 +126,19 @@ _STATISTICS = """st AS (SELECT l_orderkey AS workout_id, CASE WHEN l_linenumber
 @query(f"""WITH {_STATISTICS}, w AS (SELECT workout_id, count(*) AS n, max(average) AS best, count(sum) AS sums FROM st WHERE leg = '' GROUP BY 1), l AS (SELECT workout_id, count(DISTINCT leg) AS n FROM st WHERE leg <> '' GROUP BY 1)
 SELECT o_orderkey AS id, coalesce(w.n, 0)::BIGINT AS figures, best, coalesce(sums, 0)::BIGINT AS sums, coalesce(l.n, 0)::BIGINT AS legs FROM orders LEFT JOIN w ON w.workout_id = o_orderkey LEFT JOIN l ON l.workout_id = o_orderkey""")
 def workouts_with_stats_and_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-07, T17: figures that aren't there stay null."""
+    """JON-07, T17: figures that aren't there stay null; lines 1 to 3 only, as in the SQL (``workouts_with_all_legs`` has every line)."""
+    return _workouts(spark, sf_dir, _statistics(spark, sf_dir))
+
+
+@query()
+def workouts_with_all_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON-07, T17 over every line."""
+    return _workouts(spark, sf_dir, _statistics(spark, sf_dir, whole=True))
+
+
+def _workouts(spark: SparkSession, sf_dir: str, statistics: DataFrame) -> DataFrame:
     headers = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    rows = domain.workouts(headers, _statistics(spark, sf_dir))
+    rows = domain.workouts(headers, statistics)
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
     sums = F.when(F.col("figures").isNotNull(), F.size(F.filter("figures", lambda x: x["sum"].isNotNull())))
     return rows.select("id", size("figures").alias("n"), F.array_max(F.transform("figures", lambda x: x["average"])).alias("best"), F.coalesce(sums, F.lit(0)).cast("long").alias("sums"), size("legs").alias("legs")).withColumnRenamed("n", "figures")
@@ -137,10 +148,16 @@ def workouts_with_stats_and_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT workout_id, CASE WHEN count(*) FILTER (WHERE metres > 0) = 1 THEN sum(metres) FILTER (WHERE metres > 0) END AS sole, CASE WHEN sum(metres) > 0 THEN sum(metres) END AS total,
   coalesce(max(metres) FILTER (WHERE type = 'DistanceSwimming'), max(metres) FILTER (WHERE type = 'DistanceCycling')) AS first_listed, count(*)::BIGINT AS kinds FROM d GROUP BY workout_id""")
 def workout_distance_three_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """APP-06, SCL-36, B11."""
+    """APP-06, SCL-36, B11; lines 1 to 3 only, as in the SQL (``workout_distance_all_lines`` has every line)."""
     return domain.distance_rules(_statistics(spark, sf_dir), ["DistanceSwimming", "DistanceCycling"])
 
 
+@query()
+def workout_distance_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """APP-06, SCL-36, B11 over every line."""
+    return domain.distance_rules(_statistics(spark, sf_dir, whole=True), ["DistanceSwimming", "DistanceCycling"])
+
+
 @query("""SELECT vec_id AS id, (i * 125)::DOUBLE AS frequency, CASE WHEN s = 0 THEN 'left' ELSE 'right' END AS ear, embedding[2 * i + s - 1]::DOUBLE AS sensitivity, embedding[2 * i + s - 1] < 0 AS masked, abs(embedding[2 * i + s - 1]) > 0.2::FLOAT AS clamped
 FROM (SELECT vec_id, embedding, unnest(range(1, 9)) AS i FROM embeddings), (SELECT unnest(range(2)) AS s)""")
 def threshold_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
