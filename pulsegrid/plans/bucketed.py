@@ -96,8 +96,13 @@ def aggregate_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = bucket_plan(spark, FIRST, LAST, "day")
-    return series.series(adapters.sample(spark, sf_dir), adapters.measures(spark), plan)
+    """The SQL's days, and more where the archive has earlier or later ones: no record is outside the plan."""
+    sample = adapters.sample(spark, sf_dir)
+    ends = sample.agg(F.min(F.least("start_ts", "end_ts")).alias("first"), F.max(F.greatest("start_ts", "end_ts")).alias("last"))
+    day = lambda c: F.date_format(F.date_trunc("day", c), "yyyy-MM-dd HH:mm:ss")
+    first, last = ends.select(day("first"), day("last")).first()
+    plan = bucket_plan(spark, min(FIRST, first or FIRST), max(LAST, last or LAST), "day")
+    return series.series(sample, adapters.measures(spark), plan)
 
 
 SERIES_SQL = f"""{SAMPLE_SQL}, plan AS (
@@ -183,6 +188,12 @@ def snapshot_fallback_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.fallback_window(rows, "2024-01-29 00:00:00", "2024-01-30 00:00:00", 7)
 
 
+@query()
+def snapshot_fallback_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all rows, late views included."""
+    return series.fallback_window(adapters.sample(spark, sf_dir), "2024-01-29 00:00:00", "2024-01-30 00:00:00", 7)
+
+
 def _histogram_sql(source: str, weight: str) -> str:
     return f"""{source}, b AS (SELECT type, min(value) AS low, max(value) AS high FROM h GROUP BY type HAVING count(DISTINCT unit) <= 1), s AS (
   SELECT h.type, CASE WHEN high > low THEN least(floor((value - low) / ((high - low) / 24.0)), 23)::INTEGER ELSE 0 END AS idx, sum({weight}) AS n FROM h JOIN b USING (type) GROUP BY ALL

@@ -188,10 +188,10 @@ _TREND_OUT = "SELECT type, days, status, direction, round(slope, 5) AS slope, ro
 _TREND_ROUNDED = ("slope", "per_week", "ci_low", "ci_high", "start_value", "end_value", "r_squared")
 
 
-def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and records of each type and day; error readings only of every third day, so that one type has too few."""
+def _daily(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Mean and records of each type and day.  The SQL twins take error readings only of every third day, so that one type has too few; ``whole`` takes all."""
     rows = adapters.sample(spark, sf_dir).where("value is not null").groupBy("type", F.to_date("start_ts").alias("day")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("records"))
-    rows = rows.where("type <> 'error' or day(day) % 3 = 0")
+    rows = rows if whole else rows.where("type <> 'error' or day(day) % 3 = 0")
     return rows.select("type", "day", (F.round("s", 2) / F.col("records")).alias("value"), "records")
 
 
@@ -209,6 +209,12 @@ def trend_ols_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(stats.trend(_daily(spark, sf_dir), ["type"]), _TREND_ROUNDED)
 
 
+@query()
+def trend_ols_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-01, STA-02 over all days of all types."""
+    return _round(stats.trend(_daily(spark, sf_dir, whole=True), ["type"]), _TREND_ROUNDED)
+
+
 @query(f"""WITH {_DAILY}, o AS (SELECT o_orderpriority AS type, o_orderdate::DATE AS day, sum(o_totalprice) AS value FROM orders GROUP BY ALL), mix AS (
   SELECT type, day, value FROM daily UNION ALL SELECT type, day, round(value, 2) FROM o UNION ALL SELECT 'flat', day, 5.0 FROM daily WHERE type = 'click'
 ), {_trend_sql('mix')} SELECT type, days, status FROM trend""")
@@ -241,7 +247,16 @@ FROM st JOIN trx ON trx.type = pair JOIN try_ ON try_.type = pair"""
 @query(_CORRELATION)
 def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA-03, STA-04, T11, T20, B13: all pairs of types over the days that both have."""
-    d = _daily(spark, sf_dir)
+    return _correlation(spark, sf_dir, _daily(spark, sf_dir))
+
+
+@query()
+def correlation_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-03, STA-04 over all days of all types."""
+    return _correlation(spark, sf_dir, _daily(spark, sf_dir, whole=True))
+
+
+def _correlation(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
     a, b = d.select(F.col("type").alias("ta"), "day", F.col("value").alias("x")), d.select(F.col("type").alias("tb"), "day", F.col("value").alias("y"))
     pairs = a.join(b, "day").where("ta < tb").select(F.concat_ws("-", "ta", "tb").alias("pair"), "day", "x", "y")
     o = adapters.table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
@@ -259,6 +274,12 @@ def lag1_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(stats.lag_one(_daily(spark, sf_dir), ["type"]), ("lag1",), 6)
 
 
+@query()
+def lag1_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-04 over all days of all types."""
+    return _round(stats.lag_one(_daily(spark, sf_dir, whole=True), ["type"]), ("lag1",), 6)
+
+
 _JUDGED = """f AS (SELECT key, count(*)::BIGINT AS days, greatest(1.0, median(records) * 0.34) AS floor FROM d GROUP BY key),
 k AS (SELECT d.*, days, floor, records >= floor AS judged FROM d JOIN f USING (key)),
 c AS (SELECT key, median(value) AS centre, count(*)::BIGINT AS judged_days FROM k WHERE judged GROUP BY key),

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from datetime import datetime
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.plans.queries import queries
 
@@ -29,3 +31,36 @@ def test_every_line_is_a_leg(spark):
     total = {r.workout_id: r.total for r in queries()["workout_distance_all_lines"](spark, SMALL).collect()}
     want = {k: sum(sum(v) for v in kinds.values()) or None for k, kinds in metres.items()}
     assert total == pytest.approx(want)
+
+
+def test_all_days_of_all_types(spark):
+    days = defaultdict(set)
+    for x in _rows("events"):
+        if x["value"] is not None:
+            days[x["event_type"]].add(x["ts"].date())
+    want = {k: len(v) for k, v in days.items()}
+    assert {r.type: r.days for r in queries()["trend_ols_all_days"](spark, SMALL).collect()} == want
+    assert {r.type: r.n for r in queries()["lag1_all_days"](spark, SMALL).collect()} == want
+    pairs = {r.pair: r.days for r in queries()["correlation_all_days"](spark, SMALL).collect()}
+    assert all(pairs[f"{a}-{b}"] == len(days[a] & days[b]) for a in days for b in days if a < b)
+
+
+def test_all_rows_of_windows_and_streams(spark):
+    views = [x for x in _rows("events") if x["event_type"] == "view" and x["value"] is not None and datetime(2024, 1, 23) <= x["ts"] < datetime(2024, 1, 30)]
+    got = {r.type: r for r in queries()["snapshot_fallback_all_rows"](spark, SMALL).collect()}["view"]
+    assert (got.window_end, got.earlier, got.records) == (datetime(2024, 1, 30), False, len(views))
+    types = {x["p_partkey"] % 100 for x in _rows("part")}
+    assert queries()["backfill_all_rows"](spark, SMALL).first().records == sum(x["l_partkey"] % 100 in types for x in _rows("lineitem"))
+
+
+def test_series_reach_earlier_and_later_records(spark, tmp_path):
+    """A record long before and one long after the SQL's days."""
+    rows = spark.read.parquet(f"{SMALL}/events.parquet")
+    far = rows.where("event_type = 'click' and value is not null").limit(1)
+    ends = [far.withColumn("ts", F.lit(x).cast("timestamp_ntz")) for x in ("2023-11-05 10:00:00", "2024-03-09 10:00:00")]
+    rows.unionByName(ends[0]).unionByName(ends[1]).write.parquet(f"{tmp_path}/events.parquet")
+    before = {r.type: r.samples for r in queries()["series_headline_by_kind"](spark, SMALL).collect()}
+    after = {r.type: r.samples for r in queries()["series_headline_by_kind"](spark, str(tmp_path)).collect()}
+    assert after == before | {"click": before["click"] + 2}
+    whole = {r.type: r for r in queries()["series_coverage_days"](spark, str(tmp_path)).collect()}["click"]
+    assert (whole.first_bucket, whole.last_bucket) == (datetime(2023, 11, 5), datetime(2024, 3, 9))
