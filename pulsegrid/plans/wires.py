@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.calendar import seconds_between
 from pulsegrid.plans.bucketed import ZONE
 from pulsegrid.plans.register import query
 from pulsegrid.sinks import formats as out
@@ -59,10 +60,16 @@ def metrics_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SAMPLE_SQL}, p AS (SELECT type, id, '{{"date":"' || {_ISO.format("start_ts")} || '"' || CASE WHEN end_ts <> start_ts THEN ',"endDate":"' || {_ISO.format("end_ts")} || '"' ELSE '' END || ',"source":"' || source_name || '","units":"u"}}' AS point FROM sample)
 SELECT type AS name, count(*)::BIGINT AS points, '{{"data":[' || string_agg(point, ',' ORDER BY id) || '],"name":"' || type || '","units":"u"}}' AS metric FROM p GROUP BY type""")
 def metrics_group_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-04: points in their order; values are left out, engines print them unlike."""
+    """SNK-04: points in their order; values are left out, engines print them unlike (``metrics_values_json`` has them)."""
     return out.metrics_json(adapters.sample(spark, sf_dir).withColumn("value", F.lit(None).cast("double")))
 
 
+@query()
+def metrics_values_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-04 with values; no SQL twin."""
+    return out.metrics_json(adapters.sample(spark, sf_dir))
+
+
 _NY = "timezone('America/New_York', {} AT TIME ZONE 'UTC')"
 
 
@@ -79,21 +86,36 @@ SELECT id, CASE WHEN id % 5 = 0 THEN 'health_deletions,type=' || type || ',id='
   WHEN id % 5 = 1 THEN 'health_workouts,type=workout,activity=Cross\\ Training,source=a\\,b\\=' || source_name || ' id="' || id || '" '
   ELSE 'health_events,type=' || type || ',source=a\\,b\\=' || source_name || ',device=Watch id="' || id || '" ' END || stamp AS line FROM r""")
 def line_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-07: routing, tags, escapes and nanoseconds; numbers are left out, engines print them unlike (the tests have them)."""
-    s = adapters.sample(spark, sf_dir)
+    """SNK-07: routing, tags, escapes and nanoseconds; numbers are left out, engines print them unlike (``line_protocol_values`` has them)."""
+    none = F.lit(None).cast("double")
+    return _line_protocol(adapters.sample(spark, sf_dir).withColumn("end_ts", F.col("start_ts")), none, none)
+
+
+@query()
+def line_protocol_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-07 with values and durations; no SQL twin."""
+    return _line_protocol(adapters.sample(spark, sf_dir), F.col("value"), seconds_between(F.col("start_ts"), F.col("end_ts")))
+
+
+def _line_protocol(s: DataFrame, value: Column, duration: Column) -> DataFrame:
     text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     kind = F.when(F.col("id") % 5 == 0, "deletion").when(F.col("id") % 5 == 1, "workout").otherwise("quantity")
-    none = F.lit(None)
-    rows = s.select(F.col("id").cast("string").alias("key"), "id", "type", kind.alias("kind"), text("start_ts").alias("startDate"), text("start_ts").alias("endDate"), none.cast("double").alias("value"), "unit", F.concat(F.lit("a,b="), "source_name").alias("source"), F.when(kind == "quantity", "Watch").alias("device"), F.lit("Cross Training").alias("activity"), none.cast("double").alias("duration"))
-    return out.line_protocol(rows.drop("key"))
+    rows = s.select("id", "type", kind.alias("kind"), text("start_ts").alias("startDate"), text("end_ts").alias("endDate"), value.alias("value"), "unit", F.concat(F.lit("a,b="), "source_name").alias("source"), F.when(kind == "quantity", "Watch").alias("device"), F.lit("Cross Training").alias("activity"), duration.alias("duration"))
+    return out.line_protocol(rows)
 
 
 @query(f"""WITH {SAMPLE_SQL} SELECT id, id || ',' || type || ',quantity,' || {_ISO.format("start_ts")} || ',' || {_ISO.format("end_ts")} || ',' || trunc(value)::BIGINT || ',u,' || source_name || ',false' AS line FROM sample""")
 def csv_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-03: integral numbers have no point."""
+    """SNK-03: integral numbers have no point; values are cut to integers, as in the SQL (``csv_flat_values`` has them whole)."""
     return out.csv_lines(adapters.sample(spark, sf_dir).withColumn("value", F.expr("cast(cast(value as bigint) as double)")))
 
 
+@query()
+def csv_flat_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-03 with whole values; no SQL twin."""
+    return out.csv_lines(adapters.sample(spark, sf_dir))
+
+
 @query(f"WITH {SAMPLE_SQL} SELECT id, source_name, (row_number() OVER (PARTITION BY source_name ORDER BY start_ts, id) - 1) // 7 AS part FROM sample")
 def payload_split_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-11."""
@@ -119,12 +141,18 @@ def latest_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN starts_with(trim(text), '{') THEN 'ndjson' WHEN contains(string_split(trim(text), chr(10))[1], 'startDate') AND contains(string_split(trim(text), chr(10))[1], ',') THEN 'csv' ELSE 'ndjson' END AS format
 FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN ' ' WHEN 1 THEN '[' || text WHEN 2 THEN '{"data":{"metrics"' || text WHEN 3 THEN '{' || text WHEN 4 THEN 'id,startDate' || chr(10) || text WHEN 5 THEN 'ConnectionTest' ELSE text END AS text FROM documents)""")
 def payload_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-01."""
+    """SRC-01 over made-up texts, two of seven fixed (``payload_sniffing_texts`` has the documents' own)."""
     n = F.col("doc_id") % 7
     text = F.when(n == 0, " ").when(n == 1, F.concat(F.lit("["), "text")).when(n == 2, F.concat(F.lit('{"data":{"metrics"'), "text")).when(n == 3, F.concat(F.lit("{"), "text")).when(n == 4, F.concat(F.lit("id,startDate\n"), "text")).when(n == 5, "ConnectionTest").otherwise(F.col("text"))
     return adapters.table(spark, sf_dir, "documents").select("doc_id", formats.payload_format(text).alias("format"))
 
 
+@query()
+def payload_sniffing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-01 over the documents' own texts."""
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", formats.payload_format(F.col("text")).alias("format"))
+
+
 @query(f"""WITH {SAMPLE_SQL} SELECT id::VARCHAR AS id, type, value FROM sample WHERE id % 9 <> 0 AND id % 13 <> 0 AND id % 17 <> 0""")
 def streaming_upsert_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-01, STR-03: the lines arrive as files, the stream takes them until there are no more, and the log is folded."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import json
 from collections import defaultdict
 from datetime import datetime
 
@@ -64,3 +66,39 @@ def test_series_reach_earlier_and_later_records(spark, tmp_path):
     assert after == before | {"click": before["click"] + 2}
     whole = {r.type: r for r in queries()["series_coverage_days"](spark, str(tmp_path)).collect()}["click"]
     assert (whole.first_bucket, whole.last_bucket) == (datetime(2023, 11, 5), datetime(2024, 3, 9))
+
+
+def _format(text: str | None) -> str:
+    text = text or ""
+    bare, first = text.strip(), text.strip().split("\n")[0]
+    if not bare or "ConnectionTest" in text:
+        return "probe" if bare else "empty"
+    if bare[0] in "[{":
+        return "array" if bare[0] == "[" else "metrics" if '"metrics"' in text else "ndjson"
+    return "csv" if "startDate" in first and "," in first else "ndjson"
+
+
+def test_values_reach_the_outputs(spark):
+    """Every value comes back out of each format, and none is cut."""
+    events = {x["event_id"]: x for x in _rows("events")}
+    want = {k: x["value"] for k, x in events.items()}
+    lines = {r.id: r.line for r in queries()["csv_flat_values"](spark, SMALL).collect()}
+    fields = {k: next(csv.reader([x])) for k, x in lines.items()}
+    assert {k: float(f[5]) for k, f in fields.items() if len(f) == 9} == {k: v for k, v in want.items() if v is not None}
+    points = defaultdict(list)
+    for r in queries()["metrics_values_json"](spark, SMALL).collect():
+        points[r.name] += [p.get("qty") for p in json.loads(r.metric)["data"]]
+    assert {k: sorted(v for v in vs if v is not None) for k, vs in points.items()} == {k: sorted(x["value"] for x in events.values() if x["event_type"] == k and x["value"] is not None) for k in points}
+    sent = {r.id: r.line for r in queries()["line_protocol_values"](spark, SMALL).collect()}
+    assert sent.keys() == events.keys()
+    for k, line in sent.items():
+        took = json.loads(events[k]["props"])["k"] * 10
+        if k % 5 == 1 and took:
+            assert f"duration={float(took)}," in line
+        if k % 5 > 1 and want[k] is not None:
+            assert line.startswith("health,") and ",unit=u value=" in line and float(line.split(" value=")[1].split(",")[0].split(" ")[0]) == want[k]
+
+
+def test_own_texts_are_sniffed(spark):
+    got = {r.doc_id: r.format for r in queries()["payload_sniffing_texts"](spark, SMALL).collect()}
+    assert got == {x["doc_id"]: _format(x["text"]) for x in _rows("documents")}
