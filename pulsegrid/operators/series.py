@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.calendar import bucket_start, local_day, seconds_between
@@ -156,6 +156,29 @@ def span(sample: DataFrame) -> DataFrame:
     return sample.agg(F.min("start_ts").alias("earliest"), F.max("start_ts").alias("latest"))
 
 
+def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): the exact value of rank n // 2 + 1 of the n rows of a key; null where nulls, which come last, reach it.
+
+    Only the middle is sorted, as counts of its distinct values: hundredths by mergeable sketches,
+    whose own error is a hundredth of one, bound it from both sides.
+    """
+    hundredths = F.percentile_approx(value, F.array(*(F.lit(i / 100) for i in range(101))), F.lit(10_000))
+    told = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_known"), hundredths.alias("_cuts"))
+    told = told.withColumn("_rank", F.floor(F.col("_n") / 2) + 1).withColumn("_at", F.floor(F.col("_rank") * 100 / F.greatest("_known", F.lit(1))))
+    cut = lambda i: F.element_at("_cuts", (F.least(F.greatest(i, F.lit(0)), F.lit(100)) + 1).cast("int"))
+    # A row per key.
+    told = F.broadcast(told.select(F.col(key).alias("_key"), "_rank", F.when(F.col("_at") > 1, cut(F.col("_at") - 1)).alias("_low"), F.when(F.col("_at") < 98, cut(F.col("_at") + 2)).alias("_high")))
+    met = rows.where(F.col(value).isNotNull()).join(told, F.col(key).eqNullSafe(F.col("_key")))
+    place = F.when(F.col(value) < F.col("_low"), -1).when(F.col(value) > F.col("_high"), 1).otherwise(0)
+    counts = met.groupBy("_key", "_rank", F.when(place == 0, F.col(value)).alias("_v"), place.alias("_place")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_key").orderBy("_place", "_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+    # The sketches' bounds hold the rank; should they ever not, it is an error and no wrong value.
+    v = F.when(F.col("_place") == 0, F.col("_v")).otherwise(F.raise_error(F.lit("the middle is outside its bounds")).cast(rows.schema[value].dataType))
+    keys = rows.select(key).distinct()
+    return keys.join(found.select("_key", v.alias(value)), F.col(key).eqNullSafe(F.col("_key")), "left").select(key, value)
+
+
 def newest(sample: DataFrame, limit: int, type_: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
     """Newest first, both bounds inclusive, ties by id; a negative limit is none at all."""
     rows = bounded(sample if type_ is None else sample.where(F.col("type") == type_), "start_ts", first, last, closed=True)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,9 +101,25 @@ def rotated(types: DataFrame, key: str, hour_slot: int) -> DataFrame:
 
 
 def digest(reports: DataFrame, columns: list[str]) -> DataFrame:
-    """One digest of all reports in any order: equal content gives an equal digest."""
+    """One digest of all reports in any order: equal content gives an equal digest.
+
+    The digest is of the sorted reports, so one task walks them; it holds an Arrow batch at a time,
+    and the sort before it spills.
+    """
     told = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    return reports.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(told)), "\n").cast("binary"), 256).alias("digest"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, begun = hashlib.sha256(), False
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                state.update(b"\n" + line if begun else line)
+                begun = True
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], names=["digest"])
+
+    ordered = reports.select(told.alias("told")).repartition(1).sortWithinPartitions("told")
+    done = ordered.select(F.col("told").cast("binary")).mapInArrow(walk, "digest string")
+    return done.agg(F.coalesce(F.max("digest"), F.sha2(F.lit("").cast("binary"), 256)).alias("digest"))
 
 
 def retry_delay(attempt: Column, transient: Column) -> Column:

@@ -251,8 +251,7 @@ SELECT type, v AS magnitude, CASE WHEN v >= 5400 THEN 'hr' WHEN v >= 90 THEN 'mi
   round(CASE WHEN v >= 5400 THEN 1.0 / 3600 WHEN v >= 90 THEN 1.0 / 60 ELSE 1.0 END, 9) AS scale FROM r WHERE k = n // 2 + 1""")
 def display_unit_by_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-14: the unit that fits the upper median."""
-    rows = adapters.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.abs("o_totalprice"))).alias("vs"))
-    rows = rows.select("type", F.element_at("vs", (F.floor(F.col("n") / 2) + 1).cast("int")).alias("magnitude"))
+    rows = series.upper_median(adapters.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("type"), F.abs("o_totalprice").alias("v")), "type", "v").withColumnRenamed("v", "magnitude")
     shown = units.display(F.lit("total"), F.lit("sec"), F.col("type"), F.col("magnitude"))
     return rows.select("type", "magnitude", shown.label.alias("label"), F.round(shown.scale, 9).alias("scale"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +38,10 @@ def csv_header() -> str:
     return ",".join(CSV_COLUMNS)
 
 
-def _points(sample: DataFrame, order: str, point: Column, units: Column) -> DataFrame:
-    rows = sample.where("kind <> 'deletion' and kind <> 'workout'").select(metric_name(F.col("type")).alias("name"), F.struct(F.col(order).alias("pos"), point.alias("p"), units.alias("u")).alias("x"))
-    return rows.groupBy("name").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+def _points(sample: DataFrame, order: str, point: Column, units: Column, batch: Column | None) -> DataFrame:
+    keys = [metric_name(F.col("type")).alias("name")] + ([] if batch is None else [batch.alias("batch")])
+    rows = sample.where("kind <> 'deletion' and kind <> 'workout'").select(*keys, F.struct(F.col(order).alias("pos"), point.alias("p"), units.alias("u")).alias("x"))
+    return rows.groupBy(*(["name"] if batch is None else ["name", "batch"])).agg(F.sort_array(F.collect_list("x")).alias("xs"))
 
 
 def metric_points(sample: DataFrame) -> DataFrame:
@@ -47,14 +51,15 @@ def metric_points(sample: DataFrame) -> DataFrame:
     return rows.select(metric_name(F.col("type")).alias("name"), F.col("id").alias("pos"), iso_text(F.col("start_ts")).alias("date"), end.alias("end_date"), F.col("value").alias("qty"), F.coalesce("unit", F.lit("count")).alias("units"), F.col("source_name").alias("source"))
 
 
-def metrics_json(sample: DataFrame, order: str = "id") -> DataFrame:
-    """(name, points, metric): one JSON object per metric, points in their order, units of the first one.
+def metrics_json(sample: DataFrame, order: str = "id", batch: Column | None = None) -> DataFrame:
+    """(name, points, metric): one JSON object per metric and ``batch``, points in their order, units of the first one.
 
-    A payload is one delivery batch, so a metric's points are bounded by the batch limit.
+    With a batch key (name, batch, points, metric); it bounds what one row holds.  Without one, all
+    points of a metric are one row, so ``sample`` must itself be a delivery batch.
     """
     point = F.struct(iso_text(F.col("start_ts")).alias("date"), F.when(F.col("end_ts") != F.col("start_ts"), iso_text(F.col("end_ts"))).alias("endDate"), F.col("value").alias("qty"), F.col("source_name").alias("source"), F.coalesce("unit", F.lit("count")).alias("units"))
-    grouped = _points(sample, order, point, F.coalesce("unit", F.lit("count")))
-    return grouped.select("name", F.size("xs").cast("long").alias("points"), F.to_json(F.struct(F.transform("xs", lambda x: x["p"]).alias("data"), "name", F.element_at("xs", 1)["u"].alias("units"))).alias("metric"))
+    grouped = _points(sample, order, point, F.coalesce("unit", F.lit("count")), batch)
+    return grouped.select("name", *([] if batch is None else ["batch"]), F.size("xs").cast("long").alias("points"), F.to_json(F.struct(F.transform("xs", lambda x: x["p"]).alias("data"), "name", F.element_at("xs", 1)["u"].alias("units"))).alias("metric"))
 
 
 def dialect_points(sample: DataFrame, tz: str) -> DataFrame:
@@ -132,22 +137,28 @@ def split_by_count(records: DataFrame, key: str, order: str, n: int) -> DataFram
 def split_by_bytes(records: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:
     """``records`` with part: filled in order until the next would not fit; a larger record has a part of its own.
 
-    Which part a record is in depends on all before it, so a batch (of bounded size) is walked in
-    order by one task; batches run side by side.
+    Which part a record is in depends on all before it, so a batch is walked in order by one task,
+    which holds an Arrow batch of it at a time; the sort before it spills.
     """
     from pyspark.sql import types as T
 
-    def walk(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(order)
-        parts, part, held = [], 0, 0
-        for size in batch[text].str.encode("utf-8").str.len():
-            if held and held + size > most:
-                part, held = part + 1, 0
-            held += size
-            parts.append(part)
-        return batch.assign(part=parts)
-
-    return records.groupBy(key).applyInPandas(walk, T.StructType([*records.schema.fields, T.StructField("part", T.LongType())]))
+    at = [records.columns.index(c) for c in (key, text)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, part, held = (), 0, 0
+        for batch in batches:
+            parts = []
+            for k, size in zip(batch.column(at[0]).to_pylist(), pc.fill_null(pc.binary_length(batch.column(at[1])), 0).to_pylist(), strict=True):
+                if last != (k,):
+                    last, part, held = (k,), 0, 0
+                elif held and held + size > most:
+                    part, held = part + 1, 0
+                held += size
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int64())], names=[*batch.schema.names, "part"])
+
+    ordered = records.repartition(key).sortWithinPartitions(key, F.col(order).asc_nulls_last())
+    return ordered.mapInArrow(walk, T.StructType([*records.schema.fields, T.StructField("part", T.LongType())]))
 
 
 def day_notes(daily: DataFrame) -> DataFrame:
