@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import row_slices, write_table
 
 UNKNOWN = "und"
-#: Labelled documents per language that the trigram model is fitted on (expected number; picked by the hash of their ids), and languages.
-SAMPLE, LANGUAGES = 2_000, 64
+#: Labelled documents per language that the trigram model is fitted on (expected number; picked by the hash of their ids).
+SAMPLE = 2_000
 #: Hash classes of trigrams; trigrams that a text counts as at most; pseudo-documents of a smoothed prior.
 CLASSES, EVIDENCE, STRENGTH = 1 << 15, 100.0, 20.0
 #: Trigrams of a document that is a whole vote in its host's prior.
@@ -68,49 +68,61 @@ def address_suffix(host: Column) -> Column:
 
 @dataclass(frozen=True)
 class TextModel:
-    """Log-probabilities of trigram classes (rows) in each language (columns); the last column is ``und``."""
+    """Log-probabilities of trigram classes in each language, as far as they are above those of a class that the language hasn't.
+
+    The entries of class h are ``spot[h]`` to ``spot[h + 1]`` of ``place`` (the language) and
+    ``more``; a language takes as many as its sampled documents have classes.
+    """
 
     languages: tuple[str, ...]
-    table: np.ndarray
+    spot: np.ndarray
+    place: np.ndarray
+    more: np.ndarray
 
     def score(self, text: bytes) -> tuple[int, np.ndarray]:
-        """Trigrams, 0 for a text without letters, and each language's log-likelihood."""
-        n, total = 0, np.zeros(self.table.shape[1])
+        """Trigrams, 0 for a text without letters, and each language's log-likelihood; the last is that of ``und``."""
+        n, total = 0, np.zeros(len(self.languages) + 1)
         for h in _trigrams(text):
             n += len(h)
-            total += self.table[h].sum(axis=0, dtype=np.float64)
+            seen, times = np.unique(h, return_counts=True)
+            first, size = self.spot[seen], self.spot[seen + 1] - self.spot[seen]
+            at = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+            total += np.bincount(self.place[at], self.more[at] * np.repeat(times, size), minlength=len(total))
+        total[:-1] += n * np.log(CHANCE / CLASSES)
+        total[-1] = -n * np.log(CLASSES)
         return n, total
 
 
 def fit_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """The trigram model of the labels' languages, the ``LANGUAGES`` most frequent ones.
+    """The trigram model of all languages that are labels, however rare.
 
-    At most ``CLASSES`` rows per language come to the driver.  Without labelled rows there is only ``und``.
+    The driver gets the trigram classes that each language's sampled documents have, ``CLASSES`` rows
+    per language at most.  Without labelled rows there is only ``und``.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), language_code(F.col(label_col)).alias("label")).where("label is not null and label <> 'und'")
-    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()}
+    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = tuple(sorted(sizes))
-    place = {x: i for i, x in enumerate(languages)}
-    counts = np.zeros((CLASSES, len(languages)))
+    spot, place, more = np.zeros(CLASSES + 1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
     if languages:
-        spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-        share = F.coalesce(*(F.when(F.col("label") == x, F.lit(min(1 << 30, (sample << 30) // sizes[x]))) for x in languages), F.lit(0))
-        picked = labelled.where(spot < share).select("label", "text")
+        shares = docs.sparkSession.createDataFrame([(x, i, min(1 << 30, (sample << 30) // sizes[x])) for i, x in enumerate(languages)], "label string, place int, share long")
+        picked = labelled.join(F.broadcast(shares), "label").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share")).select("place", "text")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros((len(languages), CLASSES), dtype=np.int64)
             for batch in batches:
-                for label, text in zip(*batch.columns, strict=True):
-                    for h in _trigrams(text.as_py() or b""):
-                        held[place[label.as_py()]] += np.bincount(h, minlength=CLASSES)
-            row, gram = np.nonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(gram.astype(np.int32)), pa.array(held[row, gram])], names=["label", "gram", "n"])
-
-        got = picked.mapInArrow(count, "label int, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()
-        counts[got["gram"].to_numpy(), got["label"].to_numpy()] = got["n"].to_numpy()
-    # A share of chance in every language: a new word must not weigh more than many known ones.
-    logs = np.log((1 - CHANCE) * counts / np.maximum(1, counts.sum(axis=0)) + CHANCE / CLASSES)
-    return TextModel(languages, np.column_stack([logs, np.full(CLASSES, -np.log(CLASSES))]).astype(np.float32))
+                for part in row_slices(batch, 1):
+                    keys = [np.int64(i.as_py()) * CLASSES + h for i, text in zip(*part.columns, strict=True) for h in _trigrams(text.as_py() or b"")]
+                    key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((key // CLASSES).astype(np.int32)), pa.array((key % CLASSES).astype(np.int32)), pa.array(n.astype(np.int64))], names=["place", "gram", "n"])
+
+        got = picked.mapInArrow(count, "place int, gram int, n long").groupBy("place", "gram").agg(F.sum("n").alias("n")).toPandas()
+        gram, place, n = (got[c].to_numpy().astype(np.int64) for c in ("gram", "place", "n"))
+        order = np.lexsort((place, gram))
+        gram, place, n = gram[order], place[order], n[order]
+        spot = np.searchsorted(gram, np.arange(CLASSES + 1))
+        whole = np.maximum(1, np.bincount(place, n, minlength=len(languages)))
+        # A share of chance in every language: a new word must not weigh more than many known ones.
+        more = np.log1p((1 - CHANCE) * n / whole[place] * (CLASSES / CHANCE))
+    return TextModel(languages, spot, place.astype(np.int32), more.astype(np.float32))
 
 
 def _scored(docs: DataFrame, model: TextModel, columns: list[Column], text_col: str) -> DataFrame:
@@ -118,7 +130,7 @@ def _scored(docs: DataFrame, model: TextModel, columns: list[Column], text_col:
     picked = docs.select(*columns, F.col(text_col).cast("binary").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]) + ", n long, ll array<double>"
     last = len(columns)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # CLASSES times LANGUAGES numbers at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # an entry for each class of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = sent.value.score
@@ -136,11 +148,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     ``lang`` is the language of the largest posterior (ties go to the first code); ``und`` where it
     fits no better than chance, or where the text has no letters: null, empty, digits only.
-    ``accepted`` is false for these and below a posterior of ``LEAST``.  Null declarations and
+    ``accepted`` is false for these and below a posterior of ``LEAST``; where no row has a label, so that
+    there is no model, it is true of every text with letters.  Null declarations and
     addresses are no evidence.  Rows that repeat an id are judged each.
     """
     model = model or fit_text(docs, id_col, text_col, declared_col)
-    names = [*model.languages, UNKNOWN]
+    names, spark = [*model.languages, UNKNOWN], docs.sparkSession
     host = host_name(F.col(address_col))
     columns = [F.col(id_col), language_code(F.col(declared_col)).alias("declared"), host.alias("host"), address_suffix(host).alias("suffix")]
     scored = write_table(_scored(docs, model, columns, text_col), "likelihoods")
@@ -150,37 +163,45 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     known = scored.where(F.col("text_lang") != UNKNOWN)
 
     # What each language declares; a row for each pair of languages at most.
-    label = lambda c: F.when(c.isin(*model.languages), c).otherwise(F.lit("other"))
-    said = {(r[0], r[1]): r[2] for r in known.where("declared is not null").groupBy("text_lang", label(F.col("declared")).alias("d")).count().collect()}
-    declares = {}
-    for d in [*model.languages, "other"]:
-        totals = [sum(n for (x, _), n in said.items() if x == lang) for lang in model.languages]
-        share = [(said.get((lang, d), 0) + 1.0) / (t + len(names)) for lang, t in zip(model.languages, totals, strict=True)]
-        declares[d] = [float(np.log(p)) for p in share] + [float(-np.log(len(names)))]
+    kinds = spark.createDataFrame([(x,) for x in model.languages], "d string")
+    told = known.where("declared is not null").groupBy("text_lang", F.col("declared").alias("d")).count()
+    said, totals = {}, {}
+    for r in told.join(F.broadcast(kinds.withColumn("known", F.lit(True))), "d", "left").groupBy("text_lang", F.when(F.col("known"), F.col("d")).alias("d")).agg(F.sum("count").alias("n")).collect():
+        said.setdefault(r.d or "", {})[r.text_lang] = r.n
+        totals[r.text_lang] = totals.get(r.text_lang, 0) + r.n
+    share = lambda d: [float(np.log((said.get(d, {}).get(x, 0) + 1.0) / (totals.get(x, 0) + len(names)))) for x in model.languages]
+    declares = spark.createDataFrame([(d, [*share(d), float(-np.log(len(names)))]) for d in [*model.languages, ""]], "d string, _told array<double>")
 
     # A text of few trigrams is less than a vote.
     vote = F.least(F.lit(1.0), F.col("n") / F.lit(float(VOTE)))
-    count = F.array(*(F.sum(F.when(F.col("text_lang") == x, vote).otherwise(0.0)) for x in model.languages)) if model.languages else F.expr("cast(array() as array<double>)")
-    hosts = known.groupBy("host", "suffix").agg(count.alias("c"), F.sum(vote).alias("docs"))
-    each = lambda of: [F.sum(F.element_at(of, i + 1)) for i in range(len(model.languages))]
-    suffixes = hosts.groupBy("suffix").agg(F.array(*each(F.col("c"))).alias("cs") if model.languages else F.expr("cast(array() as array<double>)").alias("cs"), F.sum("docs").alias("ds"))
-    total = [x or 0.0 for x in (hosts.agg(*each(F.col("c"))).first() if model.languages else [])]
+    votes = known.groupBy("host", "suffix", "text_lang").agg(F.sum(vote).alias("v"))
+    # A row per host with the languages it has, in the order of all languages.
+    langs = F.map_from_entries(F.collect_list(F.struct("text_lang", "v")))
+    dense = lambda xs: F.transform(F.slice(code, 1, len(model.languages)), lambda x: F.coalesce(F.try_element_at(xs, x), F.lit(0.0)))
+    hosts = votes.groupBy("host", "suffix").agg(langs.alias("c"), F.sum("v").alias("docs")).withColumn("c", dense(F.col("c")))
+    ends = votes.groupBy("suffix", "text_lang").agg(F.sum("v").alias("v"))
+    suffixes = ends.groupBy("suffix").agg(langs.alias("cs"), F.sum("v").alias("ds")).withColumn("cs", dense(F.col("cs")))
+    sums = {r.text_lang: r.v for r in ends.groupBy("text_lang").agg(F.sum("v").alias("v")).collect()}
+    total = [sums.get(x, 0.0) for x in model.languages]
     overall = [(x + 1.0) / (sum(total) + len(total)) for x in total]
     smooth = lambda counts, docs_, prior: F.zip_with(counts, prior, lambda c, p: (c + F.lit(STRENGTH) * p) / (docs_ + F.lit(STRENGTH)))
     flat = F.array(*(F.lit(x) for x in overall)) if overall else F.expr("cast(array() as array<double>)")
     priors = hosts.join(suffixes, "suffix").select("host", smooth(F.col("c"), F.col("docs"), smooth(F.col("cs"), F.col("ds"), flat)).alias("prior"))
 
     fused = scored.join(priors, "host", "left")
-    table = F.create_map(*(x for d, p in declares.items() for x in (F.lit(d), F.array(*(F.lit(v) for v in p)))))
+    # A declared language that is no label has the row of the empty name.
+    fused = fused.join(F.broadcast(kinds.withColumn("_label", F.col("d"))), F.col("declared") == F.col("d"), "left").drop("d")
+    fused = fused.join(F.broadcast(declares), F.coalesce("_label", F.lit("")) == F.col("d"), "left").drop("d")
     nothing = F.array(*(F.lit(0.0) for _ in names))
-    declared = F.when(F.col("declared").isNull(), nothing).otherwise(F.coalesce(F.element_at(table, label(F.col("declared"))), nothing))
+    declared = F.when(F.col("declared").isNull(), nothing).otherwise(F.coalesce("_told", nothing))
     weight = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("n"), F.lit(1)))
     prior = F.concat(F.transform(F.coalesce("prior", flat), lambda p: F.log(p * (1 - PRIOR_UNKNOWN))), F.array(F.lit(float(np.log(PRIOR_UNKNOWN)))))
     fused = fused.withColumn("_logs", F.zip_with(F.zip_with("ll", prior, lambda a, b: a * weight + b), declared, lambda a, b: a + b))
     fused = fused.withColumn("lang", best(F.col("_logs")))
     mass = F.aggregate(F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs"))), F.lit(0.0), lambda a, x: a + x)
     fused = fused.withColumn("posterior", F.when(F.col("n") > 0, F.round(1 / mass, 6)).otherwise(F.lit(0.0)))
-    accepted = (F.col("lang") != UNKNOWN) & (F.col("posterior") >= LEAST)
+    # Without a model no text fits better than chance: letters are all there is to judge by.
+    accepted = (F.col("lang") != UNKNOWN) & (F.col("posterior") >= LEAST) if model.languages else F.col("n") > 0
     return fused.select(id_col, "lang", "posterior", "text_lang", "declared", "host", accepted.alias("accepted"))
 
 
