@@ -30,40 +30,48 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def row_key(text: Column) -> Column:
+    """A hash that tells rows of one id apart by their texts."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
-    """(id, word, bits): the lines that go, as set bits of the document's bitmap words.
+    """(id, row_key, word, bits): the lines that go, as set bits of the row's bitmap words.
+
+    Rows that share an id are one document, but each has bits of its own (``row_key``, of its text).
 
     A key of ``least_chars`` code points that ``least_docs`` documents hold goes from all but the
     largest id.  Documents without an id hold no key.
     """
     n = spread(docs.sparkSession)
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
-    keys = lines.select("doc", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least_chars)
-    hashed = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "pos")
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), row_key(F.col(text_col)).alias("row_key"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    keys = lines.select("doc", "row_key", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least_chars)
+    hashed = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "row_key", "pos")
     # Hashes are written first: finding the ranges' bounds reads its input twice, and that shall not be the texts.
     hashed = write_table(hashed, "hashes")
     # A partition boundary falls between documents, so a line of a third of all documents is spread out.
     ordered = hashed.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
     # Both tables are written: a common line's rows lie spread out, to be met by a broadcast of few
     # keys or by a join whose large partitions Spark can split.
-    held = write_table(ordered.groupBy("h1", "h2", "doc").agg(F.collect_list("pos").alias("at")), "lines")
+    held = write_table(ordered.groupBy("h1", "h2", "doc").agg(F.collect_list(F.struct("row_key", "pos")).alias("at")), "lines")
     counted = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= least_docs)
     common = write_table(counted.select("h1", "h2", "last"), "common")
     few = common.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     gone = held.join(F.broadcast(common) if few else common, ["h1", "h2"]).where(F.col("doc") < F.col("last"))
-    bits = gone.select("doc", F.explode("at").alias("pos")).select("doc", F.floor(F.col("pos") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, pos % {WORD})").alias("bit"))
-    return bits.groupBy("doc", "word").agg(F.bit_or("bit").alias("bits")).withColumnRenamed("doc", id_col)
+    bits = gone.select("doc", F.inline("at")).select("doc", "row_key", F.floor(F.col("pos") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, pos % {WORD})").alias("bit"))
+    return bits.groupBy("doc", "row_key", "word").agg(F.bit_or("bit").alias("bits")).withColumnRenamed("doc", id_col)
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules: int) -> DataFrame:
     """``docs`` with ``dropped_words``: null if all lines stay, else a sparse map from word number to dropped bits.
 
-    The map holds only the words in which a line goes; ids must be unique for it to be exact (rows
-    that repeat an id get the same map).
+    The map holds only the words in which a line goes.  Rows that repeat an id with another text have
+    maps of their own.
     """
     words = dropped_lines(docs, id_col, text_col, **rules)
-    maps = words.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped_words"))
-    return docs.drop("dropped_words").join(maps, id_col, "left")
+    maps = words.groupBy(id_col, "row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped_words"))
+    keyed = docs.drop("dropped_words", "row_key").withColumn("row_key", row_key(F.col(text_col)))
+    return keyed.join(maps, [id_col, "row_key"], "left").drop("row_key")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules: int) -> DataFrame:
