@@ -1,10 +1,10 @@
 """Secret scan: all rules in one minimised automaton over the bytes of a text.
 
-Each rule is a head and a tail pattern.  Subset construction runs over the product of the rules: a
-state holds, for every rule, the sets of NFA states of its live threads in the order of their start,
-so that "leftmost, longest, not overlapping" is part of the state.  Moore's algorithm merges equal
-states.  One pass over the bytes then follows a transition array; states that end a match have the
-highest numbers, so that a single comparison finds them.  The start of the rare match is read
+Each rule is a head and a tail pattern.  Subset construction gives each rule's states: the sets of NFA
+states of its live threads in the order of their start, so that "leftmost, longest, not overlapping"
+is part of the state.  The product of all rules is built from these, and Moore's algorithm merges
+equal states.  One pass over the bytes then follows a transition array; states that end a match have
+the highest numbers, so that a single comparison finds them.  The start of the rare match is read
 backwards from its end.
 """
 
@@ -177,8 +177,80 @@ class _Nfa:
         return self.closure({to for x in nodes for on, to in self.arcs[x] if byte in on})
 
 
+class _Tracker:
+    """One rule as a minimised automaton over byte classes: which of its matches end, and which are open."""
+
+    def __init__(self, rule: Rule, nfa: _Nfa, sample: list[int]) -> None:
+        self._rule, self._nfa, self._sample = rule, nfa, sample
+        self._first = nfa.closure({nfa.start})
+        self._moved: dict[tuple[frozenset[int], int], frozenset[int]] = {}
+        start: tuple[tuple, bool] = ((), False)
+        number, order, table = {start: 0}, [start], []
+        for live, _ in order:
+            row = [self._step(live, k) for k in range(len(sample))]
+            for to in row:
+                if to not in number:
+                    number[to] = len(order)
+                    order.append(to)
+            table.append([number[to] for to in row])
+        ended = np.array([e for _, e in order], dtype=np.int64)
+        open_ = np.array([bool(live) and nfa.end in live[0] for live, _ in order], dtype=np.int64)
+        block = _equivalent(np.array(table), 2 * ended + open_)
+        first = np.unique(block, return_index=True)[1]
+        self.start, self.table = int(block[0]), block[np.array(table)[first]]
+        self.ended, self.open = ended[first], open_[first]
+
+    def _threads(self, live: tuple, k: int) -> tuple:
+        """Every thread after one byte; states that an earlier thread has go from later ones."""
+        seen: set[int] = set()
+        out = []
+        for g in live:
+            if (g, k) not in self._moved:
+                self._moved[g, k] = self._nfa.move(g, self._sample[k])
+            if nodes := self._moved[g, k] - seen:
+                seen |= nodes
+                out.append(nodes)
+        takes = [self._nfa.end in g for g in out]
+        if any(takes):
+            if not takes[0]:
+                raise ValueError(f"{self._rule.kind}: a later thread accepts before an earlier one")
+            del out[1:]
+        return tuple(out)
+
+    def _step(self, live: tuple, k: int) -> tuple[tuple, bool]:
+        accepts = bool(live) and self._nfa.end in live[0]
+        new = self._threads(live if accepts else (*live, self._first), k)
+        if accepts and new and self._nfa.end not in new[0]:
+            raise ValueError(f"{self._rule.kind}: it must accept until it ends")
+        ended = accepts and not new
+        return (self._threads((self._first,), k) if ended else new), ended
+
+
+def _equivalent(table: np.ndarray, output: np.ndarray) -> np.ndarray:
+    """The block of each state after Moore's refinement: states of a block have equal outputs and go to equal blocks.
+
+    A round tells states apart by a 64-bit mix of their successors' blocks; the result is checked exactly.
+    """
+    rng = np.random.default_rng(1)
+    factors = rng.integers(1, 1 << 63, table.shape[1] + 1, dtype=np.uint64) | np.uint64(1)
+    block, count = np.unique(output, return_inverse=True)[1].ravel(), 0
+    while block.max() + 1 != count:
+        count = int(block.max()) + 1
+        mixed = rng.integers(0, 1 << 63, count, dtype=np.uint64)
+        signs = (mixed[block[table]] * factors[:-1]).sum(axis=1, dtype=np.uint64) + mixed[block] * factors[-1]
+        block = np.unique(signs, return_inverse=True)[1].ravel()
+    first = np.unique(block, return_index=True)[1]
+    if (block[table] != block[table[first]][block]).any() or (output != output[first][block]).any():
+        raise ValueError("two different states were taken for one")
+    return block
+
+
 class Automaton:
-    """The minimised product of the rules; see the module's text."""
+    """The minimised product of the rules' automata; see the module's text.
+
+    A row of the transition array has a place for each class of bytes that no rule tells apart, and
+    ``classes`` translates bytes to classes: some tens of places instead of 256.
+    """
 
     _rows: list[list[int]] | None = None
 
@@ -186,79 +258,42 @@ class Automaton:
         self.rules = rules
         self._whole = [_Nfa(r.head + r.tail, r.any_case) for r in rules]
         self._head = [_Nfa(r.head, r.any_case) if r.head else None for r in rules]
-        self._initial = [n.closure({n.start}) for n in self._whole]
         kinds: dict[tuple, int] = {}
         sets = [on for n in self._whole for arcs in n.arcs for on, _ in arcs]
-        self._class = [kinds.setdefault(tuple(b in on for on in sets), len(kinds)) for b in range(256)]
-        sample = [self._class.index(k) for k in range(len(kinds))]
-        moved: dict[tuple[int, frozenset[int], int], frozenset[int]] = {}
-
-        def move(r: int, nodes: frozenset[int], k: int) -> frozenset[int]:
-            if (r, nodes, k) not in moved:
-                moved[r, nodes, k] = self._whole[r].move(nodes, sample[k])
-            return moved[r, nodes, k]
-
-        def threads(r: int, live: tuple, k: int) -> tuple:
-            """Every thread after one byte; states that an earlier thread has go from later ones."""
-            seen: set[int] = set()
-            out = []
-            for g in live:
-                if nodes := move(r, g, k) - seen:
-                    seen |= nodes
-                    out.append(nodes)
-            takes = [self._whole[r].end in g for g in out]
-            if any(takes):
-                if not takes[0]:
-                    raise ValueError(f"{rules[r].kind}: a later thread accepts before an earlier one")
-                del out[1:]
-            return tuple(out)
-
-        one: dict[tuple[int, tuple, int], tuple[tuple, bool]] = {}
-
-        def step(r: int, live: tuple, k: int) -> tuple[tuple, bool]:
-            if (r, live, k) not in one:
-                accepts = bool(live) and self._whole[r].end in live[0]
-                new = threads(r, live if accepts else (*live, self._initial[r]), k)
-                ended = accepts and not new
-                if accepts and new and self._whole[r].end not in new[0]:
-                    raise ValueError(f"{rules[r].kind}: it must accept until it ends")
-                one[r, live, k] = (threads(r, (self._initial[r],), k) if ended else new, ended)
-            return one[r, live, k]
-
-        start = (tuple(() for _ in rules), 0)
-        number, order, table = {start: 0}, [start], []
-        for live, _ in order:
-            row = []
-            for k in range(len(sample)):
-                parts = [step(r, live[r], k) for r in range(len(rules))]
-                to = (tuple(p for p, _ in parts), sum(1 << r for r, (_, ended) in enumerate(parts) if ended))
-                if to not in number:
-                    number[to] = len(order)
-                    order.append(to)
-                row.append(number[to])
-            table.append(row)
-        ends = np.array([e for _, e in order])
-        last = np.array([sum(1 << r for r in range(len(rules)) if live[r] and self._whole[r].end in live[r][0]) for live, _ in order])
-        self.raw_states = len(order)
-        self._minimise(np.array(table), ends, last)
-
-    def _minimise(self, table: np.ndarray, ends: np.ndarray, last: np.ndarray) -> None:
-        block = np.unique(np.stack([ends, last], 1), axis=0, return_inverse=True)[1].ravel()
-        count = block.max() + 1
-        while True:
-            block = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)[1].ravel()
-            if block.max() + 1 == count:
-                break
-            count = block.max() + 1
+        self.classes = bytes(kinds.setdefault(tuple(b in on for on in sets), len(kinds)) for b in range(256))
+        sample = [self.classes.index(k) for k in range(len(kinds))]
+        parts = [_Tracker(rule, nfa, sample) for rule, nfa in zip(rules, self._whole, strict=True)]
+        # A product state is a number with a digit for each rule's state.
+        sizes = [len(p.table) for p in parts]
+        if np.prod([float(x) for x in sizes]) >= 1 << 62:
+            raise ValueError("too many rules for one automaton")
+        weights = [int(np.prod([1, *sizes[:r]], dtype=np.int64)) for r in range(len(parts))]
+
+        def after(states: np.ndarray) -> np.ndarray:
+            return sum(p.table[states // w % n] * w for p, w, n in zip(parts, weights, sizes, strict=True))
+
+        fresh = known = np.array([sum(p.start * w for p, w in zip(parts, weights, strict=True))])
+        while len(fresh):
+            fresh = np.setdiff1d(after(fresh), known)
+            known = np.union1d(known, fresh)
+        table = np.searchsorted(known, after(known))
+        bits = lambda name: sum(getattr(p, name)[known // w % n] << r for r, (p, w, n) in enumerate(zip(parts, weights, sizes, strict=True)))
+        ends, last = bits("ended"), bits("open")
+        self.raw_states = len(known)
+        block = _equivalent(table, ends << len(rules) | last)
         first = np.unique(block, return_index=True)[1]
-        order = sorted(range(count), key=lambda b: (ends[first[b]] != 0, b != block[0], b))
-        rank = np.empty(count, dtype=np.int64)
-        rank[order] = np.arange(count)
-        rows = rank[block[table[first[order]]]][:, self._class]
-        self.table = rows.astype(np.int32)
-        self.ends = [int(ends[first[b]]) for b in order]
-        self.last = [int(last[first[b]]) for b in order]
-        self.states, self.hot = int(count), next((i for i, e in enumerate(self.ends) if e), int(count))
+        begin = block[int(np.searchsorted(known, sum(p.start * w for p, w in zip(parts, weights, strict=True))))]
+        # The first state is 0; those that end a match come last.
+        order = np.lexsort((np.arange(len(first)), np.arange(len(first)) != begin, ends[first] != 0))
+        rank = np.empty(len(first), dtype=np.int64)
+        rank[order] = np.arange(len(first))
+        self.table = rank[block[table[first[order]]]].astype(np.int32)
+        self.ends, self.last = ends[first[order]].tolist(), last[first[order]].tolist()
+        self.states = len(first)
+        self.hot = next((i for i, e in enumerate(self.ends) if e), self.states)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_rows"}
 
     def _begin(self, r: int, data: bytes, low: int, end: int) -> int:
         """The leftmost start of the rule's match that ends at ``end``, not before ``low``."""
@@ -306,10 +341,11 @@ class Automaton:
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule number, end) in bytes, sorted."""
         if self._rows is None:
-            self._rows = [row.tolist() for row in self.table]
+            numbers = list(range(self.states))  # one object for each state, whatever the rows that name it
+            self._rows = [[numbers[x] for x in row] for row in self.table.tolist()]
         table, hot, state = self._rows, self.hot, 0
         found: list[tuple[int, int]] = []
-        for i, b in enumerate(data):
+        for i, b in enumerate(data.translate(self.classes)):
             state = table[state][b]
             if state >= hot:
                 found.append((i, state))
@@ -378,7 +414,7 @@ def _mapped(docs: DataFrame, text_col: str, out_col: str | None, rules: tuple[Ru
     keep = [c for c in docs.columns if c != out_col]
     place = keep.index(text_col)
 
-    # The transition array is fixed by the rules (some 8 MB), whatever the input.
+    # The transition array is fixed by the rules (some 2 MB), whatever the input.
     sent = docs.sparkSession.sparkContext.broadcast(automaton(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
