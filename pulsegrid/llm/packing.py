@@ -2,8 +2,10 @@
 
 Each task packs the documents of its partition online.  A document's full windows stand alone; its
 rest goes to the fill level that makes the sum of squared counts of partly filled windows least,
-read from an array of counts by level.  At the end of the partition the open windows are topped up
-with cuts of the emptiest ones, and the last one is cut into powers of two, which need no padding.
+read from an array of counts by level.  At most ``OPEN`` windows are open: where one more would be
+opened, the piece is cut instead, into the level of which most windows are open among those that it
+fills.  At the end of the partition the few open windows are topped up with cuts of the emptiest
+ones, and the last one is cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import types as T
 from pulsegrid.llm.common import row_slices
 from pulsegrid.llm.tokens import byte_encoder
 
-WINDOW = 1024
+#: Ids in a window; windows that a task holds open.
+WINDOW, OPEN = 1024, 64
 #: Sequences that one partition can number.
 _PER_PARTITION = 1 << 36
 
@@ -29,8 +32,8 @@ _PER_PARTITION = 1 << 36
 class Packer:
     """Sum-of-squares online packing.  A piece is (key, start, ids as bytes); ``closed`` gets (sequence, pieces)."""
 
-    def __init__(self, window: int = WINDOW) -> None:
-        self.window = window
+    def __init__(self, window: int = WINDOW, most_open: int = OPEN) -> None:
+        self.window, self.most_open, self.open = window, most_open, 0
         self.count = np.zeros(window + 1, dtype=np.int64)  # of open windows by fill level
         self._open: list[list[list]] = [[] for _ in range(window)]
         self.closed: list[list] = []
@@ -44,7 +47,17 @@ class Packer:
             change[-1] = 1 - 2 * had[-1]
         change[had == 0] = np.iinfo(np.int64).max
         best = room - int(np.argmin(change[::-1])) if room else 0
-        return best if room and change[best - 1] <= 2 * self.count[size] + 1 else 0
+        found = bool(room and self.count[best])
+        if self.open >= self.most_open:  # a new window is no choice
+            return best if found else 0
+        return best if found and change[best - 1] <= 2 * self.count[size] + 1 else 0
+
+    def level_to_fill(self, size: int) -> int:
+        """The level of most open windows of those that a piece larger than their room fills; 0 if there is none."""
+        low = self.window - size + 1
+        counts = self.count[low : self.window]
+        best = self.window - 1 - int(np.argmax(counts[::-1])) if len(counts) else 0
+        return best if best and self.count[best] else 0
 
     def add(self, key: object, ids: bytes) -> None:
         total, at = len(ids) // 4, 0
@@ -57,20 +70,31 @@ class Packer:
     def _place(self, piece: tuple) -> None:
         size = len(piece[2]) // 4
         level = self.level_for(size)
+        if not level and self.open >= self.most_open and (level := self.level_to_fill(size)):
+            key, start, ids = piece
+            room = self.window - level
+            self._put((key, start, ids[: 4 * room]), room, level)
+            self._place((key, start + room, ids[4 * room :]))
+            return
+        self._put(piece, size, level)
+
+    def _put(self, piece: tuple, size: int, level: int) -> None:
         window = self._open[level].pop() if level else []
         window.append(piece)
         if level:
             self.count[level] -= 1
+            self.open -= 1
         if level + size == self.window:
             self.closed.append(window)
         else:
             self.count[level + size] += 1
             self._open[level + size].append(window)
+            self.open += 1
 
     def finish(self) -> None:
         """Close what is open, with at most one window that isn't full or a power of two: none."""
         stock = [p for level in range(self.window - 1, 0, -1) for w in self._open[level] for p in w]
-        self._open, self.count[:] = [[] for _ in range(self.window)], 0
+        self._open, self.count[:], self.open = [[] for _ in range(self.window)], 0, 0
         row: list = []
         room = self.window
         for key, start, ids in stock:

@@ -8,12 +8,16 @@ white space is encoded whole.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+import json
+from collections.abc import Callable
+from functools import cached_property, lru_cache
 
 import numpy as np
 
-#: Chunks that a process keeps; later ones are encoded each time.
-CHUNKS = 300_000
+#: Bytes of chunks, about, that a process keeps in each of two generations.
+HELD = 12 << 20
+#: Bytes of a kept entry besides those of its texts.
+_ENTRY = 200
 
 
 def u32(ids: list[int]) -> bytes:
@@ -21,6 +25,28 @@ def u32(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
+class Kept(dict):
+    """``make(key)`` of the keys that were met lately: two generations of about ``most`` bytes.
+
+    When the younger one is full it becomes the older one, whose entries go unless they are met again.
+    """
+
+    def __init__(self, make: Callable, most: int = HELD) -> None:
+        super().__init__()
+        self._make, self._most, self._held, self._older = make, most, 0, {}
+
+    def __missing__(self, key: str):  # noqa: ANN204  whatever make returns
+        got = self._older.get(key)
+        if got is None:
+            got = self._make(key)
+        if self._held > self._most:
+            self._older, self._held = dict(self), 0
+            self.clear()
+        self._held += _ENTRY + 2 * len(key)
+        self[key] = got
+        return got
+
+
 class _Mixed(Exception):
     """White space beside a space."""
 
@@ -30,27 +56,29 @@ class ByteEncoder:
 
     def __init__(self, tokenizer_file: str, ranks_file: str, pattern: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._whole = Tokenizer.from_file(tokenizer_file)
-        self._whole.no_truncation()
-        self._whole.no_padding()
+        self._file = tokenizer_file
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
-        encoder = self
+        with open(tokenizer_file, encoding="utf-8") as f:
+            self._special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self._chunks = Kept(self._chunk)
+
+    @cached_property
+    def _whole(self):  # noqa: ANN202  a tokenizers.Tokenizer
+        """The library's own tokenizer: few texts need it, so it is loaded by the first that does."""
+        from tokenizers import Tokenizer
 
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                if not chunk or chunk[0].isspace():
-                    raise _Mixed
-                got = encoder.exact(" " + chunk)
-                if len(self) < CHUNKS:
-                    self[chunk] = got
-                return got
+        found = Tokenizer.from_file(self._file)
+        found.no_truncation()
+        found.no_padding()
+        return found
 
-        self._chunks = Chunks()
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace():
+            raise _Mixed
+        return self.exact(" " + chunk)
 
     def exact(self, text: str) -> bytes:
         # Both libraries class the letters of Latin scripts alike; beyond them only the one counts.
@@ -68,7 +96,7 @@ class ByteEncoder:
             return self.exact(text)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def byte_encoder(tokenizer_file: str, ranks_file: str, pattern: str) -> ByteEncoder:
     """Once in each Python process: the next task goes on with the same chunks."""
     return ByteEncoder(tokenizer_file, ranks_file, pattern)

@@ -60,7 +60,7 @@ def test_packing_query(spark):
 
 
 def test_level_is_the_least_sum_of_squares():
-    packer, rnd = packing.Packer(64), random.Random(4)
+    packer, rnd = packing.Packer(64, most_open=1 << 30), random.Random(4)
     for k in range(3000):
         size = rnd.randint(1, 63)
         count = packer.count.copy()
@@ -79,6 +79,22 @@ def test_level_is_the_least_sum_of_squares():
     assert sum(f != 64 for f in fill) <= 6 and all(f & (f - 1) == 0 for f in fill)
 
 
+@pytest.mark.parametrize("sizes", [[600] * 3000, [1, 1023] * 700, list(range(1, 3000, 7)), [5]])
+def test_open_windows_are_bounded(sizes):
+    packer = packing.Packer(1024, most_open=16)
+    for k, n in enumerate(sizes):
+        packer.add(k, u32(range(n)))
+        assert packer.open == packer.count[1:1024].sum() <= 16
+    online = len(packer.closed)
+    packer.finish()
+    fill = [sum(len(p[2]) // 4 for p in w) for w in packer.closed]
+    assert sum(f != 1024 for f in fill) <= 10 and all(f & (f - 1) == 0 for f in fill)
+    assert len(packer.closed) - online <= 16 + 10
+    held = sorted((k, start, ids) for w in packer.closed for k, start, ids in w)
+    for k, n in enumerate(sizes):
+        assert b"".join(ids for own, _, ids in held if own == k) == u32(range(n)) if k < 40 else True
+
+
 @pytest.fixture(scope="module")
 def word():
     return bpe.Bpe(WORD), Tokenizer.from_file(WORD)
