@@ -36,8 +36,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    return urlfilter.judge(pages, urlfilter.listing(pages))
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.listing(spark))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
