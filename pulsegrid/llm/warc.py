@@ -2,14 +2,17 @@
 
 ARC volumes start with a version block that names the fields of the header lines to come; version 1
 and 2 differ in them.  Lines and declared lengths are parsed, and equivalent WARC records are made:
-identifiers from address and date, timestamps from the 14 digits, types, and digests of the payload.
-Records with the payload of an earlier one become revisits.
+identifiers from the record's place in its volume, timestamps from the 14 digits, types, and digests of
+the payload.  Records with the payload of an earlier one become revisits.  Volumes of both kinds are
+files in the shared folder, every record a gzip member of its own; blocks are bytes, in no charset.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +32,16 @@ ARC_FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 _END = b"\r\n\r\n"
+#: zlib's level: volumes are read back at once.
+LEVEL = 2
+
+
+def _member(data: bytes) -> bytes:
+    return zlib.compress(data, LEVEL, 31)
+
+
+#: A gzip member of no bytes: what follows a volume's records, so that Spark's line separator belongs to the format.
+_NOTHING = _member(b"")
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -57,8 +70,7 @@ def parse_arc(content: bytes) -> Iterator[dict]:
     A record cut off by the end of the volume has what is there, and ``short``; a header line that is
     cut off is no record.
     """
-    if content[:2] == b"\x1f\x8b":
-        content = _inflated(content)
+    content = _inflated(content)
     names, at = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"], 0
     while at < len(content):
         if content[at : at + 1] in b"\r\n":
@@ -79,12 +91,26 @@ def parse_arc(content: bytes) -> Iterator[dict]:
 
 
 def _inflated(content: bytes) -> bytes:
-    out = []
-    while content:
-        part = zlib.decompressobj(31)
-        out.append(part.decompress(content))
-        content = part.unused_data
-    return b"".join(out)
+    """All members of a gzip file, one after the other; other bytes as they are."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as f:
+        return f.read()
+
+
+def write_volumes(volumes: DataFrame, path: str) -> None:
+    """A file under ``path`` of each row's ``content``, gzip members, and an empty member.
+
+    Spark's text writer copies the bytes of a string as they are, whatever they mean in UTF-8.
+    """
+    rows = volumes.select(F.col("content").cast("string").alias("value"))
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", _NOTHING.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
+
+
+def read_volumes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content) of the files under ``path``."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return spark.read.format("binaryFile").load(path).select(name.alias("name"), "content")
 
 
 def _head_and_payload(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -96,7 +122,8 @@ def _head_and_payload(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
 def arc_volumes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", volume: int = VOLUME) -> DataFrame:
     """(name, content): ARC volumes of the pages, versions 1 and 2 in turn; a null html is empty, a null url ``-``.
 
-    The page's id goes into the stored HTTP head.  Rows are taken as they lie: nothing is shuffled.
+    Content is compressed, a gzip member for each record.  The page's id goes into the stored HTTP head.
+    Rows are taken as they lie: nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,36 +139,41 @@ def arc_volumes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             for key, url, html in zip(*batch.columns, strict=True):
                 if not held:
                     version, name = 1 + number % 2, f"part-{part:06}-{number:06}.arc"
-                    held.append(arc_head(version, name))
-                    size = len(held[0])
+                    first = arc_head(version, name)
+                    held.append(_member(first))
+                    size = len(first)
                 payload, page = html.as_py() or b"", key.as_py()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n" + (f"X-Page-Id: {page}\r\n" if page is not None else "") + "\r\n"
                 seconds = (page or 0) % 86400
                 date = f"20260101{seconds // 3600:02}{seconds // 60 % 60:02}{seconds % 60:02}"
-                held.append(arc_record(version, name, size, url.as_py() or "-", date, head.encode() + payload))
-                size += len(held[-1])
+                record = arc_record(version, name, size, (url.as_py() or b"-").decode("utf-8", "replace"), date, head.encode() + payload)
+                held.append(_member(record))
+                size += len(record)
                 if size >= volume:
                     yield told()
         if held:
             yield told()
 
-    return pages.select(F.col(id_col).cast("long"), F.col(url_col), F.col(html_col).cast("binary")).mapInArrow(run, "name string, content binary")
+    return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("binary"), F.col(html_col).cast("binary")).mapInArrow(run, "name string, content binary")
 
 
-_RECORD = "url string, date string, page_id long, digest string, payload_bytes long, head binary, payload binary"
+_RECORD = "origin string, url string, date string, page_id long, digest string, payload_bytes long, head binary, payload binary"
 
 
 def arc_records(volumes: DataFrame) -> DataFrame:
-    """The parsed records of ARC volumes (name, content): url, 14-digit date, page_id, payload digest and size, HTTP head, payload."""
+    """The parsed records of ARC volumes (name, content): origin, url, 14-digit date, page_id, payload digest and size, HTTP head, payload.
+
+    ``origin`` is the volume's name and the record's place in it, which no other record has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for name, content in zip(*batch.columns, strict=True):
                 rows, size = [], 0
                 for r in parse_arc(content.as_py()):
                     fields, head, payload = _head_and_payload(r["block"])
                     page = fields.get("X-Page-Id")
-                    rows.append((r["URL"], r["Archive-date"], int(page) if page else None, sha1_base32(payload), len(payload), head, payload))
+                    rows.append((f"{name.as_py()}:{r['at']}", r["URL"], r["Archive-date"], int(page) if page else None, sha1_base32(payload), len(payload), head, payload))
                     size += len(payload)
                     if size >= 4 << 20:
                         yield _batch(rows)
@@ -149,69 +181,67 @@ def arc_records(volumes: DataFrame) -> DataFrame:
                 yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _RECORD.split(", ")])
 
-    return volumes.select("content").mapInArrow(run, _RECORD)
+    return volumes.select("name", "content").mapInArrow(run, _RECORD)
 
 
-def record_id(url: str, date: str, page: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {page}')}>"
+def record_id(origin: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, origin)}>"
 
 
 def warc_date(date: str) -> str:
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
-def write_warc(records: DataFrame, path: str, least_bytes: int = 0, volume: int = VOLUME) -> None:
-    """Write the records of ``arc_records`` as gzip-compressed WARC volumes under ``path``.
+def warc_volumes(records: DataFrame, least_bytes: int = 0, volume: int = VOLUME) -> DataFrame:
+    """(content): WARC volumes of the records of ``arc_records``, compressed, a gzip member for each record.
 
     Of equal payloads of ``least_bytes`` or more, the smallest page_id is the response and the others
-    are revisits of it; records without a page_id come last, and are all responses if no record of
-    that payload has one.  Only digests are shuffled: what comes back is one row per repeated digest,
-    broadcast after a count, or joined by a shuffle beyond ``BROADCAST_IDS`` rows.
+    are revisits of it; rows that repeat that page_id are responses too.  Records without a page_id come
+    last, and are all responses if no record of that payload has one.  Only digests are shuffled: what
+    comes back is one row per repeated digest, broadcast after a count, or joined by a shuffle beyond
+    ``BROADCAST_IDS`` rows.
     """
-    first = records.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("page_id", "url", "date"), "page_id").alias("first"))
-    repeated = write_table(first.where("n > 1 and first.page_id is not null").select("digest", "first"), "repeated")
+    order = F.struct(F.isnull("page_id").alias("none"), "page_id", "origin", "url", "date")
+    first = records.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    repeated = write_table(first.where("n > 1 and not first.none").select("digest", "first"), "repeated")
     few = repeated.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     marked = records.join(F.broadcast(repeated) if few else repeated, "digest", "left")
-    marked = marked.select("url", "date", "page_id", "digest", "payload_bytes", "head", "payload", *(F.col(f"first.{x}").alias(f"f_{x}") for x in ("page_id", "url", "date")))
+    marked = marked.select("origin", "url", "date", "page_id", "digest", "payload_bytes", "head", "payload", *(F.col(f"first.{x}").alias(f"f_{x}") for x in ("page_id", "origin", "url", "date")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def told() -> pa.RecordBatch:
             nonlocal size
-            text = b"".join(held)[: -len(_END)]  # the writer puts the last one
+            content, size = b"".join(held), 0
             held.clear()
-            size = 0
-            return pa.RecordBatch.from_arrays([pa.array([text.decode("utf-8", "replace")], pa.string())], names=["value"])
+            return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["content"])
 
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
-                url, date, page, digest, _, head, payload, f_page, f_url, f_date = (x.as_py() for x in row)
+                origin, url, date, page, digest, _, head, payload, f_page, f_origin, f_url, f_date = (x.as_py() for x in row)
                 revisit = f_page is not None and page != f_page
                 block = head if revisit else head + payload
-                lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(url, date, page)}", f"WARC-Date: {warc_date(date)}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", "Content-Type: application/http; msgtype=response"]
+                lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(origin)}", f"WARC-Date: {warc_date(date)}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", "Content-Type: application/http; msgtype=response"]
                 if revisit:
-                    lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(f_url, f_date, f_page)}", f"WARC-Refers-To-Target-URI: {f_url}", f"WARC-Refers-To-Date: {warc_date(f_date)}", f"X-Refers-To-Page-Id: {f_page}"]
-                held += ["\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode(), _END, block, _END]
+                    lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(f_origin)}", f"WARC-Refers-To-Target-URI: {f_url}", f"WARC-Refers-To-Date: {warc_date(f_date)}", f"X-Refers-To-Page-Id: {f_page}"]
+                held.append(_member(b"".join(["\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode(), _END, block, _END])))
                 size += len(block)
                 if size >= volume:
                     yield told()
         if held:
             yield told()
 
-    rows = marked.mapInArrow(run, "value string")
-    rows.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    return marked.mapInArrow(run, "content binary")
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(named fields, block) of each record, by declared length."""
-    if content[:2] == b"\x1f\x8b":
-        content = _inflated(content)
-    at = 0
+    content, at = _inflated(content), 0
     while at < len(content):
         end = content.index(_END, at)
         fields = dict(x.split(": ", 1) for x in content[at:end].decode("utf-8", "replace").split("\r\n")[1:])
@@ -241,18 +271,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in names.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, names)
+    return read_volumes(spark, path).select("content").mapInArrow(run, names)
 
 
 def convert_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Pages to ARC volumes, these to WARC volumes in the shared folder, and what is read back from them.
+    """Pages to ARC volumes in the shared folder, these to WARC volumes beside them, and what is read back from the latter.
 
     An empty table gives no rows; repeated rows give a record each.
     """
     spark = pages.sparkSession
-    path = scratch(spark, "warc")
-    write_warc(arc_records(arc_volumes(pages)), path, least_bytes)
-    return read_warc(spark, path)
+    arcs, warcs = scratch(spark, "arc"), scratch(spark, "warc")
+    write_volumes(arc_volumes(pages), arcs)
+    write_volumes(warc_volumes(arc_records(read_volumes(spark, arcs)), least_bytes), warcs)
+    return read_warc(spark, warcs)
 
 
 _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

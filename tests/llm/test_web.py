@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 
 import numpy as np
 import pytest
 from oracle import compare, views
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import langid, mtree, urlfilter, warc
 from pulsegrid.llm.queries import oracle_sql, queries
@@ -43,13 +45,30 @@ def test_url_edges(spark):
 
 def test_bloom_has_no_false_negatives(spark):
     hashes = spark.range(4000).selectExpr("xxhash64(id) as h")
-    bloom = urlfilter.build_filter(hashes, blocks=64)
+    bloom = urlfilter.build_filter(hashes, most_blocks=64)
     values = np.array([r.h for r in hashes.collect()])
     assert bloom.maybe(values).all()
     sparse = urlfilter.build_filter(hashes.limit(500))
     assert sparse.maybe(np.array([r.h for r in spark.range(10_000, 20_000).selectExpr("xxhash64(id) as h").collect()])).mean() < 0.05
 
 
+def test_hosts_cover_their_pages(spark):
+    pages = spark.createDataFrame([(1, "http://www.a.net/x/?utm_source=1"), (2, "http://m.b.bad.net/y?q=1"), (3, "http://bad.net.good.net/"), (4, "http://single/x"), (5, "http://p.net/q?z=1#f"), (6, "http://p.net/other")], "page_id long, url string")
+    listed = spark.createDataFrame([("a.net/x",), ("bad.net",), ("p.net/q",), ("never.net/seen",)], "canonical string")
+    rows = {r.page_id: (r.verdict, r.listed) for r in urlfilter.judge(pages, listed).collect()}
+    assert rows == {1: ("block", "a.net/x"), 2: ("block", "bad.net"), 3: ("allow", None), 4: ("allow", None), 5: ("block", "p.net/q"), 6: ("allow", None)}
+
+
+def test_false_positives_are_removed(spark):
+    """A filter that is far too small lets most pages through, with the same verdicts; repeated page ids are judged each."""
+    pages = spark.range(4000).select((F.col("id") % 7).alias("page_id"), F.concat(F.lit("http://h.net/"), F.col("id")).alias("url"))
+    listed = spark.range(0, 8000, 2).select(F.concat(F.lit("h.net/"), F.col("id")).alias("canonical"))
+    seen = urlfilter.filter_report(pages, listed, most_blocks=64).first()
+    assert seen.listed == 2000 and seen.passed > 3000
+    rows = urlfilter.judge(pages, listed, most_blocks=64).collect()
+    assert len(rows) == 4000 and all((r.verdict == "block") == (int(r.path[1:]) % 2 == 0) for r in rows)
+
+
 def test_arc_versions():
     for version in (1, 2):
         name = f"x{version}.arc"
@@ -73,6 +92,29 @@ def test_warc_edges(spark):
     assert warc.convert_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_bytes_in_any_charset(spark):
+    data = [(1, b"http://a/\xff", b"caf\xe9"), (2, b"http://b", bytes(range(256)) * 50), (3, b"http://c", b"caf\xe9")]
+    pages = spark.createDataFrame(data, "page_id long, url binary, html binary")
+    rows = {r.page_id: (r.payload_bytes, r.record_type, r.payload_digest) for r in warc.convert_pages(pages).collect()}
+    assert rows == {1: (4, "response", warc.sha1_base32(b"caf\xe9")), 2: (12800, "response", warc.sha1_base32(bytes(range(256)) * 50)), 3: (4, "revisit", warc.sha1_base32(b"caf\xe9"))}
+
+
+def test_every_record_is_a_member_with_its_own_id(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (2, "u", "same")], "page_id long, url string, html string").coalesce(1)
+    warc.write_volumes(warc.arc_volumes(pages), f"{tmp_path}/arc")
+    warc.write_volumes(warc.warc_volumes(warc.arc_records(warc.read_volumes(spark, f"{tmp_path}/arc"))), f"{tmp_path}/warc")
+    (content,) = [r.content for r in warc.read_volumes(spark, f"{tmp_path}/warc").collect()]
+    members = []
+    while content:
+        part = zlib.decompressobj(31)
+        members.append(part.decompress(content))
+        content = part.unused_data
+    assert [m[:8] for m in members] == [b"WARC/1.1"] * 3 + [b""]
+    ids = [next(warc.parse_warc(m))[0]["WARC-Record-ID"] for m in members[:3]]
+    assert len(set(ids)) == 3
+    assert next(warc.parse_warc(members[2]))[0]["WARC-Refers-To"] == ids[0]
+
+
 def test_small_payloads_can_stay_apart(spark):
     data = [(1, "a", "xx"), (2, "b", "xx"), (3, "c", "long enough"), (4, "d", "long enough")]
     rows = warc.convert_pages(spark.createDataFrame(data, "page_id long, url string, html string"), least_bytes=5).collect()
