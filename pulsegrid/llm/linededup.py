@@ -1,23 +1,25 @@
 """Line dedup with DataFrame functions only.
 
-Lines become 128-bit hashes.  Range partitions over (hash, document), sorted by document and
-position within, hold all occurrences of a line in one document together, however common the line
-is; from there each (hash, document) is one row with its positions.  Counts by hash are partial sums
-of those rows.  What goes back to the documents is a bitmap of the lines to keep, in words of 32
-bits: texts are never shuffled by line.
+Lines become 128-bit hashes.  Range partitions over (hash, document), sorted by document and position
+within, hold all occurrences of a line in one document together, however common the line is.  A pass in
+that order marks each document's first occurrence; counts and last documents by hash are partial sums
+of these rows, so a common line is met in many tasks.  What goes back to the documents is a bitmap of
+the lines to keep, in words of 32 bits: texts are never shuffled by line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import BROADCAST_IDS, spread, write_table
+from pulsegrid.llm.common import BROADCAST_IDS, drop_table, free_names, spread, write_table
 
 _SPACE = "\t\n\x0b\x0c\r "
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lines in a word of the bitmap.
 WORD = 32
+#: Words of bitmaps that are broadcast, some MB; beyond it bitmaps and documents are shuffled by id.
+BROADCAST_WORDS = 400_000
 
 
 def line_key(line: Column) -> Column:
@@ -51,54 +53,50 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashed = write_table(hashed, "hashes")
     # A partition boundary falls between documents, so a line of a third of all documents is spread out.
     ordered = hashed.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
-    # Both tables are written: a common line's rows lie spread out, to be met by a broadcast of few
-    # keys or by a join whose large partitions Spark can split.
-    held = write_table(ordered.groupBy("h1", "h2", "doc").agg(F.collect_list(F.struct("row_key", "pos")).alias("at")), "lines")
-    counted = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= least_docs)
+    # The window follows the order that is there: nothing is sorted or shuffled again.
+    first = F.row_number().over(Window.partitionBy("h1", "h2", "doc").orderBy("pos")) == 1
+    held = write_table(ordered.withColumn("first", first), "lines")
+    drop_table(hashed)
+    counted = held.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= least_docs)
+    # A common line's rows lie spread out, to be met by a broadcast of few keys or by a join whose large
+    # partitions Spark can split.
     common = write_table(counted.select("h1", "h2", "last"), "common")
     few = common.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     gone = held.join(F.broadcast(common) if few else common, ["h1", "h2"]).where(F.col("doc") < F.col("last"))
-    bits = gone.select("doc", F.inline("at")).select("doc", "row_key", F.floor(F.col("pos") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, pos % {WORD})").alias("bit"))
+    bits = gone.select("doc", "row_key", F.floor(F.col("pos") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, pos % {WORD})").alias("bit"))
     return bits.groupBy("doc", "row_key", "word").agg(F.bit_or("bit").alias("bits")).withColumnRenamed("doc", id_col)
 
 
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules: int) -> DataFrame:
-    """``docs`` with ``dropped_words``: null if all lines stay, else a sparse map from word number to dropped bits.
-
-    The map holds only the words in which a line goes.  Rows that repeat an id with another text have
-    maps of their own.
-    """
-    words = dropped_lines(docs, id_col, text_col, **rules)
-    maps = words.groupBy(id_col, "row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped_words"))
-    keyed = docs.drop("dropped_words", "row_key").withColumn("row_key", row_key(F.col(text_col)))
-    return keyed.join(maps, [id_col, "row_key"], "left").drop("row_key")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules: int) -> DataFrame:
-    """``docs`` with ``text_col`` rebuilt of its kept lines, and n_lines, n_dropped, keep_bitmap.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", told: bool = True, **rules: int) -> DataFrame:
+    """``docs`` with ``text_col`` rebuilt of its kept lines, and with ``told`` also n_lines, n_dropped, keep_bitmap.
 
     ``keep_bitmap``: the words of 32 lines in which a line goes, as ``word:hex`` joined by commas, the
     lowest line in the lowest bit, a set bit for a line that stays; every line of the other words
     stays, so it is empty if nothing goes.  A null or empty text is one empty line; a text that loses
-    all its lines becomes empty.  Rows with a null id keep every line.
+    all its lines becomes empty.  Rows with a null id keep every line, rows that repeat an id with
+    another text have bitmaps of their own.
+
+    Columns of ``docs`` stay, whatever their names; only with ``told`` do columns named n_lines,
+    n_dropped and keep_bitmap give way to those told.  Bitmaps of up to ``BROADCAST_WORDS`` words are
+    broadcast and no text moves; beyond that documents are shuffled by id, once.
     """
-    marked = keep_bitmaps(docs, id_col, text_col, **rules)
-    lines = lines_of(F.col(text_col))
-    cut = marked.withColumn("__lines", lines)
-    words = F.expr(f"transform(sequence(0, (size(__lines) - 1) div {WORD}), w -> coalesce(try_element_at(dropped_words, w), 0L))")
-    cut = cut.withColumn("__words", F.when(F.col("dropped_words").isNull(), F.lit(None)).otherwise(words))
-    kept = F.expr(f"filter(__lines, (x, i) -> __words is null or shiftright(__words[i div {WORD}], i % {WORD}) & 1 = 0)")
+    words = write_table(dropped_lines(docs, id_col, text_col, **rules), "bitmaps")
+    few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    id_, row, cut, lines, gone, kept = free_names(docs, "cut_id", "cut_row", "cut_words", "cut_lines", "cut_gone", "cut_kept")
+    entries = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
+    maps = words.groupBy(F.col(id_col).alias(id_), F.col("row_key").alias(row)).agg(entries.alias(cut))
+    met = (F.col(id_col) == F.col(id_)) & (row_key(F.col(text_col)) == F.col(row))
+    marked = docs.join(F.broadcast(maps) if few else maps, met, "left").drop(id_, row).withColumn(lines, lines_of(F.col(text_col)))
+    dense = F.expr(f"transform(sequence(0, (size({lines}) - 1) div {WORD}), w -> coalesce(try_element_at({cut}, w), 0L))")
+    marked = marked.withColumn(gone, F.when(F.col(cut).isNotNull(), dense))
+    marked = marked.withColumn(kept, F.expr(f"filter({lines}, (x, i) -> {gone} is null or shiftright({gone}[i div {WORD}], i % {WORD}) & 1 = 0)"))
     bitmap = F.expr(
-        f"""coalesce(array_join(transform(array_sort(map_entries(dropped_words)),
-        e -> concat(e.key, ':', lower(hex(~e.value & (shiftleft(1L, least({WORD}, size(__lines) - e.key * {WORD})) - 1))))), ','), '')"""
-    )
-    out = cut.withColumn("__kept", kept)
-    return out.select(
-        *[F.array_join("__kept", "\n").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "keep_bitmap", "dropped_words")],
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
-        bitmap.alias("keep_bitmap"),
+        f"""coalesce(array_join(transform(array_sort(map_entries({cut})),
+        e -> concat(e.key, ':', lower(hex(~e.value & (shiftleft(1L, least({WORD}, size({lines}) - e.key * {WORD})) - 1))))), ','), '')"""
     )
+    counts = [F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"), bitmap.alias("keep_bitmap")] if told else []
+    rest = [c for c in docs.columns if not told or c not in ("n_lines", "n_dropped", "keep_bitmap")]
+    return marked.select(*[F.array_join(kept, "\n").alias(c) if c == text_col else F.col(c) for c in rest], *counts)
 
 
 def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
