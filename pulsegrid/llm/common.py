@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a broadcast id list may have; beyond it the same rows go through a shuffle join.
@@ -16,9 +17,11 @@ _made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="pulsegrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,20 +53,40 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Remove the files of a table of ``write_table`` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if any(f"{base}/" in path for base in _made.values()):
+            _remove(df.sparkSession, path)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to differ from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions for a stage whose rows grow before the next shuffle."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", limit: int = BROADCAST_IDS) -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids``; rows of a null id stay.
+def drop_rows(docs: DataFrame, gone: DataFrame, key: Column, id_col: str = "doc_id", limit: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` without the rows whose id and ``key`` are both in ``gone`` (id, key); a null id is a value like any other.
 
-    The id list is counted first: up to ``limit`` rows it is broadcast and the texts stay where they
-    are, beyond that both sides are shuffled by id.
+    ``key`` tells rows of one id apart, so a row never goes for another of the same id.  The list is
+    written once and counted: up to ``limit`` rows it is broadcast and the texts stay where they are,
+    beyond that both sides are shuffled by id and key.
     """
-    ids = ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    few = ids.limit(limit + 1).count() <= limit
-    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti").select(*docs.columns)
+    id_, mark = free_names(docs, "gone_id", "gone_key")
+    listed = write_table(gone.select(F.col(id_col).alias(id_), F.col("key").alias(mark)).distinct(), "gone")
+    few = listed.limit(limit + 1).count() <= limit
+    met = F.col(id_col).eqNullSafe(F.col(id_)) & (key == F.col(mark))
+    return docs.join(F.broadcast(listed) if few else listed, met, "left_anti")
 
 
 def row_slices(batch, column: int, most: int = 4 << 20):  # noqa: ANN001, ANN201  Arrow record batches

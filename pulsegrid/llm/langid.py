@@ -22,7 +22,7 @@ from pulsegrid.llm.common import row_slices, write_table
 UNKNOWN = "und"
 #: Labelled documents per language that the trigram model is fitted on (expected number; picked by the hash of their ids).
 SAMPLE = 2_000
-#: Hash classes of trigrams; trigrams that a text counts as at most; pseudo-documents of a smoothed prior.
+#: Hash classes of trigrams; what a text's trigrams level off at; pseudo-documents of a smoothed prior.
 CLASSES, EVIDENCE, STRENGTH = 1 << 15, 100.0, 20.0
 #: Trigrams of a document that is a whole vote in its host's prior.
 VOTE = 30
@@ -143,8 +143,8 @@ def _scored(docs: DataFrame, model: TextModel, columns: list[Column], text_col:
     return picked.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", address_col: str = "source", model: TextModel | None = None) -> DataFrame:
-    """(id, lang, posterior, text_lang, declared, host, accepted) of every row.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", address_col: str = "source", model: TextModel | None = None, extra: Column | None = None) -> DataFrame:
+    """(id, lang, posterior, text_lang, declared, host, accepted) of every row, and ``extra`` as key.
 
     ``lang`` is the language of the largest posterior (ties go to the first code); ``und`` where it
     fits no better than chance, or where the text has no letters: null, empty, digits only.
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     model = model or fit_text(docs, id_col, text_col, declared_col)
     names, spark = [*model.languages, UNKNOWN], docs.sparkSession
     host = host_name(F.col(address_col))
-    columns = [F.col(id_col), language_code(F.col(declared_col)).alias("declared"), host.alias("host"), address_suffix(host).alias("suffix")]
+    columns = [F.col(id_col), language_code(F.col(declared_col)).alias("declared"), host.alias("host"), address_suffix(host).alias("suffix")] + ([] if extra is None else [extra.alias("key")])
     scored = write_table(_scored(docs, model, columns, text_col), "likelihoods")
     code = F.array(*(F.lit(x) for x in names))
     best = lambda xs: F.when(F.col("n") > 0, F.element_at(code, F.array_position(xs, F.array_max(xs)).cast("int"))).otherwise(UNKNOWN)
@@ -194,7 +194,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     fused = fused.join(F.broadcast(declares), F.coalesce("_label", F.lit("")) == F.col("d"), "left").drop("d")
     nothing = F.array(*(F.lit(0.0) for _ in names))
     declared = F.when(F.col("declared").isNull(), nothing).otherwise(F.coalesce("_told", nothing))
-    weight = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("n"), F.lit(1)))
+    # Trigrams of one text depend on one another: n of them are the evidence of n * EVIDENCE / (n + EVIDENCE).
+    weight = F.lit(EVIDENCE) / (F.col("n") + F.lit(EVIDENCE))
     prior = F.concat(F.transform(F.coalesce("prior", flat), lambda p: F.log(p * (1 - PRIOR_UNKNOWN))), F.array(F.lit(float(np.log(PRIOR_UNKNOWN)))))
     fused = fused.withColumn("_logs", F.zip_with(F.zip_with("ll", prior, lambda a, b: a * weight + b), declared, lambda a, b: a + b))
     fused = fused.withColumn("lang", best(F.col("_logs")))
@@ -202,7 +203,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     fused = fused.withColumn("posterior", F.when(F.col("n") > 0, F.round(1 / mass, 6)).otherwise(F.lit(0.0)))
     # Without a model no text fits better than chance: letters are all there is to judge by.
     accepted = (F.col("lang") != UNKNOWN) & (F.col("posterior") >= LEAST) if model.languages else F.col("n") > 0
-    return fused.select(id_col, "lang", "posterior", "text_lang", "declared", "host", accepted.alias("accepted"))
+    return fused.select(id_col, "lang", "posterior", "text_lang", "declared", "host", accepted.alias("accepted"), *([] if extra is None else ["key"]))
+
+
+def evidence_key(text_col: str = "text", declared_col: str = "lang", address_col: str = "source") -> Column:
+    """A hash of all that a row is judged by: rows of one id and key are judged alike."""
+    return F.xxhash64(*(x for c in (text_col, declared_col, address_col) for x in (F.isnull(c), F.col(c))))
 
 
 def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -7,6 +7,9 @@ distance 4 of both.  So a part's bits with the index of each codeword near a seg
 keys of which linked fingerprints share one.  Equal keys meet in a sorted partition and are verified;
 only different fingerprints take part, and of those within 4 bits of one another there are at most
 679,121, which bounds a bucket of copies.
+
+``similar_copies`` goes beyond 4 bits for a similarity of 0.8: four fingerprints of one text, the keys
+of each, and two fingerprints of 64 bits to verify a candidate by.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import row_slices, spread, write_table
+from pulsegrid.llm.common import drop_table, row_slices, spread, write_table
 
 #: Bits that linked fingerprints may differ in.
 MOST_BITS = 4
@@ -32,24 +35,51 @@ _GENERATOR = 0b101011100011
 #: Runs up to this length are compared pair by pair; longer ones by a search over what is unvisited.
 _PAIRWISE = 32
 _HASHES = 1 << 16
+#: Fingerprints of a text that two halves of a sketch are made of; of a half's 128 bits, those that texts of a
+#: similarity of 0.8 (cosine 0.89) are expected to differ in.
+SEEDS, SKETCH_BITS = 4, 20
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """The SimHash of a text's word shingles; 0 for a text without words."""
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """The hashes as another seed would have them; those of seed 0 as they are."""
+    if not seed:
+        return h
+    z = h + np.uint64(0x9E3779B97F4A7C15 * seed & (1 << 64) - 1)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def _set_bits(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits; in runs of 255, whose counts fit a byte."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    whole = len(h) // 255 * 255
+    runs = bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8)
+    return runs.sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
+
+
+def sketch(text: bytes, shingle: int, seeds: int) -> list[int]:
+    """The SimHashes of a text's word shingles under several seeds; 0 for a text without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * seeds
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     ends = np.cumsum(size) - 1
     starts = ends - size + 1
     wide = min(shingle, len(words)) - 1
-    digest, total, counts = xxhash.xxh64_intdigest, len(words) - wide, np.zeros(64, dtype=np.int64)
+    digest, total, counts = xxhash.xxh64_intdigest, len(words) - wide, np.zeros((seeds, 64), dtype=np.int64)
     first, last = starts[:total].tolist(), ends[wide:].tolist()
     for at in range(0, total, _HASHES):
         hashes = np.array([digest(joined[a:b], 42) for a, b in zip(first[at : at + _HASHES], last[at : at + _HASHES], strict=True)], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+        for seed in range(seeds):
+            counts[seed] += _set_bits(_mixed(hashes, seed))
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """The SimHash of a text's word shingles; 0 for a text without words."""
+    return sketch(text, shingle, 1)[0]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -116,33 +146,38 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, or of rows of several."""
+    bits = np.bitwise_count(x ^ y)
+    return bits if bits.ndim == 1 else bits.sum(axis=1)
+
+
 def _grown(run: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the linked fingerprints in one run, by search from the smallest on."""
-    left, parents, children = run, [], []
+    left, parents, children = run, [run[:0]], [run[:0]]
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             at = front.pop()
-            near = np.bitwise_count(left ^ at) <= most
+            near = _apart(left, at[None]) <= most if run.ndim == 2 else _apart(left, at) <= most
             if near.any():
                 got = left[near]
-                parents.append(np.full(len(got), at, dtype=np.uint64))
+                parents.append(np.repeat(at[None], len(got), axis=0))
                 children.append(got)
                 front += list(got)
                 left = left[~near]
-    none = np.empty(0, dtype=np.uint64)
-    return np.concatenate([none, *parents]), np.concatenate([none, *children])
+    return np.concatenate(parents), np.concatenate(children)
 
 
 def links_in(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of equal keys; both arrays are sorted by key, and runs are whole."""
+    """Links between fingerprints (or rows of them) of equal keys; both arrays are sorted by key, and runs are whole."""
     if not len(keys):
         return fps, fps
     bounds = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
     sizes = np.diff(bounds)
-    one, two = [], []
+    one, two = [fps[:0]], [fps[:0]]
     for i in np.nonzero(sizes > _PAIRWISE)[0]:
-        a, b = _grown(np.unique(fps[bounds[i] : bounds[i + 1]]), most)
+        a, b = _grown(np.unique(fps[bounds[i] : bounds[i + 1]], axis=0), most)
         one.append(a)
         two.append(b)
     small = np.repeat(sizes <= _PAIRWISE, sizes)
@@ -152,52 +187,70 @@ def links_in(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray,
         if not len(same):
             break
         a, b = f[same], f[same + step]
-        near = (np.bitwise_count(a ^ b) <= most) & (a != b)
+        differing = _apart(a, b)
+        near = (differing <= most) & (differing > 0)
         one.append(a[near])
         two.append(b[near])
-    none = np.empty(0, dtype=np.uint64)
-    a, b = np.concatenate([none, *one]), np.concatenate([none, *two])
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def near_links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """(a, b): enough links between the different fingerprints of ``fps`` to connect all that are linked.
-
-    Every pair within ``most`` bits is connected by these links; a run of many equal keys gives a
-    spanning forest instead of all its pairs.
+    a, b = (np.concatenate(x).reshape(-1, 1 if fps.ndim == 1 else fps.shape[1]) for x in (one, two))
+    turned = np.zeros(len(a), dtype=bool)
+    for c in reversed(range(a.shape[1])):
+        turned = np.where(a[:, c] == b[:, c], turned, a[:, c] > b[:, c])
+    a[turned], b[turned] = b[turned], a[turned]
+    pairs = np.unique(np.concatenate([a, b], axis=1), axis=0)
+    half = a.shape[1]
+    return (pairs[:, 0], pairs[:, 1]) if fps.ndim == 1 else (pairs[:, :half], pairs[:, half:])
+
+
+def sketch_links(sketches: DataFrame, most: int) -> DataFrame:
+    """(a0, …, b0, …): links between the different rows of ``sketches``, whose columns are fingerprints of one text each.
+
+    Candidates share a key of one of the fingerprints and differ in at most ``most`` bits of all.  Those
+    of one key are connected by the links told; a run of many equal keys gives a spanning forest instead
+    of all its pairs.
     """
-    if not 0 <= most <= MOST_BITS:
-        raise ValueError("five parts and two segments find up to 4 differing bits")
-    n = spread(fps.sparkSession)
+    n, wide = spread(sketches.sparkSession), len(sketches.columns)
+    words = [f"w{i}" for i in range(wide)]
+    ends = [f"{side}{i}" for side in "ab" for i in range(wide)]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False)
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
             for at in range(0, len(values), 20_000):
                 some = values[at : at + 20_000]
-                keys, rows = fuzzy_keys(some.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(some[rows])], names=["key", "fp"])
+                for w in range(wide):
+                    keys, rows = fuzzy_keys(some[:, w].astype(np.int64).view(np.uint64))
+                    # The ten families of a fingerprint take less than 29 bits.
+                    yield pa.RecordBatch.from_arrays([pa.array((keys | w << 29).astype(np.int32)), *(pa.array(c) for c in some[rows].T)], names=["key", *words])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.uint64)
+        keys, fps = np.empty(0, dtype=np.int32), np.empty((0, wide), dtype=np.uint64)
 
         def told(end: int) -> pa.RecordBatch:
             a, b = links_in(keys[:end], fps[:end], most)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for side in (a, b) for c in side.T], names=ends)
 
         for batch in batches:
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
+            fps = np.concatenate([fps, np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)])
             if len(keys) >= 100_000 and keys[0] != keys[-1]:
                 end = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
                 yield told(end)
                 keys, fps = keys[end:], fps[end:]
         yield told(len(keys))
 
-    rows = fps.select("fp").repartition(n).mapInArrow(keyed, "key int, fp long")
-    met = rows.repartition(n, "key").sortWithinPartitions("key", "fp")
-    return met.mapInArrow(verified, "a long, b long").distinct()
+    rows = sketches.toDF(*words).repartition(n).mapInArrow(keyed, "key int, " + ", ".join(f"{w} long" for w in words))
+    met = rows.repartition(n, "key").sortWithinPartitions("key", *words)
+    return met.mapInArrow(verified, ", ".join(f"{e} long" for e in ends)).distinct()
+
+
+def near_links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """(a, b): enough links between the different fingerprints of ``fps`` to connect all that are linked.
+
+    Every pair within ``most`` bits is connected by these links: up to 4 differing bits, a shared key is certain.
+    """
+    if not 0 <= most <= MOST_BITS:
+        raise ValueError("five parts and two segments find up to 4 differing bits")
+    return sketch_links(fps.select("fp"), most).toDF("a", "b")
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -206,7 +259,8 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     Each round takes the least label among neighbours, then the label's own label, so that long
     chains shrink by halves.  A round is written to the shared folder; rounds end when nothing changes.
     """
-    both = write_table(links.select("a", "b").unionAll(links.select("b", "a")), "links")
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = write_table(links.select(F.inline(F.array(F.struct("a", "b"), turned))), "links")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
     labels = write_table(labels, "labels")
     while True:
@@ -215,8 +269,10 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         ups = labels.select(F.col("node").alias("mid"), F.col("root").alias("up"))
         after = met.join(ups, "mid", "left").select("node", "old", F.least("mid", F.coalesce("up", "mid")).alias("root"))
         after = write_table(after, "labels")
+        drop_table(labels)
         labels = after.select("node", "root")
         if after.where("old <> root").isEmpty():
+            drop_table(both)
             return labels
 
 
@@ -238,3 +294,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_fp = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     out = marked.join(of_fp, "fp")
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def text_key(text_col: str = "text") -> Column:
+    """A hash that tells rows of one id apart by their texts."""
+    return F.xxhash64(F.isnull(text_col), text_col)
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = SKETCH_BITS) -> DataFrame:
+    """(id, key): the rows that go so that one document of each group of similar ones stays; key is ``text_key``.
+
+    A text's sketch is four fingerprints of its word shingles.  Two texts are linked where they share a
+    Golay key of one of them and differ in at most ``most`` of the 128 bits of either half: an estimate of
+    a similarity of 0.8 and more, whose recall README gives.  Groups are all that links connect; the
+    smallest id of each stays (a null one comes last, of equal ids the smallest key).  Rows that repeat an
+    id and its text stay or go together.  Texts without words are one group.
+    """
+    names = [f"s{i}" for i in range(SEEDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, 2):
+                made = np.array([sketch(t.as_py() or b"", shingle, SEEDS) for t in part.column(2)], dtype=np.uint64).reshape(-1, SEEDS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in made.T)], names=["id", "key", *names])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    read = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    marked = write_table(read.mapInArrow(run, f"id {kind}, key long, " + ", ".join(f"{s} long" for s in names)), "sketches")
+    nodes = write_table(marked.select(*names).distinct().withColumn("node", F.xxhash64(*names)), "nodes")
+    found = None
+    for half in (names[:2], names[2:]):
+        firsts = nodes.groupBy(*half).agg(F.min("node").alias("first"))
+        same = nodes.join(firsts, half).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        links = sketch_links(firsts.select(*half), most)
+        one = firsts.toDF("a0", "a1", "a")
+        two = firsts.toDF("b0", "b1", "b")
+        links = same.unionByName(links.join(one, ["a0", "a1"]).join(two, ["b0", "b1"]).select("a", "b"))
+        found = links if found is None else found.unionByName(links)
+    roots = components(found, nodes.select("node"))
+    grouped = marked.join(nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("group")), names).select("id", "key", "group")
+    order = F.struct(F.isnull("id").alias("none"), "id", "key")
+    stay = grouped.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.id").alias("keep"), F.col("first.key").alias("keep_key"))
+    gone = marked.join(stay, F.col("id").eqNullSafe(F.col("keep")) & (F.col("key") == F.col("keep_key")), "left_anti")
+    return gone.select(F.col("id").alias(id_col), "key")
