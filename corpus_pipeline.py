@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import langid, linededup, packing, secrets, simhash
-from pulsegrid.llm.common import drop_ids, write_table
+from pulsegrid.llm.common import drop_rows, drop_table, write_table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -20,20 +20,26 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those whose language isn't accepted: no letters, or no better than chance."""
-    found = langid.identify(docs)
-    return drop_ids(docs, found.where("not accepted").select("doc_id"))
+    """Documents without those whose language isn't accepted: no letters, or no better than chance.
+
+    Each row is judged by its own text, declared language and address, whatever other rows have its id.
+    """
+    key = langid.evidence_key()
+    found = langid.identify(docs, extra=key)
+    return drop_rows(docs, found.where("not accepted"), key)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that other documents keep; a null text becomes an empty one."""
-    return _measured(linededup.dedup_lines(docs).select(*docs.columns))
+    return _measured(linededup.dedup_lines(docs, told=False))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of linked fingerprints."""
-    groups = simhash.near_duplicates(docs)
-    return drop_ids(docs, groups.where("doc_id <> component_id").select("doc_id"))
+    """One document of each group of texts that are alike to 0.8 or more over shingles of five words: that of the smallest id.
+
+    Rows that repeat an id and its text are one document, and stay or go together.
+    """
+    return drop_rows(docs, simhash.similar_copies(docs), simhash.text_key())
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = last = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_table(last)  # none but tables of this program's own
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
