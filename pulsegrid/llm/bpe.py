@@ -18,7 +18,6 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import row_slices
+from pulsegrid.llm.common import row_slices, write_table
 from pulsegrid.llm.tokens import u32
 
-#: Words in the lexicon, chunks that a process keeps, and different chunks that a task counts at once.
-LEXICON, CHUNKS, COUNTED = 65_536, 250_000, 150_000
+#: Words in the lexicon at most; chunks that a process keeps in each of two generations; different chunks that a
+#: task counts at once; bytes of text that are encoded together.
+LEXICON, CHUNKS, COUNTED, TOGETHER = 65_536, 120_000, 150_000, 1 << 20
+#: Bytes of words that are merged together; longer ones are merged each.
+_WIDTHS = (8, 16, 32, 64)
+#: Classes of counts for each doubling, by which the lexicon's least count is found.
+_CLASSES = 64
 _BITS, _NONE = 20, 1 << 62
 _LOW = (1 << _BITS) - 1
 #: Characters that Python splits at, but the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
+#: The tokenizer's words in a lower-case ASCII text without white space.
+_ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def byte_letters() -> list[str]:
@@ -59,22 +65,32 @@ class Bpe:
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._letters = byte_letters()
+        letters = byte_letters()
+        self._inner = [self.vocab.get(x) for x in letters]  # the id of each byte within a word, and at its end
+        self._final = [self.vocab.get(x + self.suffix) for x in letters]
         self._merge: dict[tuple[int, int], int] = {}  # rank and, in the low bits, the merged id
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self._merge.setdefault((self.vocab[a], self.vocab[b]), rank << _BITS | self.vocab[a + b])
+        pairs = sorted((a << _BITS | b, v) for (a, b), v in self._merge.items())
+        self._pairs, self._ranks = (np.array([x[i] for x in pairs], dtype=np.int64) for i in (0, 1))
 
     def normal(self, text: str) -> str:
         """NFC and lower case, letter by letter: no final sigma."""
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
+    def words_of(self, chunk: str) -> list[str]:
+        """The words of a text without white space; ASCII has a shorter way to the same."""
+        if chunk.isascii():
+            low = chunk.lower()
+            return [low] if low.isalpha() else _ASCII.findall(low)
+        return self.words.findall(self.normal(chunk))
+
     def merge(self, word: str) -> list[int]:
         """The ids of one word: the pair of the lowest rank, leftmost first, until none is left."""
-        parts = [self._letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        parts[-1] += self.suffix
-        ids = [self.vocab[p] for p in parts if p in self.vocab]
+        data, inner = word.encode("utf-8", "surrogatepass"), self._inner
+        ids = [x for x in [inner[b] for b in data[:-1]] + [self._final[data[-1]]] if x is not None]
         if len(ids) > 256:
             return self._merge_long(ids)
         get = self._merge.get
@@ -89,6 +105,58 @@ class Bpe:
                 ranks[i] = get((ids[i], ids[i + 1]), _NONE)
         return ids
 
+    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and merged id of each pair; ``_NONE`` where there is none, or no right part (-1)."""
+        key = a.astype(np.int64) << _BITS | np.maximum(b, 0)
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where((b >= 0) & (self._pairs[at] == key), self._ranks[at], _NONE)
+
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers: ``merge`` for many words at once."""
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.array([len(d) for d in data], dtype=np.int64)
+        out: list[bytes] = [b""] * len(data)
+        whole = None not in self._inner and None not in self._final
+        for i in np.nonzero((size > _WIDTHS[-1]) | (not whole))[0].tolist():
+            out[i] = u32(self.merge(words[i]))
+        low = 0
+        for width in _WIDTHS if whole else ():
+            group = np.nonzero((size > low) & (size <= width))[0]
+            low = width
+            if len(group):
+                letters = np.frombuffer(b"".join(data[i].ljust(width, b"\0") for i in group.tolist()), dtype=np.uint8).reshape(-1, width)
+                self._merge_rows(letters, size[group], group, out)
+        return out
+
+    def _merge_rows(self, letters: np.ndarray, size: np.ndarray, place: np.ndarray, out: list[bytes]) -> None:
+        width, column = letters.shape[1], np.arange(letters.shape[1])
+        inner, final = np.array(self._inner, dtype=np.int32), np.array(self._final, dtype=np.int32)
+        ids = np.where(column < size[:, None] - 1, inner[letters], np.where(column == size[:, None] - 1, final[letters], -1)).astype(np.int32)
+        ranks = np.full(ids.shape, _NONE, dtype=np.int64)  # of each id with the next one
+        ranks[:, :-1] = self._rank_of(ids[:, :-1], ids[:, 1:])
+        while len(ids):
+            best = ranks.argmin(axis=1)  # the leftmost of equal ranks
+            value = ranks[np.arange(len(ids)), best]
+            done = value == _NONE
+            if done.any():
+                held = ids[done]
+                kept = held >= 0
+                flat, ends = held[kept].astype("<u4").tobytes(), np.cumsum(kept.sum(axis=1)).tolist()
+                for i, a, b in zip(place[done].tolist(), [0, *ends], ends, strict=False):
+                    out[i] = flat[4 * a : 4 * b]
+                ids, ranks, place, best, value = (x[~done] for x in (ids, ranks, place, best, value))
+                if not len(ids):
+                    return
+            row, spot = np.arange(len(ids)), best[:, None]
+            # The right part goes: what follows it moves one to the left.
+            ids = np.take_along_axis(ids, np.minimum(column + (column > spot), width - 1), axis=1)
+            ranks = np.take_along_axis(ranks, np.minimum(column + (column > spot), width - 1), axis=1)
+            ids[:, -1], ranks[:, -1] = -1, _NONE
+            ids[row, best] = value & _LOW
+            ranks[row, best] = self._rank_of(ids[row, best], np.where(best + 1 < width, ids[row, np.minimum(best + 1, width - 1)], -1))
+            left = np.nonzero(best > 0)[0]
+            ranks[left, best[left] - 1] = self._rank_of(ids[left, best[left] - 1], ids[left, best[left]])
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap, for words in which shifting lists would add up."""
         n, get = len(ids), self._merge.get
@@ -110,7 +178,7 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> str:
         """As the library does where a file names no decoder: the tokens, joined by spaces."""
-        return " ".join(self.names[i] for i in ids)
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 def compile_lexicon(words: dict[str, list[int]]) -> bytes:
@@ -164,7 +232,11 @@ def compile_lexicon(words: dict[str, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """A compiled lexicon, mapped from a file that goes when the mapping does."""
+    """A compiled lexicon, mapped from a file that goes when the mapping does.
+
+    The file is one of the process' own folder: every process makes it again from the broadcast, so
+    none is looked for on another machine.
+    """
 
     def __init__(self, block: bytes) -> None:
         f, path = tempfile.mkstemp(suffix=".lexicon")
@@ -176,66 +248,96 @@ class Lexicon:
             os.unlink(path)
         head = np.frombuffer(self._map, "<i4", 8)
         self._root, at, views = int(head[7]), 32, []
-        for n in head[:6]:
-            views.append(memoryview(self._map)[at : at + 4 * int(n)].cast("i"))
-            at += 4 * int(n)
-        self._first, self._target, self._skip, self._final, self._starts, self._ids = views
-        self._labels = at
-
-    def get(self, word: bytes) -> list[int] | None:
-        node, place, first, find, labels = self._root, 0, self._first, self._map.find, self._labels
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], labels + first[node], labels + first[node + 1]) - labels
-            if arc < 0:
-                return None
-            place += self._skip[arc]
-            node = self._target[arc]
-        return self._ids[self._starts[place] : self._starts[place + 1]].tolist() if self._final[node] else None
+        for n in head[:6].tolist():
+            views.append(np.frombuffer(self._map, "<i4", n, at))
+            at += 4 * n
+        first, self._target, self._skip, self._final, self._starts, self._ids = views
+        labels = np.frombuffer(self._map, np.uint8, int(head[6]), at)
+        # A node's arcs are in the order of their labels, so node and label together are sorted.
+        self._arcs = np.repeat(np.arange(len(first) - 1, dtype=np.int64), np.diff(first)) << 8 | labels
+
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word as little-endian unsigned 32-bit integers, null for a word that it lacks: one step of all words at a time."""
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        data, begin = np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(size) - size
+        node, place = np.full(len(words), self._root, dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        found, step = np.zeros(len(words), dtype=bool), 0
+        live = np.arange(len(words)) if len(self._arcs) else np.arange(0)
+        while len(live):
+            ended = size[live] == step
+            found[live[ended]] = self._final[node[live[ended]]] != 0
+            live = live[~ended]
+            key = node[live] << 8 | data[begin[live] + step]
+            arc = np.minimum(np.searchsorted(self._arcs, key), len(self._arcs) - 1)
+            there = self._arcs[arc] == key
+            live, arc = live[there], arc[there]
+            place[live] += self._skip[arc]
+            node[live] = self._target[arc]
+            step += 1
+        out: list[bytes | None] = [None] * len(words)
+        hit = np.nonzero(found)[0]
+        for i, a, b in zip(hit.tolist(), self._starts[place[hit]].tolist(), self._starts[place[hit] + 1].tolist(), strict=True):
+            out[i] = self._ids[a:b].tobytes()
+        return out
 
 
 class Encoder:
-    """Ids and decoded text of whole texts; keeps what it made of the first ``CHUNKS`` chunks between white space, and of as many words."""
+    """Ids and decoded text of whole texts; keeps the ids of the chunks between white space that it met lately."""
 
     def __init__(self, bpe: Bpe, lexicon: bytes) -> None:
         self._bpe, self._lexicon = bpe, Lexicon(lexicon)
-        encoder = self
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> tuple[bytes, str]:
-                ids = encoder.fresh(encoder._bpe.normal(chunk))
-                got = (pack(f"<{len(ids)}I", *ids), encoder._bpe.decode(ids))
-                if len(self) < CHUNKS:
-                    self[chunk] = got
-                return got
-
-        class Words(dict):
-            def __missing__(self, word: str) -> list[int]:
-                ids = encoder._lexicon.get(word.encode("utf-8", "surrogatepass"))
+        self._chunks: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _of_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of different words: those of the lexicon, and merges for the others."""
+        found = dict(zip(words, self._lexicon.get_all([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
+        unseen = [w for w, ids in found.items() if ids is None]
+        found.update(zip(unseen, self._bpe.merge_all(unseen), strict=True))
+        return found
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self._chunks) > CHUNKS:
+            self._older, self._chunks = self._chunks, {}
+        kept, older = self._chunks, self._older
+        fresh = []
+        for c in chunks:
+            if c not in kept:
+                ids = older.get(c)
                 if ids is None:
-                    ids = encoder._bpe.merge(word)
-                if len(self) < CHUNKS:
-                    self[word] = ids
-                return ids
-
-        self._chunks, self._words = Chunks(), Words()
-
-    def fresh(self, normal: str) -> list[int]:
-        return list(chain.from_iterable(map(self._words.__getitem__, self._bpe.words.findall(normal))))
-
-    def __call__(self, text: str) -> tuple[bytes, str]:
-        bpe, ids, told = self._bpe, [], []
+                    fresh.append(c)
+                else:
+                    kept[c] = ids
+        split = [self._bpe.words_of(c) for c in fresh]
+        ids = self._of_words(list(dict.fromkeys(chain.from_iterable(split))))
+        for c, words in zip(fresh, split, strict=True):
+            kept[c] = ids[words[0]] if len(words) == 1 else b"".join(map(ids.__getitem__, words))
+
+    def _parts(self, text: str) -> list[list[str] | bytes]:
+        """Chunks, and ids where a part has no chunks: a special token, or white space that only the tokenizer doesn't split at."""
+        bpe, out = self._bpe, []
         for part in bpe.split.split(text) if bpe.split and any(s in text for s in bpe.special) else [text]:
             if part in bpe.special:
-                ids.append(u32([bpe.special[part]]))
-                told.append(part)
+                out.append(u32([bpe.special[part]]))
             elif _ODD.search(part):
-                own = self.fresh(bpe.normal(bpe.spaces.sub(" ", part)))
-                ids.append(u32(own))
-                told.append(bpe.decode(own))
-            elif found := [self._chunks[c] for c in part.split()]:
-                ids += [x for x, _ in found]
-                told += [x for _, x in found]
-        return b"".join(ids), " ".join(x for x in told if x)
+                words = bpe.words.findall(bpe.normal(bpe.spaces.sub(" ", part)))
+                ids = self._of_words(list(dict.fromkeys(words)))
+                out.append(b"".join(map(ids.__getitem__, words)))
+            else:
+                out.append(part.split())
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        split = [self._parts(t) for t in texts]
+        self._learn(set(chain.from_iterable(p for parts in split for p in parts if isinstance(p, list))))
+        kept, out = self._chunks.__getitem__, []
+        for parts in split:
+            ids = b"".join(p if isinstance(p, bytes) else b"".join(map(kept, p)) for p in parts)
+            out.append((ids, self._bpe.decode(np.frombuffer(ids, "<u4").tolist())))
+        return out
+
+    def __call__(self, text: str) -> tuple[bytes, str]:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -250,21 +352,17 @@ def _encoder(tokenizer_file: str, lexicon: bytes) -> Encoder:
     return Encoder(_bpe(tokenizer_file), lexicon)
 
 
-def frequent_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text", most: int = LEXICON) -> DataFrame:
-    """(word, n): the corpus' most frequent words; ties go to the smaller word.
-
-    All words of all documents are counted.  A task adds up ``COUNTED`` different chunks before it
-    sends words on; ``most`` only decides which words the lexicon holds, not any id.
-    """
+def count_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text") -> DataFrame:
+    """(word, n): how often all documents have each word.  A task adds up ``COUNTED`` different chunks before it sends words on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, held = _bpe(tokenizer_file), Counter()
+        words_of, held = _bpe(tokenizer_file).words_of, Counter()
 
         def told() -> pa.RecordBatch:
-            words: Counter = Counter()
+            words: dict[str, int] = {}
             for chunk, n in held.items():
-                for word in bpe.words.findall(bpe.normal(chunk)):
-                    words[word] += n
+                for word in words_of(chunk):
+                    words[word] = words.get(word, 0) + n
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
@@ -276,14 +374,31 @@ def frequent_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
         yield told()
 
     counted = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text", most: int = LEXICON) -> DataFrame:
+    """(word, n): the corpus' most frequent words, ``most`` at most: all from some count on, so no two of equal counts are told apart.
+
+    Which words are in the lexicon decides no id.  The driver gets one number for each class of counts,
+    64 for each doubling.
+    """
+    class_ = F.floor(F.log2("n") * _CLASSES).cast("int")
+    counted = write_table(count_words(docs, tokenizer_file, text_col).where("word <> ''"), "words")
+    left, least = most, 0
+    for r in sorted(counted.groupBy(class_.alias("c")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        left -= r.words
+        if left < 0:
+            least = r.c + 1
+            break
+    return counted.where(class_ >= least)
 
 
 def lexicon_for(docs: DataFrame, tokenizer_file: str, text_col: str = "text", most: int = LEXICON) -> bytes:
     """The compiled lexicon of ``frequent_words``, a few MB at most: ``most`` bounds it."""
     bpe = Bpe(tokenizer_file)
-    words = [r.word for r in frequent_words(docs, tokenizer_file, text_col, most).collect() if r.word and len(r.word) <= 64]
-    return compile_lexicon({w: bpe.merge(w) for w in words})
+    found = frequent_words(docs, tokenizer_file, text_col, most).toArrow().column("word").to_pylist()
+    return compile_lexicon({w: bpe.merge(w) for w in found})
 
 
 def encode_texts(docs: DataFrame, tokenizer_file: str, text_col: str = "text", most: int = LEXICON) -> DataFrame:
@@ -298,10 +413,10 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, text_col: str = "text", m
     sent = docs.sparkSession.sparkContext.broadcast(lexicon_for(docs, tokenizer_file, text_col, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_file, sent.value)
+        encode = _encoder(tokenizer_file, sent.value).encode_all
         for batch in batches:
-            for part in row_slices(batch, place):
-                done = [encode((t.as_py() or b"").decode("utf-8", "replace")) for t in part.column(place).cast(pa.binary())]
+            for part in row_slices(batch, place, TOGETHER):
+                done = encode([(t.as_py() or b"").decode("utf-8", "replace") for t in part.column(place).cast(pa.binary())])
                 columns = [*part.columns, pa.array([x for x, _ in done], pa.binary()), pa.array([x for _, x in done], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "ids", "decoded"])
 
