@@ -28,7 +28,7 @@ _SOME_WORDS = re.compile(r"\s*(?:\S+\s*){1,%d}|\s+" % WORDS)
 _LEAST = -(1 << 63)
 
 
-def _digest(data: bytes, size: int = 8) -> bytes:
+def _digest(data: bytes, size: int = 16) -> bytes:
     return hashlib.blake2b(data, digest_size=size).digest()
 
 
@@ -52,8 +52,8 @@ class Tree:
         return sum(len(x) for _, x in self.sections)
 
     def told(self) -> str:
-        """``root:section;section``: 32 hex digits, then per section 16 of its own and 8 of each leaf."""
-        return f"{self.root.hex()}:" + ";".join(h.hex() + "".join(x[:4].hex() for x in leaves) for h, leaves in self.sections)
+        """``root:section;section``: 32 hex digits, then per section the first 16 of its own and 8 of each leaf."""
+        return f"{self.root.hex()}:" + ";".join(h[:8].hex() + "".join(x[:4].hex() for x in leaves) for h, leaves in self.sections)
 
 
 def tree(text: str) -> Tree:
@@ -146,39 +146,53 @@ def edited(text: str, following: str) -> str:
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per document.
 
-    A document's next one is that of the next larger id (integers; equal ids in the order of their
-    texts, null ids first), the last one's is the first; a sole document follows itself.  A null text
-    is empty.  Two empty texts are alike (1); an empty and another one are not (0).
+    A document's next one is that of the next larger id (integers; equal ids in the order of a hash of
+    their texts, null ids first), the last one's is the first; a sole document follows itself.  A null
+    text is empty.  Two empty texts are alike (1); an empty and another one are not (0).  Other columns
+    are left.
 
-    Ids are cut into ranges by their quantiles; each range also gets a copy of the next range's first
-    document, so that texts are shuffled once and no task needs another's rows.
+    Ids are cut into ranges by their quantiles, and an id that several quantiles fall on is cut by the
+    hash of the text; a range is a partition.  Each also gets a copy of the next range's first document,
+    so that texts are shuffled once and no task needs another's rows.
     """
     n, context = spread(docs.sparkSession), docs.sparkSession.sparkContext
     base = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("long").alias("raw"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    base = base.withColumn("place", F.coalesce("raw", F.lit(_LEAST)))
-    at = [i / (4 * n) for i in range(1, 4 * n)]
-    found = base.agg(F.percentile_approx("place", at, 10_000).alias("x")).first().x or []
-    cuts = context.broadcast(np.unique(np.array(found, dtype=np.int64)))  # four for each partition, as the ranges
+    base = base.withColumns({"place": F.coalesce("raw", F.lit(_LEAST)), "mix": F.xxhash64("text")})
+    at = [i / n for i in range(1, n)] or [0.5]
+    found = base.agg(F.percentile_approx("place", at, max(10_000, 40 * n)).alias("x")).first().x or []
+    # (cut, ranges begun at or before it, parts that rows of just this id have)
+    cuts, begun = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+    bounds = context.broadcast((cuts, np.concatenate([[0], np.cumsum(begun)]), begun))
 
     # Ranges are found by bisection: an expression over all cuts would cost each row as many steps.
     @F.pandas_udf("int")
-    def range_of(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts.value, place.to_numpy(), side="right").astype(np.int32))
-
-    ranged = base.withColumn("range", range_of("place"))
-    told = sorted((r.range, r.first) for r in ranged.groupBy("range").agg(F.min("place").alias("first")).collect())
-    firsts = context.broadcast((np.array([r for r, _ in told], dtype=np.int64), np.array([p for _, p in told], dtype=np.int64)))
+    def range_of(place: pd.Series, mix: pd.Series) -> pd.Series:
+        cuts, upto, parts = bounds.value
+        where = place.to_numpy()
+        at = np.searchsorted(cuts, where, side="right")
+        out = upto[at]
+        if len(cuts):
+            hot = np.maximum(at - 1, 0)
+            on = (at > 0) & (cuts[hot] == where) & (parts[hot] > 1)
+            share = (mix.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+            out = np.where(on, upto[hot] + 1 + np.minimum((share * parts[hot]).astype(np.int64), parts[hot] - 1), out)
+        return pd.Series(out.astype(np.int32))
+
+    ranged = base.withColumn("range", range_of("place", "mix"))
+    order = F.struct("place", "mix")
+    told = sorted((r.range, r.first.place, r.first.mix) for r in ranged.groupBy("range").agg(F.min(order).alias("first")).collect())
+    firsts = context.broadcast(tuple(np.array([t[i] for t in told], dtype=np.int64) for i in range(3)))
 
     @F.pandas_udf("int")
-    def copied_to(place: pd.Series, own: pd.Series) -> pd.Series:
+    def copied_to(place: pd.Series, mix: pd.Series, own: pd.Series) -> pd.Series:
         """The range before, for documents that are the first of theirs, else -1."""
-        order, first = firsts.value
+        order, first, mixed = firsts.value
         at = np.searchsorted(order, own.to_numpy())
-        return pd.Series(np.where(first[at] == place.to_numpy(), order[at - 1], -1).astype(np.int32))
+        return pd.Series(np.where((first[at] == place.to_numpy()) & (mixed[at] == mix.to_numpy()), order[at - 1], -1).astype(np.int32))
 
-    copies = F.nullif(copied_to("place", "range"), F.lit(-1))
-    rows = ranged.select("id", "text", "place", F.explode(F.array_compact(F.array(F.struct("range", F.lit(0).alias("copy")), F.when(copies.isNotNull(), F.struct(copies.alias("range"), F.lit(1).alias("copy")))))).alias("to"))
-    met = rows.select("id", "text", "place", "to.range", "to.copy").repartition(n, "range").sortWithinPartitions("range", "copy", "place", "text")
+    copies = F.nullif(copied_to("place", "mix", "range"), F.lit(-1))
+    rows = ranged.select("id", "text", "place", "mix", F.explode(F.array_compact(F.array(F.struct("range", F.lit(0).alias("copy")), F.when(copies.isNotNull(), F.struct(copies.alias("range"), F.lit(1).alias("copy")))))).alias("to"))
+    met = rows.select("id", "text", "place", "mix", "to.range", "to.copy").repartitionById(n, F.col("range")).sortWithinPartitions("range", "copy", "place", "mix", "text")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import hashlib
+import random
+import re
+
 import brute
 import numpy as np
 from oracle import compare, views
@@ -96,7 +100,7 @@ def test_line_dedup_query(spark):
 
 
 def check_merkle(rows, docs):
-    order = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    order = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0))
     for i, (d, t) in enumerate(order):
         t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
         new = merkle.edited(t, nxt)
@@ -117,6 +121,39 @@ def test_merkle_edges(spark, edge_docs, edge_rows, no_docs):
     assert sole.near_next == 1.0
 
 
+def plain_root(text):
+    """The root by the book: 128-bit BLAKE2b of sections of paragraphs of leaves."""
+    h = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+    sections, nodes = [], []
+    for paragraph in text.split("\n"):
+        sentences = re.findall(r"[^.!?]+[.!?]*\s*|[.!?]+\s*", paragraph)
+        leaves = [y for x in sentences for y in ([x] if len(x) <= 64 else re.findall(r"\s*(?:\S+\s*){1,6}|\s+", x))]
+        assert "".join(leaves) == paragraph
+        nodes.append(h(b"p" + b"".join(h(x.encode()) for x in leaves)))
+        if not leaves or nodes[-1][0] % 4 == 0:
+            sections.append(h(b"s" + b"".join(nodes)))
+            nodes = []
+    if nodes:
+        sections.append(h(b"s" + b"".join(nodes)))
+    return h(b"r" + b"".join(sections)).hex()
+
+
+def test_merkle_root_by_the_book():
+    rnd = random.Random(8)
+    for _ in range(200):
+        text = "\n".join(" ".join(rnd.choices(["word", "é", "end.", "why?", "!", "a" * 70], k=rnd.randint(0, 30))) for _ in range(rnd.randint(1, 6)))
+        assert merkle.tree(text).told().split(":")[0] == plain_root(text)
+
+
+def test_merkle_of_ids_that_many_rows_share(spark):
+    """A third of all rows has one id, another third none: the order goes on by the hash of the text, over many partitions."""
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text number {i} of some words") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = [tuple(r) for r in docs.orderBy(F.col("doc_id").asc_nulls_first(), F.expr("xxhash64(cast(text as binary))")).collect()]
+    want = sorted((repr(d), brute.sha(merkle.edited(t, order[(i + 1) % 300][1]))) for i, (d, t) in enumerate(order))
+    assert sorted((repr(r.doc_id), r.edited_sha256) for r in merkle.fingerprint_documents(docs).collect()) == want
+
+
 def test_merkle_query(spark):
     from pulsegrid.llm.queries import queries
 
