@@ -1,10 +1,13 @@
 """Exact top-k by inner product through M-trees.
 
-A vector x of a block gets one more component, the root of M^2 - |x|^2 with M the block's largest
-norm, and a query a zero: then the Euclidean distance falls as the inner product grows.  Each block is
-a tree of paged nodes with covering radii and distances to the parent.  The search takes pages by the
-least distance that they can hold; stored distances give triangle-inequality bounds that spare
-computing others.  Scores are integers, and bounds leave room for rounding, so results are exact.
+A vector x gets one more component, the root of M^2 - |x|^2 with M the largest norm, and a query a zero:
+then the Euclidean distance falls as the inner product grows.  Vectors are dealt into regions of the
+nearest of a bounded sample of pivots, and large regions into blocks; each block is a tree of paged
+nodes with covering radii and distances to the parent.  The search takes nodes by the least distance
+that they can hold; stored distances give triangle-inequality bounds that spare computing others.
+
+A query first searches its own block, then those blocks whose region can hold a better score than its
+k-th so far.  Scores are integers, and bounds leave room for rounding, so results are exact.
 """
 
 from __future__ import annotations
@@ -20,83 +23,110 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import spread, write_table
 
-#: Vectors in a block (one tree) and in a leaf page, children of an inner page, queries that are searched together.
-BLOCK, PAGE, FANOUT, QUERIES = 8192, 256, 16, 1024
+#: Vectors in a block (one tree) and in a leaf page, children of an inner node, queries that a task searches one tree for.
+BLOCK, PAGE, FANOUT, QUERIES = 8192, 256, 16, 8192
+#: Regions at most: what is known of them is all that is broadcast, some MB.
+REGIONS = 1024
 _SLACK = 1e-6
+_LOWEST = -(1 << 63)
+
+
+def _halved(points: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of parts of at most ``most`` points, halved between two points that are far from each other."""
+    todo, out = [np.arange(len(points))], []
+    while todo:
+        part = todo.pop()
+        if len(part) <= most:
+            out += [part] * bool(len(part))
+            continue
+        at = points[part]
+        a = at[np.argmax(((at - at[0]) ** 2).sum(axis=1))]
+        b = at[np.argmax(((at - a) ** 2).sum(axis=1))]
+        rank = np.argsort(at @ (b - a), kind="stable")
+        todo += [part[rank[: len(part) // 2]], part[rank[len(part) // 2 :]]]
+    return out
 
 
 class MTree:
-    """Bulk-loaded tree over integer vectors ``x`` with ids, which break ties."""
+    """Bulk-loaded tree over integer vectors ``x`` with ids, which break ties.
+
+    Node i has the pivot ``pivot[i]``, the covering radius ``radius[i]``, and for each of ``entries[i]``
+    (places of vectors in a leaf, of nodes elsewhere) its distance to the pivot in ``parent[i]``.  Leaves
+    come first, the root last.
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
-        norms = (x * x).sum(axis=1)
+        norms = (x.astype(np.float64) ** 2).sum(axis=1)
         self.top = float(norms.max(initial=0))
-        order = np.argsort(norms, kind="stable")
-        self.ids, self.x = ids[order], x[order]
-        points = np.column_stack([self.x, np.sqrt(self.top - norms[order])]).astype(np.float64)
-        leaves = self._split(points, np.arange(len(points)), PAGE)
-        self.pages = [(self.ids[i], self.x[i]) for i in leaves]
-        self.pivot = np.array([points[i].mean(axis=0) for i in leaves]).reshape(len(leaves), points.shape[1])
-        self.far = [np.linalg.norm(points[i] - p, axis=1) for i, p in zip(leaves, self.pivot, strict=True)]  # to the page's pivot
-        self.radius = np.array([f.max() for f in self.far])
-        groups = self._split(self.pivot, np.arange(len(leaves)), FANOUT)
-        self.group = groups
-        self.over = np.array([self.pivot[g].mean(axis=0) for g in groups]).reshape(len(groups), points.shape[1])
-        self.parent = [np.linalg.norm(self.pivot[g] - o, axis=1) for g, o in zip(groups, self.over, strict=True)]
-        self.cover = np.array([(d + self.radius[g]).max() for g, d in zip(groups, self.parent, strict=True)])
-
-    @staticmethod
-    def _split(points: np.ndarray, among: np.ndarray, most: int) -> list[np.ndarray]:
-        """Parts of at most ``most`` points, halved between two points that are far from each other."""
-        todo, out = [among], []
-        while todo:
-            part = todo.pop()
-            if len(part) <= most:
-                out += [part] * bool(len(part))
-                continue
-            at = points[part]
-            a = at[np.argmax(((at - at[0]) ** 2).sum(axis=1))]
-            b = at[np.argmax(((at - a) ** 2).sum(axis=1))]
-            rank = np.argsort(at @ (b - a), kind="stable")
-            todo += [part[rank[: len(part) // 2]], part[rank[len(part) // 2 :]]]
-        return out
-
-    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k best (ids, scores) for the query, itself left out, and how many vectors were scored."""
-        point, square = np.append(q, 0).astype(np.float64), float(q @ q)
-        ids, scores, worst, scored = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.inf, 0
-        to_over = np.linalg.norm(self.over - point, axis=1)
-        heap = [(low, 0, i, 0.0) for i, low in enumerate(np.maximum(0, to_over - self.cover).tolist())]
-        heapq.heapify(heap)
+        points = np.column_stack([x, np.sqrt(self.top - norms)]).astype(np.float64)
+        groups = _halved(points, PAGE)
+        order = np.concatenate([np.zeros(0, dtype=np.int64), *groups])
+        # Floats hold all products exactly where no one can reach 2 ** 53.
+        self.ids, self.x = ids[order], x[order].astype(np.float64) if self.top < 2.0**52 else x[order]
+        points = points[order]
+        ends = np.cumsum([len(g) for g in groups])
+        self.entries = [np.arange(e - len(g), e) for g, e in zip(groups, ends, strict=True)]
+        self.leaves = len(self.entries)
+        pivots, self.parent, radius = [], [], []
+
+        def close(at: np.ndarray, covers: np.ndarray) -> None:
+            pivots.append(at.mean(axis=0))
+            self.parent.append(np.linalg.norm(at - pivots[-1], axis=1))
+            radius.append(float((self.parent[-1] + covers).max()))
+
+        for e in self.entries:
+            close(points[e], np.zeros(len(e)))
+        level = np.arange(self.leaves)
+        while len(level) > 1:
+            above = []
+            for g in _halved(np.array([pivots[i] for i in level]), FANOUT):
+                children = level[g]
+                above.append(len(pivots))
+                self.entries.append(children)
+                close(np.array([pivots[i] for i in children]), np.array([radius[i] for i in children]))
+            level = np.array(above)
+        self.pivot, self.radius = np.array(pivots).reshape(len(pivots), points.shape[1]), np.array(radius)
+
+    def search(self, own: int, q: np.ndarray, k: int, least: int = _LOWEST) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k best (ids, scores) of ``least`` or more for the query, itself left out, and how many vectors were scored."""
+        point, square = np.append(q, 0).astype(np.float64), float(q.astype(np.float64) @ q)
+        asked = q.astype(self.x.dtype)
+        ids, scores, scored = np.empty(0, dtype=np.int64), np.empty(0, dtype=self.x.dtype), 0
+
+        def reach(score: float) -> float:
+            return np.sqrt(max(0.0, square + self.top - 2.0 * score)) * (1 + _SLACK) + _SLACK
+
+        worst = np.inf if least == _LOWEST else reach(float(least))
+        root = len(self.pivot) - 1
+        heap = []
+        if root >= 0:
+            away = float(np.linalg.norm(self.pivot[root] - point))
+            heap = [(max(0.0, away - self.radius[root]), root, away)]
         while heap:
-            low, leaf, i, away = heapq.heappop(heap)
+            low, node, away = heapq.heappop(heap)
             if low > worst:
                 break
-            if not leaf:
-                children, d = self.group[i], to_over[i]
-                near = np.abs(d - self.parent[i]) - self.radius[children] <= worst
-                children = children[near]
+            entries, stored = self.entries[node], self.parent[node]
+            if node >= self.leaves:
+                children = entries[np.abs(away - stored) - self.radius[entries] <= worst]
                 aways = np.linalg.norm(self.pivot[children] - point, axis=1)
                 for c, a, r in zip(children.tolist(), aways.tolist(), self.radius[children].tolist(), strict=True):
                     if a - r <= worst:
-                        heapq.heappush(heap, (max(0.0, a - r), 1, c, a))
+                        heapq.heappush(heap, (max(0.0, a - r), c, a))
                 continue
-            there, x = self.pages[i]
-            near = np.abs(away - self.far[i]) <= worst
-            if not near.all():
-                there, x = there[near], x[near]
+            near = np.abs(away - stored) <= worst
+            span = slice(entries[0], entries[-1] + 1)
+            there, x = (self.ids[span], self.x[span]) if near.all() else (self.ids[span][near], self.x[span][near])
             scored += len(there)
-            found = x @ q
-            if len(scores) == k:
-                good = found >= scores[-1]
-                there, found = there[good], found[good]
-            good = there != own
-            ids, scores = np.concatenate([ids, there[good]]), np.concatenate([scores, found[good]])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            if len(scores) == k:
-                worst = np.sqrt(max(0.0, square + self.top - 2.0 * float(scores[-1]))) * (1 + _SLACK) + _SLACK
-        return ids, scores, scored
+            found = x @ asked
+            good = (found >= (scores[-1] if len(scores) == k else least)) & (there != own)
+            if good.any():
+                ids, scores = np.concatenate([ids, there[good]]), np.concatenate([scores, found[good]])
+                best = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[best], scores[best]
+                if len(scores) == k:
+                    worst = min(worst, reach(float(scores[-1])))
+        return ids, scores.astype(np.int64), scored
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -106,72 +136,166 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
-def _matrix(rows: list, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), dtype=np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists as rows of ``width``, shorter ones filled up with zeros."""
+    size = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), width), dtype=np.int64)
+    out[np.arange(width) < size[:, None]] = column.flatten().to_numpy()
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """(number, rows) for each run of equal numbers in the last column: one run is held at a time."""
-    number, rows = None, []
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(number, rows) for each run of equal numbers in the first column: one run is held at a time."""
+    number, held = None, []
     for batch in batches:
-        for *row, here in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and here != number:
-                yield number, rows
-                rows = []
-            number = here
-            rows.append(tuple(row))
-    if rows:
-        yield number, rows
+        here = batch.column(0).to_numpy()
+        cuts = [0, *(np.nonzero(here[1:] != here[:-1])[0] + 1).tolist(), len(here)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and here[a] != number:
+                yield number, pa.Table.from_batches(held)
+                held = []
+            number = int(here[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield number, pa.Table.from_batches(held)
 
 
-def top_k(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest integer inner products of each row whose id is divisible by ``every``.
+class Regions:
+    """Pivots of a sample of vectors in the space with one more component."""
 
-    All other rows are candidates; ties go to the smaller id.  Shorter vectors count as filled up with
-    zeros.  A row that repeats a query's id is the query's own and no candidate for it; repeated ids
-    among candidates count each, a repeated query id is searched once, with its smallest vector.
+    def __init__(self, sample: np.ndarray, top: int) -> None:
+        self.top = float(top)
+        self.pivot = self._lifted(sample)
+
+    def _lifted(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x, np.sqrt(np.maximum(0.0, self.top - (x.astype(np.float64) ** 2).sum(axis=1)))]).astype(np.float64)
+
+    def _apart(self, points: np.ndarray) -> np.ndarray:
+        square = (points**2).sum(axis=1)[:, None] + (self.pivot**2).sum(axis=1) - 2 * points @ self.pivot.T
+        return np.sqrt(np.maximum(0.0, square))
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The region of each vector and its distance from the pivot."""
+        apart = self._apart(self._lifted(x))
+        region = apart.argmin(axis=1)
+        return region, apart[np.arange(len(x)), region]
+
+    def within_reach(self, q: np.ndarray, least: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """(query, region): whether a vector of the region can have a score of ``least`` or more."""
+        square = (q.astype(np.float64) ** 2).sum(axis=1)
+        low = np.maximum(0.0, self._apart(np.column_stack([q, np.zeros(len(q))])) - radius)
+        most = (square[:, None] + self.top - low**2) / 2
+        return most * (1 + _SLACK) + 1 + np.abs(self.top) * _SLACK >= least[:, None].astype(np.float64)
 
-    Rows are dealt into blocks and each block's tree is built once; queries come in groups, and a task
-    searches one tree for one group.  What is left is k rows per query and block.
+
+def searched(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
+    """(query_id, vec_id, score, scored): what the searched blocks give each query, k rows of each at most.
+
+    A row without a vec_id tells how many vectors a block's search scored.
     """
-    n = spread(vectors.sparkSession)
-    # Numbers of rows, written with them, deal vectors into blocks: an id that many rows repeat is spread out.
-    base = write_table(quantised(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    total, width = base.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    blocks, asked = max(1, -(-total // BLOCK)), max(1, -(-total // (every * QUERIES)))
-    spot = lambda by, of: F.pmod(F.xxhash64(by), F.lit(of)).cast("int")
+    session = vectors.sparkSession
+    n = spread(session)
+    # Numbers of rows, written with them, deal large regions into blocks: an id that many rows repeat is spread out.
+    base = quantised(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id())
+    base = write_table(base.withColumn("norm", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)), "vectors")
+    total, width, top = base.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max("norm"), F.lit(0))).first()
+    wanted = max(1, min(REGIONS, -(-total // BLOCK)))
+    # A sample by the hash of the row's number, four times as large as wanted so that vectors that repeat leave enough.
+    sample = base.orderBy(F.xxhash64("row"), "row").limit(4 * wanted).select("v").toArrow().column("v").combine_chunks()
+    lists = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample
+    first = np.unique(_matrix(lists, width), axis=0, return_index=True)[1] if len(lists) else np.zeros(0, dtype=np.int64)
+    pivots = _matrix(lists, width)[np.sort(first)[:wanted]] if len(lists) else np.zeros((1, width), dtype=np.int64)
+    regions = session.sparkContext.broadcast(Regions(pivots, top))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            region, away = regions.value.nearest(_matrix(batch.column(1), width)) if len(batch) else (np.zeros(0, dtype=np.int64), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region.astype(np.int32)), pa.array(away)], names=[*batch.schema.names, "region", "away"])
+
+    dealt = write_table(base.select("id", "v", "row").mapInArrow(deal, "id long, v array<long>, row long, region int, away double"), "regions")
+    known = dealt.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).orderBy("region").collect()  # a row per region
+    radius = np.full(len(pivots), -np.inf)
+    parts, start = np.zeros(len(pivots), dtype=np.int64), 0
+    places = []
+    for r in known:
+        radius[r.region], parts[r.region] = r.radius, -(-r.n // BLOCK)
+        places.append((r.region, start, int(parts[r.region])))
+        start += int(parts[r.region])
+    place = F.broadcast(session.createDataFrame(places, "region int, start int, parts int"))
+    blocks = max(1, start)
+    dealt = dealt.join(place, "region").withColumn("block", (F.col("start") + F.pmod(F.xxhash64("row"), F.col("parts").cast("long"))).cast("int"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, rows in _runs(batches):
-            rows.sort()
-            made = MTree(np.array([i for i, _ in rows], dtype=np.int64), _matrix([v for _, v in rows], width))
+            ids, lists = rows.column("id").to_numpy(), rows.column("v").combine_chunks()
+            order = np.argsort(rows.column("row").to_numpy(), kind="stable")  # a task that runs again builds the same tree
+            made = MTree(ids[order], _matrix(lists, width)[order])
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], names=["block", "tree"])
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, rows in _runs(batches):
-            blob = pickle.dumps((np.array([i for i, _ in rows], dtype=np.int64), _matrix([v for _, v in rows], width)))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["asked", "queries"])
+    built = dealt.select("block", "id", "v", "row").repartition(min(blocks, 4 * n), "block").sortWithinPartitions("block").mapInArrow(build, "block int, tree binary")
+    trees = write_table(built, "trees")
+    own = dealt.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min(F.struct("v", "block")).alias("q"))
+    queries = write_table(own.select("id", "q.v", "q.block"), "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, here = None, None
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in range(4)]
+            whole = _matrix(batch.column("v"), width)
+            for i, (b, blob, q, least) in enumerate(zip(*(batch.column(c) for c in ("block", "tree", "id", "least")), strict=True)):
+                if blob.is_valid:
+                    tree, here = pickle.loads(blob.as_py()), b.as_py()
+                    continue
+                assert here == b.as_py()
+                ids, scores, scored = tree.search(q.as_py(), whole[i], k, least.as_py())
+                row = np.full(len(ids) + 1, q.as_py()), np.append(ids, _LOWEST), np.append(scores, 0), np.append(np.zeros(len(ids), dtype=np.int64), scored)
+                for held, x in zip(out, row, strict=True):
+                    held.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score", "scored"])
+
+    def ask(targets: DataFrame, times: int) -> DataFrame:
+        """Search each block for the queries that are to; a tree goes to each of ``times`` groups of queries, queries go to trees."""
+        groups = max(1, -(-total * times // (every * QUERIES)))
+        part = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part")
+        asked = targets.select("block", part, F.lit(None).cast("binary").alias("tree"), "id", "v", "least")
+        empty = F.expr("cast(array() as array<bigint>)")
+        laid = trees.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "tree", F.lit(None).cast("long").alias("id"), empty.alias("v"), F.lit(None).cast("long").alias("least"))
+        laid = laid.join(asked.select("block", "part").distinct(), ["block", "part"], "left_semi")
+        met = laid.unionByName(asked).repartition(min(blocks * groups, 4 * n), "block", "part")
+        ordered = met.sortWithinPartitions("block", "part", F.col("tree").isNull(), "id").drop("part")
+        return ordered.mapInArrow(search, "query_id long, vec_id long, score long, scored long").withColumn("vec_id", F.when(F.col("scored") == 0, F.col("vec_id")).otherwise(F.nullif("vec_id", F.lit(_LOWEST))))
+
+    near = write_table(ask(queries.withColumn("least", F.lit(_LOWEST)), 1), "near")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    told = near.where("vec_id is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+
+    def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tree, queries in zip(batch.column(0), batch.column(1), strict=True):
-                made: MTree = pickle.loads(tree.as_py())
-                out: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in range(3)]
-                for own, q in zip(*pickle.loads(queries.as_py()), strict=True):
-                    ids, scores, _ = made.search(int(own), q, k)
-                    for held, x in zip(out, (np.full(len(ids), own), ids, scores), strict=True):
-                        held.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
-
-    trees = base.select("id", "v", spot("row", blocks).alias("block")).repartition(min(blocks, 4 * n), "block").sortWithinPartitions("block").mapInArrow(build, "block int, tree binary")
-    trees = write_table(trees, "trees")
-    own = base.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
-    queries = own.select("id", "v", spot("id", asked).alias("asked")).repartition(min(asked, 4 * n), "asked").sortWithinPartitions("asked").mapInArrow(grouped, "asked int, queries binary")
-    pairs = trees.select("tree", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("asked")).join(queries, "asked")
-    found = pairs.select("tree", "queries").repartition(n).mapInArrow(search, "query_id long, vec_id long, score long")
+            reach = regions.value.within_reach(_matrix(batch.column(1), width), batch.column(3).to_numpy(), radius)
+            targets = pa.array([np.nonzero(x)[0].astype(np.int32) for x in reach], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, targets], names=[*batch.schema.names, "targets"])
+
+    bounded = queries.join(told, "id", "left").select("id", "v", "block", F.coalesce("least", F.lit(_LOWEST)).alias("least"))
+    aimed = bounded.mapInArrow(aim, "id long, v array<long>, block int, least long, targets array<int>")
+    rest = aimed.select("id", "v", "least", F.col("block").alias("own"), F.explode("targets").alias("region")).join(place, "region")
+    rest = rest.select("id", "v", "least", "own", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("parts") - 1)).alias("block")).where("block <> own")
+    return near.unionByName(ask(rest, blocks))
+
+
+def top_k(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k highest integer inner products of each row whose id is divisible by ``every``.
+
+    All other rows are candidates; ties go to the smaller id.  Shorter vectors count as filled up with
+    zeros.  A row that repeats a query's id is the query's own and no candidate for it; repeated ids
+    among candidates count each, a repeated query id is searched once, with its smallest vector.  Other
+    columns are left.
+
+    Vectors are shuffled to their blocks once, and queries to the blocks that can hold better scores than
+    they have found at home.
+    """
+    found = searched(vectors, every, k, id_col, vector_col, scale).where("vec_id is not null")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
