@@ -15,7 +15,7 @@ from functools import cached_property, lru_cache
 import numpy as np
 
 #: Bytes of chunks, about, that a process keeps in each of two generations.
-HELD = 12 << 20
+HELD = 32 << 20
 #: Bytes of a kept entry besides those of its texts.
 _ENTRY = 200
 
