@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.calendar import bucket_start, local_day, seconds_between
+from pulsegrid.functions.calendar import bucket_start, local_day, seconds_between, utc_ts
 from pulsegrid.operators.intervals import union_islands
 
 _STEP = {"hour": "1 hour", "day": "1 day", "week": "7 days", "month": "1 month", "year": "1 year"}
@@ -79,7 +79,10 @@ def series(sample: DataFrame, measures: DataFrame, plan: DataFrame, grain: str =
     """Every bucket of ``plan`` (idx, bucket_start, bucket_end) for every type of ``sample``, empty ones with zero counts.
 
     Averages are weighted by readings, totals are not multiplied; minima and maxima of an empty
-    bucket are null.  The plan is a bounded dimension and is laid under each type by an exploded array.
+    bucket are null.  The seconds of a duration are those of merged intervals that start from two days
+    before the plan to its end, filed whole where they end; of other types, the sum of what rows last.
+    Both are rounded to milliseconds.  The plan is a bounded dimension and is laid under each type by
+    an exploded array.
     """
     rows = with_measure(sample, measures).withColumn("filed", filed()).withColumn("n", counts())
     rows = rows.withColumn("bucket_start", bucket_start(F.col("filed"), grain, tz)).withColumn("readings", F.coalesce("reading_count", F.lit(1)))
@@ -95,14 +98,19 @@ def series(sample: DataFrame, measures: DataFrame, plan: DataFrame, grain: str =
         F.max(F.when(number, F.col("value"))).alias("maximum"),
         F.sum("readings").alias("all_readings"),
         F.count_distinct(local_day(F.col("filed"), tz)).alias("days"),
-        F.sum(F.when(F.col("n") == 1, F.coalesce(took, F.lit(0.0)))).alias("seconds"),
+        F.sum(F.when((F.col("n") == 1) & (F.col("measure") != "duration"), F.coalesce(took, F.lit(0.0)))).alias("_lasted"),
     )
+    ends = plan.agg(F.min("bucket_start").alias("_low"), F.max("bucket_end").alias("_high"))
+    stretches = rows.where((F.col("measure") == "duration") & (F.col("n") == 1) & F.col("end_ts").isNotNull()).join(F.broadcast(ends))
+    inside = (F.col("start_ts") >= utc_ts(F.col("_low"), tz) - F.expr("interval 2 days")) & (F.col("start_ts") < utc_ts(F.col("_high"), tz))
+    merged = union_by_bucket(stretches.where(inside).select("type", "start_ts", "end_ts"), grain, tz).select("type", "bucket_start", F.col("seconds").alias("_merged"))
     span = plan.agg(F.sort_array(F.collect_list(F.struct("idx", "bucket_start", "bucket_end"))).alias("plan"))  # bounded by the plan's guard
     types = sample.select("type").distinct().join(measures.select("type", F.col("kind").alias("measure")), "type").join(F.broadcast(span))
     laid = types.select("type", "measure", F.inline("plan"))
-    full = laid.join(sums, ["type", "bucket_start"], "left")
+    full = laid.join(sums, ["type", "bucket_start"], "left").join(merged, ["type", "bucket_start"], "left")
+    full = full.withColumn("seconds", F.round(F.coalesce("_merged", "_lasted", F.lit(0.0)), 3))
     zero = ["samples", "counted_rows", "weight", "all_readings", "days"]
-    return full.na.fill(0, zero).na.fill(0.0, ["total", "weighted", "seconds"]).select("type", "measure", "idx", "bucket_start", "bucket_end", *zero, "total", "weighted", "minimum", "maximum", "seconds")
+    return full.na.fill(0, zero).na.fill(0.0, ["total", "weighted"]).select("type", "measure", "idx", "bucket_start", "bucket_end", *zero, "total", "weighted", "minimum", "maximum", "seconds")
 
 
 def column_value(mixed: Column) -> Column:
@@ -144,6 +152,27 @@ def coverage(columns: DataFrame) -> DataFrame:
     return out.withColumn("leading_empty", F.col("leading_empty").cast("long")).withColumn("days", F.col("days").cast("long"))
 
 
+def latest_bucket(columns: DataFrame) -> DataFrame:
+    """(type, bucket_start, samples): each type's last bucket that has data."""
+    held = columns.where(F.col("samples") > 0)
+    return held.groupBy("type").agg(F.max("bucket_start").alias("bucket_start"), F.max_by("samples", "bucket_start").alias("samples"))
+
+
+def summary(columns: DataFrame, units: DataFrame) -> DataFrame:
+    """``headline`` with active_buckets, and for totals average_per_active; every figure is null where units are mixed."""
+    active = columns.groupBy("type").agg(F.sum(F.when(F.col("samples") > 0, 1).otherwise(0)).alias("active_buckets"))
+    rows = headline(columns, units).join(active, "type").join(units.select("type", "mixed"), "type", "left")
+    told = lambda c: F.when(~F.coalesce("mixed", F.lit(False)), c)
+    per = F.when(F.col("measure") == "total", F.try_divide("headline", F.col("active_buckets").cast("double")))
+    return rows.select("type", "measure", told(F.col("headline")).alias("headline"), *(told(F.col(c)).alias(c) for c in ("lowest", "highest", "samples", "readings", "active_buckets")), told(per).alias("average_per_active"))
+
+
+def sparklines(columns: DataFrame) -> DataFrame:
+    """(type, drawn, shown): buckets with data, and whether two or more make a line."""
+    drawn = F.sum(F.when(F.col("samples") > 0, 1).otherwise(0))
+    return columns.groupBy("type").agg(drawn.alias("drawn"), (drawn >= 2).alias("shown"))
+
+
 def type_summaries(sample: DataFrame) -> DataFrame:
     return sample.groupBy("type").agg(F.count(F.lit(1)).alias("records"), F.max("unit").alias("unit"), F.min("start_ts").alias("earliest"), F.max("start_ts").alias("latest"))
 

@@ -14,7 +14,6 @@ from pulsegrid.sources import adapters
 from pulsegrid.sources.adapters import SAMPLE_SQL
 
 ZONE = "America/New_York"
-FIRST, LAST = "2024-01-01 00:00:00", "2024-02-05 00:00:00"
 _LOCAL = "timezone('America/New_York', {} AT TIME ZONE 'UTC')"
 
 ISLANDS_SQL = """iv AS (SELECT type, start_ts, end_ts FROM sample WHERE end_ts > start_ts), fl AS (
@@ -95,35 +94,44 @@ def aggregate_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir, "year")
 
 
-def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL's days, and more where the archive has earlier or later ones: no record is outside the plan."""
-    sample = adapters.sample(spark, sf_dir)
+def _plan(spark: SparkSession, sample: DataFrame, grain: str = "day") -> DataFrame:
+    """The days from the archive's first record to its last: no record is outside the plan."""
     ends = sample.agg(F.min(F.least("start_ts", "end_ts")).alias("first"), F.max(F.greatest("start_ts", "end_ts")).alias("last"))
-    day = lambda c: F.date_format(F.date_trunc("day", c), "yyyy-MM-dd HH:mm:ss")
+    day = lambda c: F.date_format(F.date_trunc(grain, c), "yyyy-MM-dd HH:mm:ss")
     first, last = ends.select(day("first"), day("last")).first()
-    plan = bucket_plan(spark, min(FIRST, first or FIRST), max(LAST, last or LAST), "day")
-    return series.series(sample, adapters.measures(spark), plan)
+    return bucket_plan(spark, first or "1970-01-01 00:00:00", last or "1970-01-01 00:00:00", grain)
+
 
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = adapters.sample(spark, sf_dir)
+    return series.series(sample, adapters.measures(spark), _plan(spark, sample))
 
-SERIES_SQL = f"""{SAMPLE_SQL}, plan AS (
-  SELECT i::INTEGER AS idx, TIMESTAMP '{FIRST}' + to_days(i::INTEGER) AS bucket_start, TIMESTAMP '{FIRST}' + to_days(i::INTEGER + 1) AS bucket_end FROM range(36) r(i)
+
+SERIES_SQL = f"""{SAMPLE_SQL}, {ISLANDS_SQL.replace("WHERE end_ts > start_ts", "WHERE end_ts > start_ts AND type = 'view'")}, ends AS (
+  SELECT date_trunc('day', min(least(start_ts, end_ts)))::TIMESTAMP AS a, date_trunc('day', max(greatest(start_ts, end_ts)))::TIMESTAMP AS b FROM sample
+), plan AS (
+  SELECT i::INTEGER AS idx, a + to_days(i::INTEGER) AS bucket_start, a + to_days(i::INTEGER + 1) AS bucket_end FROM (SELECT a, unnest(range(date_diff('day', a, b) + 1)) AS i FROM ends)
 ), sums AS (
   SELECT type, date_trunc('day', filed)::TIMESTAMP AS bucket_start, count(*) AS samples, sum(counts) AS counted_rows, sum(CASE WHEN counts = 1 THEN value END) AS total,
     sum(CASE WHEN counts = 1 THEN value * reading_count END) AS weighted, sum(CASE WHEN counts = 1 AND value IS NOT NULL THEN reading_count END) AS weight,
     min(CASE WHEN counts = 1 THEN value END) AS minimum, max(CASE WHEN counts = 1 THEN value END) AS maximum, sum(reading_count) AS all_readings,
-    count(DISTINCT filed::DATE) AS days, sum(CASE WHEN counts = 1 THEN greatest(0, (epoch_us(end_ts) - epoch_us(start_ts)) / 1e6) END) AS seconds
+    count(DISTINCT filed::DATE) AS days, sum(CASE WHEN counts = 1 AND measure <> 'duration' THEN greatest(0, epoch_us(end_ts) - epoch_us(start_ts)) END) AS lasted
   FROM m GROUP BY ALL
+), merged AS (
+  SELECT type, date_trunc('day', end_ts - INTERVAL 1 MICROSECOND)::TIMESTAMP AS bucket_start, sum(epoch_us(end_ts) - epoch_us(start_ts)) AS micros FROM island GROUP BY ALL
 ), full_series AS (
   SELECT t.type, t.measure, p.idx, p.bucket_start, p.bucket_end, coalesce(samples, 0)::BIGINT AS samples, coalesce(counted_rows, 0)::BIGINT AS counted_rows, coalesce(weight, 0)::BIGINT AS weight,
-    coalesce(all_readings, 0)::BIGINT AS all_readings, coalesce(days, 0)::BIGINT AS days, coalesce(total, 0.0) AS total, coalesce(weighted, 0.0) AS weighted, minimum, maximum, coalesce(seconds, 0.0) AS seconds
+    coalesce(all_readings, 0)::BIGINT AS all_readings, coalesce(days, 0)::BIGINT AS days, coalesce(total, 0.0) AS total, coalesce(weighted, 0.0) AS weighted, minimum, maximum,
+    round(coalesce(u.micros, lasted, 0)::DOUBLE / 1e6, 3) AS seconds
   FROM (SELECT DISTINCT type, measure FROM m) t CROSS JOIN plan p LEFT JOIN sums s ON s.type = t.type AND s.bucket_start = p.bucket_start
+  LEFT JOIN merged u ON u.type = t.type AND u.bucket_start = p.bucket_start
 )"""
 
 
-@query(f"WITH {SERIES_SQL} SELECT * REPLACE (round(total, 6) AS total, round(weighted, 4) AS weighted, round(seconds, 3) AS seconds) FROM full_series")
+@query(f"WITH {SERIES_SQL} SELECT * REPLACE (round(total, 4) AS total, round(weighted, 2) AS weighted) FROM full_series")
 def series_day_with_empty_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-01, JON-04, T7: empty buckets are there, with no extremes."""
-    return _rounded(_rounded(_rounded(_series(spark, sf_dir), "total"), "weighted", digits=4), "seconds", digits=3)
+    return _rounded(_rounded(_series(spark, sf_dir), "total", digits=4), "weighted", digits=2)
 
 
 @query(f"WITH {SERIES_SQL} SELECT type, bucket_start, round(weighted / weight, 6) AS average FROM full_series WHERE weight > 0 AND measure = 'average'")
@@ -175,23 +183,46 @@ def list_samples_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.newest(adapters.sample(spark, sf_dir), 100, "click", "2024-01-03 00:00:00", "2024-01-20 00:00:00").select("id", "type", "start_ts", "end_ts", "value")
 
 
-@query(f"""WITH {SAMPLE_SQL}, ends AS (
-  SELECT type, max(start_ts) AS latest, count(*) FILTER (WHERE start_ts >= TIMESTAMP '2024-01-29' AND start_ts < TIMESTAMP '2024-01-30' AND value IS NOT NULL AND type <> 'view') AS inside FROM sample GROUP BY type
+_FALLBACK = f"""WITH {SAMPLE_SQL}, ends AS (
+  SELECT type, max(start_ts) AS latest, count(*) FILTER (WHERE start_ts >= TIMESTAMP '2024-01-29' AND start_ts < TIMESTAMP '2024-01-30' AND value IS NOT NULL) AS inside FROM sample GROUP BY type
 ), win AS (
   SELECT type, inside = 0 AS earlier, CASE WHEN inside = 0 THEN (latest::DATE + 1)::TIMESTAMP ELSE TIMESTAMP '2024-01-30' END AS window_end FROM ends
 )
-SELECT s.type, window_end, earlier, count(*) FILTER (WHERE start_ts >= window_end - INTERVAL 7 DAY AND start_ts < window_end AND NOT (s.type = 'view' AND start_ts >= TIMESTAMP '2024-01-20'))::BIGINT AS records
-FROM sample s JOIN win USING (type) WHERE value IS NOT NULL GROUP BY ALL""".replace("max(start_ts) AS latest", "max(CASE WHEN type = 'view' AND start_ts >= TIMESTAMP '2024-01-20' THEN NULL ELSE start_ts END) AS latest"))
+SELECT s.type, window_end, earlier, count(*) FILTER (WHERE start_ts >= window_end - INTERVAL 7 DAY AND start_ts < window_end)::BIGINT AS records
+FROM sample s JOIN win USING (type) WHERE value IS NOT NULL GROUP BY ALL"""
+
+
+@query(_FALLBACK)
 def snapshot_fallback_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A type without a value in the window is shown up to its own last record; views are cut off early for that."""
-    rows = adapters.sample(spark, sf_dir).where("not (type = 'view' and start_ts >= timestamp_ntz'2024-01-20 00:00:00')")
-    return series.fallback_window(rows, "2024-01-29 00:00:00", "2024-01-30 00:00:00", 7)
+    """A type without a value in the window is shown up to its own last record."""
+    return series.fallback_window(adapters.sample(spark, sf_dir), "2024-01-29 00:00:00", "2024-01-30 00:00:00", 7)
 
 
-@query()
+@query(_FALLBACK.replace("'2024-01-29'", "'2024-03-01'").replace("'2024-01-30'", "'2024-03-08'"))
 def snapshot_fallback_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all rows, late views included."""
-    return series.fallback_window(adapters.sample(spark, sf_dir), "2024-01-29 00:00:00", "2024-01-30 00:00:00", 7)
+    """The same for a week that may be later than all records: each type falls back to its own end."""
+    return series.fallback_window(adapters.sample(spark, sf_dir), "2024-03-01 00:00:00", "2024-03-08 00:00:00", 7)
+
+
+@query(f"WITH {SERIES_SQL} SELECT type, max(bucket_start) AS bucket_start, max_by(samples, bucket_start)::BIGINT AS samples FROM full_series WHERE samples > 0 GROUP BY type")
+def series_latest_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-07."""
+    return series.latest_bucket(_series(spark, sf_dir))
+
+
+@query(f"""WITH {SERIES_SQL}, h AS (SELECT type, measure,
+    CASE measure WHEN 'total' THEN sum(total) WHEN 'average' THEN sum(weighted) / sum(weight) WHEN 'duration' THEN sum(seconds) ELSE sum(counted_rows)::DOUBLE END AS headline,
+    min(minimum) AS lowest, max(maximum) AS highest, sum(samples)::BIGINT AS samples, sum(all_readings)::BIGINT AS readings, count(*) FILTER (WHERE samples > 0)::BIGINT AS active_buckets FROM full_series GROUP BY type, measure)
+SELECT type, measure, round(headline, 4) AS headline, lowest, highest, samples, readings, active_buckets, round(CASE WHEN measure = 'total' THEN headline / active_buckets END, 4) AS average_per_active FROM h""")
+def series_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-14, AGG-15: with the buckets that have data, and what a total comes to in each."""
+    return _rounded(series.summary(_series(spark, sf_dir), series.unit_guard(adapters.sample(spark, sf_dir))), "headline", "average_per_active", digits=4)
+
+
+@query(f"WITH {SERIES_SQL} SELECT type, count(*) FILTER (WHERE samples > 0)::BIGINT AS drawn, count(*) FILTER (WHERE samples > 0) >= 2 AS shown FROM full_series GROUP BY type")
+def series_sparklines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """APP-11."""
+    return series.sparklines(_series(spark, sf_dir))
 
 
 def _histogram_sql(source: str, weight: str) -> str:

@@ -110,30 +110,32 @@ def adherence_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.adherence(adapters.doses(spark, sf_dir))
 
 
-def _statistics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Line items as figures of workouts: line 1 is the whole, the others are legs; some have no sum.  The SQL twins stop at line 3; ``whole`` doesn't."""
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as figures of workouts: line 1 is the whole, the others are legs; some have no sum."""
     rows = adapters.table(spark, sf_dir, "lineitem")
-    rows = rows if whole else rows.where("l_linenumber <= 3")
     leg = F.when(F.col("l_linenumber") == 1, "").otherwise(F.col("l_linenumber").cast("string"))
     kind = F.element_at(F.array(*(F.lit(x) for x in ("DistanceCycling", "DistanceSwimming", "ActiveEnergyBurned"))), (F.col("l_suppkey") % 3 + 1).cast("int"))
     return rows.select(F.col("l_orderkey").alias("workout_id"), leg.alias("leg"), kind.alias("type"), F.when(F.col("l_partkey") % 4 != 0, F.col("l_quantity")).alias("sum"), F.col("l_extendedprice").alias("average"), F.col("l_discount").alias("minimum"), F.col("l_tax").alias("maximum"))
 
 
 _STATISTICS = """st AS (SELECT l_orderkey AS workout_id, CASE WHEN l_linenumber = 1 THEN '' ELSE l_linenumber::VARCHAR END AS leg, ['DistanceCycling', 'DistanceSwimming', 'ActiveEnergyBurned'][(l_suppkey % 3)::INTEGER + 1] AS type,
-  CASE WHEN l_partkey % 4 <> 0 THEN l_quantity END AS sum, l_extendedprice AS average FROM lineitem WHERE l_linenumber <= 3)"""
+  CASE WHEN l_partkey % 4 <> 0 THEN l_quantity END AS sum, l_extendedprice AS average FROM lineitem)"""
 
 
-@query(f"""WITH {_STATISTICS}, w AS (SELECT workout_id, count(*) AS n, max(average) AS best, count(sum) AS sums FROM st WHERE leg = '' GROUP BY 1), l AS (SELECT workout_id, count(DISTINCT leg) AS n FROM st WHERE leg <> '' GROUP BY 1)
-SELECT o_orderkey AS id, coalesce(w.n, 0)::BIGINT AS figures, best, coalesce(sums, 0)::BIGINT AS sums, coalesce(l.n, 0)::BIGINT AS legs FROM orders LEFT JOIN w ON w.workout_id = o_orderkey LEFT JOIN l ON l.workout_id = o_orderkey""")
+_WORKOUTS = f"""WITH {_STATISTICS}, w AS (SELECT workout_id, count(*) AS n, max(average) AS best, count(sum) AS sums FROM st WHERE leg = '' GROUP BY 1), l AS (SELECT workout_id, count(DISTINCT leg) AS n FROM st WHERE leg <> '' GROUP BY 1)
+SELECT o_orderkey AS id, coalesce(w.n, 0)::BIGINT AS figures, best, coalesce(sums, 0)::BIGINT AS sums, coalesce(l.n, 0)::BIGINT AS legs FROM orders LEFT JOIN w ON w.workout_id = o_orderkey LEFT JOIN l ON l.workout_id = o_orderkey"""
+
+
+@query(_WORKOUTS)
 def workouts_with_stats_and_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-07, T17: figures that aren't there stay null; lines 1 to 3 only, as in the SQL (``workouts_with_all_legs`` has every line)."""
+    """JON-07, T17: figures that aren't there stay null."""
     return _workouts(spark, sf_dir, _statistics(spark, sf_dir))
 
 
-@query()
+@query(_WORKOUTS)
 def workouts_with_all_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-07, T17 over every line."""
-    return _workouts(spark, sf_dir, _statistics(spark, sf_dir, whole=True))
+    return _workouts(spark, sf_dir, _statistics(spark, sf_dir))
 
 
 def _workouts(spark: SparkSession, sf_dir: str, statistics: DataFrame) -> DataFrame:
@@ -144,27 +146,31 @@ def _workouts(spark: SparkSession, sf_dir: str, statistics: DataFrame) -> DataFr
     return rows.select("id", size("figures").alias("n"), F.array_max(F.transform("figures", lambda x: x["average"])).alias("best"), F.coalesce(sums, F.lit(0)).cast("long").alias("sums"), size("legs").alias("legs")).withColumnRenamed("n", "figures")
 
 
-@query(f"""WITH {_STATISTICS}, d AS (SELECT workout_id, type, sum(sum) AS metres FROM st WHERE contains(type, 'Distance') GROUP BY ALL)
+_DISTANCES = f"""WITH {_STATISTICS}, d AS (SELECT workout_id, type, sum(sum) AS metres FROM st WHERE contains(type, 'Distance') GROUP BY ALL)
 SELECT workout_id, CASE WHEN count(*) FILTER (WHERE metres > 0) = 1 THEN sum(metres) FILTER (WHERE metres > 0) END AS sole, CASE WHEN sum(metres) > 0 THEN sum(metres) END AS total,
-  coalesce(max(metres) FILTER (WHERE type = 'DistanceSwimming'), max(metres) FILTER (WHERE type = 'DistanceCycling')) AS first_listed, count(*)::BIGINT AS kinds FROM d GROUP BY workout_id""")
+  coalesce(max(metres) FILTER (WHERE type = 'DistanceSwimming'), max(metres) FILTER (WHERE type = 'DistanceCycling')) AS first_listed, count(*)::BIGINT AS kinds FROM d GROUP BY workout_id"""
+
+
+@query(_DISTANCES)
 def workout_distance_three_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """APP-06, SCL-36, B11; lines 1 to 3 only, as in the SQL (``workout_distance_all_lines`` has every line)."""
+    """APP-06, SCL-36, B11."""
     return domain.distance_rules(_statistics(spark, sf_dir), ["DistanceSwimming", "DistanceCycling"])
 
 
-@query()
+@query(_DISTANCES)
 def workout_distance_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """APP-06, SCL-36, B11 over every line."""
-    return domain.distance_rules(_statistics(spark, sf_dir, whole=True), ["DistanceSwimming", "DistanceCycling"])
+    return domain.distance_rules(_statistics(spark, sf_dir), ["DistanceSwimming", "DistanceCycling"])
 
 
 @query("""SELECT vec_id AS id, (i * 125)::DOUBLE AS frequency, CASE WHEN s = 0 THEN 'left' ELSE 'right' END AS ear, embedding[2 * i + s - 1]::DOUBLE AS sensitivity, embedding[2 * i + s - 1] < 0 AS masked, abs(embedding[2 * i + s - 1]) > 0.2::FLOAT AS clamped
-FROM (SELECT vec_id, embedding, unnest(range(1, 9)) AS i FROM embeddings), (SELECT unnest(range(2)) AS s)""")
+FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) // 2 + 1)) AS i FROM embeddings), (SELECT unnest(range(2)) AS s)""")
 def threshold_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-12: a point's ears, one row each; clamped where the range is there."""
     v = lambda i, s: F.element_at("embedding", (2 * i + s - 1).cast("int"))
     ear = lambda i, s, name: F.struct(F.lit(name).alias("ear"), v(i, s).cast("double").alias("sensitivity"), (v(i, s) < 0).alias("masked"), F.when(F.abs(v(i, s)) > F.lit(0.2).cast("float"), F.lit("range")).alias("clamping"))
-    points = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.struct((i * 125).cast("double").alias("frequency"), F.array(ear(i, F.lit(0), "left"), ear(i, F.lit(1), "right")).alias("ears")))
+    halves = F.filter(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int")), lambda i: i > 0)
+    points = F.transform(halves, lambda i: F.struct((i * 125).cast("double").alias("frequency"), F.array(ear(i, F.lit(0), "left"), ear(i, F.lit(1), "right")).alias("ears")))
     return domain.thresholds(adapters.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").select("id", points.alias("points")))
 
 
@@ -206,17 +212,20 @@ def valence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mood(spark, sf_dir).groupBy(domain.valence_band(F.col("valence")).alias("band")).agg(F.count(F.lit(1)).alias("entries"))
 
 
-@query("""WITH w AS (SELECT s_suppkey % 4 AS destination, p_partkey % 100 AS type FROM (SELECT DISTINCT s_suppkey % 4 AS s_suppkey FROM supplier) s CROSS JOIN (SELECT DISTINCT p_partkey % 100 AS p_partkey FROM part) p), st AS (
+_BACKFILL = """WITH w AS (SELECT s_suppkey % 4 AS destination, p_partkey % 100 AS type FROM (SELECT DISTINCT s_suppkey % 4 AS s_suppkey FROM supplier) s CROSS JOIN (SELECT DISTINCT p_partkey % 100 AS p_partkey FROM part) p), st AS (
   SELECT l_suppkey % 4 AS destination, l_partkey % 100 AS type, count(*) AS records, bool_and(l_quantity > 0) AND any_value(l_partkey % 100) % 3 <> 0 AS closed, bool_or(l_tax > 0.07) AND any_value(l_partkey % 100) % 5 = 0 AS failed
-  FROM lineitem WHERE l_partkey % 100 > 20 OR l_suppkey % 4 = 0 GROUP BY ALL
+  FROM lineitem GROUP BY ALL
 ), t AS (SELECT w.type, bool_and(coalesce(closed, false)) AS complete, bool_or(coalesce(closed, false) OR coalesce(records, 0) > 0) AS started, sum(coalesce(records, 0)) AS records, bool_or(coalesce(failed, false)) AS failed FROM w LEFT JOIN st ON w.destination = st.destination AND w.type = st.type GROUP BY 1)
-SELECT count(*) FILTER (WHERE complete)::BIGINT AS complete, count(*) FILTER (WHERE started)::BIGINT AS started, count(*)::BIGINT AS selected, sum(records)::BIGINT AS records, count(*) FILTER (WHERE complete AND records = 0)::BIGINT AS empty, count(*) FILTER (WHERE failed AND NOT complete)::BIGINT AS failed FROM t""")
+SELECT count(*) FILTER (WHERE complete)::BIGINT AS complete, count(*) FILTER (WHERE started)::BIGINT AS started, count(*)::BIGINT AS selected, sum(records)::BIGINT AS records, count(*) FILTER (WHERE complete AND records = 0)::BIGINT AS empty, count(*) FILTER (WHERE failed AND NOT complete)::BIGINT AS failed FROM t"""
+
+
+@query(_BACKFILL)
 def backfill_all_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """APP-09: complete only where every destination closed it; some streams are missing, as in the SQL (``backfill_all_rows`` has all)."""
-    return _backfill(spark, sf_dir, adapters.table(spark, sf_dir, "lineitem").where("l_partkey % 100 > 20 or l_suppkey % 4 = 0"))
+    """APP-09: complete only where every destination closed it; a stream that isn't there hasn't closed."""
+    return _backfill(spark, sf_dir, adapters.table(spark, sf_dir, "lineitem"))
 
 
-@query()
+@query(_BACKFILL)
 def backfill_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """APP-09 over all rows."""
     return _backfill(spark, sf_dir, adapters.table(spark, sf_dir, "lineitem"))

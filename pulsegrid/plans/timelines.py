@@ -188,15 +188,14 @@ _TREND_OUT = "SELECT type, days, status, direction, round(slope, 5) AS slope, ro
 _TREND_ROUNDED = ("slope", "per_week", "ci_low", "ci_high", "start_value", "end_value", "r_squared")
 
 
-def _daily(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Mean and records of each type and day.  The SQL twins take error readings only of every third day, so that one type has too few; ``whole`` takes all."""
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and records of each type and day."""
     rows = adapters.sample(spark, sf_dir).where("value is not null").groupBy("type", F.to_date("start_ts").alias("day")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("records"))
-    rows = rows if whole else rows.where("type <> 'error' or day(day) % 3 = 0")
     return rows.select("type", "day", (F.round("s", 2) / F.col("records")).alias("value"), "records")
 
 
-_DAILY = f"""{SAMPLE_SQL}, daily AS (SELECT * FROM (
-  SELECT type, start_ts::DATE AS day, round(sum(value), 2) / count(*) AS value, count(*)::BIGINT AS records FROM sample WHERE value IS NOT NULL GROUP BY ALL) WHERE type <> 'error' OR day(day) % 3 = 0)"""
+_DAILY = f"""{SAMPLE_SQL}, daily AS (
+  SELECT type, start_ts::DATE AS day, round(sum(value), 2) / count(*) AS value, count(*)::BIGINT AS records FROM sample WHERE value IS NOT NULL GROUP BY ALL)"""
 
 
 def _round(df: DataFrame, columns: tuple[str, ...], digits: int = 5) -> DataFrame:
@@ -209,10 +208,10 @@ def trend_ols_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(stats.trend(_daily(spark, sf_dir), ["type"]), _TREND_ROUNDED)
 
 
-@query()
+@query(f"WITH {_DAILY}, {_trend_sql('daily')} {_TREND_OUT}")
 def trend_ols_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA-01, STA-02 over all days of all types."""
-    return _round(stats.trend(_daily(spark, sf_dir, whole=True), ["type"]), _TREND_ROUNDED)
+    return _round(stats.trend(_daily(spark, sf_dir), ["type"]), _TREND_ROUNDED)
 
 
 @query(f"""WITH {_DAILY}, o AS (SELECT o_orderpriority AS type, o_orderdate::DATE AS day, sum(o_totalprice) AS value FROM orders GROUP BY ALL), mix AS (
@@ -250,10 +249,10 @@ def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlation(spark, sf_dir, _daily(spark, sf_dir))
 
 
-@query()
+@query(_CORRELATION)
 def correlation_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA-03, STA-04 over all days of all types."""
-    return _correlation(spark, sf_dir, _daily(spark, sf_dir, whole=True))
+    return _correlation(spark, sf_dir, _daily(spark, sf_dir))
 
 
 def _correlation(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
@@ -267,17 +266,20 @@ def _correlation(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
     return _round(_round(out, ("r", "ci_low", "ci_high")), ("effective_days",), 4)
 
 
-@query(f"""WITH {_DAILY}, l AS (SELECT type, value AS v, lag(value) OVER (PARTITION BY type ORDER BY day) AS p FROM daily)
-SELECT type, count(*)::BIGINT AS n, round(CASE WHEN count(*) > 2 THEN greatest(0.0, coalesce(regr_sxy(v, p) / nullif(sqrt(regr_sxx(v, p) * regr_syy(v, p)), 0), 0.0)) ELSE 0.0 END, 6) AS lag1 FROM l GROUP BY type""")
+_LAG_ONE = f"""WITH {_DAILY}, l AS (SELECT type, value AS v, lag(value) OVER (PARTITION BY type ORDER BY day) AS p FROM daily)
+SELECT type, count(*)::BIGINT AS n, round(CASE WHEN count(*) > 2 THEN greatest(0.0, coalesce(regr_sxy(v, p) / nullif(sqrt(regr_sxx(v, p) * regr_syy(v, p)), 0), 0.0)) ELSE 0.0 END, 6) AS lag1 FROM l GROUP BY type"""
+
+
+@query(_LAG_ONE)
 def lag1_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-04, T11: by row, not by day."""
     return _round(stats.lag_one(_daily(spark, sf_dir), ["type"]), ("lag1",), 6)
 
 
-@query()
+@query(_LAG_ONE)
 def lag1_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-04 over all days of all types."""
-    return _round(stats.lag_one(_daily(spark, sf_dir, whole=True), ["type"]), ("lag1",), 6)
+    return _round(stats.lag_one(_daily(spark, sf_dir), ["type"]), ("lag1",), 6)
 
 
 _JUDGED = """f AS (SELECT key, count(*)::BIGINT AS days, greatest(1.0, median(records) * 0.34) AS floor FROM d GROUP BY key),

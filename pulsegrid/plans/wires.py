@@ -57,17 +57,21 @@ def metrics_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.metric_points(adapters.sample(spark, sf_dir))
 
 
-@query(f"""WITH {SAMPLE_SQL}, p AS (SELECT type, id, '{{"date":"' || {_ISO.format("start_ts")} || '"' || CASE WHEN end_ts <> start_ts THEN ',"endDate":"' || {_ISO.format("end_ts")} || '"' ELSE '' END || ',"source":"' || source_name || '","units":"u"}}' AS point FROM sample)
-SELECT type AS name, count(*)::BIGINT AS points, '{{"data":[' || string_agg(point, ',' ORDER BY id) || '],"name":"' || type || '","units":"u"}}' AS metric FROM p GROUP BY type""")
+_METRICS = f"""WITH {SAMPLE_SQL}, p AS (SELECT type, id, id // 500 AS batch, '{{"date":"' || {_ISO.format("start_ts")} || '"' || CASE WHEN end_ts <> start_ts THEN ',"endDate":"' || {_ISO.format("end_ts")} || '"' ELSE '' END
+  || CASE WHEN value IS NOT NULL THEN ',"qty":' || value::VARCHAR ELSE '' END || ',"source":"' || source_name || '","units":"u"}}' AS point FROM sample)
+SELECT type AS name, batch::BIGINT AS batch, count(*)::BIGINT AS points, '{{"data":[' || string_agg(point, ',' ORDER BY id) || '],"name":"' || type || '","units":"u"}}' AS metric FROM p GROUP BY type, batch"""
+
+
+@query(_METRICS)
 def metrics_group_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-04: points in their order; values are left out, engines print them unlike; one row a type, as in the SQL (``metrics_values_json`` has values and batches)."""
-    return out.metrics_json(adapters.sample(spark, sf_dir).withColumn("value", F.lit(None).cast("double")))
+    """SNK-04: points in their order, in delivery batches of 500 ids."""
+    return out.metrics_json(adapters.sample(spark, sf_dir), batch=F.floor(F.col("id") / 500))
 
 
-@query()
+@query(_METRICS)
 def metrics_values_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-04 with values, in batches of 500 ids; no SQL twin."""
-    return out.metrics_json(adapters.sample(spark, sf_dir), batch=F.floor(F.col("id") / 500))
+    """SNK-04, as ``metrics_group_json``."""
+    return metrics_group_json(spark, sf_dir)
 
 
 _NY = "timezone('America/New_York', {} AT TIME ZONE 'UTC')"
@@ -79,22 +83,25 @@ def dialect_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.dialect_points(adapters.sample(spark, sf_dir), ZONE).select("id", "name", "date", "end_date", "qty", "units")
 
 
-@query(f"""WITH {SAMPLE_SQL}, r AS (
-  SELECT *, (epoch_us(start_ts) // 1000) * 1000000 AS stamp, (epoch_us(end_ts) // 1000 - epoch_us(start_ts) // 1000) // 1000 AS span FROM sample
+_LINES = f"""WITH {SAMPLE_SQL}, r AS (
+  SELECT *, (epoch_us(start_ts) // 1000) * 1000000 AS stamp, (epoch_us(end_ts) // 1000 - epoch_us(start_ts) // 1000) / 1000.0::DOUBLE AS span FROM sample
 )
 SELECT id, CASE WHEN id % 5 = 0 THEN 'health_deletions,type=' || type || ',id=' || id || ' deleted=true '
-  WHEN id % 5 = 1 THEN 'health_workouts,type=workout,activity=Cross\\ Training,source=a\\,b\\=' || source_name || ' id="' || id || '" '
-  ELSE 'health_events,type=' || type || ',source=a\\,b\\=' || source_name || ',device=Watch id="' || id || '" ' END || stamp AS line FROM r""")
+  WHEN id % 5 = 1 THEN 'health_workouts,type=workout,activity=Cross\\ Training,source=a\\,b\\=' || source_name || ' duration=' || span::VARCHAR || ',id="' || id || '" '
+  WHEN value IS NOT NULL THEN 'health,type=' || type || ',source=a\\,b\\=' || source_name || ',device=Watch,unit=u value=' || value::VARCHAR || CASE WHEN span > 0 THEN ',duration=' || span::VARCHAR ELSE '' END || ' '
+  ELSE 'health_events,type=' || type || ',source=a\\,b\\=' || source_name || ',device=Watch id="' || id || '"' || CASE WHEN span > 0 THEN ',duration=' || span::VARCHAR ELSE '' END || ' ' END || stamp AS line FROM r"""
+
+
+@query(_LINES)
 def line_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-07: routing, tags, escapes and nanoseconds; numbers are left out, engines print them unlike (``line_protocol_values`` has them)."""
-    none = F.lit(None).cast("double")
-    return _line_protocol(adapters.sample(spark, sf_dir).withColumn("end_ts", F.col("start_ts")), none, none)
+    """SNK-07: routing, tags, escapes, values, durations and nanoseconds."""
+    return _line_protocol(adapters.sample(spark, sf_dir), F.col("value"), seconds_between(F.col("start_ts"), F.col("end_ts")))
 
 
-@query()
+@query(_LINES)
 def line_protocol_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-07 with values and durations; no SQL twin."""
-    return _line_protocol(adapters.sample(spark, sf_dir), F.col("value"), seconds_between(F.col("start_ts"), F.col("end_ts")))
+    """SNK-07, as ``line_protocol``."""
+    return line_protocol(spark, sf_dir)
 
 
 def _line_protocol(s: DataFrame, value: Column, duration: Column) -> DataFrame:
@@ -104,16 +111,20 @@ def _line_protocol(s: DataFrame, value: Column, duration: Column) -> DataFrame:
     return out.line_protocol(rows)
 
 
-@query(f"""WITH {SAMPLE_SQL} SELECT id, id || ',' || type || ',quantity,' || {_ISO.format("start_ts")} || ',' || {_ISO.format("end_ts")} || ',' || trunc(value)::BIGINT || ',u,' || source_name || ',false' AS line FROM sample""")
+_CSV = f"""WITH {SAMPLE_SQL} SELECT id, id || ',' || type || ',quantity,' || {_ISO.format("start_ts")} || ',' || {_ISO.format("end_ts")} || ',' ||
+  CASE WHEN value IS NULL THEN '' WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END || ',u,' || source_name || ',false' AS line FROM sample"""
+
+
+@query(_CSV)
 def csv_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-03: integral numbers have no point; values are cut to integers, as in the SQL (``csv_flat_values`` has them whole)."""
-    return out.csv_lines(adapters.sample(spark, sf_dir).withColumn("value", F.expr("cast(cast(value as bigint) as double)")))
+    """SNK-03: integral numbers have no point."""
+    return out.csv_lines(adapters.sample(spark, sf_dir))
 
 
-@query()
+@query(_CSV)
 def csv_flat_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-03 with whole values; no SQL twin."""
-    return out.csv_lines(adapters.sample(spark, sf_dir))
+    """SNK-03, as ``csv_flat``."""
+    return csv_flat(spark, sf_dir)
 
 
 @query(f"WITH {SAMPLE_SQL} SELECT id, source_name, (row_number() OVER (PARTITION BY source_name ORDER BY start_ts, id) - 1) // 7 AS part FROM sample")
@@ -125,9 +136,13 @@ def payload_split_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.split_by_count(rows, "source_name", "pos", 7).select("id", "source_name", "part")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SAMPLE_SQL}, n AS (SELECT id, source_name, raw, strlen(coalesce(raw, '')) AS size, row_number() OVER (PARTITION BY source_name ORDER BY id) AS k FROM sample), walk AS (
+  SELECT id, source_name, raw, k, size AS held, 0::BIGINT AS part FROM n WHERE k = 1
+  UNION ALL SELECT n.id, n.source_name, n.raw, n.k, CASE WHEN w.held > 0 AND w.held + n.size > 64 THEN n.size ELSE w.held + n.size END, CASE WHEN w.held > 0 AND w.held + n.size > 64 THEN w.part + 1 ELSE w.part END
+  FROM walk w JOIN n ON n.source_name = w.source_name AND n.k = w.k + 1
+) SELECT id, source_name, raw, part FROM walk""")
 def payload_split_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-12: which part depends on all records before it; no SQL twin."""
+    """SNK-12: which part depends on all records before it."""
     return out.split_by_bytes(adapters.sample(spark, sf_dir).select("id", "source_name", "raw"), "source_name", "id", "raw", 64)
 
 
@@ -137,17 +152,22 @@ def latest_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.latest_topics(adapters.sample(spark, sf_dir))
 
 
-@query("""SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN contains(text, 'ConnectionTest') THEN 'probe' WHEN starts_with(trim(text), '[') THEN 'array' WHEN starts_with(trim(text), '{') AND contains(text, '"metrics"') THEN 'metrics'
-  WHEN starts_with(trim(text), '{') THEN 'ndjson' WHEN contains(string_split(trim(text), chr(10))[1], 'startDate') AND contains(string_split(trim(text), chr(10))[1], ',') THEN 'csv' ELSE 'ndjson' END AS format
-FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN ' ' WHEN 1 THEN '[' || text WHEN 2 THEN '{"data":{"metrics"' || text WHEN 3 THEN '{' || text WHEN 4 THEN 'id,startDate' || chr(10) || text WHEN 5 THEN 'ConnectionTest' ELSE text END AS text FROM documents)""")
+def _sniffed(source: str) -> str:
+    return f"""SELECT doc_id, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'empty' WHEN starts_with(trim(text, ' '), '{{') AND regexp_matches(text, '"[A-Za-z]*ConnectionTest"') THEN 'probe' WHEN starts_with(trim(text, ' '), '[') THEN 'array'
+  WHEN starts_with(trim(text, ' '), '{{') AND contains(text, '"metrics"') THEN 'metrics' WHEN starts_with(trim(text, ' '), '{{') THEN 'ndjson'
+  WHEN contains(string_split(trim(text, ' '), chr(10))[1], 'startDate') AND contains(string_split(trim(text, ' '), chr(10))[1], ',') THEN 'csv' ELSE 'ndjson' END AS format FROM ({source})"""
+
+
+@query(_sniffed("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN ' ' || text WHEN 1 THEN '[' || text WHEN 2 THEN '{"data":{"metrics"' || text WHEN 3 THEN '{' || text WHEN 4 THEN 'id,startDate' || chr(10) || text
+  WHEN 5 THEN '{"kind":"aConnectionTest"}' || text ELSE 'ConnectionTest ' || text END AS text FROM documents"""))
 def payload_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-01 over made-up texts, two of seven fixed (``payload_sniffing_texts`` has the documents' own)."""
+    """SRC-01: the documents' texts as payloads of seven beginnings."""
     n = F.col("doc_id") % 7
-    text = F.when(n == 0, " ").when(n == 1, F.concat(F.lit("["), "text")).when(n == 2, F.concat(F.lit('{"data":{"metrics"'), "text")).when(n == 3, F.concat(F.lit("{"), "text")).when(n == 4, F.concat(F.lit("id,startDate\n"), "text")).when(n == 5, "ConnectionTest").otherwise(F.col("text"))
-    return adapters.table(spark, sf_dir, "documents").select("doc_id", formats.payload_format(text).alias("format"))
+    begin = F.when(n == 0, " ").when(n == 1, "[").when(n == 2, '{"data":{"metrics"').when(n == 3, "{").when(n == 4, "id,startDate\n").when(n == 5, '{"kind":"aConnectionTest"}').otherwise("ConnectionTest ")
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", formats.payload_format(F.concat(begin, "text")).alias("format"))
 
 
-@query()
+@query(_sniffed("SELECT doc_id, text FROM documents"))
 def payload_sniffing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-01 over the documents' own texts."""
     return adapters.table(spark, sf_dir, "documents").select("doc_id", formats.payload_format(F.col("text")).alias("format"))

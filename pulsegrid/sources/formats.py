@@ -14,13 +14,13 @@ ENVELOPE = """struct<data: struct<
     deletions: array<struct<name: string, type: string, date: string>>>>"""
 
 
-def payload_format(payload: Column) -> Column:
-    """empty, probe, array, metrics, ndjson or csv, by what the text begins with."""
+def payload_format(payload: Column, probe: str = '"[A-Za-z]*ConnectionTest"') -> Column:
+    """empty, probe, array, metrics, ndjson or csv, by what the text begins with; a probe is an object with the quoted mark ``probe``."""
     bare = F.btrim(payload)
     header = F.split_part(bare, F.lit("\n"), F.lit(1))
     return (
         F.when(F.coalesce(bare, F.lit("")) == "", "empty")
-        .when(bare.contains("ConnectionTest"), "probe")
+        .when(bare.startswith("{") & bare.rlike(probe), "probe")
         .when(bare.startswith("["), "array")
         .when(bare.startswith("{") & bare.contains('"metrics"'), "metrics")
         .when(bare.startswith("{"), "ndjson")

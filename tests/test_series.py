@@ -121,6 +121,19 @@ def test_sleep_is_time_covered(spark):
     assert night(spark, [("2026-02-28 23:00", "2026-03-01 07:00", 3.0)], first="2026-03-01 00:00:00") == {"2026-03-01": 8.0}
 
 
+def test_a_night_of_two_devices_is_one_night(spark):
+    data = [("2026-03-01 23:00", 3.0, 1, "2026-03-02 07:00"), ("2026-03-01 23:30", 3.0, 1, "2026-03-02 06:30"), ("2026-03-02 23:00", 4.0, 1, "2026-03-03 01:00"), ("2026-03-03 00:30", 3.0, 1, "2026-03-03 03:00")]
+    cols = series.series(rows(spark, data, SLEEP, None), measure(spark, "duration", SLEEP, [1, 3, 4, 5]), bucket_plan(spark, "2026-03-01", "2026-03-03", "day"))
+    assert {r.bucket_start.day: r.seconds / 3600 for r in cols.collect()} == {1: 0.0, 2: 8.0, 3: 4.0}
+    assert series.headline(cols, series.unit_guard(rows(spark, data, SLEEP))).first().headline == 12 * 3600
+
+
+def test_a_stretch_that_begins_where_the_plan_ends_is_not_merged(spark):
+    data = [("2026-03-01 20:00", 3.0, 1, "2026-03-01 22:00"), ("2026-03-01 23:00", 3.0, 1, "2026-03-02 00:00"), ("2026-03-02 00:00", 3.0, 1, "2026-03-02 01:00")]
+    cols = series.series(rows(spark, data, SLEEP, None), measure(spark, "duration", SLEEP, [3]), bucket_plan(spark, "2026-03-01", "2026-03-01", "day"))
+    assert [r.seconds for r in cols.collect()] == [10_800.0]
+
+
 def test_bounds_and_plans_are_checked(spark):
     with pytest.raises(ValueError):
         series.aggregate(rows(spark, []), measure(spark, "total"), "decade")
