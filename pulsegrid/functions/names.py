@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pulsegrid.schema import ACTIVITIES, CUMULATIVE, DURATION_CATEGORIES, METRIC_NAMES, OCCURRENCE_CATEGORIES, PLAIN_METRICS, PREFIXES, SLEEP_STAGES
-
-_CURATED = {{"Q": PREFIXES[0], "C": PREFIXES[1]}[k[0]] + k[2:]: v for k, v in METRIC_NAMES.items()}
-
-_PLAIN = [{"Q": PREFIXES[0], "C": PREFIXES[1]}[k[0]] + k[2:] for k in PLAIN_METRICS]
+from pulsegrid.schema import ACTIVITIES, CUMULATIVE, DURATION_CATEGORIES, METRIC_NAMES, OCCURRENCE_CATEGORIES, PREFIXES, SLEEP_STAGES
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -46,13 +42,47 @@ def snake(name: Column) -> Column:
 
 
 def metric_name(type_: Column) -> Column:
-    return F.coalesce(lookup(_CURATED, type_), snake(F.regexp_replace(type_, f"^({PREFIXES[0]}|{PREFIXES[1]})", "")))
+    return F.coalesce(lookup(METRIC_NAMES, type_), snake(F.regexp_replace(type_, f"^({PREFIXES[0]}|{PREFIXES[1]})", "")))
 
 
 def type_of_metric(metric: Column) -> Column:
     """The identifier that a listed metric name stands for, else null."""
-    plain = F.filter(F.array(*(F.lit(x) for x in _PLAIN)), lambda x: metric_name(x) == metric)
-    return F.coalesce(lookup({v: k for k, v in _CURATED.items()}, metric), F.try_element_at(plain, F.lit(1)))
+    return lookup({v: k for k, v in METRIC_NAMES.items()}, metric)
+
+
+def catalogue_name(type_: Column) -> Column:
+    """The display name as a catalogue has it: runs of capitals are words too."""
+    apart = F.regexp_replace(stripped(type_), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.when(stripped(type_) == "", type_).otherwise(F.regexp_replace(apart, "([a-z0-9])([A-Z])", "$1 $2"))
+
+
+def tool_number(value: Column) -> Column:
+    """Integral numbers under 1e15 without a point, others with two digits."""
+    return F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("long").cast("string")).otherwise(F.format_string("%.2f", value))
+
+
+def xml_text(text: Column) -> Column:
+    """Text for XML: the five characters that have a meaning, and none that XML 1.0 forbids."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
+    for char, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "apos")):
+        out = F.replace(out, F.lit(char), F.lit(f"&{name};"))
+    return out
+
+
+def slug(text: Column, empty: str = "route") -> Column:
+    """Lower-case letters and digits with single dashes between."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.when(out == "", empty).otherwise(out)
+
+
+def header_safe(text: Column, most: int = 200) -> Column:
+    """A header's value: bytes that are no visible ASCII, and percent signs, as %XX; cut to ``most`` characters; null for an empty one."""
+    kept = F.left(text, F.lit(most))
+    encoded = F.replace(F.url_encode(kept), F.lit("+"), F.lit("%20"))
+    plain = {"%21": "!", "%22": '"', "%23": "#", "%24": "$", "%26": "&", "%27": "'", "%28": "(", "%29": ")", "%2B": "+", "%2C": ",", "%2F": "/", "%3A": ":", "%3B": ";", "%3C": "<", "%3D": "=", "%3E": ">", "%3F": "?", "%40": "@", "%5B": "[", "%5C": "\\", "%5D": "]", "%5E": "^", "%60": "`", "%7B": "{", "%7C": "|", "%7D": "}", "%7E": "~"}
+    for code, char in plain.items():
+        encoded = F.replace(encoded, F.lit(code), F.lit(char))
+    return F.nullif(encoded, F.lit(""))
 
 
 def display_name(type_: Column) -> Column:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +45,15 @@ def keep_last(rows: DataFrame, keys: list[str], order: list[Column], n: int) ->
 
 
 def quarantine(lines: DataFrame, text: str, parser_version: int) -> DataFrame:
-    """(fingerprint, kind, reason, raw, parser_version): lines that can't be read, each content once."""
+    """(fingerprint, kind, reason, raw, seen, parser_version): lines that can't be read, each content once.
+
+    JSON is fingerprinted as a variant writes it, whose keys are sorted: their order makes no second row.
+    """
     parsed = F.try_parse_json(text)
     kind = F.try_variant_get(parsed, "$.kind", "string")
     whole = F.try_variant_get(parsed, "$.id", "string").isNotNull() & F.try_variant_get(parsed, "$.type", "string").isNotNull() & F.try_variant_get(parsed, "$.startDate", "string").isNotNull()
     reason = F.when(parsed.isNull(), "not_json").when(~F.coalesce(whole, F.lit(False)), "missing_fields")
-    rows = lines.select(F.sha2(F.col(text).cast("binary"), 256).alias("fingerprint"), kind.alias("kind"), reason.alias("reason"), F.col(text).alias("raw")).where("reason is not null")
+    rows = lines.select(F.sha2(F.coalesce(F.to_json(parsed), F.col(text)).cast("binary"), 256).alias("fingerprint"), kind.alias("kind"), reason.alias("reason"), F.col(text).alias("raw")).where("reason is not null")
     return rows.groupBy("fingerprint").agg(F.first("kind").alias("kind"), F.first("reason").alias("reason"), F.first("raw").alias("raw"), F.count(F.lit(1)).alias("seen")).withColumn("parser_version", F.lit(parser_version))
 
 
@@ -101,25 +100,47 @@ def rotated(types: DataFrame, key: str, hour_slot: int) -> DataFrame:
 
 
 def digest(reports: DataFrame, columns: list[str]) -> DataFrame:
-    """One digest of all reports in any order: equal content gives an equal digest.
+    """(reports, digest): one digest of all reports in any order: equal content gives an equal digest.
 
-    The digest is of the sorted reports, so one task walks them; it holds an Arrow batch at a time,
-    and the sort before it spills.
+    Each report's SHA-256 counts as four numbers of 60 bits; their sums over all reports, which partial
+    aggregation adds up, and the count are what the digest is of.
     """
     told = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    rows = reports.select(F.sha2(told.cast("binary"), 256).alias("h"))
+    sums = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)]
+    whole = rows.agg(F.count(F.lit(1)).alias("reports"), *sums)
+    return whole.select("reports", F.sha2(F.concat_ws(":", F.col("reports").cast("string"), *(f"s{i}" for i in range(4))).cast("binary"), 256).alias("digest"))
+
+
+def observed(digests: DataFrame, held: DataFrame, key: str = "destination") -> DataFrame:
+    """(key, digest, moment, is_new): the moment of observation moves only where the digest isn't the one held.
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, begun = hashlib.sha256(), False
-        for batch in batches:
-            for line in batch.column(0).to_pylist():
-                state.update(b"\n" + line if begun else line)
-                begun = True
-        if begun:
-            yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], names=["digest"])
-
-    ordered = reports.select(told.alias("told")).repartition(1).sortWithinPartitions("told")
-    done = ordered.select(F.col("told").cast("binary")).mapInArrow(walk, "digest string")
-    return done.agg(F.coalesce(F.max("digest"), F.sha2(F.lit("").cast("binary"), 256)).alias("digest"))
+    ``digests``: key, digest, now; ``held``: key, digest, moment.
+    """
+    was = held.select(key, F.col("digest").alias("_digest"), F.col("moment").alias("_moment"))
+    met = digests.join(was, key, "left")
+    same = F.coalesce((F.col("digest") == F.col("_digest")) & F.col("_moment").isNotNull(), F.lit(False))
+    return met.select(key, "digest", F.when(same, F.col("_moment")).otherwise(F.col("now")).alias("moment"), (~same).alias("is_new"))
+
+
+def commit_anchors(stored: DataFrame, commits: DataFrame, key: str = "type") -> DataFrame:
+    """(key, anchor, delivered, status) after commits (key, base, anchor, delivered): only one whose base is the stored anchor counts.
+
+    ``stored``: key, anchor, delivered.  ``stale`` commits change nothing, others add to what was delivered.
+    """
+    new = commits.select(key, "base", F.col("anchor").alias("_anchor"), F.col("delivered").alias("_delivered"))
+    met = stored.join(new, key, "full")
+    fits = F.col("base").eqNullSafe(F.col("anchor"))
+    status = F.when(F.col("_anchor").isNull(), "kept").when(fits, "committed").otherwise("stale")
+    took = status == "committed"
+    return met.select(key, F.when(took, F.col("_anchor")).otherwise(F.col("anchor")).alias("anchor"), (F.coalesce("delivered", F.lit(0)) + F.when(took, F.coalesce("_delivered", F.lit(0))).otherwise(0)).alias("delivered"), status.alias("status"))
+
+
+def due(destinations: DataFrame, now: Column) -> DataFrame:
+    """``destinations`` (cadence, last_attempt) that are due: a cadence's floor has passed, or nothing was ever tried; manual ones never are."""
+    seconds = F.when(F.col("cadence") == "frequent", 300).when(F.col("cadence") == "hourly", 3300).when(F.col("cadence") == "daily", 82_800)
+    passed = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_attempt").cast("timestamp")) >= seconds
+    return destinations.where(seconds.isNotNull() & (F.col("last_attempt").isNull() | passed))
 
 
 def retry_delay(attempt: Column, transient: Column) -> Column:

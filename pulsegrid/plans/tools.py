@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
@@ -45,7 +45,7 @@ class Archive:
     measures: DataFrame
     coverage: DataFrame
     tz: str = "UTC"
-    now: str = "2024-02-01 00:00:00"
+    now: str = field(default_factory=lambda: datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
     mood: DataFrame | None = None
     doses: DataFrame | None = None
     workouts: DataFrame | None = None

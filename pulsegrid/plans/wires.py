@@ -181,7 +181,6 @@ def streaming_upsert_available_now(spark: SparkSession, sf_dir: str) -> DataFram
 
     home = scratch(spark, f"stream-{uuid.uuid4().hex}")
     _lines(spark, sf_dir).withColumnRenamed("value", "text").write.option("compression", "none").text(f"{home}/raw")
-    # Spark names its part files *.txt; the stream looks for settled *.ndjson ones.
-    lines = spark.readStream.option("pathGlobFilter", "*.txt").text(f"{home}/raw").select("value")
-    ingest.start_upsert(lines, f"{home}/log", f"{home}/checkpoint").awaitTermination()
+    # Spark names its part files *.txt.
+    ingest.start_upsert(ingest.line_stream(spark, f"{home}/raw", names="*.txt"), f"{home}/log", f"{home}/checkpoint").awaitTermination()
     return ingest.state(spark, f"{home}/log").select("id", "type", "value")

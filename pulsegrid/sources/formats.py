@@ -57,10 +57,14 @@ def record_fields(json: Column) -> list[Column]:
 OWN_KINDS = ["deletion", "characteristics", "characteristic", "typeCoverage", "medicationDose", "electrocardiogram", "electrocardiogramVoltages", "electrocardiogramEnd", "quantitySeriesReadings", "quantitySeriesEnd", "audiogram"]
 
 
-def route(lines: DataFrame, text: str = "value") -> DataFrame:
-    """Each line with its fields and where it goes: sample, deletion, its own kind's table, or quarantine."""
+#: What quarantined records were refused by.
+PARSER_VERSION = 7
+
+
+def route(lines: DataFrame, text: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Each line with its fields and where it goes: sample, deletion, its own kind's table, or quarantine; columns of ``keep`` stay."""
     json = F.col(text)
-    rows = lines.select(F.try_parse_json(json).isNotNull().alias("readable"), *record_fields(json), F.get_json_object(json, "$.deleted").alias("_deleted"))
+    rows = lines.select(*(keep or []), F.try_parse_json(json).isNotNull().alias("readable"), *record_fields(json), F.get_json_object(json, "$.deleted").alias("_deleted"))
     whole = F.col("id").isNotNull() & F.col("type").isNotNull() & F.col("start_ts").isNotNull()
     gone = (F.col("kind") == "deletion") | F.col("_deleted").isin("true", "1")
     to = F.when(~F.col("readable"), "quarantine").when(gone, "deletion").when(F.col("kind").isin(*OWN_KINDS), F.col("kind")).when(whole, "sample").otherwise("quarantine")
@@ -72,8 +76,34 @@ def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_array(payloads: DataFrame, text: str = "value") -> DataFrame:
-    """One row per element of JSON arrays; an array that can't be read gives none."""
-    return route(payloads.select(F.explode(F.from_json(text, "array<variant>")).alias("_v")).select(F.to_json("_v").alias("value")))
+    """One row per element of JSON arrays; an array that can't be read is one row whose route is unreadable."""
+    elements = F.from_json(text, "array<variant>")
+    whole = payloads.select(elements.isNull().alias("_bad"), F.when(elements.isNull(), F.array(text)).otherwise(F.transform(elements, lambda v: F.to_json(v))).alias("_e"))
+    rows = route(whole.select("_bad", F.explode("_e").alias("value")), keep=["_bad"])
+    return rows.withColumn("route", F.when(F.col("_bad"), "unreadable").otherwise(F.col("route"))).drop("_bad")
+
+
+def csv_records(lines: DataFrame, keep: list[str], text: str = "value") -> DataFrame:
+    """(keep, value): rows of the flat CSV as generic records; a row of a wrong number of fields is kept as it is."""
+    cut = lines.select(*keep, split_csv(F.col(text)).alias("f"), F.col(text).alias("raw")).where(~F.col("raw").startswith("id,type,kind,"))
+    field = lambda name: F.nullif(F.try_element_at("f", F.lit(CSV_COLUMNS.index(name) + 1)), F.lit(""))
+    gone = F.coalesce(field("deleted").isin("true", "1"), F.lit(False))
+    record = F.to_json(F.struct(
+        field("id").alias("id"), field("type").alias("type"), F.when(gone, "deletion").otherwise(field("kind")).alias("kind"), field("startDate").alias("startDate"), field("endDate").alias("endDate"),
+        field("value").try_cast("double").alias("value"), field("unit").alias("unit"), field("sourceName").alias("sourceName"),
+    ))
+    return cut.select(*keep, F.when(F.size("f") == len(CSV_COLUMNS), record).otherwise(F.col("raw")).alias("value"))
+
+
+def metrics_records(payloads: DataFrame, keep: list[str], text: str = "value") -> DataFrame:
+    """(keep, line, value): points, workouts and deletions of metrics envelopes as generic records; a deletion has a type, a date and no id."""
+    data = payloads.select(*keep, F.from_json(text, ENVELOPE)["data"].alias("d"))
+    name = lambda *cs: F.coalesce(*cs, F.lit("unknown"))
+    point = lambda m, p: F.to_json(F.struct(F.concat_ws(":", name(m["name"]), p["date"]).alias("id"), name(m["name"]).alias("type"), F.lit("quantity").alias("kind"), p["date"].alias("startDate"), p["endDate"].alias("endDate"), p["qty"].try_cast("double").alias("value"), m["units"].alias("unit"), p["source"].alias("sourceName")))
+    points = F.flatten(F.transform(F.coalesce("d.metrics", F.array()), lambda m: F.transform(F.coalesce(m["data"], F.array()), lambda p: point(m, p))))
+    workouts = F.transform(F.coalesce("d.workouts", F.array()), lambda w: F.to_json(F.struct(w["id"].alias("id"), F.coalesce(w["name"], F.lit("Workout")).alias("type"), F.lit("workout").alias("kind"), w["start"].alias("startDate"), w["end"].alias("endDate"), w["source"].alias("sourceName"))))
+    gone = F.transform(F.coalesce("d.deletions", F.array()), lambda x: F.to_json(F.struct(F.coalesce(x["name"], x["type"]).alias("type"), F.lit("deletion").alias("kind"), x["date"].alias("startDate"))))
+    return data.select(*keep, F.posexplode(F.concat(points, workouts, gone)).alias("line", "value"))
 
 
 def split_csv(line: Column) -> Column:
@@ -133,9 +163,11 @@ def coverage_lines(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def characteristics(lines: DataFrame, text: str = "value") -> DataFrame:
-    """One row per type of a line's map of characteristics."""
-    m = F.from_json(F.get_json_object(text, "$.characteristics"), "map<string, string>")
-    return lines.where(F.get_json_object(text, "$.kind") == "characteristics").select(F.explode(m).alias("type", "value"))
+    """One row per type of a line's map of characteristics, or the one of a line with a type and a value."""
+    t = lambda p: F.get_json_object(text, p)
+    m = F.from_json(t("$.characteristics"), "map<string, string>")
+    several = lines.where(t("$.kind") == "characteristics").select(F.explode(m).alias("type", "value"))
+    return several.unionByName(lines.where((t("$.kind") == "characteristic") & t("$.type").isNotNull()).select(t("$.type").alias("type"), t("$.value").alias("value")))
 
 
 def audiograms(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -146,6 +178,30 @@ def audiograms(lines: DataFrame, text: str = "value") -> DataFrame:
     return ears.select("id", "frequency", "e.ear", F.col("e.sensitivity.value").alias("sensitivity"), F.col("e.sensitivity.unit").alias("unit"), F.coalesce("e.masked", F.lit(False)).alias("masked"), F.col("e.clampingRange").isNotNull().alias("clamped"))
 
 
+def electrocardiograms(lines: DataFrame, text: str = "value") -> DataFrame:
+    """(id, start_ts, classification, symptoms, expected, heart_rate, hertz) of recordings' headers."""
+    t = lambda p: F.get_json_object(text, p)
+    return lines.where(t("$.kind") == "electrocardiogram").select(
+        t("$.id").alias("id"), parse_iso(t("$.startDate")).alias("start_ts"), t("$.classification.name").alias("classification"), t("$.symptomsStatus.name").alias("symptoms"),
+        t("$.numberOfVoltageMeasurements").try_cast("long").alias("expected"), t("$.averageHeartRate.value").try_cast("double").alias("heart_rate"), t("$.samplingFrequency.value").try_cast("double").alias("hertz"),
+    )
+
+
+def series_ends(lines: DataFrame, text: str = "value") -> DataFrame:
+    """(sample_id, kind, declared): the end markers of paged series, with the elements that they declare."""
+    t = lambda p: F.get_json_object(text, p)
+    kinds = ["electrocardiogramEnd", "quantitySeriesEnd", "workoutRouteEnd"]
+    return lines.where(t("$.kind").isin(*kinds)).select(t("$.sample").alias("sample_id"), t("$.kind").alias("kind"), t("$.count").try_cast("long").alias("declared"))
+
+
+def workout_legs(lines: DataFrame, text: str = "value") -> DataFrame:
+    """(workout_id, ordinal, leg, activity_type, start_ts, end_ts): the activities of workouts in their order."""
+    t = lambda p: F.get_json_object(text, p)
+    legs = F.from_json(t("$.activities"), "array<struct<id: string, activityType: int, startDate: string, endDate: string>>")
+    rows = lines.where(t("$.kind") == "workout").select(t("$.id").alias("workout_id"), F.posexplode(legs).alias("ordinal", "a"))
+    return rows.select("workout_id", "ordinal", F.col("a.id").alias("leg"), F.col("a.activityType").alias("activity_type"), parse_iso(F.col("a.startDate")).alias("start_ts"), parse_iso(F.col("a.endDate")).alias("end_ts"))
+
+
 def moods(lines: DataFrame, text: str = "value") -> DataFrame:
     t = lambda p: F.get_json_object(text, p)
     names = lambda p: F.array_join(F.transform(F.from_json(t(p), "array<struct<name: string>>"), lambda x: x["name"]), ", ")

@@ -1,39 +1,71 @@
-"""Streaming ingest: a folder of batches becomes a state of samples, each batch taken once."""
+"""Streaming ingest: a folder of batches becomes tables of samples and of the other kinds, each batch taken once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pulsegrid.operators.state import fold
-from pulsegrid.sources.formats import route
+from pulsegrid.operators.state import latest_wins
+from pulsegrid.sources import formats
 
 _COLUMNS = ["id", "type", "kind", "start_ts", "end_ts", "value", "unit", "source_name", "reading_count"]
 
 
-def line_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Lines of NDJSON files as they arrive; the file's name is the batch's key.
+def line_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000, names: str = "*.ndjson") -> DataFrame:
+    """(value, batch, modified, block): lines of NDJSON files as they arrive; the file's name is the batch's key.
 
     No watermark: a record's date says nothing about when it comes, and late ones count.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.ndjson").text(folder)
-    return lines.select("value", F.col("_metadata.file_name").alias("batch"), F.col("_metadata.file_modification_time").alias("modified"))
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", names).text(folder)
+    return lines.select("value", F.col("_metadata.file_name").alias("batch"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def payload_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000, names: str = "*.{ndjson,json,csv}") -> DataFrame:
+    """(value, batch, modified, block): whole files of any wire format; a request, and so a file, has 64 MB at most."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", names).text(folder, wholetext=True)
+    return files.select("value", F.col("_metadata.file_name").alias("batch"), F.col("_metadata.file_modification_time").alias("modified"), F.lit(0).cast("long").alias("block"))
+
+
+def lines_of_payloads(payloads: DataFrame) -> DataFrame:
+    """(value, batch, modified, block, line): payloads of any format as generic records, a line of JSON each.
+
+    An array that can't be read and a probe give no record; the former stays whole, for quarantine.  A
+    metrics envelope's deletions have a type and a date, and no id.
+    """
+    keep = ["batch", "modified", "block"]
+    held = payloads.withColumn("format", formats.payload_format(F.col("value")))
+    each = lambda kind, pieces: held.where(F.col("format") == kind).select(*keep, F.posexplode(pieces).alias("line", "value"))
+    texts = F.filter(F.split("value", "\\r?\\n"), lambda x: F.btrim(x) != "")
+    elements = F.from_json("value", "array<variant>")
+    array = each("array", F.when(elements.isNull(), F.array("value")).otherwise(F.transform(elements, lambda v: F.to_json(v))))
+    rows = each("ndjson", texts).unionByName(array)
+    fields = each("csv", texts)
+    csv = formats.csv_records(fields, keep + ["line"])
+    metrics = formats.metrics_records(held.where("format = 'metrics'"), keep)
+    return rows.unionByName(csv).unionByName(metrics).select("value", *keep, F.col("line").cast("long").alias("line"))
 
 
 def changes_of(lines: DataFrame, epoch: int) -> DataFrame:
-    """Upserts and deletes of a micro-batch in the order (epoch, phase, file, …): within it, upserts come first."""
-    routed = route(lines.select("value")).where("route in ('sample', 'deletion') and id is not null")
-    op = F.when(F.col("route") == "deletion", "delete").otherwise("upsert")
-    seq = F.struct(F.lit(epoch).cast("long").alias("epoch"), F.when(F.col("route") == "deletion", 1).otherwise(0).alias("phase"), F.col("start_ts").alias("at"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    return routed.select(*_COLUMNS, op.alias("op"), seq.alias("seq"))
+    """Every line with its fields and route, in the order seq: (epoch, file's time and name, upserts first, place in the file)."""
+    if "line" not in lines.columns:
+        lines = lines.withColumn("line", F.monotonically_increasing_id())
+    for name, kind in (("batch", "string"), ("modified", "timestamp"), ("block", "long")):
+        lines = lines if name in lines.columns else lines.withColumn(name, F.lit(None).cast(kind))
+    routed = formats.route(lines, keep=["batch", "modified", "block", "line"])
+    phase = F.when(F.col("route") == "deletion", 1).otherwise(0)
+    seq = F.struct(F.lit(epoch).cast("long").alias("epoch"), "modified", "batch", phase.alias("phase"), "block", "line")
+    return routed.select(*_COLUMNS, "route", "raw", seq.alias("seq"))
 
 
 def start_upsert(lines: DataFrame, log: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append each micro-batch's changes under ``log``/epoch=n; writing an epoch again replaces it.
 
-    The effect is exactly once: Spark replays an unfinished epoch with the same rows, and the replay
-    overwrites its own folder.  ``state`` folds the log.
+    ``lines`` is a ``line_stream`` or a ``payload_stream`` with ``lines_of_payloads``.  The effect is exactly
+    once: Spark replays an unfinished epoch with the same rows, and the replay overwrites its own folder.
+    All tables are folds of this one log, so a batch is in all of them or in none.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
@@ -43,9 +75,66 @@ def start_upsert(lines: DataFrame, log: str, checkpoint: str, available_now: boo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def changes(spark: SparkSession, log: str) -> DataFrame:
+    return spark.read.option("basePath", log).parquet(f"{log}/epoch=*").drop("epoch")
+
+
 def state(spark: SparkSession, log: str) -> DataFrame:
-    """The samples after all epochs: the last change of each id, unless it deletes.  Tombstones go by id, whatever the type."""
-    return fold(spark.read.option("basePath", log).parquet(f"{log}/epoch=*").drop("epoch"), ["id"], ["seq"]).drop("seq")
+    """The samples after all epochs: the last upsert of each id and type that no later tombstone deletes.
+
+    A tombstone with an id deletes it in every type; one without, which has a type and a date, deletes
+    what began then.
+    """
+    log_ = changes(spark, log)
+    held = latest_wins(log_.where("route = 'sample' and id is not null").drop("route", "raw"), ["id", "type"], ["seq"])
+    gone = log_.where("route = 'deletion'")
+    plain = gone.where("id is not null").groupBy("id").agg(F.max("seq").alias("_plain"))
+    dated = gone.where("id is null and start_ts is not null").groupBy("type", "start_ts").agg(F.max("seq").alias("_dated"))
+    met = held.join(plain, "id", "left").join(dated, ["type", "start_ts"], "left")
+    live = (F.col("_plain").isNull() | (F.col("_plain") < F.col("seq"))) & (F.col("_dated").isNull() | (F.col("_dated") < F.col("seq")))
+    return met.where(live).select(*_COLUMNS)
+
+
+#: Kinds that have tables of their own: what a row of each is known by, and its reader.
+SIDE_TABLES: dict[str, tuple[list[str], Callable[[DataFrame], DataFrame]]] = {
+    "typeCoverage": (["type"], formats.coverage_lines),
+    "medicationDose": (["id"], formats.doses),
+    "stateOfMind": (["id"], formats.moods),
+    "electrocardiogram": (["id"], formats.electrocardiograms),
+    "electrocardiogramVoltages": (["sample", "sequence"], formats.read_pages),
+    "quantitySeriesReadings": (["sample", "sequence"], formats.read_pages),
+    "workoutRouteLocations": (["sample", "sequence"], formats.read_pages),
+    "electrocardiogramEnd": (["sample"], formats.series_ends),
+    "quantitySeriesEnd": (["sample"], formats.series_ends),
+    "workoutRouteEnd": (["sample"], formats.series_ends),
+    "audiogram": (["id"], formats.audiograms),
+    "workout": (["id"], formats.workout_statistics),
+}
+
+
+def side_table(spark: SparkSession, log: str, kind: str) -> DataFrame:
+    """The table of one kind after all epochs: the last line of each key, read; ids that a later tombstone deletes are left out.
+
+    Coverage goes by the moment of observation instead, whatever arrives last.
+    """
+    keys, read = SIDE_TABLES[kind]
+    log_ = changes(spark, log)
+    rows = log_.where((F.col("kind") == kind) & F.col("route").isin(kind, "sample")).select(F.col("raw").alias("value"), "seq")
+    named = [F.get_json_object("value", f"$.{k}").alias(f"_{k}") for k in keys]
+    order = [F.get_json_object("value", "$.observedAt").alias("_at")] if kind == "typeCoverage" else []
+    rows = rows.select(*named, *order, "value", "seq")
+    last = latest_wins(rows, [f"_{k}" for k in keys], [*(["_at"] if order else []), "seq"])
+    if keys == ["id"]:
+        gone = log_.where("route = 'deletion' and id is not null").groupBy(F.col("id").alias("_id")).agg(F.max("seq").alias("_gone"))
+        last = last.join(gone, "_id", "left").where("_gone is null or _gone < seq")
+    return read(last.select("value"))
+
+
+def quarantined(spark: SparkSession, log: str) -> DataFrame:
+    """Lines that no table takes, each content once."""
+    from pulsegrid.operators.state import quarantine
+
+    return quarantine(changes(spark, log).where("route = 'quarantine'").select("raw"), "raw", formats.PARSER_VERSION)
 
 
 def compact(spark: SparkSession, log: str, to: str) -> None:

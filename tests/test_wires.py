@@ -184,23 +184,3 @@ def test_notes_and_tracks(spark):
     pts = spark.createDataFrame([("r", 0, 0, 1.0, 2.0), ("r", 1, 4, 3.0, 4.0), ("r", 1, 5, 95.0, 4.0)], "k string, segment int, pos int, lat double, lon double")
     gpx = out.gpx_track(pts, "k").first().gpx
     assert gpx.count("<trkseg>") == 2 and gpx.count("<trkpt") == 2
-
-
-def test_anchored_source(spark, tmp_path):
-    """Pages are read from an anchor until there are no more; nothing is read twice."""
-    from pulsegrid.sources.anchored import AnchoredChanges
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.txt").write_text("\n".join(str(i) for i in range(12)))
-    spark.dataSource.register(AnchoredChanges)
-    rows = []
-    take = lambda: spark.readStream.format("anchored").option("path", str(tmp_path / "in")).option("page", "5").load().writeStream.foreachBatch(lambda df, _: rows.extend(r.value for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).start()
-    q = take()
-    q.processAllAvailable()
-    q.stop()
-    assert rows == [str(i) for i in range(12)]
-    (tmp_path / "in/b.txt").write_text("late")
-    q = take()
-    q.processAllAvailable()
-    q.stop()
-    assert rows == [*(str(i) for i in range(12)), "late"]
