@@ -49,7 +49,7 @@ def test_all_days_of_all_types(spark):
 
 def test_all_rows_of_windows_and_streams(spark):
     views = [x for x in _rows("events") if x["event_type"] == "view" and x["value"] is not None and datetime(2024, 1, 23) <= x["ts"] < datetime(2024, 1, 30)]
-    got = {r.type: r for r in queries()["snapshot_fallback_all_rows"](spark, SMALL).collect()}["view"]
+    got = {r.type: r for r in queries()["snapshot_fallback_window"](spark, SMALL).collect()}["view"]
     assert (got.window_end, got.earlier, got.records) == (datetime(2024, 1, 30), False, len(views))
     types = {x["p_partkey"] % 100 for x in _rows("part")}
     assert queries()["backfill_all_rows"](spark, SMALL).first().records == sum(x["l_partkey"] % 100 in types for x in _rows("lineitem"))

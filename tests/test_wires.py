@@ -159,7 +159,7 @@ def test_tools(spark):
 
     small = "/root/testdata/sf0.001"
     coverage = spark.createDataFrame([("click", "anchorClosed"), ("view", "draining")], "type string, state string")
-    a = Archive(adapters.sample(spark, small), adapters.measures(spark), coverage)
+    a = Archive(adapters.sample(spark, small), adapters.measures(spark), coverage, now="2024-02-01 00:00:00")
     assert {r.type: r.standing for r in a.list_health_types().collect()}["purchase"] == "untold"
     assert a.summarise_health_data().first().types == 5
     assert a.aggregate_health_data("click", "week").count() > 0
@@ -184,3 +184,35 @@ def test_notes_and_tracks(spark):
     pts = spark.createDataFrame([("r", 0, 0, 1.0, 2.0), ("r", 1, 4, 3.0, 4.0), ("r", 1, 5, 95.0, 4.0)], "k string, segment int, pos int, lat double, lon double")
     gpx = out.gpx_track(pts, "k").first().gpx
     assert gpx.count("<trkseg>") == 2 and gpx.count("<trkpt") == 2
+
+
+def test_ingest_state_goes_by_id_and_type_in_order_of_arrival(spark, tmp_path):
+    """One file: an id in two types stays twice, of an id sent twice the last line counts, whatever its value and date."""
+    from pulsegrid.streaming import ingest
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    record = lambda i, t, v, d: f'{{"id":"{i}","type":"{t}","kind":"quantity","startDate":"2026-01-0{d}T00:00:00Z","value":{v}}}'
+    (folder / "a.ndjson").write_text("\n".join([record("a", "T1", 1, 1), record("a", "T2", 2, 1), record("b", "T1", 9, 5), record("b", "T1", 3, 1), record("c", "T1", 4, 1), "broken"]))
+    take = lambda: ingest.start_upsert(ingest.line_stream(spark, str(folder)), str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
+    take()
+    held = lambda: sorted((r.id, r.type, r.value) for r in ingest.state(spark, str(tmp_path / "log")).collect())
+    assert held() == [("a", "T1", 1.0), ("a", "T2", 2.0), ("b", "T1", 3.0), ("c", "T1", 4.0)]
+    (folder / "b.ndjson").write_text('{"id":"a","type":"T1","kind":"deletion"}\n{"type":"T1","kind":"deletion","startDate":"2026-01-01T00:00:00Z"}\n' + record("d", "T1", 5, 1))
+    take()
+    assert held() == []
+    assert ingest.quarantined(spark, str(tmp_path / "log")).count() == 1
+
+
+def test_quarantine_does_not_mind_the_order_of_keys(spark):
+    from pulsegrid.operators import state
+
+    lines = spark.createDataFrame([('{"a": 1, "b": 2}',), ('{"b":2,"a":1}',), ("not json",), ("not json",)], "value string")
+    assert sorted(r.seen for r in state.quarantine(lines, "value", 7).collect()) == [2, 2]
+
+
+def test_an_unreadable_array_is_counted(spark):
+    from pulsegrid.sources import formats
+
+    rows = formats.parse_array(spark.createDataFrame([('[{"id":"1","type":"t","startDate":"2026-01-01T00:00:00Z"}]',), ("[1, 2",)], "value string")).collect()
+    assert sorted(r.route for r in rows) == ["sample", "unreadable"]
