@@ -85,3 +85,50 @@ def components(docs: list[tuple[int, int]]) -> dict[int, int]:
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _mix(h: int, seed: int) -> int:
+    z = h + 0x9E3779B97F4A7C15 * seed & (1 << 64) - 1
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    z = (z ^ z >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+    return z ^ z >> 31
+
+
+def sketch(text: str | None, shingle: int = 5) -> tuple[int, ...]:
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    if not words:
+        return (0,) * 4
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + shingle]).encode(), 42) for i in range(max(1, len(words) - shingle + 1))]
+    out = []
+    for seed in range(4):
+        own = [_mix(h, seed) if seed else h for h in hashes]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)))
+    return tuple(out)
+
+
+def alike(docs: list[tuple[int, str | None]]) -> dict[int, int]:
+    """doc_id → the smallest id of its group: all pairs of sketches that share a key and are near in a half."""
+    from pulsegrid.llm import simhash
+
+    made = [(d, sketch(t)) for d, t in docs]
+    keys = []
+    for _, s in made:
+        own = [set(simhash.fuzzy_keys(np.array([x], dtype=np.uint64))[0].tolist()) for x in s]
+        keys.append(own)
+    group = list(range(len(made)))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(made)):
+        for j in range(i):
+            a, b = made[i][1], made[j][1]
+            near = any(sum((a[w] ^ b[w]).bit_count() for w in half) <= simhash.SKETCH_BITS and (any(keys[i][w] & keys[j][w] for w in half) or all(a[w] == b[w] for w in half)) for half in ((0, 1), (2, 3)))
+            if near:
+                group[root(i)] = root(j)
+    least: dict[int, int] = {}
+    for i, (d, _) in enumerate(made):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return {d: least[root(i)] for i, (d, _) in enumerate(made)}
