@@ -117,12 +117,19 @@ def test_lexicon(word):
     rnd = random.Random(7)
     words = {"".join(rnd.choices("abcdé", k=rnd.randint(1, 7))): [rnd.randrange(49_000) for _ in range(rnd.randint(1, 4))] for _ in range(3000)}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
-    assert all(lexicon.get(w.encode()) == ids for w, ids in words.items())
-    assert all(lexicon.get(w) is None for w in (b"", b"zzz", b"abcdabcdabcd"))
+    assert lexicon.get_all([w.encode() for w in words]) == [u32(ids) for ids in words.values()]
+    assert lexicon.get_all([b"", b"zzz", b"abcdabcdabcd"]) == [None] * 3 and lexicon.get_all([]) == []
     shared = bpe.compile_lexicon({a + b: [1] for a in ("un", "re", "in") for b in ("doing", "making", "taking")})
     apart = bpe.compile_lexicon({a + b: [1] for a in ("un", "re", "in") for b in (f"{a}oing", f"{a}aking", f"{a}icking")})
     assert len(shared) < len(apart)  # suffixes are shared
-    assert bpe.Lexicon(bpe.compile_lexicon({})).get(b"a") is None and own.merge("the")
+    assert bpe.Lexicon(bpe.compile_lexicon({})).get_all([b"a"]) == [None] and own.merge("the")
+
+
+def test_words_merged_together_are_those_merged_alone(word):
+    own, _ = word
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("theandoringé'0中", k=rnd.randint(1, n))) for n in (1, 4, 9, 17, 33, 70, 300) for _ in range(200)]
+    assert own.merge_all(words) == [u32(own.merge(w)) for w in words] and own.merge_all([]) == []
 
 
 def test_bpe_edges(spark, edge_docs, edge_rows, no_docs, word):
