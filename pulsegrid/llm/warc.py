@@ -10,9 +10,7 @@ files in the shared folder, every record a gzip member of its own; blocks are by
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,8 +30,8 @@ ARC_FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 _END = b"\r\n\r\n"
-#: zlib's level: volumes are read back at once.
-LEVEL = 2
+#: zlib's level: volumes are read back at once.  Bytes that are inflated at a time.
+LEVEL, _PIECE = 1, 1 << 14
 
 
 def _member(data: bytes) -> bytes:
@@ -94,8 +92,15 @@ def _inflated(content: bytes) -> bytes:
     """All members of a gzip file, one after the other; other bytes as they are."""
     if content[:2] != b"\x1f\x8b":
         return content
-    with gzip.GzipFile(fileobj=io.BytesIO(content)) as f:
-        return f.read()
+    out, at, view = [], 0, memoryview(content)
+    while at < len(content):
+        part = zlib.decompressobj(31)
+        while at < len(content) and not part.eof:
+            piece = view[at : at + _PIECE]
+            out.append(part.decompress(piece))
+            at += len(piece)
+        at -= len(part.unused_data)  # of one piece at most
+    return b"".join(out)
 
 
 def write_volumes(volumes: DataFrame, path: str) -> None:
