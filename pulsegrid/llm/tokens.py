@@ -1,56 +1,19 @@
-"""Byte-level BPE ids by chunk: a bounded table of chunks that were met before, exact beyond it.
-
-A chunk is the text from one space to the next.  A space before a character that is not white space
-always starts a token, so chunks can be encoded on their own; a text in which a space meets other
-white space is encoded whole.
-"""
+"""Byte-level BPE ids: the plain merges of one library wherever they are those of the other, which counts."""
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable
 from functools import cached_property, lru_cache
 
 import numpy as np
 
-#: Bytes of chunks, about, that a process keeps in each of two generations.
-HELD = 32 << 20
-#: Bytes of a kept entry besides those of its texts.
-_ENTRY = 200
-
 
 def u32(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-class Kept(dict):
-    """``make(key)`` of the keys that were met lately: two generations of about ``most`` bytes.
-
-    When the younger one is full it becomes the older one, whose entries go unless they are met again.
-    """
-
-    def __init__(self, make: Callable, most: int = HELD) -> None:
-        super().__init__()
-        self._make, self._most, self._held, self._older = make, most, 0, {}
-
-    def __missing__(self, key: str):  # noqa: ANN204  whatever make returns
-        got = self._older.get(key)
-        if got is None:
-            got = self._make(key)
-        if self._held > self._most:
-            self._older, self._held = dict(self), 0
-            self.clear()
-        self._held += _ENTRY + 2 * len(key)
-        self[key] = got
-        return got
-
-
-class _Mixed(Exception):
-    """White space beside a space."""
-
-
 class ByteEncoder:
     """Ids as the tokenizers library gives them, special tokens in a text included."""
 
@@ -63,7 +26,6 @@ class ByteEncoder:
         self._plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         with open(tokenizer_file, encoding="utf-8") as f:
             self._special = [t["content"] for t in json.load(f)["added_tokens"]]
-        self._chunks = Kept(self._chunk)
 
     @cached_property
     def _whole(self):  # noqa: ANN202  a tokenizers.Tokenizer
@@ -75,28 +37,14 @@ class ByteEncoder:
         found.no_padding()
         return found
 
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace():
-            raise _Mixed
-        return self.exact(" " + chunk)
-
-    def exact(self, text: str) -> bytes:
+    def __call__(self, text: str) -> bytes:
         # Both libraries class the letters of Latin scripts alike; beyond them only the one counts.
         if not text or max(text) < "ɐ" and not any(s in text for s in self._special):
             return u32(self._plain.encode_ordinary(text))
         return u32(self._whole.encode(text, add_special_tokens=False).ids)
 
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self._special):
-            return self.exact(text)
-        first, *rest = text.split(" ")
-        try:
-            return (self.exact(first) if first else b"") + b"".join(map(self._chunks.__getitem__, rest))
-        except _Mixed:
-            return self.exact(text)
-
 
 @lru_cache(maxsize=1)
 def byte_encoder(tokenizer_file: str, ranks_file: str, pattern: str) -> ByteEncoder:
-    """Once in each Python process: the next task goes on with the same chunks."""
+    """Once in each Python process."""
     return ByteEncoder(tokenizer_file, ranks_file, pattern)
