@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from pulsegrid.llm import bpe, filteraudit, langid, linededup, merkle, mtree, packing, secrets, simhash, urlfilter, warc, whitening
+from pulsegrid.llm import bpe, filteraudit, langid, linededup, maxent, merkle, mtree, packing, secrets, simhash, urlfilter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -64,7 +68,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_packing, op3_language_id, op4_simhash, op5_line_dedup, op6_url_filter, op7_warc, op8_bpe, op9_merkle, op10_top_k, op12_whitening, op13_filter_audit]
+    own = [op1_secret_scan, op2_packing, op3_language_id, op4_simhash, op5_line_dedup, op6_url_filter, op7_warc, op8_bpe, op9_merkle, op10_top_k, op11_lm_scores, op12_whitening, op13_filter_audit]
     return {f.__name__: f for f in own}
 
 
