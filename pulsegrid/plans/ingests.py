@@ -95,6 +95,36 @@ def ingest_side_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moods.unionByName(doses).unionByName(heads)
 
 
+_MALFORMED = """SELECT route, coalesce(kind, '-') AS kind, count(*)::BIGINT AS records FROM (SELECT * FROM (
+  SELECT event_id % 20 AS n, event_id % 3 AS m FROM events) JOIN (VALUES
+  (0, 'deletion', 'deletion', 'quarantine'), (1, 'medicationDose', 'medicationDose', 'quarantine'), (2, 'typeCoverage', 'typeCoverage', 'quarantine'),
+  (3, 'characteristics', 'characteristics', 'quarantine'), (4, 'electrocardiogram', 'electrocardiogram', 'quarantine'), (5, 'electrocardiogramVoltages', 'electrocardiogramVoltages', 'sample'),
+  (6, 'quantitySeriesReadings', 'quantitySeriesReadings', 'quarantine'), (7, 'quantitySeriesEnd', 'quantitySeriesEnd', 'quarantine'), (8, 'audiogram', 'audiogram', 'quarantine'),
+  (9, 'electrocardiogramEnd', 'electrocardiogramEnd', 'electrocardiogramEnd'), (10, 'workoutRouteLocations', 'sample', 'sample'), (11, 'stateOfMind', 'sample', 'quarantine'),
+  (12, 'workout', 'sample', 'quarantine'), (13, 'aNewKind', 'sample', 'quarantine'), (14, NULL, 'sample', 'quarantine'), (15, 'characteristic', 'characteristic', 'quarantine')
+) AS t(n, kind, good, bad) USING (n)) , LATERAL (SELECT CASE WHEN m = 0 THEN bad ELSE good END AS route) GROUP BY ALL"""
+
+
+@query(_MALFORMED)
+def route_malformed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-07: a third of the records of every kind lack what their table needs; each is a sample where it can be one and quarantined where not."""
+    e, n = adapters.table(spark, sf_dir, "events"), F.col("event_id") % 20
+    bad, good = F.col("event_id") % 3 == 0, F.col("event_id") % 3 != 0
+    at, text, point = iso_text(F.col("ts")), F.col("event_id").cast("string"), F.array(F.struct(F.col("value").alias("volts")))
+    kinds = ["deletion", "medicationDose", "typeCoverage", "characteristics", "electrocardiogram", "electrocardiogramVoltages", "quantitySeriesReadings", "quantitySeriesEnd", "audiogram", "electrocardiogramEnd", "workoutRouteLocations", "stateOfMind", "workout", "aNewKind"]
+    kind = F.when(n < 14, F.element_at(F.array(*map(F.lit, kinds)), (n + 1).cast("int"))).when(n == 15, "characteristic")
+    having = lambda places, what, where=good: F.when(n.isin(places) & where, what)  # noqa: E731  to_json leaves nulls out
+    whole = [1, 4, 8, 11, 12, 13, 14]
+    lines = e.where(n < 16).select(_named(
+        kind=kind, id=F.coalesce(having([0, *whole], text), having([5, 6, 7, 10], text, F.lit(True))), type=F.coalesce(having([2, 15, *whole], F.col("event_type")), having([5, 6, 7, 10], F.col("event_type"), F.lit(True))),
+        startDate=F.coalesce(having(whole, at), having([5, 6, 7, 10], at, F.lit(True))), observedAt=having([2], at), characteristics=F.when(n == 3, F.create_map(F.lit("sex"), F.when(good, "x"))),
+        sample=having([5, 6, 7], text), sequence=having([5, 6], F.lit(0)), offset=having([5, 6], F.lit(0)), voltages=having([5], point), readings=having([6], point),
+    ))
+    ends = F.when(F.get_json_object("value", "$.kind") == "quantitySeriesEnd", F.regexp_replace("value", "\\}$", ',"readings":3}')).otherwise(F.regexp_replace("value", '\\{"sex":null\\}|\\{"sex":"x"\\}', F.lit('{}')))
+    told = lines.select(F.when(F.col("value").contains('"sex":"x"'), F.col("value")).otherwise(ends).alias("value"))
+    return formats.route(told).groupBy("route", F.coalesce("kind", F.lit("-")).alias("kind")).agg(F.count(F.lit(1)).alias("records"))
+
+
 @query("""SELECT CASE WHEN user_id % 5 = 0 THEN 'unreadable' ELSE 'sample' END AS route, sum(CASE WHEN user_id % 5 = 0 THEN 1 ELSE n END)::BIGINT AS records
 FROM (SELECT user_id, event_id // 1000 AS batch, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1""")
 def array_parse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +154,8 @@ def series_end_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = adapters.table(spark, sf_dir, "lineitem").select(_named(kind="electrocardiogramVoltages", sample=key, sequence=F.col("l_linenumber"), offset=F.col("l_linenumber") * 2, count=F.lit(2), voltages=two("l_tax", "l_discount")))
     o = adapters.table(spark, sf_dir, "orders")
     kind = F.when(F.col("o_orderkey") % 2 == 0, "electrocardiogramEnd").otherwise("quantitySeriesEnd")
-    ends = formats.series_ends(o.select(_named(kind=kind, sample=F.col("o_orderkey").cast("string"), count=F.col("o_orderkey") % 8)))
+    declared = F.col("o_orderkey") % 8  # null fields aren't written
+    ends = formats.series_ends(o.select(_named(kind=kind, sample=F.col("o_orderkey").cast("string"), voltages=F.when(F.col("o_orderkey") % 2 == 0, declared), readings=F.when(F.col("o_orderkey") % 2 == 1, declared))))
     held = formats.read_pages(pages).groupBy("sample_id").agg(F.count(F.lit(1)).alias("pages"), F.sum("decoded").alias("decoded"))
     return ends.join(held, "sample_id", "left").na.fill(0, ["pages", "decoded"])
 

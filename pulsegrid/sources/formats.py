@@ -14,13 +14,14 @@ ENVELOPE = """struct<data: struct<
     deletions: array<struct<name: string, type: string, date: string>>>>"""
 
 
-def payload_format(payload: Column, probe: str = '"[A-Za-z]*ConnectionTest"') -> Column:
-    """empty, probe, array, metrics, ndjson or csv, by what the text begins with; a probe is an object with the quoted mark ``probe``."""
+def payload_format(payload: Column, probe: str = "[A-Za-z]*ConnectionTest") -> Column:
+    """empty, probe, array, metrics, ndjson or csv, by what the text begins with; a probe begins with an object whose kind is ``probe``."""
     bare = F.btrim(payload)
+    asked = F.coalesce(F.get_json_object(bare, "$.kind").rlike(f"^{probe}$"), F.lit(False))
     header = F.split_part(bare, F.lit("\n"), F.lit(1))
     return (
         F.when(F.coalesce(bare, F.lit("")) == "", "empty")
-        .when(bare.startswith("{") & bare.rlike(probe), "probe")
+        .when(bare.startswith("{") & asked, "probe")
         .when(bare.startswith("["), "array")
         .when(bare.startswith("{") & bare.contains('"metrics"'), "metrics")
         .when(bare.startswith("{"), "ndjson")
@@ -29,46 +30,79 @@ def payload_format(payload: Column, probe: str = '"[A-Za-z]*ConnectionTest"') ->
     )
 
 
-def _number(json: Column, path: str) -> Column:
-    return F.get_json_object(json, path).try_cast("double")
+def _text(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "string")
 
 
-def record_fields(json: Column) -> list[Column]:
-    """id, type, kind, start, end, value, unit, source name and reading count of a generic record.
+def _number(v: Column, path: str) -> Column:
+    return _text(v, path).try_cast("double")
+
+
+def _is(v: Column, path: str, what: str) -> Column:
+    """Whether there is an OBJECT, an ARRAY, a STRING at the path."""
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith(what), F.lit(False))
+
+
+def record_fields(v: Column) -> list[Column]:
+    """id, type, kind, start, end, value, unit, source name and reading count of a generic record, a variant.
 
     The value is the quantity's, else the plain one, else a valence, else a workout's duration.
     """
-    text = lambda p: F.get_json_object(json, p)
-    kind, quantity = text("$.kind"), text("$.quantity")
-    plain = F.when(quantity.isNotNull(), _number(json, "$.quantity.value")).otherwise(_number(json, "$.value"))
-    unit = F.when(quantity.isNotNull(), text("$.quantity.unit")).otherwise(text("$.unit"))
-    valence, length = _number(json, "$.valence"), F.when(kind == "workout", _number(json, "$.duration"))
+    kind, quantity = _text(v, "$.kind"), _text(v, "$.quantity")
+    plain = F.when(quantity.isNotNull(), _number(v, "$.quantity.value")).otherwise(_number(v, "$.value"))
+    unit = F.when(quantity.isNotNull(), _text(v, "$.quantity.unit")).otherwise(_text(v, "$.unit"))
+    valence, length = _number(v, "$.valence"), F.when(kind == "workout", _number(v, "$.duration"))
     value = F.coalesce(plain, valence, length)
     unit = F.when(plain.isNotNull(), unit).when(valence.isNotNull(), F.coalesce(unit, F.lit("valence"))).when(length.isNotNull(), F.coalesce(unit, F.lit("sec"))).otherwise(unit)
-    start = parse_iso(text("$.startDate"))
-    source = F.when(text("$.source").startswith("{"), text("$.source.name")).otherwise(text("$.sourceName"))
+    start = parse_iso(_text(v, "$.startDate"))
+    source = F.when(_text(v, "$.source").startswith("{"), _text(v, "$.source.name")).otherwise(_text(v, "$.sourceName"))
     return [
-        text("$.id").alias("id"), text("$.type").alias("type"), kind.alias("kind"), start.alias("start_ts"), F.coalesce(parse_iso(text("$.endDate")), start).alias("end_ts"),
-        value.alias("value"), unit.alias("unit"), source.alias("source_name"), F.coalesce(text("$.quantity.count").try_cast("long"), F.lit(1)).alias("reading_count"), json.alias("raw"),
+        _text(v, "$.id").alias("id"), _text(v, "$.type").alias("type"), kind.alias("kind"), start.alias("start_ts"), F.coalesce(parse_iso(_text(v, "$.endDate")), start).alias("end_ts"),
+        value.alias("value"), unit.alias("unit"), source.alias("source_name"), F.coalesce(_text(v, "$.quantity.count").try_cast("long"), F.lit(1)).alias("reading_count"),
     ]
 
 
-#: Kinds that have a table of their own and are no generic sample when they are well formed.
-OWN_KINDS = ["deletion", "characteristics", "characteristic", "typeCoverage", "medicationDose", "electrocardiogram", "electrocardiogramVoltages", "electrocardiogramEnd", "quantitySeriesReadings", "quantitySeriesEnd", "audiogram"]
+#: Kinds that have a table of their own and are no generic sample when they are well formed; of those in STRICT, a malformed one is no sample either.
+OWN_KINDS = ["characteristics", "characteristic", "typeCoverage", "medicationDose", "electrocardiogram", "electrocardiogramVoltages", "electrocardiogramEnd", "quantitySeriesReadings", "quantitySeriesEnd", "audiogram"]
+STRICT = ["characteristics", "characteristic", "typeCoverage", "quantitySeriesReadings", "quantitySeriesEnd"]
 
 
 #: What quarantined records were refused by.
 PARSER_VERSION = 7
 
 
+def well_formed(v: Column) -> Column:
+    """Whether a record of one of OWN_KINDS has what its table needs."""
+    kind, dated = F.col("kind"), F.col("id").isNotNull() & F.col("start_ts").isNotNull()
+    series = F.col("type").isNotNull() & F.col("start_ts").isNotNull() & _text(v, "$.sample").isNotNull()
+    placed = _number(v, "$.sequence").isNotNull() & _number(v, "$.offset").isNotNull()
+    return (
+        F.when(kind.isin("characteristics", "characteristic"), F.when(_is(v, "$.characteristics", "OBJECT"), _text(v, "$.characteristics") != "{}").otherwise(F.col("type").isNotNull()))
+        .when(kind == "typeCoverage", F.col("type").isNotNull() & parse_iso(_text(v, "$.observedAt")).isNotNull())
+        .when(kind.isin("medicationDose", "electrocardiogram", "audiogram"), dated)
+        .when(kind == "electrocardiogramVoltages", _text(v, "$.sample").isNotNull() & placed & _is(v, "$.voltages", "ARRAY"))
+        .when(kind == "quantitySeriesReadings", series & placed & _is(v, "$.readings", "ARRAY"))
+        .when(kind == "quantitySeriesEnd", series & _number(v, "$.readings").isNotNull())
+        .otherwise(kind == "electrocardiogramEnd")
+    )
+
+
 def route(lines: DataFrame, text: str = "value", keep: list[str] | None = None) -> DataFrame:
-    """Each line with its fields and where it goes: sample, deletion, its own kind's table, or quarantine; columns of ``keep`` stay."""
-    json = F.col(text)
-    rows = lines.select(*(keep or []), F.try_parse_json(json).isNotNull().alias("readable"), *record_fields(json), F.get_json_object(json, "$.deleted").alias("_deleted"))
+    """Each line with its fields and where it goes: sample, deletion, its own kind's table, or quarantine; columns of ``keep`` stay.
+
+    A line is parsed once.  A deletion has an id, or a type and a moment.  A record of a kind with a table of
+    its own goes there if it is well formed; else it is a sample if it has an id, a type and a moment and
+    isn't of a strict kind, and what is neither is quarantined.
+    """
+    v = F.col("_v")
+    parsed = lines.select(*(keep or []), F.try_parse_json(text).alias("_v"), F.col(text).alias("raw"))
+    rows = parsed.select(*(keep or []), "_v", *record_fields(v), "raw", _text(v, "$.deleted").alias("_deleted"))
     whole = F.col("id").isNotNull() & F.col("type").isNotNull() & F.col("start_ts").isNotNull()
     gone = (F.col("kind") == "deletion") | F.col("_deleted").isin("true", "1")
-    to = F.when(~F.col("readable"), "quarantine").when(gone, "deletion").when(F.col("kind").isin(*OWN_KINDS), F.col("kind")).when(whole, "sample").otherwise("quarantine")
-    return rows.withColumn("route", F.coalesce(to, F.lit("quarantine"))).drop("_deleted", "readable")
+    known = F.col("id").isNotNull() | (F.col("type").isNotNull() & F.col("start_ts").isNotNull())
+    to = F.when(v.isNull(), "quarantine").when(gone & known, "deletion").when(gone, "quarantine").when(F.col("kind").isin(*OWN_KINDS) & F.coalesce(well_formed(v), F.lit(False)), F.col("kind"))
+    to = to.when(F.col("kind").isin(*STRICT), "quarantine").when(whole, "sample").otherwise("quarantine")
+    return rows.withColumn("route", to).drop("_deleted", "_v")
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
@@ -83,32 +117,35 @@ def parse_array(payloads: DataFrame, text: str = "value") -> DataFrame:
     return rows.withColumn("route", F.when(F.col("_bad"), "unreadable").otherwise(F.col("route"))).drop("_bad")
 
 
-def csv_records(lines: DataFrame, keep: list[str], text: str = "value") -> DataFrame:
-    """(keep, value): rows of the flat CSV as generic records; a row of a wrong number of fields is kept as it is."""
-    cut = lines.select(*keep, split_csv(F.col(text)).alias("f"), F.col(text).alias("raw")).where(~F.col("raw").startswith("id,type,kind,"))
-    field = lambda name: F.nullif(F.try_element_at("f", F.lit(CSV_COLUMNS.index(name) + 1)), F.lit(""))
+def csv_record(fields: Column, raw: Column) -> Column:
+    """A row of the flat CSV, already split, as a generic record; a row of a wrong number of fields stays as it is."""
+    field = lambda name: F.nullif(F.try_element_at(fields, F.lit(CSV_COLUMNS.index(name) + 1)), F.lit(""))
     gone = F.coalesce(field("deleted").isin("true", "1"), F.lit(False))
     record = F.to_json(F.struct(
         field("id").alias("id"), field("type").alias("type"), F.when(gone, "deletion").otherwise(field("kind")).alias("kind"), field("startDate").alias("startDate"), field("endDate").alias("endDate"),
         field("value").try_cast("double").alias("value"), field("unit").alias("unit"), field("sourceName").alias("sourceName"),
     ))
-    return cut.select(*keep, F.when(F.size("f") == len(CSV_COLUMNS), record).otherwise(F.col("raw")).alias("value"))
+    return F.when(F.size(fields) == len(CSV_COLUMNS), record).otherwise(raw)
 
 
-def metrics_records(payloads: DataFrame, keep: list[str], text: str = "value") -> DataFrame:
-    """(keep, line, value): points, workouts and deletions of metrics envelopes as generic records; a deletion has a type, a date and no id."""
-    data = payloads.select(*keep, F.from_json(text, ENVELOPE)["data"].alias("d"))
+def metrics_records(data: Column) -> Column:
+    """Points, workouts and deletions of a metrics envelope's ``data`` as generic records, an array of JSON; a deletion has a type, a date and no id."""
     name = lambda *cs: F.coalesce(*cs, F.lit("unknown"))
     point = lambda m, p: F.to_json(F.struct(F.concat_ws(":", name(m["name"]), p["date"]).alias("id"), name(m["name"]).alias("type"), F.lit("quantity").alias("kind"), p["date"].alias("startDate"), p["endDate"].alias("endDate"), p["qty"].try_cast("double").alias("value"), m["units"].alias("unit"), p["source"].alias("sourceName")))
-    points = F.flatten(F.transform(F.coalesce("d.metrics", F.array()), lambda m: F.transform(F.coalesce(m["data"], F.array()), lambda p: point(m, p))))
-    workouts = F.transform(F.coalesce("d.workouts", F.array()), lambda w: F.to_json(F.struct(w["id"].alias("id"), F.coalesce(w["name"], F.lit("Workout")).alias("type"), F.lit("workout").alias("kind"), w["start"].alias("startDate"), w["end"].alias("endDate"), w["source"].alias("sourceName"))))
-    gone = F.transform(F.coalesce("d.deletions", F.array()), lambda x: F.to_json(F.struct(F.coalesce(x["name"], x["type"]).alias("type"), F.lit("deletion").alias("kind"), x["date"].alias("startDate"))))
-    return data.select(*keep, F.posexplode(F.concat(points, workouts, gone)).alias("line", "value"))
+    points = F.flatten(F.transform(F.coalesce(data["metrics"], F.array()), lambda m: F.transform(F.coalesce(m["data"], F.array()), lambda p: point(m, p))))
+    workouts = F.transform(F.coalesce(data["workouts"], F.array()), lambda w: F.to_json(F.struct(w["id"].alias("id"), F.coalesce(w["name"], F.lit("Workout")).alias("type"), F.lit("workout").alias("kind"), w["start"].alias("startDate"), w["end"].alias("endDate"), w["source"].alias("sourceName"))))
+    gone = F.transform(F.coalesce(data["deletions"], F.array()), lambda x: F.to_json(F.struct(F.coalesce(x["name"], x["type"]).alias("type"), F.lit("deletion").alias("kind"), x["date"].alias("startDate"))))
+    return F.concat(points, workouts, gone)
+
+
+def csv_rows(text: Column) -> Column:
+    """The rows of a CSV text: a line end within quotes ends none; an open quote runs to the end of the text."""
+    return F.regexp_extract_all(text, F.lit(r'(?:[^"\n]++|"[^"]*+(?:""[^"]*+)*+(?:"|$))++'), F.lit(0))
 
 
 def split_csv(line: Column) -> Column:
-    """RFC 4180 fields of one line: quotes go, doubled ones become one."""
-    fields = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace(line, "\r$", "")), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    """RFC 4180 fields of one row: quotes go, doubled ones become one."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace(line, "\r$", "")), F.lit(',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1))
     return F.transform(fields, lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.greatest(F.char_length(x) - 2, F.lit(0))), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
@@ -188,10 +225,11 @@ def electrocardiograms(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def series_ends(lines: DataFrame, text: str = "value") -> DataFrame:
-    """(sample_id, kind, declared): the end markers of paged series, with the elements that they declare."""
+    """(sample_id, kind, declared): the end markers of paged series, with the elements that they declare under the name of their pages' elements."""
     t = lambda p: F.get_json_object(text, p)
     kinds = ["electrocardiogramEnd", "quantitySeriesEnd", "workoutRouteEnd"]
-    return lines.where(t("$.kind").isin(*kinds)).select(t("$.sample").alias("sample_id"), t("$.kind").alias("kind"), t("$.count").try_cast("long").alias("declared"))
+    declared = F.coalesce(*(t(f"$.{k}").try_cast("long") for k in ("readings", "locations", "voltages")))
+    return lines.where(t("$.kind").isin(*kinds)).select(t("$.sample").alias("sample_id"), t("$.kind").alias("kind"), declared.alias("declared"))
 
 
 def workout_legs(lines: DataFrame, text: str = "value") -> DataFrame:

@@ -32,20 +32,27 @@ def payload_stream(spark: SparkSession, folder: str, files_per_trigger: int = 10
 def lines_of_payloads(payloads: DataFrame) -> DataFrame:
     """(value, batch, modified, block, line): payloads of any format as generic records, a line of JSON each.
 
-    An array that can't be read and a probe give no record; the former stays whole, for quarantine.  A
-    metrics envelope's deletions have a type and a date, and no id.
+    An array that can't be read stays whole, for quarantine; of a probe only what follows it counts.  A
+    metrics envelope's deletions have a type and a date, and no id.  Each payload is read once.
     """
     keep = ["batch", "modified", "block"]
-    held = payloads.withColumn("format", formats.payload_format(F.col("value")))
-    each = lambda kind, pieces: held.where(F.col("format") == kind).select(*keep, F.posexplode(pieces).alias("line", "value"))
-    texts = F.filter(F.split("value", "\\r?\\n"), lambda x: F.btrim(x) != "")
-    elements = F.from_json("value", "array<variant>")
-    array = each("array", F.when(elements.isNull(), F.array("value")).otherwise(F.transform(elements, lambda v: F.to_json(v))))
-    rows = each("ndjson", texts).unionByName(array)
-    fields = each("csv", texts)
-    csv = formats.csv_records(fields, keep + ["line"])
-    metrics = formats.metrics_records(held.where("format = 'metrics'"), keep)
-    return rows.unionByName(csv).unionByName(metrics).select("value", *keep, F.col("line").cast("long").alias("line"))
+    held = payloads.select(*keep, "value", formats.payload_format(F.col("value")).alias("format"))
+    one = F.col("format")
+    held = held.withColumn("elements", F.when(one == "array", F.from_json("value", "array<variant>"))).withColumn("data", F.when(one == "metrics", F.from_json("value", formats.ENVELOPE)["data"]))
+    bare = lambda texts: F.filter(texts, lambda x: F.btrim(x) != "")
+    lines = bare(F.split("value", "\\r?\\n"))
+    pieces = (
+        F.when((one == "array") & F.col("elements").isNull(), F.array("value"))
+        .when(one == "array", F.transform("elements", lambda v: F.to_json(v)))
+        .when(one == "metrics", formats.metrics_records(F.col("data")))
+        .when(one == "csv", bare(formats.csv_rows(F.col("value"))))
+        .when(one == "probe", F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))
+        .otherwise(lines)
+    )
+    rows = held.select(*keep, "format", F.posexplode(pieces).alias("line", "value")).where("format <> 'csv' or not startswith(value, 'id,type,kind,')")
+    rows = rows.withColumn("fields", F.when(F.col("format") == "csv", formats.split_csv(F.col("value"))))
+    value = F.when(F.col("format") == "csv", formats.csv_record(F.col("fields"), F.col("value"))).otherwise(F.col("value"))
+    return rows.select(value.alias("value"), *keep, F.col("line").cast("long").alias("line"))
 
 
 def changes_of(lines: DataFrame, epoch: int) -> DataFrame:

@@ -56,11 +56,40 @@ def test_age(spark):
 
 
 def test_router_keeps_every_line(spark):
-    rows = formats.route(lines(spark, '{"id":"a","type":"t","startDate":"2026-01-01T00:00:00Z","quantity":{"value":2,"unit":"m","count":3}}', '{"kind":"deletion","id":"a","type":"t"}', '{"id":"v","type":"m","startDate":"2026-01-01T00:00:00Z","valence":-0.5}', '{"id":"w","kind":"workout","type":"t","startDate":"2026-01-01T00:00:00Z","duration":60}', "broken", '{"kind":"audiogram","id":"x"}', '{"id":"n"}')).collect()
+    rows = formats.route(lines(spark, '{"id":"a","type":"t","startDate":"2026-01-01T00:00:00Z","quantity":{"value":2,"unit":"m","count":3}}', '{"kind":"deletion","id":"a","type":"t"}', '{"id":"v","type":"m","startDate":"2026-01-01T00:00:00Z","valence":-0.5}', '{"id":"w","kind":"workout","type":"t","startDate":"2026-01-01T00:00:00Z","duration":60}', "broken", '{"kind":"audiogram","id":"x","startDate":"2026-01-01T00:00:00Z"}', '{"id":"n"}')).collect()
     assert [r.route for r in rows] == ["sample", "deletion", "sample", "sample", "quarantine", "audiogram", "quarantine"]
     assert [(r.value, r.unit) for r in rows[:4]] == [(2.0, "m"), (None, None), (-0.5, "valence"), (60.0, "sec")] and rows[0].reading_count == 3
 
 
+def test_router_loses_no_malformed_record(spark):
+    """Own kinds without what their table needs are samples if they can be, else quarantined; the end of a recording carries nothing."""
+    told = [
+        '{"kind":"deletion","type":"t"}', '{"kind":"medicationDose","startDate":"2026-01-01T00:00:00Z"}', '{"kind":"medicationDose","logStatus":{"name":"taken"}}', '{"kind":"typeCoverage","observedAt":"2026-01-01T00:00:00Z"}',
+        '{"kind":"quantitySeriesReadings","id":"p","type":"t","startDate":"2026-01-01T00:00:00Z","sequence":0,"offset":0,"readings":[]}', '{"kind":"quantitySeriesEnd","sample":"s","type":"t","startDate":"2026-01-01T00:00:00Z"}',
+        '{"kind":"characteristics","characteristics":{}}', '{"kind":"electrocardiogram","id":"e","startDate":"2026-01-01T00:00:00Z"}', '{"kind":"electrocardiogramVoltages","id":"v","type":"t","startDate":"2026-01-01T00:00:00Z","sample":"e","sequence":0}', '{"kind":"electrocardiogramEnd"}', '{"kind":"deletion","type":"t","startDate":"2026-01-01T00:00:00Z"}',
+    ]
+    rows = {r.raw: r.route for r in formats.route(lines(spark, *told)).collect()}
+    assert [rows[t] for t in told] == ["quarantine"] * 7 + ["electrocardiogram", "sample", "electrocardiogramEnd", "deletion"]
+
+
+def test_end_markers_declare_by_the_name_of_their_elements(spark):
+    told = ['{"kind":"quantitySeriesEnd","sample":"a","readings":7}', '{"kind":"workoutRouteEnd","sample":"b","locations":9}', '{"kind":"electrocardiogramEnd","sample":"c"}']
+    assert {r.sample_id: r.declared for r in formats.series_ends(lines(spark, *told)).collect()} == {"a": 7, "b": 9, "c": None}
+
+
+def test_payloads_of_every_format_become_lines(spark):
+    """Line ends in CSV quotes stay, a probe takes nothing with it, and what can't be read stays whole."""
+    header = "id,type,kind,startDate,endDate,value,unit,sourceName,deleted\n"
+    told = [header + 'a,t,quantity,2026-01-01T00:00:00Z,,1.5,m,"two\nlines",false\nb,t,quantity,2026-01-01T00:00:00Z,,2,m,"open', '{"kind":"aConnectionTest"}\n{"id":"c"}', '{"id":"d","note":"aConnectionTest"}', "[1, 2", '{"data":{"metrics":[{"name":"s","data":[{"date":"2026-01-01T00:00:00Z","qty":5}]}]}}', "", header]
+    rows = spark.createDataFrame([(t, f"f{i}", None, 0) for i, t in enumerate(told)], "value string, batch string, modified timestamp, block long")
+    got = {}
+    for r in ingest.lines_of_payloads(rows).orderBy("batch", "line").collect():
+        got.setdefault(r.batch, []).append(r.value)
+    assert set(got) == {"f0", "f1", "f2", "f3", "f4"}
+    assert '"sourceName":"two\\nlines"' in got["f0"][0] and len(got["f0"]) == 2 and got["f1"] == ['{"id":"c"}'] and got["f2"] == [told[2]] and got["f3"] == ["[1, 2"]
+    assert formats.route(spark.createDataFrame([(x,) for x in got["f4"]], "value string")).first().value == 5.0
+
+
 def test_csv(spark):
     got = [r.f for r in lines(spark, 'a,"b, ""c""",,d\r', '"",x').select(formats.split_csv(F.col("value")).alias("f")).collect()]
     assert got == [["a", 'b, "c"', "", "d"], ["", "x"]]
