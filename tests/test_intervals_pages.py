@@ -24,6 +24,33 @@ def test_union_against_brute_force(spark):
     assert sorted((r.type, r.start_ts, r.end_ts) for r in intervals.union_islands(df).collect()) == sorted(want)
 
 
+def test_union_over_many_days(spark):
+    """Intervals of minutes to weeks, touching ends at the borders of slots and days, repeats, a null key: as a plain sweep merges them."""
+    rnd = random.Random(11)
+    data = [(t, s, s + rnd.choice([0, 15, 60, 700, 1440, 20_000])) for t in ("a", "b", None) for s in (rnd.randint(0, 90) * rnd.choice([15, 60, 1440, 97]) for _ in range(120))]
+    data += [("c", 0, 15), ("c", 15, 30), ("c", 30, 1440), ("c", 1440, 2880), ("c", 2881, 2890), ("c", 0, 15), ("d", -3000, 100_000), ("d", 5, 6), ("d", 99_999, 100_001), ("e", 7, 7)]
+    df = spark.createDataFrame([(t, ZERO + timedelta(minutes=a), ZERO + timedelta(minutes=b)) for t, a, b in data], "type string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    want = []
+    for t in ("a", "b", "c", "d", "e", None):
+        merged = []
+        for a, b in sorted((a, b) for k, a, b in data if k == t and b > a):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]), merged[-1][2] + 1)
+            else:
+                merged.append((a, b, 1))
+        want += [(str(t), ZERO + timedelta(minutes=a), ZERO + timedelta(minutes=b), n) for a, b, n in merged]
+    got = intervals.union_islands(df)
+    assert sorted((str(r.type), r.start_ts, r.end_ts, r.members) for r in got.collect()) == sorted(want)
+    assert intervals.union_islands(df.limit(0)).count() == 0
+
+
+def test_union_sorts_no_key_in_one_task(spark):
+    """No window goes over intervals of a key alone: those by the key have a row a day."""
+    df = spark.createDataFrame([("a", ZERO, ZERO + timedelta(minutes=1))], "type string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    plan = intervals.union_islands(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_d#" in line or "_day#" in line for line in plan.splitlines() if "Window [" in line)
+
+
 def test_contained_includes_both_ends(spark):
     spans = spark.createDataFrame([(1, "w", ZERO, ZERO + timedelta(hours=2))], "k int, w string, span_start timestamp_ntz, span_end timestamp_ntz")
     points = spark.createDataFrame([(1, ZERO + timedelta(minutes=m)) for m in (-1, 0, 60, 120, 121)], "k int, at timestamp_ntz")
