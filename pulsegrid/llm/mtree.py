@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import spread, write_table
 
-#: Vectors in a block (one tree) and in a leaf page, children of an inner node, queries that a task searches one tree for.
-BLOCK, PAGE, FANOUT, QUERIES = 8192, 256, 16, 8192
+#: Vectors in a block (one tree) and in a leaf page, children of an inner node.
+BLOCK, PAGE, FANOUT = 8192, 256, 16
+#: Neighbouring blocks whose trees a task holds together (5 MB each at 64 dimensions), so that a query goes once to all of them;
+#: queries that it searches them for, and queries that are worth a copy of them where tasks would idle.
+GROUP, QUERIES, FEW = 8, 8192, 256
 #: Regions at most: what is known of them is all that is broadcast, some MB.
 REGIONS = 1024
 _SLACK = 1e-6
@@ -190,6 +193,21 @@ class Regions:
         return most * (1 + _SLACK) + 1 + np.abs(self.top) * _SLACK >= least[:, None].astype(np.float64)
 
 
+def with_trees(trees: DataFrame, targets: DataFrame, groups: int, tasks: int) -> DataFrame:
+    """(group, part, tree, first, last, own, id, v, least): queries and, for each part of a group's queries, the trees of its blocks.
+
+    A group has a part for each QUERIES queries; where there are fewer parts than ``tasks``, one for each FEW.
+    """
+    many = targets.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    spare = F.least(F.ceil(F.col("n") / FEW), F.lit(-(-tasks // groups)))
+    parts = write_table(many.select("group", F.greatest(F.ceil(F.col("n") / QUERIES), spare).cast("int").alias("parts")), "parts")
+    asked = targets.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")).drop("parts").withColumn("tree", F.lit(None).cast("binary"))
+    laid = trees.withColumn("group", F.floor(F.col("block") / GROUP).cast("int")).join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    laid = laid.select("group", "part", "tree", F.col("block").alias("first"), F.col("block").alias("last"), none("int").alias("own"), none("long").alias("id"), F.expr("cast(array() as array<bigint>)").alias("v"), none("long").alias("least"))
+    return laid.unionByName(asked)
+
+
 def searched(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, vec_id, score, scored): what the searched blocks give each query, k rows of each at most.
 
@@ -240,34 +258,40 @@ def searched(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "ve
     queries = write_table(own.select("id", "q.v", "q.block"), "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, here = None, None
+        held, here = {}, None
         for batch in batches:
             out: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in range(4)]
             whole = _matrix(batch.column("v"), width)
-            for i, (b, blob, q, least) in enumerate(zip(*(batch.column(c) for c in ("block", "tree", "id", "least")), strict=True)):
+            for i, (g, part, blob, first, last, own, q, least) in enumerate(zip(*(batch.column(c) for c in ("group", "part", "tree", "first", "last", "own", "id", "least")), strict=True)):
+                if (g, part) != here:
+                    held, here = {}, (g, part)
                 if blob.is_valid:
-                    tree, here = pickle.loads(blob.as_py()), b.as_py()
+                    held[first.as_py()] = pickle.loads(blob.as_py())
                     continue
-                assert here == b.as_py()
-                ids, scores, scored = tree.search(q.as_py(), whole[i], k, least.as_py())
-                row = np.full(len(ids) + 1, q.as_py()), np.append(ids, _LOWEST), np.append(scores, 0), np.append(np.zeros(len(ids), dtype=np.int64), scored)
-                for held, x in zip(out, row, strict=True):
-                    held.append(x)
+                ids, scores, scored, worst, own = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0, least.as_py(), own.as_py()
+                for block in range(first.as_py(), last.as_py() + 1):
+                    if block == own:
+                        continue
+                    more, theirs, n_scored = held[block].search(q.as_py(), whole[i], k, worst)
+                    ids, scores, scored = np.concatenate([ids, more]), np.concatenate([scores, theirs]), scored + n_scored
+                    best = np.lexsort((ids, -scores))[:k]
+                    ids, scores = ids[best], scores[best]
+                    if len(scores) == k:
+                        worst = max(worst, int(scores[-1]))
+                row = np.full(len(ids) + 1, q.as_py()), np.append(ids, _LOWEST), np.append(scores, 0), np.append(np.zeros(len(ids), dtype=np.int64), -1 - scored)
+                for kept, x in zip(out, row, strict=True):
+                    kept.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score", "scored"])
 
-    def ask(targets: DataFrame, times: int) -> DataFrame:
-        """Search each block for the queries that are to; a tree goes to each of ``times`` groups of queries, queries go to trees."""
-        groups = max(1, -(-total * times // (every * QUERIES)))
-        part = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part")
-        asked = targets.select("block", part, F.lit(None).cast("binary").alias("tree"), "id", "v", "least")
-        empty = F.expr("cast(array() as array<bigint>)")
-        laid = trees.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "tree", F.lit(None).cast("long").alias("id"), empty.alias("v"), F.lit(None).cast("long").alias("least"))
-        laid = laid.join(asked.select("block", "part").distinct(), ["block", "part"], "left_semi")
-        met = laid.unionByName(asked).repartition(min(blocks * groups, 4 * n), "block", "part")
-        ordered = met.sortWithinPartitions("block", "part", F.col("tree").isNull(), "id").drop("part")
-        return ordered.mapInArrow(search, "query_id long, vec_id long, score long, scored long").withColumn("vec_id", F.when(F.col("scored") == 0, F.col("vec_id")).otherwise(F.nullif("vec_id", F.lit(_LOWEST))))
-
-    near = write_table(ask(queries.withColumn("least", F.lit(_LOWEST)), 1), "near")
+    def ask(targets: DataFrame) -> DataFrame:
+        """Search for each query (id, v, least) the blocks from first to last, which lie in one group, but its own."""
+        met = with_trees(trees, targets, -(-blocks // GROUP), n)
+        ordered = met.repartition(4 * n, "group", "part").sortWithinPartitions("group", "part", F.col("tree").isNull(), "first", "id")
+        found = ordered.mapInArrow(search, "query_id long, vec_id long, score long, scored long")
+        return found.select("query_id", F.when(F.col("scored") == 0, F.col("vec_id")).alias("vec_id"), "score", F.when(F.col("scored") < 0, -1 - F.col("scored")).otherwise(0).alias("scored"))
+
+    at_home = queries.select(F.floor(F.col("block") / GROUP).cast("int").alias("group"), F.col("block").alias("first"), F.col("block").alias("last"), F.lit(-1).alias("own"), "id", "v", F.lit(_LOWEST).alias("least"))
+    near = write_table(ask(at_home), "near")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     told = near.where("vec_id is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
 
@@ -280,8 +304,11 @@ def searched(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "ve
     bounded = queries.join(told, "id", "left").select("id", "v", "block", F.coalesce("least", F.lit(_LOWEST)).alias("least"))
     aimed = bounded.mapInArrow(aim, "id long, v array<long>, block int, least long, targets array<int>")
     rest = aimed.select("id", "v", "least", F.col("block").alias("own"), F.explode("targets").alias("region")).join(place, "region")
-    rest = rest.select("id", "v", "least", "own", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("parts") - 1)).alias("block")).where("block <> own")
-    return near.unionByName(ask(rest, blocks))
+    end = F.col("start") + F.col("parts") - 1
+    rest = rest.withColumn("group", F.explode(F.sequence(F.floor(F.col("start") / GROUP).cast("int"), F.floor(end / GROUP).cast("int"))))
+    first, last = F.greatest(F.col("start"), F.col("group") * GROUP), F.least(end, F.col("group") * GROUP + GROUP - 1)
+    rest = rest.select("group", first.alias("first"), last.alias("last"), "own", "id", "v", "least").where("first <> last or first <> own")
+    return near.unionByName(ask(rest))
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:

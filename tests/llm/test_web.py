@@ -191,3 +191,39 @@ def test_hosts_lend_evidence(spark):
     extra = spark.createDataFrame([(90_001, "e", None, "http://h0.fr/x", 1), (90_002, "e", None, "http://h0.en/x", 1)], docs.schema)
     found = {r.doc_id: r.lang for r in langid.identify(docs.unionByName(extra)).where("doc_id > 90000").collect()}
     assert found == {90_001: "fr", 90_002: "en"}
+
+
+@pytest.mark.parametrize("clusters", [1, 12])
+def test_top_k_over_many_blocks(spark, monkeypatch, clusters):
+    """Small blocks: both rounds run, several blocks a region, repeated vec_ids and query ids; as all products give it."""
+    for name, value in (("BLOCK", 64), ("PAGE", 16), ("FANOUT", 4), ("GROUP", 3), ("QUERIES", 20), ("FEW", 4)):
+        monkeypatch.setattr(mtree, name, value)
+    rng = np.random.default_rng(clusters)
+    centres = rng.normal(size=(clusters, 8)) * (0 if clusters == 1 else 6)
+    x = centres[rng.integers(clusters, size=1500)] + rng.normal(size=(1500, 8))
+    x[200:500] = x[200]  # a vector that a fifth of the rows repeat
+    ids = [i % 1400 for i in range(1500)]  # the last ids are repeated, queries among them
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    q = np.floor(64 * x).astype(np.int64)
+    got = {}
+    for r in mtree.top_k(frame, k=7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    queries_ = {i for i in ids if i % 20 == 0}
+    assert set(got) == queries_
+    for i in queries_:
+        own = min((tuple(v) for k, v in zip(ids, q, strict=True) if k == i))
+        scores = q @ np.array(own)
+        want = sorted(((-int(s), k) for k, s in zip(ids, scores, strict=True) if k != i))[:7]
+        assert sorted(got[i]) == [(n, k, -s) for n, (s, k) in enumerate(want, 1)]
+
+
+def test_trees_are_laid_for_the_queries_of_their_group(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "GROUP", 2)
+    monkeypatch.setattr(mtree, "QUERIES", 10)
+    trees = spark.createDataFrame([(b, b"t") for b in range(6)], "block int, tree binary")
+    shape = "group int, first int, last int, own int, id long, v array<long>, least long"
+    asked = spark.createDataFrame([(0, 0, 1, -1, i, [1], 0) for i in range(25)] + [(2, 4, 4, 5, i, [1], 0) for i in range(3)], shape)
+    rows = mtree.with_trees(trees, asked, 3, 1).collect()
+    laid = sorted((r.group, r.part, r["first"]) for r in rows if r.tree)
+    assert laid == [(0, p, b) for p in range(3) for b in (0, 1)] + [(2, 0, 4), (2, 0, 5)]
+    assert sum(r.tree is None for r in rows) == 28
