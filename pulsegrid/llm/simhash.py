@@ -8,8 +8,8 @@ keys of which linked fingerprints share one.  Equal keys meet in a sorted partit
 only different fingerprints take part, and of those within 4 bits of one another there are at most
 679,121, which bounds a bucket of copies.
 
-``similar_copies`` goes beyond 4 bits for a similarity of 0.8: four fingerprints of one text, the keys
-of each, and two fingerprints of 64 bits to verify a candidate by.
+``similar_copies`` goes beyond 4 bits for a similarity of 0.8: four fingerprints of one text and the keys of
+each give candidates, which are verified by the texts' sets of shingles.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ _GENERATOR = 0b101011100011
 #: Runs up to this length are compared pair by pair; longer ones by a search over what is unvisited.
 _PAIRWISE = 32
 _HASHES = 1 << 16
-#: Fingerprints of a text that two halves of a sketch are made of; of a half's 128 bits, those that texts of a
-#: similarity of 0.8 (cosine 0.89) are expected to differ in.
-SEEDS, SKETCH_BITS = 4, 20
+#: Fingerprints of a text that two halves of a sketch are made of; of a half's 128 bits, those that candidates may
+#: differ in: texts of a similarity of 0.8 (cosine 0.89) are expected to differ in 19.
+SEEDS, SKETCH_BITS = 4, 28
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -169,6 +169,27 @@ def _grown(run: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parents), np.concatenate(children)
 
 
+def _tree(run: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a minimum spanning forest of a run's rows, of at most ``most`` bits each.
+
+    Whatever number of bits is asked for, rows that are connected by edges of so few are so in the forest:
+    candidates that fail later leave those connected that don't.
+    """
+    parents, children = [run[:0]], [run[:0]]
+    left, apart, via = np.arange(1, len(run)), _apart(run[1:], run[:1]), np.zeros(max(0, len(run) - 1), dtype=np.int64)
+    while len(left):
+        i = int(apart.argmin())
+        at = left[i]
+        if apart[i] <= most:
+            parents.append(run[via[i]][None])
+            children.append(run[at][None])
+        left, apart, via = np.delete(left, i), np.delete(apart, i), np.delete(via, i)
+        now = _apart(run[left], run[at][None])
+        closer = now < apart
+        apart, via = np.where(closer, now, apart), np.where(closer, at, via)
+    return np.concatenate(parents), np.concatenate(children)
+
+
 def links_in(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between fingerprints (or rows of them) of equal keys; both arrays are sorted by key, and runs are whole."""
     if not len(keys):
@@ -177,7 +198,7 @@ def links_in(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray,
     sizes = np.diff(bounds)
     one, two = [fps[:0]], [fps[:0]]
     for i in np.nonzero(sizes > _PAIRWISE)[0]:
-        a, b = _grown(np.unique(fps[bounds[i] : bounds[i + 1]], axis=0), most)
+        a, b = (_grown if fps.ndim == 1 or fps.shape[1] == 1 else _tree)(np.unique(fps[bounds[i] : bounds[i + 1]], axis=0), most)
         one.append(a)
         two.append(b)
     small = np.repeat(sizes <= _PAIRWISE, sizes)
@@ -301,12 +322,52 @@ def text_key(text_col: str = "text") -> Column:
     return F.xxhash64(F.isnull(text_col), text_col)
 
 
-def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = SKETCH_BITS) -> DataFrame:
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The different hashes of a text's word shingles, sorted; of its whole words where there are fewer."""
+    words = text.lower().split()
+    wide = max(1, min(shingle, len(words)))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + wide]), 42) for i in range(len(words) - wide + 1)], dtype=np.uint64))
+
+
+def verified_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """The ``links`` (a, b) whose texts' sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    ``nodes``: node, and id and key of a row that has its text.  Sets are made for texts that are in a link.
+    """
+    asked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    asked = write_table(asked.select("node", F.col("id").alias("_id"), F.col("key").alias("_key")), "asked")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    held = rows.join(asked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("node", "text").dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, 1):
+                sets = [shingle_set(t.as_py() or b"", shingle).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(both >= least * (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    sets = write_table(held.mapInArrow(run, "node long, hashes binary"), "shingles")
+    met = links.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
+    found = write_table(met.mapInArrow(compare, "a long, b long"), "similar")
+    drop_table(sets)
+    return found
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = SKETCH_BITS, least: float = 0.8) -> DataFrame:
     """(id, key): the rows that go so that one document of each group of similar ones stays; key is ``text_key``.
 
-    A text's sketch is four fingerprints of its word shingles.  Two texts are linked where they share a
-    Golay key of one of them and differ in at most ``most`` of the 128 bits of either half: an estimate of
-    a similarity of 0.8 and more, whose recall README gives.  Groups are all that links connect; the
+    A text's sketch is four fingerprints of its word shingles.  Two texts are candidates where they share a
+    Golay key of one of them and differ in at most ``most`` of the 128 bits of either half, and linked if
+    the Jaccard similarity of their sets of shingles is ``least`` or more, so that none goes for another that
+    it doesn't resemble; how many pairs the keys find README tells.  Groups are all that links connect; the
     smallest id of each stays (a null one comes last, of equal ids the smallest key).  Rows that repeat an
     id and its text stay or go together.  Texts without words are one group.
     """
@@ -321,7 +382,9 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
     marked = write_table(read.mapInArrow(run, f"id {kind}, key long, " + ", ".join(f"{s} long" for s in names)), "sketches")
-    nodes = write_table(marked.select(*names).distinct().withColumn("node", F.xxhash64(*names)), "nodes")
+    # Texts of one sketch are one node: they have the same shingles, or 256 majorities of them alike.
+    order = F.struct(F.isnull("id").alias("none"), "id", "key")
+    nodes = write_table(marked.groupBy(*names).agg(F.min(order).alias("of")).select(*names, F.xxhash64(*names).alias("node"), "of.id", "of.key"), "nodes")
     found = None
     for half in (names[:2], names[2:]):
         firsts = nodes.groupBy(*half).agg(F.min("node").alias("first"))
@@ -331,9 +394,9 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         two = firsts.toDF("b0", "b1", "b")
         links = same.unionByName(links.join(one, ["a0", "a1"]).join(two, ["b0", "b1"]).select("a", "b"))
         found = links if found is None else found.unionByName(links)
-    roots = components(found, nodes.select("node"))
+    found = write_table(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    roots = components(verified_links(found, nodes, docs, id_col, text_col, shingle, least), nodes.select("node"))
     grouped = marked.join(nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("group")), names).select("id", "key", "group")
-    order = F.struct(F.isnull("id").alias("none"), "id", "key")
     stay = grouped.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.id").alias("keep"), F.col("first.key").alias("keep_key"))
     gone = marked.join(stay, F.col("id").eqNullSafe(F.col("keep")) & (F.col("key") == F.col("keep_key")), "left_anti")
     return gone.select(F.col("id").alias(id_col), "key")

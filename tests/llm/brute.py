@@ -106,8 +106,16 @@ def sketch(text: str | None, shingle: int = 5) -> tuple[int, ...]:
     return tuple(out)
 
 
+def jaccard(one: str | None, two: str | None, shingle: int = 5) -> float:
+    sets = []
+    for text in (one, two):
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+        sets.append({" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
 def alike(docs: list[tuple[int, str | None]]) -> dict[int, int]:
-    """doc_id → the smallest id of its group: all pairs of sketches that share a key and are near in a half."""
+    """doc_id → the smallest id of its group: all pairs of sketches that share a key and are near in a half, and of texts whose sets of shingles are alike to 0.8."""
     from pulsegrid.llm import simhash
 
     made = [(d, sketch(t)) for d, t in docs]
@@ -126,7 +134,7 @@ def alike(docs: list[tuple[int, str | None]]) -> dict[int, int]:
         for j in range(i):
             a, b = made[i][1], made[j][1]
             near = any(sum((a[w] ^ b[w]).bit_count() for w in half) <= simhash.SKETCH_BITS and (any(keys[i][w] & keys[j][w] for w in half) or all(a[w] == b[w] for w in half)) for half in ((0, 1), (2, 3)))
-            if near:
+            if near and jaccard(docs[i][1], docs[j][1]) >= 0.8:
                 group[root(i)] = root(j)
     least: dict[int, int] = {}
     for i, (d, _) in enumerate(made):

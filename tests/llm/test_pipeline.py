@@ -48,6 +48,16 @@ def test_copies(steps):
     assert {r.doc_id: r.text for r in after}.items() <= {r.doc_id: r.text for r in before}.items()
 
 
+def test_no_document_goes_for_one_that_it_does_not_resemble(steps):
+    """Each document that goes has another of a similarity of 0.8 or more; nearly all that have one before them go."""
+    before, after, *_ = steps["near dedup"]
+    texts, kept = {r.doc_id: r.text for r in before}, {r.doc_id for r in after}
+    like = {d: {e for e in texts if e != d and brute.jaccard(texts[d], texts[e]) >= 0.8} for d in texts}
+    assert all(like[d] for d in texts if d not in kept)
+    due = [d for d in texts if any(e < d for e in like[d])]
+    assert sum(d not in kept for d in due) >= 0.9 * len(due)
+
+
 def test_secrets(steps):
     before, after, *_ = steps["secret scan"]
     assert {r.doc_id: r.text for r in after} == {r.doc_id: brute.masked(r.text) for r in before}
