@@ -37,7 +37,7 @@ _PAIRWISE = 32
 _HASHES = 1 << 16
 #: Fingerprints of a text that two halves of a sketch are made of; of a half's 128 bits, those that candidates may
 #: differ in: texts of a similarity of 0.8 (cosine 0.89) are expected to differ in 19.
-SEEDS, SKETCH_BITS = 4, 28
+SEEDS, SKETCH_BITS = 4, 24
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -323,10 +323,14 @@ def text_key(text_col: str = "text") -> Column:
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """The different hashes of a text's word shingles, sorted; of its whole words where there are fewer."""
+    """The different hashes of a text's word shingles, sorted; of its whole words where there are fewer.
+
+    32 bits of each: of two texts of n shingles, n^2 / 2^32 differing ones are taken for equal, less than one
+    up to 65,000 shingles.
+    """
     words = text.lower().split()
     wide = max(1, min(shingle, len(words)))
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + wide]), 42) for i in range(len(words) - wide + 1)], dtype=np.uint64))
+    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(words[i : i + wide]), 42) for i in range(len(words) - wide + 1)], dtype=np.uint32))
 
 
 def verified_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
@@ -334,7 +338,7 @@ def verified_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col:
 
     ``nodes``: node, and id and key of a row that has its text.  Sets are made for texts that are in a link.
     """
-    asked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    asked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes, "node")
     asked = write_table(asked.select("node", F.col("id").alias("_id"), F.col("key").alias("_key")), "asked")
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
     held = rows.join(asked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("node", "text").dropDuplicates(["node"])
@@ -349,7 +353,7 @@ def verified_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                one, two = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 good.append(both >= least * (len(one) + len(two) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
