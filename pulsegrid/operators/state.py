@@ -99,6 +99,11 @@ def rotated(types: DataFrame, key: str, hour_slot: int) -> DataFrame:
     return ranked.select(key, F.pmod(F.col("_at") - F.pmod(F.lit(hour_slot), F.col("_n")), F.col("_n")).cast("int").alias("turn"))
 
 
+def content_sums(sha256: Column) -> list[Column]:
+    """Four sums that depend on which digests there are and how often, in no order: the numbers of 60 bits that each is made of, added up."""
+    return [F.coalesce(F.sum(F.conv(F.substring(sha256, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for i in range(4)]
+
+
 def digest(reports: DataFrame, columns: list[str]) -> DataFrame:
     """(reports, digest): one digest of all reports in any order: equal content gives an equal digest.
 
@@ -107,8 +112,7 @@ def digest(reports: DataFrame, columns: list[str]) -> DataFrame:
     """
     told = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
     rows = reports.select(F.sha2(told.cast("binary"), 256).alias("h"))
-    sums = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)]
-    whole = rows.agg(F.count(F.lit(1)).alias("reports"), *sums)
+    whole = rows.agg(F.count(F.lit(1)).alias("reports"), *(x.alias(f"s{i}") for i, x in enumerate(content_sums(F.col("h")))))
     return whole.select("reports", F.sha2(F.concat_ws(":", F.col("reports").cast("string"), *(f"s{i}" for i in range(4))).cast("binary"), 256).alias("digest"))
 
 

@@ -14,7 +14,7 @@ from pulsegrid.sinks import formats as out
 from pulsegrid.sources import adapters, formats
 from pulsegrid.sources.adapters import SAMPLE_SQL
 from pulsegrid.sources.scratch import scratch
-from pulsegrid.streaming import ingest
+from pulsegrid.streaming import ingest, store
 
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 _MS = "date_trunc('millisecond', {})::TIMESTAMP"
@@ -50,6 +50,40 @@ def streaming_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.state(spark, log).select("id", "type", "value")
 
 
+@query(f"""WITH {SAMPLE_SQL}, once AS (SELECT (id // 2)::VARCHAR AS id, type, max_by(value, sample.id) AS value, max_by(start_ts, sample.id) AS start_ts FROM sample GROUP BY ALL)
+SELECT id, type, CASE WHEN id::BIGINT % 3 = 0 THEN value + 1 ELSE value END AS value FROM once
+WHERE (id::BIGINT % 7 <> 0 OR id::BIGINT % 3 = 0 AND id::BIGINT % 2 = 0) AND NOT EXISTS (SELECT 1 FROM once d WHERE d.type = once.type AND {_MS.format("d.start_ts")} = {_MS.format("once.start_ts")} AND d.id::BIGINT % 11 = 0)""")
+def snapshot_between_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DML-03, STR-03: the log is compacted after each delivery and its epochs go; late tombstones, with an id and with a date, still delete."""
+    rows = adapters.sample(spark, sf_dir).withColumn("key", F.floor(F.col("id") / 2))
+    rows = rows.groupBy("key", "type").agg(F.max_by("value", "id").alias("value"), F.max_by("start_ts", "id").alias("start_ts"))
+    line = lambda value, kind="quantity": _named(id=F.col("key").cast("string"), type=F.col("type"), kind=kind, startDate=iso_text(F.col("start_ts")), value=value)
+    again = rows.where("key % 3 = 0")
+    gone = rows.where("key % 7 = 0").select(_named(id=F.col("key").cast("string"), type="any", kind="deletion"))
+    later = again.where("key % 7 = 0 and key % 2 = 0").select(line(F.col("value") + 1))
+    dated = rows.where("key % 11 = 0").select(_named(type=F.col("type"), kind="deletion", startDate=iso_text(F.col("start_ts"))))
+    home = scratch(spark, f"ingest-{uuid.uuid4().hex}")
+    for n, lines in enumerate((rows.select(line(F.col("value"))), again.select(line(F.col("value") + 1)), gone, later, dated)):
+        lines.write.mode("append").option("compression", "none").text(f"{home}/raw")
+        ingest.start_upsert(ingest.line_stream(spark, f"{home}/raw", names="*.txt"), f"{home}/log", f"{home}/checkpoint").awaitTermination()
+        if n < 4:  # the last delivery is read from its epoch
+            store.compact(spark, f"{home}/log", f"{home}/base")
+            store.expire(spark, f"{home}/log", f"{home}/base")
+    return ingest.state(spark, f"{home}/log", f"{home}/base").select("id", "type", "value")
+
+
+@query("""SELECT event_id::VARCHAR AS id, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM events WHERE event_id % 5 <> 0""")
+def ledger_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DML-06: the first batches come again under other names, after corrections and deletions, and change nothing."""
+    e = adapters.table(spark, sf_dir, "events")
+    line = lambda value: _named(id=F.col("event_id").cast("string"), type=F.col("event_type"), kind="quantity", startDate=iso_text(F.col("ts")), value=value)
+    first = e.repartition(4, "event_id").select(line(F.col("value")))
+    again = e.where("event_id % 3 = 0").select(line(F.col("value") + 1))
+    gone = e.where("event_id % 5 = 0").select(_named(id=F.col("event_id").cast("string"), type="any", kind="deletion"))
+    log = _stream(spark, first, again, gone, first)
+    return ingest.state(spark, log).select("id", "value")
+
+
 _BY_FORMAT = f"""WITH {SAMPLE_SQL}, p AS (SELECT *, CASE id % 4 WHEN 0 THEN 'ndjson' WHEN 1 THEN 'csv' WHEN 2 THEN 'array' ELSE 'metrics' END AS format FROM sample),
 r AS (SELECT format, CASE WHEN format = 'metrics' THEN type || ':' || {_ISO.format("start_ts")} ELSE id::VARCHAR END AS id, type, {_MS.format("start_ts")} AS start_ts, value, source_name FROM p)
 SELECT DISTINCT id, type, start_ts, value, source_name FROM r"""

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.operators.state import latest_wins
 from pulsegrid.sources import formats
+from pulsegrid.streaming import store
 
 _COLUMNS = ["id", "type", "kind", "start_ts", "end_ts", "value", "unit", "source_name", "reading_count"]
 
@@ -67,39 +68,88 @@ def changes_of(lines: DataFrame, epoch: int) -> DataFrame:
     return routed.select(*_COLUMNS, "route", "raw", seq.alias("seq"))
 
 
+def batch_keys(lines: DataFrame) -> DataFrame:
+    """(batch, modified, records, key): each batch's key by its content: the lines that it has, how often, in any order."""
+    from pulsegrid.operators.state import content_sums
+
+    sums = content_sums(F.sha2(F.col("value").cast("binary"), 256))
+    rows = lines.groupBy("batch").agg(F.max("modified").alias("modified"), F.count(F.lit(1)).alias("records"), *(x.alias(f"s{i}") for i, x in enumerate(sums)))
+    told = F.concat_ws(":", F.col("records").cast("string"), *(F.col(f"s{i}") for i in range(len(sums))))
+    return rows.select("batch", "modified", "records", F.sha2(told.cast("binary"), 256).alias("key"))
+
+
+def judged(keys: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """``keys`` with ``duplicate``: whether the ledger has the key, or an earlier batch of the same epoch."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("modified", "batch"))  # a row per batch
+    rows = keys.withColumn("again", place > 1)
+    if ledger is None:
+        return rows.select("batch", "modified", "records", "key", F.col("again").alias("duplicate"))
+    known = ledger.where("not duplicate").select(F.col("key").alias("known")).distinct()
+    met = rows.join(known, F.col("key") == F.col("known"), "left")
+    return met.select("batch", "modified", "records", "key", (F.col("again") | F.col("known").isNotNull()).alias("duplicate"))
+
+
 def start_upsert(lines: DataFrame, log: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append each micro-batch's changes under ``log``/epoch=n; writing an epoch again replaces it.
 
     ``lines`` is a ``line_stream`` or a ``payload_stream`` with ``lines_of_payloads``.  The effect is exactly
     once: Spark replays an unfinished epoch with the same rows, and the replay overwrites its own folder.
     All tables are folds of this one log, so a batch is in all of them or in none.
+
+    A batch whose content an earlier one had, under whatever name, is a duplicate: the ledger, which is
+    written with the epoch, says so, and none of its lines counts.  Lines without a batch have no key.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        changes_of(batch, epoch).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
+        if "batch" not in batch.columns or "modified" not in batch.columns:
+            changes_of(batch, epoch).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
+            return
+        held = batch.persist()  # read for the keys and for the log; lost parts are read from the files again
+        try:
+            spark = batch.sparkSession
+            earlier = ledger(spark, log)
+            keys = judged(batch_keys(held), None if earlier is None else earlier.where(F.col("epoch") < epoch))
+            keys.write.mode("overwrite").parquet(f"{log}/ledger/epoch={epoch}")
+            again = spark.read.parquet(f"{log}/ledger/epoch={epoch}").where("duplicate").select(F.col("batch").alias("_again"))
+            fresh = held.join(again, F.col("batch") == F.col("_again"), "left_anti")
+            changes_of(fresh, epoch).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
+        finally:
+            held.unpersist()
 
     writer = lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def changes(spark: SparkSession, log: str) -> DataFrame:
-    return spark.read.option("basePath", log).parquet(f"{log}/epoch=*").drop("epoch")
+def ledger(spark: SparkSession, log: str) -> DataFrame | None:
+    """(batch, modified, records, key, duplicate, epoch): every batch that has come; None before the first."""
+    return spark.read.option("basePath", f"{log}/ledger").parquet(f"{log}/ledger/epoch=*") if store.folders(spark, f"{log}/ledger") else None
+
+
+def changes(spark: SparkSession, log: str, base: str | None = None) -> DataFrame:
+    """All changes that a table can depend on: of the epochs, or of the snapshot in ``base`` and the epochs after it."""
+    return store.changes(spark, log, base).drop("epoch")
 
 
-def state(spark: SparkSession, log: str) -> DataFrame:
+def state(spark: SparkSession, log: str, base: str | None = None) -> DataFrame:
     """The samples after all epochs: the last upsert of each id and type that no later tombstone deletes.
 
     A tombstone with an id deletes it in every type; one without, which has a type and a date, deletes
-    what began then.
+    what began then.  With a snapshot, only the epochs after it are folded: its samples are alive, and those
+    that later changes touch are left out by joins with the keys of these.
     """
-    log_ = changes(spark, log)
-    held = latest_wins(log_.where("route = 'sample' and id is not null").drop("route", "raw"), ["id", "type"], ["seq"])
+    log_ = store.deltas(spark, log, base)
+    held = latest_wins(log_.where("route = 'sample' and id is not null").drop("route", "raw", "epoch"), ["id", "type"], ["seq"])
     gone = log_.where("route = 'deletion'")
     plain = gone.where("id is not null").groupBy("id").agg(F.max("seq").alias("_plain"))
     dated = gone.where("id is null and start_ts is not null").groupBy("type", "start_ts").agg(F.max("seq").alias("_dated"))
     met = held.join(plain, "id", "left").join(dated, ["type", "start_ts"], "left")
-    live = (F.col("_plain").isNull() | (F.col("_plain") < F.col("seq"))) & (F.col("_dated").isNull() | (F.col("_dated") < F.col("seq")))
-    return met.where(live).select(*_COLUMNS)
+    live = met.where((F.col("_plain").isNull() | (F.col("_plain") < F.col("seq"))) & (F.col("_dated").isNull() | (F.col("_dated") < F.col("seq")))).select(*_COLUMNS)
+    old = store.snapshot(spark, base) if base else None
+    if old is None:
+        return live
+    old = old.where("route = 'sample'").select(*_COLUMNS)
+    old = old.join(held.select("id", "type"), ["id", "type"], "left_anti").join(plain, "id", "left_anti").join(dated, ["type", "start_ts"], "left_anti")
+    return live.unionByName(old.select(*_COLUMNS))
 
 
 #: Kinds that have tables of their own: what a row of each is known by, and its reader.
@@ -119,13 +169,13 @@ SIDE_TABLES: dict[str, tuple[list[str], Callable[[DataFrame], DataFrame]]] = {
 }
 
 
-def side_table(spark: SparkSession, log: str, kind: str) -> DataFrame:
+def side_table(spark: SparkSession, log: str, kind: str, base: str | None = None) -> DataFrame:
     """The table of one kind after all epochs: the last line of each key, read; ids that a later tombstone deletes are left out.
 
     Coverage goes by the moment of observation instead, whatever arrives last.
     """
     keys, read = SIDE_TABLES[kind]
-    log_ = changes(spark, log)
+    log_ = changes(spark, log, base)
     rows = log_.where((F.col("kind") == kind) & F.col("route").isin(kind, "sample")).select(F.col("raw").alias("value"), "seq")
     named = [F.get_json_object("value", f"$.{k}").alias(f"_{k}") for k in keys]
     order = [F.get_json_object("value", "$.observedAt").alias("_at")] if kind == "typeCoverage" else []
@@ -137,13 +187,8 @@ def side_table(spark: SparkSession, log: str, kind: str) -> DataFrame:
     return read(last.select("value"))
 
 
-def quarantined(spark: SparkSession, log: str) -> DataFrame:
+def quarantined(spark: SparkSession, log: str, base: str | None = None) -> DataFrame:
     """Lines that no table takes, each content once."""
     from pulsegrid.operators.state import quarantine
 
-    return quarantine(changes(spark, log).where("route = 'quarantine'").select("raw"), "raw", formats.PARSER_VERSION)
-
-
-def compact(spark: SparkSession, log: str, to: str) -> None:
-    """Write the folded state elsewhere, so that an old log can go."""
-    state(spark, log).write.mode("overwrite").parquet(to)
+    return quarantine(changes(spark, log, base).where("route = 'quarantine'").select("raw"), "raw", formats.PARSER_VERSION)
