@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GRAINS = ("hour", "day", "week", "month", "year")
@@ -39,12 +39,27 @@ def bucket_start(ts: Column, grain: str, tz: str, sunday_weeks: bool = True) ->
     return F.to_date(F.date_trunc(grain, F.to_date(wall))).cast("timestamp_ntz")
 
 
-def bucket_plan(spark: SparkSession, first: str, last: str, grain: str, most: int = 100_000) -> DataFrame:
-    """(idx, bucket_start, bucket_end): the buckets of [first, last], both local starts; refuses more than ``most``."""
+def bucket_plan(spark: SparkSession, first: str, last: str, grain: str, most: int = 100_000, tz: str = "UTC") -> DataFrame:
+    """(idx, bucket_start, bucket_end): the buckets from that of ``first`` to that of ``last``, both wall clocks of ``tz``; refuses more than ``most``.
+
+    Buckets of a day and more are local starts.  Hours are the instants that local hours begin at, as
+    ``bucket_start`` gives them: where the clock goes back an hour is there twice, where it goes forward one is
+    missing, and where it changes by half an hour one lasts half as long, or longer.
+    """
     step = {"hour": "1 hour", "day": "1 day", "week": "7 days", "month": "1 month", "year": "1 year"}[grain]
+    guard = lambda starts, n: F.when(n <= most, starts).otherwise(F.raise_error(F.lit(f"more than {most} buckets")))
+    if grain == "hour" and tz != "UTC":
+        begin, end = (utc_ts(F.expr(f"timestamp_ntz'{x}'"), tz) for x in (first, last))
+        ends = spark.range(1).select(bucket_start(begin, "hour", tz).alias("a"), bucket_start(end, "hour", tz).alias("b"))
+        # Clocks change by whole quarters of an hour, so a quarter's hour tells every hour there is.
+        quarters = F.expr("sequence(a, b, interval 15 minutes)")
+        at = ends.select("b", F.explode(guard(quarters, F.size(quarters) / 4)).alias("at"))
+        hours = at.select("b", bucket_start(F.col("at"), "hour", tz).alias("bucket_start")).distinct()
+        last_end = bucket_start(F.col("b") + F.expr("interval 65 minutes"), "hour", tz)
+        order = Window.partitionBy("b").orderBy("bucket_start")  # the plan's own rows, ``most`` at most
+        return hours.select((F.row_number().over(order) - 1).alias("idx"), "bucket_start", F.coalesce(F.lead("bucket_start").over(order), last_end).alias("bucket_end"))
     starts = F.expr(f"sequence(timestamp_ntz'{first}', timestamp_ntz'{last}', interval {step})")
-    guarded = F.when(F.size(starts) <= most, starts).otherwise(F.raise_error(F.lit(f"more than {most} buckets")))
-    rows = spark.range(1).select(F.posexplode(guarded).alias("idx", "bucket_start"))
+    rows = spark.range(1).select(F.posexplode(guard(starts, F.size(starts))).alias("idx", "bucket_start"))
     return rows.withColumn("bucket_end", F.expr(f"bucket_start + interval {step}"))
 
 

@@ -9,7 +9,7 @@ PAGE = 500
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key in the order of ``order`` (a replay overwrites).  One hash aggregation, no sort of a group."""
+    """The last row of each key in the order of ``order`` (a replay overwrites): one aggregation with partial maxima."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest))
 
@@ -65,6 +65,55 @@ def route_gaps(pages: DataFrame, declared: DataFrame, series: str = "sample_id")
     return sums.join(declared, series, "left").select(series, "points", (F.col("_lost") + tail).cast("long").alias("missing_pages"))
 
 
+_LOCATIONS = "array<struct<latitude: double, longitude: double, altitude: double, timestamp: string, speed: double>>"
+
+
+def _route_records(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of routed records: routes (route_id, workout_id, ordinal), their pages (route_id, offset, count, decoded, points), what their ends declare.
+
+    What links them lies in the records themselves.  A workout's routes are in the order of their starts; a
+    location counts if it has a latitude and a longitude.
+    """
+    t = lambda p: F.get_json_object("raw", p)
+    routes = records.where("kind = 'workoutRoute'").select(F.col("id").alias("route_id"), t("$.workout.id").alias("workout_id"), "start_ts").where("workout_id is not null")
+    routes = routes.withColumn("ordinal", F.row_number().over(Window.partitionBy("workout_id").orderBy("start_ts", "route_id")) - 1).drop("start_ts")
+    found = F.filter(F.from_json(t("$.locations"), _LOCATIONS), lambda x: x["latitude"].isNotNull() & x["longitude"].isNotNull())
+    pages = records.where("kind = 'workoutRouteLocations'").select(t("$.sample").alias("route_id"), F.coalesce(t("$.offset").try_cast("long"), F.lit(0)).alias("offset"), F.coalesce(t("$.count").try_cast("long"), F.lit(0)).alias("count"), F.coalesce(found, F.array()).alias("points"))
+    pages = pages.withColumn("decoded", F.size("points").cast("long"))
+    ends = records.where("kind = 'workoutRouteEnd'").groupBy(t("$.sample").alias("route_id")).agg(F.max(t("$.locations").try_cast("long")).alias("declared"))
+    return routes, pages, ends
+
+
+def workout_routes(records: DataFrame) -> DataFrame:
+    """(workout_id, routes, points, missing_pages, complete): the routes of each workout that has points, with all that is missing.
+
+    ``records``: id, kind, start_ts, raw.  Every route after the first is a gap like a missing page; a route
+    without pages misses one if its end declares locations.
+    """
+    routes, pages, ends = _route_records(records)
+    gaps = route_gaps(pages, ends, "route_id").withColumnRenamed("missing_pages", "lost")
+    met = routes.join(gaps, "route_id", "left").join(ends, "route_id", "left")
+    lost = F.coalesce("lost", F.when(F.col("declared") > 0, 1).otherwise(0)) + F.when(F.col("ordinal") > 0, 1).otherwise(0)
+    sums = met.groupBy("workout_id").agg(F.count(F.lit(1)).alias("routes"), F.coalesce(F.sum("points"), F.lit(0)).alias("points"), F.sum(lost).cast("long").alias("missing_pages"))
+    return sums.where("points > 0").withColumn("complete", F.col("missing_pages") == 0)
+
+
+def workout_route_points(records: DataFrame) -> DataFrame:
+    """(workout_id, ordinal, position, latitude, longitude, altitude, timestamp, speed): the points of a workout's routes, one after the other.
+
+    Where a page's points begin follows from the sizes of the pages and routes before it, which are added up
+    over a row a page and a row a route: points themselves are never sorted.
+    """
+    routes, pages, _ = _route_records(records)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    met = pages.join(routes, "route_id")
+    held = met.groupBy("workout_id", "ordinal").agg(F.sum("decoded").alias("_held"))
+    begun = held.select("workout_id", "ordinal", F.coalesce(F.sum("_held").over(before(Window.partitionBy("workout_id").orderBy("ordinal"))), F.lit(0)).alias("_route"))
+    spot = F.coalesce(F.sum("decoded").over(before(Window.partitionBy("workout_id", "ordinal").orderBy("offset"))), F.lit(0))
+    rows = met.withColumn("_page", spot).join(begun, ["workout_id", "ordinal"]).select("workout_id", "ordinal", (F.col("_route") + F.col("_page")).alias("_from"), F.posexplode("points").alias("_at", "p"))
+    return rows.select("workout_id", "ordinal", (F.col("_from") + F.col("_at")).alias("position"), "p.*")
+
+
 def explode_wave(series: DataFrame, id_col: str, array_col: str, hertz: float) -> DataFrame:
     rows = series.select(id_col, F.posexplode(array_col).alias("pos", "v"))
     return rows.select(id_col, "pos", (F.col("pos") / F.lit(float(hertz))).alias("seconds"), F.col("v").cast("double").alias("value"))

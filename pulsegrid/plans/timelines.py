@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.calendar import bucket_plan, bucket_start, iso_text, local_ts
 from pulsegrid.operators import domain, intervals, pages, series, stats
 from pulsegrid.plans.bucketed import ISLANDS_SQL
 from pulsegrid.plans.register import query
 from pulsegrid.schema import T_CRITICAL
-from pulsegrid.sources import adapters
+from pulsegrid.sources import adapters, formats
 from pulsegrid.sources.adapters import PAGES_SQL, SAMPLE_SQL
 
 
@@ -124,6 +125,64 @@ def route_reassembly_missing_pages(spark: SparkSession, sf_dir: str) -> DataFram
     return pages.route_gaps(rows, adapters.headers(spark, sf_dir).withColumnRenamed("expected", "declared"))
 
 
+_ROUTES_SQL = """WITH page AS (SELECT l_orderkey AS w, CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber % 2 ELSE 0 END AS r, l_linenumber AS line, max(l_partkey) AS part FROM lineitem GROUP BY ALL HAVING max(l_partkey) % 4 <> 0),
+d AS (SELECT w, r, CASE WHEN w % 2 = 0 THEN line // 2 ELSE line - 1 END * 2 AS spot, CASE WHEN part % 5 = 0 THEN 1 ELSE 2 END AS decoded, part FROM page),
+route AS (SELECT o_orderkey AS w, r, row_number() OVER (PARTITION BY o_orderkey ORDER BY r DESC) - 1 AS ordinal, o_orderkey % 9 AS declared FROM orders, LATERAL (SELECT unnest(CASE WHEN o_orderkey % 2 = 0 THEN [0, 1] ELSE [0] END) AS r)),
+x AS (SELECT *, coalesce(lag(spot + decoded) OVER (PARTITION BY w, r ORDER BY spot), 0) AS expected FROM d),
+y AS (SELECT w, r, sum(decoded) AS points, sum((CASE WHEN spot <> expected THEN 1 ELSE 0 END) + (CASE WHEN decoded < 2 THEN 1 ELSE 0 END)) AS lost, max_by(spot + decoded, spot) AS fin FROM x GROUP BY ALL)"""
+
+
+def _route_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as workouts, those of even keys with two routes of which the second begins first; lines as their pages, some of which are missing or hold too little."""
+    o, text = adapters.table(spark, sf_dir, "orders"), lambda *cs: F.to_json(F.struct(*cs)).alias("value")
+    name = lambda key, r: F.concat(F.col(key).cast("string"), F.lit("-"), r.cast("string"))
+    routes = o.select("*", F.explode(F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("r"))
+    start = iso_text(F.col("o_orderdate") - F.make_dt_interval(hours=F.col("r")))
+    id_ = name("o_orderkey", F.col("r"))
+    heads = routes.select(text(id_.alias("id"), F.lit("HKWorkoutRouteTypeIdentifier").alias("type"), F.lit("workoutRoute").alias("kind"), start.alias("startDate"), F.struct(F.col("o_orderkey").cast("string").alias("id")).alias("workout")))
+    ends = routes.select(text(F.concat(id_, F.lit("e")).alias("id"), F.lit("t").alias("type"), F.lit("workoutRouteEnd").alias("kind"), start.alias("startDate"), id_.alias("sample"), (F.col("o_orderkey") % 9).alias("locations")))
+    page = adapters.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("line")).agg(F.max("l_partkey").alias("part")).where("part % 4 <> 0")
+    r, even = F.when(F.col("l_orderkey") % 2 == 0, F.col("line") % 2).otherwise(0), F.col("l_orderkey") % 2 == 0
+    spot = lambda n: F.struct((F.col("part") / 100_000 + n).alias("latitude"), F.when(F.lit(n == 0) | (F.col("part") % 5 != 0), F.col("line") + F.lit(0.5)).alias("longitude"))
+    at = F.when(even, F.floor(F.col("line") / 2)).otherwise(F.col("line") - 1) * 2
+    route_id = name("l_orderkey", r)
+    pages_ = page.select(text(F.concat(route_id, F.lit("p"), F.col("line")).alias("id"), F.lit("t").alias("type"), F.lit("workoutRouteLocations").alias("kind"), F.lit("2024-01-01T00:00:00.000Z").alias("startDate"), route_id.alias("sample"), at.alias("offset"), F.lit(2).alias("count"), F.array(spot(0), spot(1)).alias("locations")))
+    return heads.unionByName(ends).unionByName(pages_)
+
+
+@query(f"""{_ROUTES_SQL} SELECT w::VARCHAR AS workout_id, count(*)::BIGINT AS routes, sum(coalesce(points, 0))::BIGINT AS points,
+  sum(coalesce(lost + CASE WHEN fin < declared THEN 1 ELSE 0 END, CASE WHEN declared > 0 THEN 1 ELSE 0 END) + CASE WHEN ordinal > 0 THEN 1 ELSE 0 END)::BIGINT AS missing_pages,
+  sum(coalesce(lost + CASE WHEN fin < declared THEN 1 ELSE 0 END, CASE WHEN declared > 0 THEN 1 ELSE 0 END) + CASE WHEN ordinal > 0 THEN 1 ELSE 0 END) = 0 AS complete
+FROM route LEFT JOIN y USING (w, r) GROUP BY w HAVING sum(coalesce(points, 0)) > 0""")
+def routes_of_workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON-08, PAG-04: routes joined to their workouts through the records, several in the order of their starts, each further one a gap."""
+    return pages.workout_routes(formats.route(_route_lines(spark, sf_dir)))
+
+
+@query(f"""{_ROUTES_SQL}, p AS (SELECT w, r, ordinal, spot, part, unnest(range(decoded)) AS k FROM d JOIN route USING (w, r))
+SELECT w::VARCHAR AS workout_id, ordinal::INTEGER AS ordinal, (row_number() OVER (PARTITION BY w ORDER BY ordinal, spot, k) - 1)::BIGINT AS position, round(part / 100000 + k, 5) AS latitude FROM p""")
+def route_points_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAG-04: the points of a workout's routes one after the other, by running offsets."""
+    rows = pages.workout_route_points(formats.route(_route_lines(spark, sf_dir)))
+    return rows.select("workout_id", "ordinal", "position", F.round("latitude", 5).alias("latitude"))
+
+
+@query("""WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-03-08 20:00:00' ELSE TIMESTAMP '2024-11-01 20:00:00' END + to_minutes((event_id * 7919 % 7200)::INTEGER) AS moment FROM events),
+plan AS (SELECT unnest(range(TIMESTAMP '2024-03-09 05:00:00', TIMESTAMP '2024-03-12 04:00:00', INTERVAL 1 HOUR)) AS h UNION ALL SELECT unnest(range(TIMESTAMP '2024-11-02 04:00:00', TIMESTAMP '2024-11-05 05:00:00', INTERVAL 1 HOUR)))
+SELECT h AS bucket_start, h + INTERVAL 1 HOUR AS bucket_end, strftime(h - CASE WHEN h >= TIMESTAMP '2024-03-10 07:00:00' AND h < TIMESTAMP '2024-11-03 06:00:00' THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END, '%d %H:%M') AS wall, count(moment)::BIGINT AS n
+FROM plan LEFT JOIN e ON date_trunc('hour', moment) = h GROUP BY h""")
+def hour_plan_over_clock_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-05: the hours of three days around both clock changes of a year in New York, 71 and 73 of them, empty ones too."""
+    n = F.col("event_id")
+    begin = F.when(n % 2 == 0, F.expr("timestamp_ntz'2024-03-08 20:00:00'")).otherwise(F.expr("timestamp_ntz'2024-11-01 20:00:00'"))
+    at = adapters.table(spark, sf_dir, "events").select((begin + F.make_dt_interval(mins=(n * 7919 % 7200).cast("int"))).cast("timestamp_ntz").alias("at"))
+    zone = "America/New_York"
+    counts = at.groupBy(bucket_start(F.col("at"), "hour", zone).alias("bucket_start")).agg(F.count(F.lit(1)).alias("n"))
+    plan = bucket_plan(spark, "2024-03-09 00:00:00", "2024-03-11 23:00:00", "hour", tz=zone).unionByName(bucket_plan(spark, "2024-11-02 00:00:00", "2024-11-04 23:00:00", "hour", tz=zone))
+    met = plan.join(counts, "bucket_start", "left")
+    return met.select("bucket_start", "bucket_end", F.date_format(local_ts(F.col("bucket_start"), zone), "dd HH:mm").alias("wall"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query(f"""{_CHAIN} SELECT c.sample_id, points AS held, expected AS declared, CASE WHEN expected IS NULL THEN 'unknown' WHEN points >= expected THEN 'complete' ELSE 'incomplete' END AS state FROM c LEFT JOIN h USING (sample_id)""")
 def declared_vs_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-20."""
