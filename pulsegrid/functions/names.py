@@ -107,26 +107,37 @@ def csv_field(text: Column) -> Column:
     return F.when(text.rlike('[,"\\n\\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
+#: The line ends and marks that the line protocol can't hold.
+_BREAKS = "\n\r\x00\x0b\x0c\x85  "
+
+
 def _clean(text: Column) -> Column:
-    return F.regexp_replace(text, "[\\n\\r\\x00\\x0b\\x0c\\x85\\u2028\\u2029]", " ")
+    return F.translate(text, _BREAKS, " " * len(_BREAKS))
+
+
+def _escaped(text: Column, marks: str) -> Column:
+    """A backslash before each of ``marks``, itself first among them."""
+    for mark in marks:
+        text = F.replace(text, F.lit(mark), F.lit(f"\\{mark}"))
+    return text
 
 
 def line_key(text: Column) -> Column:
     """A tag or field key, or a tag's value, of the line protocol."""
-    return F.regexp_replace(_clean(text), r"([\\,= ])", r"\\$1")
+    return _escaped(_clean(text), "\\,= ")
 
 
 def line_measurement(text: Column) -> Column:
     bare = F.regexp_replace(_clean(text), "^[#_]+", "")
-    return F.regexp_replace(F.when(bare == "", "health").otherwise(bare), r"([\\, ])", r"\\$1")
+    return _escaped(F.when(bare == "", "health").otherwise(bare), "\\, ")
 
 
 def line_string(text: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(_clean(text), r'([\\"])', r"\\$1"), F.lit('"'))
+    return F.concat(F.lit('"'), _escaped(_clean(text), '\\"'), F.lit('"'))
 
 
 def line_nanos(text: Column) -> Column:
     """Nanoseconds of an ISO instant: the fraction's digits are taken from the text, nine at most."""
     whole = F.unix_seconds(F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"), F.concat(F.left(text, F.lit(19)), F.lit("Z")))))
-    digits = F.rpad(F.left(F.regexp_extract(text, r"\.(\d+)", 1), F.lit(9)), 9, "0")
+    digits = F.rpad(F.left(F.replace(F.substring(text, 21, 64), F.lit("Z"), F.lit("")), F.lit(9)), 9, "0")
     return whole * 1_000_000_000 + digits.cast("long")

@@ -96,7 +96,10 @@ def line_protocol(records: DataFrame, measurement: str = "health", precision: st
     kind, value = F.col("kind"), F.col("value")
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
     stamp, end = line_nanos(F.col("startDate")), line_nanos(F.col("endDate"))
-    tags = {"type": metric_name(F.col("type")), "id": F.col("id").cast("string"), "source": F.col("source"), "device": F.col("device"), "unit": F.col("unit"), "activity": F.col("activity")}
+    # A type's name is worked out once, not for each of its records.
+    named_types = records.select(F.col("type").alias("_key")).distinct().withColumn("_metric", metric_name(F.col("_key")))
+    records = records.join(named_types, F.col("type").eqNullSafe(F.col("_key")), "left")
+    tags = {"type": F.col("_metric"), "id": F.col("id").cast("string"), "source": F.col("source"), "device": F.col("device"), "unit": F.col("unit"), "activity": F.col("activity")}
     # In steps, so that each is computed once.
     rows = records.withColumns({f"_{k}": F.when(F.coalesce(v, F.lit("")) != "", line_key(v)) for k, v in tags.items()} | {"_stamp": stamp, "_span": (end - stamp) / 1e9, "_finite": finite})
     rows = rows.withColumns({f"_{k}": F.when(F.col(f"_{k}").isNotNull(), F.concat(F.lit(f",{k}="), F.col(f"_{k}"))).otherwise("") for k in tags} | {"_span": F.when(F.col("_span") > 0, F.col("_span"))})
@@ -119,7 +122,8 @@ def line_protocol(records: DataFrame, measurement: str = "health", precision: st
     )
     rows = rows.select("id", route.alias("_route"), shown.alias("_tags"), fields.alias("_fields"), F.floor(F.col("_stamp") / PRECISIONS[precision]).alias("_stamp") if precision != "ns" else F.col("_stamp"))
     time = F.coalesce(F.concat(F.lit(" "), F.col("_stamp").cast("string")), F.lit(""))
-    line = F.concat(line_measurement(F.concat(F.lit(measurement), "_route")), F.col("_tags"), F.lit(" "), F.col("_fields"), time)
+    of = F.coalesce(*(F.when(F.col("_route") == x, line_measurement(F.lit(f"{measurement}{x}"))) for x in ("", "_deletions", "_workouts", "_events")))  # four constants
+    line = F.concat(of, F.col("_tags"), F.lit(" "), F.col("_fields"), time)
     return rows.where("_fields <> ''").select("id", line.alias("line"))
 
 
