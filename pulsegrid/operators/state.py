@@ -78,10 +78,31 @@ def coverage_state(exhausted: Column, observed: Column) -> Column:
     return F.when(~exhausted, "draining").when(observed > 0, "anchorClosed").otherwise("authorizationIndeterminate")
 
 
-def fair_share(pending: DataFrame, key: str, order: list[Column], candidates: int, limit: int = 5000, page: int = 500, least: int = 50) -> DataFrame:
+#: Fixed value: bytes gathered before a batch is handed over.
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def within_bytes(rows: DataFrame, pages: list[str], size: str, most: int = BATCH_BYTES) -> DataFrame:
+    """The rows of all pages, in the order of the columns ``pages``, that begin before ``most`` bytes have gone by: the page that passes the budget is the last.
+
+    Sizes are added up by page, then over ranges of pages in their order, and over the ranges, of which there is
+    one row each; rows are never sorted together.
+    """
+    sizes = rows.groupBy(*pages).agg(F.coalesce(F.sum(size), F.lit(0)).alias("_bytes"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    head = pages[:-1] or pages
+    ranges = sizes.groupBy(*head).agg(F.sum("_bytes").alias("_range"))
+    begun = ranges.select(*head, F.coalesce(F.sum("_range").over(before(Window.orderBy(*head))), F.lit(0)).alias("_begun"))
+    inside = F.coalesce(F.sum("_bytes").over(before(Window.partitionBy(*head).orderBy(pages[-1]))), F.lit(0)) if pages[:-1] else F.lit(0)
+    open_ = sizes.withColumn("_inside", inside).join(begun, head).where(F.col("_begun") + F.col("_inside") < most).select(*pages)
+    return rows.join(open_, pages, "left_semi")
+
+
+def fair_share(pending: DataFrame, key: str, order: list[Column], candidates: int, limit: int = 5000, page: int = 500, least: int = 50, size: str | None = None, most: int = BATCH_BYTES) -> DataFrame:
     """The rows of one batch: each key's share first, in the keys' order (``turn``), then what is left from the top.
 
-    ``pending`` has the key, its ``turn`` and an order within it.
+    ``pending`` has the key, its ``turn`` and an order within it, and with ``size`` a column of bytes: then the
+    batch ends with the page of a key that passes ``most`` bytes.
     """
     share = limit if candidates <= 1 else min(page, max(least, limit // candidates))
     ranked = pending.withColumn("_pos", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_pos") <= limit)
@@ -90,7 +111,11 @@ def fair_share(pending: DataFrame, key: str, order: list[Column], candidates: in
     before = F.coalesce(F.sum("_n").over(Window.orderBy("round", "turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     met = ranked.join(sizes.withColumn("_before", before), ["round", "turn"])
     place = F.col("_before") + F.col("_pos") - F.when(F.col("round") == 1, share).otherwise(0)
-    return met.withColumn("place", place.cast("long")).where(F.col("place") <= limit).drop("_pos", "_n", "_before")
+    taken = met.withColumn("place", place.cast("long")).where(F.col("place") <= limit)
+    if size is not None:
+        spot = F.floor((F.col("_pos") - 1 - F.when(F.col("round") == 1, share).otherwise(0)) / F.least(F.lit(page), F.when(F.col("round") == 1, page).otherwise(share)))
+        taken = within_bytes(taken.withColumn("_page", spot), ["round", "turn", "_page"], size, most).drop("_page")
+    return taken.drop("_pos", "_n", "_before")
 
 
 def rotated(types: DataFrame, key: str, hour_slot: int) -> DataFrame:
@@ -130,12 +155,14 @@ def observed(digests: DataFrame, held: DataFrame, key: str = "destination") -> D
 def commit_anchors(stored: DataFrame, commits: DataFrame, key: str = "type") -> DataFrame:
     """(key, anchor, delivered, status) after commits (key, base, anchor, delivered): only one whose base is the stored anchor counts.
 
-    ``stored``: key, anchor, delivered.  ``stale`` commits change nothing, others add to what was delivered.
+    ``stored``: key, anchor, delivered.  ``stale`` commits change nothing, nor do those that deliver something
+    and leave the anchor where it is (``stuck``), which would deliver it for ever; others add to what was delivered.
     """
     new = commits.select(key, "base", F.col("anchor").alias("_anchor"), F.col("delivered").alias("_delivered"))
     met = stored.join(new, key, "full")
     fits = F.col("base").eqNullSafe(F.col("anchor"))
-    status = F.when(F.col("_anchor").isNull(), "kept").when(fits, "committed").otherwise("stale")
+    stuck = F.col("base").eqNullSafe(F.col("_anchor")) & (F.coalesce("_delivered", F.lit(0)) > 0)
+    status = F.when(F.col("_anchor").isNull(), "kept").when(fits & stuck, "stuck").when(fits, "committed").otherwise("stale")
     took = status == "committed"
     return met.select(key, F.when(took, F.col("_anchor")).otherwise(F.col("anchor")).alias("anchor"), (F.coalesce("delivered", F.lit(0)) + F.when(took, F.coalesce("_delivered", F.lit(0))).otherwise(0)).alias("delivered"), status.alias("status"))
 

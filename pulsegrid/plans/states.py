@@ -269,6 +269,16 @@ def fair_share_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.fair_share(rows, "event_type", [F.col("ts"), F.col("event_id")], 5).select("event_id", "event_type", "turn", "round", "place")
 
 
+@query(f"""WITH {_TURNS}, r AS (SELECT event_id, e.event_type, turn, 1000 + event_id % 997 AS bytes, row_number() OVER (PARTITION BY e.event_type ORDER BY ts, event_id) AS pos FROM events e JOIN turns USING (event_type)),
+x AS (SELECT *, CASE WHEN pos <= 500 THEN 0 ELSE 1 END AS round FROM r WHERE pos <= 5000), y AS (SELECT *, row_number() OVER (ORDER BY round, turn, pos)::BIGINT AS place, (pos - 1 - CASE WHEN round = 1 THEN 500 ELSE 0 END) // 500 AS page FROM x),
+z AS (SELECT * FROM y WHERE place <= 5000), q AS (SELECT round, turn, page, sum(bytes) AS b FROM z GROUP BY ALL), p AS (SELECT round, turn, page, sum(b) OVER (ORDER BY round, turn, page) - b AS before FROM q)
+SELECT event_id, event_type, turn, round::INTEGER AS round, place FROM z JOIN p USING (round, turn, page) WHERE before < 2000000""")
+def fair_share_within_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-02: the batch ends with the page that passes its budget of bytes."""
+    rows = adapters.table(spark, sf_dir, "events").select("event_id", "event_type", "ts", (1000 + F.col("event_id") % 997).alias("bytes")).join(_turns(spark, sf_dir), "event_type")
+    return state.fair_share(rows, "event_type", [F.col("ts"), F.col("event_id")], 5, size="bytes", most=2_000_000).select("event_id", "event_type", "turn", "round", "place")
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'draining' WHEN event_id % 7 > 0 THEN 'anchorClosed' ELSE 'authorizationIndeterminate' END AS state FROM events""")
 def coverage_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-05."""

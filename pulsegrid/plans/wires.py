@@ -43,11 +43,11 @@ def csv_parse_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SAMPLE_SQL}, p AS (SELECT CASE type WHEN 'purchase' THEN 'purchase' ELSE type END AS type, date_trunc('millisecond', start_ts)::TIMESTAMP AS start_ts, date_trunc('millisecond', CASE WHEN end_ts <> start_ts THEN end_ts ELSE start_ts END)::TIMESTAMP AS end_ts, value, source_name FROM sample)
 SELECT type || ':' || {_ISO.format("start_ts")} AS id, type, start_ts, end_ts, value, source_name FROM p""")
 def metrics_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-06: envelopes of each user's points, flattened."""
-    sample = adapters.sample(spark, sf_dir)
+    """SRC-06: envelopes of the points of at most 500 ids each, flattened."""
+    sample = adapters.sample(spark, sf_dir).withColumn("batch", F.floor(F.col("id") / 500))
     point = F.struct(F.date_format("start_ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("date"), F.date_format("end_ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("endDate"), F.col("value").alias("qty"), F.col("source_name").alias("source"))
-    metrics = sample.groupBy("source_name", "type").agg(F.collect_list(point).alias("data")).select("source_name", F.struct(F.col("type").alias("name"), F.lit("u").alias("units"), "data").alias("m"))
-    payloads = metrics.groupBy("source_name").agg(F.to_json(F.struct(F.struct(F.collect_list("m").alias("metrics")).alias("data"))).alias("value"))
+    metrics = sample.groupBy("batch", "type").agg(F.collect_list(point).alias("data")).select("batch", F.struct(F.col("type").alias("name"), F.lit("u").alias("units"), "data").alias("m"))
+    payloads = metrics.groupBy("batch").agg(F.to_json(F.struct(F.struct(F.collect_list("m").alias("metrics")).alias("data"))).alias("value"))
     return formats.flatten_metrics(payloads).select("id", "type", "start_ts", "end_ts", "value", "source_name")
 
 

@@ -101,3 +101,20 @@ def test_equal_batches_of_one_epoch_count_once(spark, tmp_path):
     keys = spark.createDataFrame([("b", "k", 2), ("a", "k", 1), ("c", "other", 1), ("d", "old", 1)], "batch string, key string, records long").selectExpr("batch", "timestamp'2026-01-01' as modified", "records", "key")
     known = spark.createDataFrame([("old", False), ("other", True)], "key string, duplicate boolean")
     assert {r.batch: r.duplicate for r in ingest.judged(keys, known).collect()} == {"a": False, "b": True, "c": False, "d": True}
+
+
+def test_a_batch_ends_with_the_page_that_passes_its_bytes(spark):
+    from pulsegrid.operators import state
+
+    rows = spark.createDataFrame([(r, t, p, i, 40) for r in (0, 1) for t in (0, 1) for p in (0, 1) for i in range(2)], "round int, turn int, page int, i int, n int")
+    took = lambda most: sorted({(r.round, r.turn, r.page) for r in state.within_bytes(rows, ["round", "turn", "page"], "n", most).collect()})
+    assert took(0) == [] and took(1) == [(0, 0, 0)] and took(80) == [(0, 0, 0)] and took(81) == [(0, 0, 0), (0, 0, 1)]
+    assert took(401) == [(0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 0, 1)] and len(took(10**9)) == 8
+
+
+def test_an_anchor_that_does_not_advance_is_stuck(spark):
+    from pulsegrid.operators import state
+
+    stored = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", 1, 5)], "type string, anchor long, delivered long")
+    commits = spark.createDataFrame([("a", 1, 1, 3), ("b", 1, 1, 0), ("c", 1, 2, 3)], "type string, base long, anchor long, delivered long")
+    assert {r.type: (r.anchor, r.delivered, r.status) for r in state.commit_anchors(stored, commits).collect()} == {"a": (1, 5, "stuck"), "b": (1, 5, "committed"), "c": (2, 8, "committed")}
