@@ -170,6 +170,36 @@ def array_parse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("route").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query("""SELECT event_id::VARCHAR AS id, event_type AS type, value FROM events WHERE (event_id // 500) % 3 <> 1""")
+def archives_all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-20: archives of two parts, 500 ids each; of every three one has a line cut short or bytes that are no archive, and gives nothing."""
+    e = adapters.table(spark, sf_dir, "events").withColumn("batch", F.floor(F.col("event_id") / 500))
+    line = _named(id=F.col("event_id").cast("string"), type=F.col("event_type"), kind="quantity", startDate=iso_text(F.col("ts")), value=F.col("value"))
+    part = lambda rest: F.array_join(F.transform(F.sort_array(F.filter(F.collect_list(F.struct("event_id", "value")), lambda x: x["event_id"] % 2 == rest)), lambda x: x["value"]), "\n")
+    texts = e.select("batch", "event_id", line).groupBy("batch").agg(part(0).alias("a"), part(1).alias("b"))
+    texts = texts.withColumn("b", F.when(F.col("batch") % 6 == 1, F.concat("b", F.lit('\n{"id":'))).otherwise(F.col("b"))).select(F.col("batch").cast("string").alias("archive"), "a", "b", (F.col("batch") % 6 == 4).alias("broken"))
+
+    def pack(batches):  # noqa: ANN001, ANN202
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for a, b, broken in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                body = io.BytesIO()
+                with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("head.ndjson", '{"kind":"manifest","parts":2}\n')
+                    z.writestr("a.ndjson", a)
+                    z.writestr("b.ndjson", b)
+                made.append(body.getvalue()[:40] if broken else body.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["archive", "content"])
+
+    _, records = formats.whole_archives(formats.unzipped(texts.mapInArrow(pack, "archive string, content binary")))
+    return formats.route(records).where("route = 'sample'").select("id", "type", "value")
+
+
 @query("""SELECT type, count(*)::BIGINT AS rows FROM (SELECT unnest(CASE WHEN c_custkey % 2 = 0 THEN ['segment', 'nation'] ELSE ['balance'] END) AS type FROM customer) GROUP BY 1""")
 def characteristics_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-09: a map of several characteristics, or a single one."""

@@ -269,20 +269,67 @@ def read_pages(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.where(t("$.kind").isin(*kinds)).select(t("$.sample").alias("sample_id"), t("$.sequence").try_cast("long").alias("sequence"), t("$.offset").try_cast("long").alias("offset"), t("$.count").try_cast("long").alias("count"), F.coalesce(F.json_array_length(elements), F.lit(0)).cast("long").alias("decoded"), elements.alias("elements"))
 
 
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(name, value): the lines of every part in ZIP files, each opened by one task, a part at a time."""
+#: Kinds of an archive's own bookkeeping, which are no records.
+BOOKKEEPING = ["manifest", "completion", "typeSummary", "typeError", "resume"]
+#: Lines of a part that are handed on together.
+_TOGETHER = 10_000
+
+
+def unzipped(archives: DataFrame) -> DataFrame:
+    """(archive, part, line, value, error): the lines of every part of ZIP archives (archive, content).
+
+    A task has one archive's bytes and some thousand lines of a part at a time.  Where an archive or a part
+    can't be read on, a row says so in ``error``.
+    """
     import io
     import zipfile
+    import zlib
 
     import pyarrow as pa
 
+    names = ["archive", "part", "line", "value", "error"]
+
+    def told(archive, part, first, lines, error=None):  # noqa: ANN001, ANN202
+        n = len(lines)
+        return pa.RecordBatch.from_arrays([pa.array([archive] * n, pa.string()), pa.array([part] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), pa.array(lines, pa.string()), pa.array([error] * n, pa.string())], names=names)
+
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            for content in batch.column(0):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for name in z.namelist():
-                        with z.open(name) as part:
-                            lines = [x.decode("utf-8", "replace").rstrip("\r\n") for x in part]
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string())], names=["name", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, value string")
+            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = None
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
+                        for part in z.namelist():
+                            with z.open(part) as opened:
+                                held, first = [], 0
+                                for x in opened:
+                                    held.append(x.decode("utf-8", "replace").rstrip("\r\n"))
+                                    if len(held) == _TOGETHER:
+                                        yield told(archive, part, first, held)
+                                        held, first = [], first + len(held)
+                                yield told(archive, part, first, held)
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as error:
+                    yield told(archive, part, 0, [None], str(error)[:200])
+
+    return archives.select(F.col("archive").cast("string"), "content").mapInArrow(run, "archive string, part string, line long, value string, error string")
+
+
+def whole_archives(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(manifest, records) of ``unzipped`` lines: an archive of which one line is no JSON, or one part unreadable, gives nothing.
+
+    The manifest has (archive, parts, lines, bad, taken); records are the lines of the archives that are taken,
+    without empty ones and an archive's own bookkeeping.
+    """
+    filled = F.col("error").isNotNull() | (F.btrim(F.coalesce("value", F.lit(""))) != "")
+    bad = F.col("error").isNotNull() | (filled & F.try_parse_json("value").isNull())
+    sums = lines.groupBy("archive").agg(F.count_distinct("part").alias("parts"), F.sum(filled.cast("long")).alias("lines"), F.sum(bad.cast("long")).alias("bad"))
+    manifest = sums.withColumn("taken", F.col("bad") == 0)
+    kind = F.coalesce(F.get_json_object("value", "$.kind"), F.lit(""))
+    records = lines.where(filled & ~kind.isin(*BOOKKEEPING) & ~kind.rlike("ConnectionTest$"))
+    return manifest, records.join(manifest.where("taken").select("archive"), "archive", "left_semi").drop("error")
+
+
+def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value): the lines of every part in ZIP files."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
+    return unzipped(files).where("error is null").select(F.col("part").alias("name"), "value")

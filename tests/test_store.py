@@ -118,3 +118,24 @@ def test_an_anchor_that_does_not_advance_is_stuck(spark):
     stored = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", 1, 5)], "type string, anchor long, delivered long")
     commits = spark.createDataFrame([("a", 1, 1, 3), ("b", 1, 1, 0), ("c", 1, 2, 3)], "type string, base long, anchor long, delivered long")
     assert {r.type: (r.anchor, r.delivered, r.status) for r in state.commit_anchors(stored, commits).collect()} == {"a": (1, 5, "stuck"), "b": (1, 5, "committed"), "c": (2, 8, "committed")}
+
+
+def test_one_bad_part_voids_its_archive(spark, monkeypatch):
+    import io
+    import zipfile
+
+    from pulsegrid.sources import formats
+
+    def archive(**parts):
+        body = io.BytesIO()
+        with zipfile.ZipFile(body, "w") as z:
+            for name, text in parts.items():
+                z.writestr(name, text)
+        return body.getvalue()
+
+    good = archive(a='{"id":"1"}\n\n{"kind":"manifest"}\n' + '{"id":"2"}\n' * 25_000, b="", c='{"kind":"someConnectionTest"}')
+    told = [("good", good), ("bad", archive(a='{"id":"3"}', b='{"id":')), ("cut", good[:60]), ("none", None), ("void", archive())]
+    manifest, records = formats.whole_archives(formats.unzipped(spark.createDataFrame(told, "archive string, content binary")))
+    assert {r.archive: (r.lines, r.bad, r.taken) for r in manifest.collect()} == {"good": (25_003, 0, True), "bad": (2, 1, False), "cut": (1, 1, False), "none": (1, 1, False)}
+    rows = records.collect()
+    assert {r.archive for r in rows} == {"good"} and len(rows) == 25_001 and len({r.line for r in rows}) == 25_001
