@@ -196,12 +196,16 @@ def waveform_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LISTED = ", ".join(f"('{k}', '{v}')" for k, v in sorted(METRIC_NAMES.items()))
 
 
-@query(f"""SELECT * FROM (SELECT type, CASE WHEN starts_with(type, 'HKCategory') THEN 'category' ELSE 'quantity' END AS kind, metric,
-  regexp_replace(regexp_replace(regexp_replace(type, '^HK(Quantity|Category)TypeIdentifier', ''), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g') AS name FROM (VALUES {_LISTED}) t(type, metric))
+@query(f"""WITH held AS (SELECT [{", ".join(f"'{k}'" for k, _ in sorted(METRIC_NAMES.items()))}][(p_partkey % {len(METRIC_NAMES)})::INTEGER + 1] AS type, count(*)::BIGINT AS records FROM part GROUP BY 1)
+SELECT type, kind, metric, name, coalesce(records, 0)::BIGINT AS records FROM (SELECT type, CASE WHEN starts_with(type, 'HKCategory') THEN 'category' ELSE 'quantity' END AS kind, metric,
+  regexp_replace(regexp_replace(regexp_replace(type, '^HK(Quantity|Category)TypeIdentifier', ''), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g') AS name FROM (VALUES {_LISTED}) t(type, metric)) LEFT JOIN held USING (type)
 WHERE contains(metric, 'rate') OR contains(lower(name), 'rate')""")
 def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-26, APP-12: the entries with "rate" in their names."""
-    return export.catalogue_search(export.catalogue(spark), "rate").select("type", "kind", "metric", "name")
+    """SRC-26, APP-12: the entries with "rate" in their names, and how much there is of each."""
+    types = F.array(*(F.lit(k) for k, _ in sorted(METRIC_NAMES.items())))
+    held = adapters.table(spark, sf_dir, "part").groupBy(F.element_at(types, (F.col("p_partkey") % len(METRIC_NAMES) + 1).cast("int")).alias("type")).agg(F.count(F.lit(1)).alias("records"))
+    entries = export.catalogue(spark).join(held, "type", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+    return export.catalogue_search(entries, "rate").select("type", "kind", "metric", "name", "records")
 
 
 @query(f"""SELECT p_partkey, m AS metric, type FROM (SELECT p_partkey, [{", ".join(f"'{v}'" for _, v in sorted(METRIC_NAMES.items()))}, 'no_such_metric'][(p_partkey % {len(METRIC_NAMES) + 1})::INTEGER + 1] AS m FROM part) LEFT JOIN (VALUES {_LISTED}) t(type, metric) ON metric = m""")
