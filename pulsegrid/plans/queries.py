@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import bucketed, deliveries, exports, ingests, states, timelines, wires  # noqa: F401
+from pulsegrid.plans import bucketed, deliveries, divisions, exports, ingests, states, timelines, wires  # noqa: F401
 from pulsegrid.plans.register import ORACLES, QUERIES, Query
 
 

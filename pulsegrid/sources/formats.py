@@ -149,6 +149,30 @@ def split_csv(line: Column) -> Column:
     return F.transform(fields, lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.greatest(F.char_length(x) - 2, F.lit(0))), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
+# A key or a tag's value of the line protocol: a backslash takes the next character with it.
+_TOKEN = r"(?:[^\\,= ]|\\.)++"
+_FIELD = rf'{_TOKEN}=(?:"(?:[^"\\]|\\.)*+"|[^ ,"]++)'
+_LINE = rf"^((?:[^\\, ]|\\.)++)((?:,{_TOKEN}={_TOKEN})*+) ({_FIELD}(?:,{_FIELD})*+)(?: (-?\d{{1,19}}))?$"
+
+
+def line_tokens(line: Column) -> Column:
+    """(measurement, tags, fields, ticks) of a line of the line protocol, null for one that isn't.
+
+    Escapes are undone in names and tags; a field's value stays as written, quotes and escapes of its text undone.
+    """
+    part = lambda i: F.regexp_extract(line, _LINE, i)
+    plain = lambda c: F.regexp_replace(c, r"\\([\\,= ])", "$1")
+    bare = lambda c: F.when(c.startswith('"'), F.regexp_replace(F.substring(c, F.lit(2), F.char_length(c) - 2), r'\\([\\"])', "$1")).otherwise(c)
+    found = lambda text, pattern, i, undo: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)), undo)
+    tag, field = rf",({_TOKEN})=({_TOKEN})", rf'(?:^|,)({_TOKEN})=("(?:[^"\\]|\\.)*+"|[^ ,"]++)'
+    # Entries by way of a filter on first names, so that a repeated key doesn't fail the query: the first one counts.
+    table = lambda keys, values: F.map_from_entries(F.filter(F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x, i: F.when(F.array_position(keys, x["k"]) == i + 1, F.struct(x["k"].alias("key"), x["v"].alias("value")))), lambda x: x.isNotNull()))
+    tags = table(found(part(2), tag, 1, plain), found(part(2), tag, 2, plain))
+    fields = table(found(part(3), field, 1, plain), found(part(3), field, 2, bare))
+    told = F.struct(F.regexp_replace(part(1), r"\\([\\, ])", "$1").alias("measurement"), tags.alias("tags"), fields.alias("fields"), part(4).try_cast("bigint").alias("ticks"))
+    return F.when(line.rlike(_LINE), told)
+
+
 def parse_csv(lines: DataFrame, text: str = "value") -> DataFrame:
     """Rows of the flat CSV without its header; empty fields are null, a wrong number of fields is unreadable."""
     cut = lines.select(split_csv(F.col(text)).alias("f"), F.col(text).alias("raw")).where(~F.col("raw").startswith("id,type,kind,"))
