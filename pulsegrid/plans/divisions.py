@@ -56,7 +56,7 @@ _TOGETHER = " UNION ALL ".join([
     _digests("csv", _CSV, f"'{_HEADER}' || chr(10) || string_agg(line || chr(10), '' ORDER BY id)"),
     _digests("lines", _LINES, "string_agg(line || chr(10), '' ORDER BY id)"),
     f"""SELECT 'metrics', batch::BIGINT, sum(n)::BIGINT, md5('{{"data":{{"metrics":[' || string_agg(m, ',' ORDER BY type) || ']}}}}') FROM (
-  SELECT batch, type, count(*) AS n, '{{"data":[' || string_agg(point, ',' ORDER BY id) || '],"name":"' || type || '","units":"u"}}' AS m FROM ({_POINTS}) GROUP BY ALL) GROUP BY batch""",
+  SELECT batch, type, count(*) AS n, '{{"data":[' || string_agg(point, ',' ORDER BY id) || '],"name":"' || type || '","units":"u"}}' AS m FROM ({_POINTS}) GROUP BY batch, type) GROUP BY batch""",
 ])
 
 
