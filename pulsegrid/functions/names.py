@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pulsegrid.schema import ACTIVITIES, CUMULATIVE, DURATION_CATEGORIES, METRIC_NAMES, OCCURRENCE_CATEGORIES, PREFIXES, SLEEP_STAGES
+from pulsegrid.schema import ACTIVITIES, CATALOGUE_PREFIXES, CUMULATIVE, DISPLAY_NAMES, DURATION_CATEGORIES, METRIC_NAMES, OCCURRENCE_CATEGORIES, PREFIXES, SLEEP_STAGES
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -52,8 +52,9 @@ def type_of_metric(metric: Column) -> Column:
 
 def catalogue_name(type_: Column) -> Column:
     """The display name as a catalogue has it: runs of capitals are words too."""
-    apart = F.regexp_replace(stripped(type_), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.when(stripped(type_) == "", type_).otherwise(F.regexp_replace(apart, "([a-z0-9])([A-Z])", "$1 $2"))
+    bare = F.regexp_replace(stripped(type_), f"^({'|'.join(CATALOGUE_PREFIXES)})", "")
+    apart = F.regexp_replace(bare, "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.coalesce(lookup(DISPLAY_NAMES, type_), F.when(bare == "", type_).otherwise(F.regexp_replace(apart, "([a-z0-9])([A-Z])", "$1 $2")))
 
 
 def tool_number(value: Column) -> Column:

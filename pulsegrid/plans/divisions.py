@@ -1,13 +1,15 @@
-"""Queries: payloads of every form taken apart, put together and divided."""
+"""Queries: payloads of every form taken apart, put together and divided; notes and tracks as ordered rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.plans.bucketed import ZONE
+from pulsegrid.plans.exports import _BODY, _DAY, _body
 from pulsegrid.plans.register import query
 from pulsegrid.plans.wires import _CSV, _ISO, _LINES, line_protocol
-from pulsegrid.sinks import division
+from pulsegrid.sinks import division, documents
 from pulsegrid.sinks import formats as out
 from pulsegrid.sources import adapters, formats
 from pulsegrid.sources.adapters import SAMPLE_SQL
@@ -125,3 +127,63 @@ def line_protocol_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = line_protocol(spark, sf_dir).select("id", formats.line_tokens(F.col("line")).alias("t"))
     tag, number = lambda k: F.col("t.tags")[k], lambda k: F.col("t.fields")[k].cast("double")
     return t.select("id", "t.measurement", tag("type").alias("type"), tag("activity").alias("activity"), tag("source").alias("source"), number("value").alias("value"), number("duration").alias("duration"), "t.ticks")
+
+
+_DECIMAL = "regexp_replace(printf('%.7f', {}::DOUBLE), '\\.?0+$', '')"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn // 4 AS segment, turn, (turn - 40) / 2.0::DOUBLE AS lat, length(text) / 16.0::DOUBLE AS lon, role FROM conversations), e AS (SELECT DISTINCT conv_id, segment FROM p)
+SELECT conv_id::VARCHAR AS doc, 1 AS section, segment::BIGINT AS part, turn::BIGINT AS place, '      <trkpt lat="' || {_DECIMAL.format("lat")} || '" lon="' || {_DECIMAL.format("lon")} || '">' || chr(10) || '        <time>' || role || '</time>' || chr(10) || '      </trkpt>' AS line FROM p WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180
+UNION ALL SELECT conv_id::VARCHAR, 1, segment::BIGINT, -(2::BIGINT ** 62)::BIGINT, '    <trkseg>' FROM e UNION ALL SELECT conv_id::VARCHAR, 1, segment::BIGINT, (2::BIGINT ** 62)::BIGINT, '    </trkseg>' FROM e
+UNION ALL SELECT DISTINCT conv_id::VARCHAR, 2, 0, 0, '  </trk>' || chr(10) || '</gpx>' FROM p""")
+def track_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-17: the tracks' files as ordered rows, after their headers."""
+    points, routes = _tracks(spark, sf_dir)
+    return documents.track_lines(points, routes).where("section > 0")
+
+
+def _tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = adapters.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("route"), F.floor(F.col("turn") / 4).alias("segment"), F.col("turn").alias("pos"), ((F.col("turn") - 40) / 2).cast("double").alias("lat"), (F.char_length("text") / 16).cast("double").alias("lon"), F.col("role").alias("time"))
+    none = F.lit(None).cast("string")
+    return rows, rows.select("route").distinct().select("route", F.col("route").cast("string").alias("title"), none.alias("description"), none.cast("timestamp_ntz").alias("started"), none.alias("activity"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, (turn - 40) / 2.0::DOUBLE AS lat, length(text) / 16.0::DOUBLE AS lon FROM conversations),
+c AS (SELECT conv_id, count(*) AS present, count(*) FILTER (WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) AS points, CASE WHEN conv_id % 3 > 0 THEN count(*) + conv_id % 2 END AS declared FROM p GROUP BY 1)
+SELECT conv_id AS route, points::BIGINT AS points, (present - points)::BIGINT AS dropped, coalesce(declared - present, 0)::BIGINT AS missing, coalesce(declared = present, false) AS complete,
+  CASE WHEN declared IS NULL THEN 'Its end isn''t known.' WHEN declared > present THEN 'Missing ' || (declared - present) || ' of ' || declared || CASE WHEN declared = 1 THEN ' point' ELSE ' points' END || ' (' || (declared - present) || ' at the end).' END AS note FROM c""")
+def track_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-17: points off the globe are counted; a route is whole only if its end is known."""
+    points, routes = _tracks(spark, sf_dir)
+    told = points.groupBy("route").agg(F.count(F.lit(1)).alias("present")).withColumn("declared", F.when(F.col("route") % 3 > 0, F.col("present") + F.col("route") % 2))
+    lost = F.coalesce(F.col("declared") - F.col("present"), F.lit(0))
+    found = told.select("route", F.lit(1).alias("segments"), "present", lost.alias("missing"), "declared", F.lit(0).alias("gaps"), F.lit(0).alias("lead"), lost.alias("tail"))
+    return documents.track_summary(points, routes, found)
+
+
+def _grouped(x: str) -> str:
+    return f"""(CASE WHEN {x} < 0 THEN '-' ELSE '' END || CASE WHEN abs({x} - round({x})) < 0.005 THEN format('{{:,}}', abs(round({x}))::BIGINT) ELSE format('{{:,}}', floor(abs({x}))::BIGINT) || printf('.%02d', round((abs({x}) - floor(abs({x}))) * 100)::INTEGER) END)"""
+
+
+def _count(n: str, one: str) -> str:
+    return f"format('{{:,}}', ({n})::BIGINT) || CASE WHEN {n} = 1 THEN ' {one}' ELSE ' {one}s' END"
+
+
+_FILED = "timezone('America/New_York', (CASE WHEN kind = 'category' THEN end_ts ELSE start_ts END) AT TIME ZONE 'UTC')::DATE"
+_SECONDS = "greatest(0, epoch_us(end_ts) - epoch_us(start_ts)) / 1e6"
+_MINUTES = f"round({_SECONDS} / 60)::BIGINT"
+_LENGTH = f"CASE WHEN {_SECONDS} < 60 THEN round({_SECONDS})::BIGINT || ' s' WHEN {_MINUTES} < 60 THEN {_MINUTES} || ' m' WHEN {_MINUTES} % 60 = 0 THEN {_MINUTES} // 60 || ' h' ELSE {_MINUTES} // 60 || ' h ' || {_MINUTES} % 60 || ' m' END"
+
+
+@query(f"""WITH {_BODY}, t AS (SELECT {_FILED} AS day, type, count(*) AS n, count(value) FILTER (WHERE kind = 'quantity') AS v, round(sum(value) FILTER (WHERE kind = 'quantity'), 6) AS s, round(avg(value) FILTER (WHERE kind = 'quantity'), 6) AS a, min(value) FILTER (WHERE kind = 'quantity') AS lo, max(value) FILTER (WHERE kind = 'quantity') AS hi FROM b GROUP BY 1, 2),
+named AS (SELECT *, CASE type WHEN 'HKWorkoutTypeIdentifier' THEN 'Workout' ELSE regexp_replace(regexp_replace(type, '^HK(Quantity|Category)?(TypeIdentifier)?', ''), '([a-z])([A-Z])', '\\1 \\2', 'g') END AS name FROM t), d AS (SELECT day, sum(n)::BIGINT AS n FROM t GROUP BY 1),
+w AS (SELECT *, {_DAY} AS day, row_number() OVER (PARTITION BY {_DAY} ORDER BY start_ts, id) AS place, count(*) OVER (PARTITION BY {_DAY}) AS held FROM b WHERE kind = 'workout')
+SELECT day::VARCHAR AS doc, 2 AS section, 0::BIGINT AS part, place::BIGINT AS place, '| ' || strftime(timezone('America/New_York', start_ts AT TIME ZONE 'UTC'), '%H:%M') || ' | A\\|' || (id % 7) || ' | ' || {_LENGTH} || ' |' AS line FROM w WHERE place <= 25
+UNION ALL SELECT DISTINCT day::VARCHAR, 3, 0, 0, CASE WHEN held > 25 THEN chr(10) || format('{{:,}}', (held - 25)::BIGINT) || CASE WHEN held = 26 THEN ' further workout is' ELSE ' further workouts are' END || ' counted above but not listed.' || chr(10) ELSE '' END FROM w
+UNION ALL SELECT day::VARCHAR, 5, 0, 0, '## Everything recorded' || chr(10) || chr(10) || '| Type | Records | Total | Average | Low | High | Unit |' || chr(10) || '| --- | --- | --- | --- | --- | --- | --- |' FROM d
+UNION ALL SELECT day::VARCHAR, 6, 0, row_number() OVER (PARTITION BY day ORDER BY name, type), '| ' || name || ' | ' || format('{{:,}}', n::BIGINT) || ' | ' || CASE WHEN v > 0 THEN CASE WHEN type LIKE '%StepCount' THEN {_grouped("s")} ELSE '' END || ' | ' || {_grouped("a")} || ' | ' || {_grouped("lo")} || ' | ' || {_grouped("hi")} ELSE ' |  |  | ' END || ' | ' || CASE WHEN v > 0 THEN 'u' ELSE '' END || ' |' FROM named
+UNION ALL SELECT day::VARCHAR, 7, 0, 0, chr(10) || '---' || chr(10) || chr(10) || '*A summary: totals of ' || {_count("n", "record")} || ', not the records.*' FROM d""")
+def note_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-16, SCL-26: each day's note as ordered rows; its front matter's figures are those of ``daily_highlights``."""
+    sample = _body(spark, sf_dir).withColumn("activity", F.concat(F.lit("A|"), F.col("id") % 7))
+    return documents.note_lines(sample, ZONE).where("section in (2, 3, 5, 6, 7)")
