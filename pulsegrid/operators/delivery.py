@@ -73,6 +73,26 @@ def dated(changes: DataFrame, first: Column, last: Column, limit: int, at: str =
 
 def clinical_identity(source: Column, resource_type: Column, identifier: Column) -> Column:
     """A UUID-shaped name of a clinical record's content address."""
-    h = F.sha2(F.concat_ws("\n", source, resource_type, identifier).cast("binary"), 256)
+    h = F.sha2(F.concat(F.lit("HKClinicalRecord"), source, F.lit("\0"), resource_type, F.lit("\0"), identifier).cast("binary"), 256)
     variant = F.element_at(F.array(*(F.lit(x) for x in "89ab")), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1)
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def clinical_envelopes(records: DataFrame) -> DataFrame:
+    """``records`` with envelope: the record as one JSON object, keys in order.
+
+    Of uuid, source, clinical_type, display_name and, null where there is no resource, resource_type, identifier,
+    resource (binary) and fhir_version.  A resource that is a JSON object or array is held as such; any other is kept as Base64.
+    The identity is the content's where there is an identifier, otherwise the device's own.
+    """
+    present, named = F.col("resource").isNotNull(), F.col("resource").isNotNull() & (F.coalesce("identifier", F.lit("")) != "")
+    text = F.try_validate_utf8(F.col("resource"))
+    parsed = F.try_parse_json(F.when(text.rlike(r"(?s)^\s*[\[{]"), text))
+    kept = F.when(parsed.isNull(), F.replace(F.base64("resource"), F.lit("\r\n"), F.lit("")))
+    there = F.struct(F.when(kept.isNotNull(), "base64").alias("encoding"), F.col("fhir_version").alias("fhirVersion"), "identifier", parsed.alias("resource"), kept.alias("resourceData"), F.col("resource_type").alias("resourceType"), F.lit("present").alias("state"))
+    absent = F.lit('{"reason":"There is no resource behind this record.","state":"absent"}')
+    own = F.coalesce(F.when(named, clinical_identity(F.coalesce("source", F.lit("")), F.coalesce("resource_type", F.lit("")), F.col("identifier"))), F.lower("uuid"))
+    rest = F.to_json(F.struct(F.lower("uuid").alias("healthKitUUID"), own.alias("id"), named.alias("identityIsStable"), F.lit("clinicalRecord").alias("kind")))
+    first = F.to_json(F.struct(F.col("clinical_type").alias("clinicalType"), F.col("display_name").alias("displayName")))
+    opened = F.when(first == "{}", "{").otherwise(F.concat(F.left(first, F.char_length(first) - 1), F.lit(",")))
+    return records.withColumn("envelope", F.concat(opened, F.lit('"fhir":'), F.when(present, F.to_json(there)).otherwise(absent), F.lit(","), F.substring(rest, F.lit(2), F.char_length(rest))))

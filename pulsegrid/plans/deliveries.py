@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.names import counted_values, measure_kind
+from pulsegrid.functions.tagged import tagged_map, untagged
 from pulsegrid.operators import delivery, series
 from pulsegrid.plans.bucketed import ZONE
 from pulsegrid.plans.register import query
@@ -80,7 +81,7 @@ def dated_window_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INTEGER % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS identity
-FROM (SELECT p_partkey, sha256(p_name || chr(10) || p_brand || chr(10) || p_type) AS h FROM part)""")
+FROM (SELECT p_partkey, sha256('HKClinicalRecord' || p_name || chr(0) || p_brand || chr(0) || p_type) AS h FROM part)""")
 def clinical_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-28, SCL-30: the same content has the same name."""
     return adapters.table(spark, sf_dir, "part").select("p_partkey", delivery.clinical_identity(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("identity"))
@@ -105,3 +106,26 @@ def shared_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-03."""
     rows = series.with_measure(adapters.sample(spark, sf_dir), adapters.measures(spark)).select("type", F.to_date("start_ts").alias("d")).distinct()
     return rows.where("type <> 'click'").join(rows.where("type = 'click'").select("d"), "d").groupBy("type").agg(F.count(F.lit(1)).alias("shared_days"))
+
+
+@query("""SELECT event_id, '{"at":{"type":"date","value":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z"},"even":{"type":"bool","value":' || (event_id % 2 = 0) || '},"name":{"type":"string","value":"' || event_type || '"},"value":' || CASE WHEN value IS NULL THEN '{"class":"VOID","type":"unsupported"}' ELSE '{"type":"number","value":' || value::VARCHAR || '}' END || '}' AS metadata,
+  date_trunc('millisecond', ts)::TIMESTAMP AS at, value FROM events""")
+def tagged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-29: values of four types written with their types, and two of them read back."""
+    e = adapters.table(spark, sf_dir, "events")
+    values = {"value": F.col("value"), "at": F.col("ts").cast("timestamp_ntz"), "name": F.col("event_type"), "even": F.col("event_id") % 2 == 0}
+    rows = e.select("event_id", tagged_map(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("variant"))))).alias("metadata"))
+    back = lambda k, t: F.try_variant_get(untagged(F.get_json_object("metadata", f"$.{k}")), "$", t)
+    return rows.select("event_id", "metadata", back("at", "timestamp_ntz").alias("at"), back("value", "double").alias("value"))
+
+
+@query("""SELECT p_partkey, '{"clinicalType":"' || p_type || '","fhir":' || CASE p_partkey % 3 WHEN 2 THEN '{"reason":"There is no resource behind this record.","state":"absent"}' WHEN 1 THEN '{"encoding":"base64","identifier":"' || p_type || '","resourceData":"' || base64(p_name::BLOB) || '","resourceType":"' || p_brand || '","state":"present"}'
+    ELSE '{"identifier":"' || p_type || '","resource":{"size":' || p_size || '},"resourceType":"' || p_brand || '","state":"present"}' END || ',"healthKitUUID":"' || p_partkey || '","id":"' || CASE p_partkey % 3 WHEN 2 THEN p_partkey::VARCHAR
+    ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INTEGER % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) END || '","identityIsStable":' || (p_partkey % 3 < 2) || ',"kind":"clinicalRecord"}' AS envelope
+FROM (SELECT *, sha256('HKClinicalRecord' || p_name || chr(0) || p_brand || chr(0) || p_type) AS h FROM part)""")
+def clinical_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-28: a resource that is JSON is held as such, any other as Base64, and none is told."""
+    n, none = F.col("p_partkey") % 3, F.lit(None).cast("string")
+    resource = F.when(n == 0, F.concat(F.lit('{ "size": '), F.col("p_size"), F.lit("}"))).when(n == 1, F.col("p_name")).cast("binary")
+    rows = adapters.table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("uuid"), F.col("p_name").alias("source"), F.col("p_type").alias("clinical_type"), none.alias("display_name"), F.col("p_brand").alias("resource_type"), F.col("p_type").alias("identifier"), resource.alias("resource"), none.alias("fhir_version"))
+    return delivery.clinical_envelopes(rows).select("p_partkey", "envelope")
