@@ -187,3 +187,20 @@ def note_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-16, SCL-26: each day's note as ordered rows; its front matter's figures are those of ``daily_highlights``."""
     sample = _body(spark, sf_dir).withColumn("activity", F.concat(F.lit("A|"), F.col("id") % 7))
     return documents.note_lines(sample, ZONE).where("section in (2, 3, 5, 6, 7)")
+
+
+_STATES = ["anchorClosed", "draining", "noSuchWord", "unsupported"]
+
+
+@query(f"""WITH r AS (SELECT event_id, event_type || event_id AS type, [{", ".join(f"'{x}'" for x in _STATES)}][(event_id % 4)::INTEGER + 1] AS word, date_trunc('millisecond', ts)::TIMESTAMP AS seen FROM events)
+SELECT type, CASE word WHEN 'noSuchWord' THEN 'unknown' ELSE word END AS state, CASE WHEN event_id % 3 > 0 THEN event_id END::BIGINT AS delivered, seen AS observed_at, md5('{{"complete":' || (word = 'anchorClosed') || CASE WHEN event_id % 3 > 0 THEN ',"deliveredCount":' || event_id ELSE '' END || ',"kind":"typeCoverage","observedAt":"' || {_ISO.format("seen")}
+  || '"' || CASE WHEN event_id % 2 = 0 THEN ',"primedFrom":"' || {_ISO.format("seen")} || '"' ELSE '' END || ',"state":"' || CASE word WHEN 'noSuchWord' THEN 'unknown' ELSE word END || '","type":"' || type || '"}}') AS line FROM r""")
+def coverage_report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-16: reports of coverage written as lines and read again."""
+    e, at = adapters.table(spark, sf_dir, "events"), F.col("ts").cast("timestamp_ntz")
+    word = F.element_at(F.array(*(F.lit(x) for x in _STATES)), (F.col("event_id") % 4 + 1).cast("int"))
+    reports = e.select(F.concat("event_type", "event_id").alias("type"), word.alias("state"), F.when(F.col("event_id") % 3 > 0, F.col("event_id")).alias("delivered"), F.when(F.col("event_id") % 2 == 0, at).alias("primed_from"), F.lit(None).cast("timestamp_ntz").alias("primed_through"), at.alias("observed_at"))
+    lines = out.coverage_report_lines(reports)
+    read = formats.coverage_lines(lines)
+    texts = lines.select(F.get_json_object("value", "$.type").alias("type"), F.md5("value").alias("line"))
+    return read.join(texts, "type").select("type", "state", "delivered", "observed_at", "line")

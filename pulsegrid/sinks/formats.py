@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.calendar import iso_text, local_ts, seconds_between
 from pulsegrid.functions.names import csv_field, line_key, line_measurement, line_nanos, line_string, metric_name, plain_number, sleep_stage
-from pulsegrid.schema import CSV_COLUMNS
+from pulsegrid.schema import COVERAGE_STATES, CSV_COLUMNS
 
 
 def ndjson(sample: DataFrame) -> DataFrame:
@@ -27,6 +27,18 @@ def json_array(lines: DataFrame, key: str, order: str, text: str = "value") -> D
     return lines.groupBy(key).agg(F.concat(F.lit("[\n "), held, F.lit("\n]\n")).alias("payload"))
 
 
+def coverage_report_lines(reports: DataFrame) -> DataFrame:
+    """(value): a line of JSON, keys in order, per report (type, state, delivered, primed_from, primed_through, observed_at).
+
+    Only a closed anchor is complete.  Absent counts and dates are left out, an unknown word is written as ``unknown``; a
+    report without a type or a date of observation could not be read back and has no line.
+    """
+    state = F.when(F.col("state").isin(*COVERAGE_STATES), F.col("state")).otherwise("unknown")
+    at = lambda name: iso_text(F.col(name))
+    told = F.struct((state == "anchorClosed").alias("complete"), F.col("delivered").alias("deliveredCount"), F.lit("typeCoverage").alias("kind"), at("observed_at").alias("observedAt"), at("primed_from").alias("primedFrom"), at("primed_through").alias("primedThrough"), state.alias("state"), "type")
+    return reports.where("type is not null and observed_at is not null").select(F.to_json(told).alias("value"))
+
+
 def csv_lines(sample: DataFrame) -> DataFrame:
     """(id, line): the flat CSV without its header; integral numbers have no point."""
     deleted = F.when(F.col("kind") == "deletion", "true").otherwise("false")
