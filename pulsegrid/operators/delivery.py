@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.units import convert, preferred
+from pulsegrid.functions.variants import whole_json
 from pulsegrid.schema import DETAIL_KINDS
 
 #: Days that a delivery floor may lie before today.
@@ -87,7 +88,7 @@ def clinical_envelopes(records: DataFrame) -> DataFrame:
     """
     present, named = F.col("resource").isNotNull(), F.col("resource").isNotNull() & (F.coalesce("identifier", F.lit("")) != "")
     text = F.try_validate_utf8(F.col("resource"))
-    parsed = F.try_parse_json(F.when(text.rlike(r"(?s)^\s*[\[{]"), text))
+    parsed = whole_json(F.when(text.rlike(r"(?s)^\s*[\[{]"), text))
     kept = F.when(parsed.isNull(), F.replace(F.base64("resource"), F.lit("\r\n"), F.lit("")))
     there = F.struct(F.when(kept.isNotNull(), "base64").alias("encoding"), F.col("fhir_version").alias("fhirVersion"), "identifier", parsed.alias("resource"), kept.alias("resourceData"), F.col("resource_type").alias("resourceType"), F.lit("present").alias("state"))
     absent = F.lit('{"reason":"There is no resource behind this record.","state":"absent"}')

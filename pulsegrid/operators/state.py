@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.variants import whole_json
+
 
 def latest_wins(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last change of each key by ``order``, as one aggregation with partial maxima."""
@@ -49,10 +51,10 @@ def quarantine(lines: DataFrame, text: str, parser_version: int) -> DataFrame:
 
     JSON is fingerprinted as a variant writes it, whose keys are sorted: their order makes no second row.
     """
-    parsed = F.try_parse_json(text)
+    lines, parsed = lines.select(F.col(text), whole_json(text).alias("_v")), F.col("_v")
     kind = F.try_variant_get(parsed, "$.kind", "string")
     whole = F.try_variant_get(parsed, "$.id", "string").isNotNull() & F.try_variant_get(parsed, "$.type", "string").isNotNull() & F.try_variant_get(parsed, "$.startDate", "string").isNotNull()
-    reason = F.when(parsed.isNull(), "not_json").when(~F.coalesce(whole, F.lit(False)), "missing_fields")
+    reason = F.when(F.col(text).isNotNull() & parsed.isNull(), "not_json").when(~F.coalesce(whole, F.lit(False)), "missing_fields")
     rows = lines.select(F.sha2(F.coalesce(F.to_json(parsed), F.col(text)).cast("binary"), 256).alias("fingerprint"), kind.alias("kind"), reason.alias("reason"), F.col(text).alias("raw")).where("reason is not null")
     return rows.groupBy("fingerprint").agg(F.first("kind").alias("kind"), F.first("reason").alias("reason"), F.first("raw").alias("raw"), F.count(F.lit(1)).alias("seen")).withColumn("parser_version", F.lit(parser_version))
 

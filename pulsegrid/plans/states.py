@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.calendar import age_years
 from pulsegrid.functions.names import activity_name, sleep_stage
+from pulsegrid.functions.variants import whole_json
 from pulsegrid.operators import domain, state
 from pulsegrid.plans.register import query
 from pulsegrid.schema import ACTIVITIES, SLEEP_STAGES
@@ -81,7 +82,7 @@ FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'nope' ELSE props END AS
 def promotion_reparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DML-08: what an older parser refused is read again; the rest is marked with this version."""
     held = adapters.table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 == 0, "nope").otherwise(F.col("props")).alias("raw"), (F.col("event_id") % 4).cast("int").alias("parser_version"))
-    promoted, kept = state.promote(held, 3, F.try_parse_json("raw").isNotNull())
+    promoted, kept = state.promote(held, 3, whole_json("raw").isNotNull())
     both = promoted.select(F.lit("promoted").alias("outcome"), "parser_version").unionByName(kept.select(F.lit("kept").alias("outcome"), "parser_version"))
     return both.groupBy("outcome", "parser_version").agg(F.count(F.lit(1)).alias("records"))
 

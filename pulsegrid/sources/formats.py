@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.calendar import parse_iso
+from pulsegrid.functions.variants import whole_json
 from pulsegrid.schema import COVERAGE_STATES, CSV_COLUMNS
 
 ENVELOPE = """struct<data: struct<
@@ -95,7 +96,7 @@ def route(lines: DataFrame, text: str = "value", keep: list[str] | None = None)
     isn't of a strict kind, and what is neither is quarantined.
     """
     v = F.col("_v")
-    parsed = lines.select(*(keep or []), F.try_parse_json(text).alias("_v"), F.col(text).alias("raw"))
+    parsed = lines.select(*(keep or []), whole_json(text).alias("_v"), F.col(text).alias("raw"))
     rows = parsed.select(*(keep or []), "_v", *record_fields(v), "raw", _text(v, "$.deleted").alias("_deleted"))
     whole = F.col("id").isNotNull() & F.col("type").isNotNull() & F.col("start_ts").isNotNull()
     gone = (F.col("kind") == "deletion") | F.col("_deleted").isin("true", "1")
@@ -111,7 +112,7 @@ def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_array(payloads: DataFrame, text: str = "value") -> DataFrame:
     """One row per element of JSON arrays; an array that can't be read is one row whose route is unreadable."""
-    elements = F.from_json(text, "array<variant>")
+    elements = F.try_variant_get(whole_json(text), "$", "array<variant>")
     whole = payloads.select(elements.isNull().alias("_bad"), F.when(elements.isNull(), F.array(text)).otherwise(F.transform(elements, lambda v: F.to_json(v))).alias("_e"))
     rows = route(whole.select("_bad", F.explode("_e").alias("value")), keep=["_bad"])
     return rows.withColumn("route", F.when(F.col("_bad"), "unreadable").otherwise(F.col("route"))).drop("_bad")
@@ -345,7 +346,7 @@ def whole_archives(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     without empty ones and an archive's own bookkeeping.
     """
     filled = F.col("error").isNotNull() | (F.btrim(F.coalesce("value", F.lit(""))) != "")
-    bad = F.col("error").isNotNull() | (filled & F.try_parse_json("value").isNull())
+    bad = F.col("error").isNotNull() | (filled & whole_json("value").isNull())
     sums = lines.groupBy("archive").agg(F.count_distinct("part").alias("parts"), F.sum(filled.cast("long")).alias("lines"), F.sum(bad.cast("long")).alias("bad"))
     manifest = sums.withColumn("taken", F.col("bad") == 0)
     kind = F.coalesce(F.get_json_object("value", "$.kind"), F.lit(""))

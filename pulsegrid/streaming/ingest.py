@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pulsegrid.functions.variants import whole_json
 from pulsegrid.operators.state import latest_wins
 from pulsegrid.sources import formats
 from pulsegrid.streaming import store
@@ -39,7 +40,7 @@ def lines_of_payloads(payloads: DataFrame) -> DataFrame:
     keep = ["batch", "modified", "block"]
     held = payloads.select(*keep, "value", formats.payload_format(F.col("value")).alias("format"))
     one = F.col("format")
-    held = held.withColumn("elements", F.when(one == "array", F.from_json("value", "array<variant>"))).withColumn("data", F.when(one == "metrics", F.from_json("value", formats.ENVELOPE)["data"]))
+    held = held.withColumn("elements", F.when(one == "array", F.try_variant_get(whole_json("value"), "$", "array<variant>"))).withColumn("data", F.when(one == "metrics", F.from_json("value", formats.ENVELOPE)["data"]))
     bare = lambda texts: F.filter(texts, lambda x: F.btrim(x) != "")
     lines = bare(F.split("value", "\\r?\\n"))
     pieces = (
