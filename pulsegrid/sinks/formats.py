@@ -107,18 +107,23 @@ def line_protocol(records: DataFrame, measurement: str = "health", precision: st
     """
     kind, value = F.col("kind"), F.col("value")
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-    stamp, end = line_nanos(F.col("startDate")), line_nanos(F.col("endDate"))
+    named = F.coalesce(F.col("id").cast("string"), F.lit("")) != ""
+    gone, workout = kind == "deletion", kind == "workout"
+    # Which records have a field is told by their own columns: a filter on the written line is pushed below all steps, each of which it repeats for every mention.
+    lasted = F.col("duration").isNotNull() | F.coalesce(line_nanos(F.col("endDate")) > line_nanos(F.col("startDate")), F.lit(False))
+    records = records.where(F.when(gone, named).when(workout, named | lasted).otherwise(finite | named))
     # A type's name is worked out once, not for each of its records.
     named_types = records.select(F.col("type").alias("_key")).distinct().withColumn("_metric", metric_name(F.col("_key")))
     records = records.join(named_types, F.col("type").eqNullSafe(F.col("_key")), "left")
     tags = {"type": F.col("_metric"), "id": F.col("id").cast("string"), "source": F.col("source"), "device": F.col("device"), "unit": F.col("unit"), "activity": F.col("activity")}
+    # All tags are written by one lambda: written out for each of them, the generated method is too long for the JVM to compile.
+    written = F.transform(F.array(*(F.struct(F.lit(f",{k}=").alias("k"), F.coalesce(v, F.lit("")).alias("v")) for k, v in tags.items())), lambda t: F.when(t["v"] == "", "").otherwise(F.concat(t["k"], line_key(t["v"]))))
     # In steps, so that each is computed once.
-    rows = records.withColumns({f"_{k}": F.when(F.coalesce(v, F.lit("")) != "", line_key(v)) for k, v in tags.items()} | {"_stamp": stamp, "_span": (end - stamp) / 1e9, "_finite": finite})
-    rows = rows.withColumns({f"_{k}": F.when(F.col(f"_{k}").isNotNull(), F.concat(F.lit(f",{k}="), F.col(f"_{k}"))).otherwise("") for k in tags} | {"_span": F.when(F.col("_span") > 0, F.col("_span"))})
+    rows = records.withColumns({"_written": written, "_stamps": F.transform(F.array("startDate", "endDate"), line_nanos), "_finite": finite})
+    stamp, end = F.col("_stamps")[0], F.col("_stamps")[1]
+    rows = rows.withColumns({f"_{k}": F.col("_written")[i] for i, k in enumerate(tags)} | {"_stamp": stamp, "_span": F.when(end > stamp, (end - stamp) / 1e9)})
     field = lambda key, c: F.when(c.isNotNull(), F.concat(F.lit(f"{key}="), c))
-    named = F.coalesce(F.col("id").cast("string"), F.lit("")) != ""
-    rows = rows.withColumns({"_ident": field("id", F.when(named, line_string(F.col("id").cast("string")))), "_length": field("duration", F.col("_span").cast("string"))})
-    gone, workout = kind == "deletion", kind == "workout"
+    rows = rows.withColumns({"_ident": F.transform(F.array(F.col("id").cast("string")), lambda x: field("id", F.when(x != "", line_string(x))))[0], "_length": field("duration", F.col("_span").cast("string"))})
     route = F.when(gone, "_deletions").when(workout, "_workouts").when(F.col("_finite"), "").otherwise("_events")
     shown = (
         F.when(gone, F.concat("_type", "_id"))
@@ -136,7 +141,7 @@ def line_protocol(records: DataFrame, measurement: str = "health", precision: st
     time = F.coalesce(F.concat(F.lit(" "), F.col("_stamp").cast("string")), F.lit(""))
     of = F.coalesce(*(F.when(F.col("_route") == x, line_measurement(F.lit(f"{measurement}{x}"))) for x in ("", "_deletions", "_workouts", "_events")))  # four constants
     line = F.concat(of, F.col("_tags"), F.lit(" "), F.col("_fields"), time)
-    return rows.where("_fields <> ''").select("id", line.alias("line"))
+    return rows.select("id", line.alias("line"))
 
 
 def latest_topics(sample: DataFrame, order: str = "start_ts") -> DataFrame:
