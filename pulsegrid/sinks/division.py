@@ -154,8 +154,11 @@ def decompose(payloads: DataFrame, form: str, text: str = "payload", precision:
     """
     others = [c for c in payloads.columns if c != text]
     header = _header(F.col(text), form)
-    held = payloads.select(*others, text, (F.lit(None).cast("string") if header is None else header).alias("header"), apart(F.col(text), form).alias("_pieces"))
-    rows = held.where("_pieces is null or size(_pieces) > 0").select(*others, text, "header", F.posexplode_outer("_pieces").alias("pos", "_p"))
+    held = payloads.select(*others, text, (F.lit(None).cast("string") if header is None else header).alias("header"), F.coalesce(apart(F.col(text), form), F.array(F.lit(None))).alias("_pieces"))
+    # An outer generator with the filter behind it: a filter on the pieces, or the one that Spark infers for an inner
+    # generator, is pushed below and takes every payload apart again.  One that can't be taken apart has one null piece.
+    rows = held.select(*others, text, "header", F.posexplode_outer("_pieces").alias("pos", "_p")).where("pos is not null")
+    rows = rows.withColumn("pos", F.when(F.col("_p").isNotNull(), F.col("pos")))
     kind, record = F.col("_p.kind"), F.coalesce(F.col("_p.text"), F.when(F.col("pos").isNull(), F.col(text)))
     measured = F.coalesce(F.get_json_object(record, "$.kind") != "typeCoverage", F.lit(True)) if form in ("ndjson", "json") else F.lit(True)
     date = F.when(F.col("pos").isNotNull(), record_date(kind, record, form, precision))
@@ -179,7 +182,7 @@ def _parts(payloads: DataFrame, form: str, text: str, ranges: Callable[[Column,
 
     divided = F.coalesce(let(apart(payload, form), of), alone)
     divided = divided if whole is None else F.when(F.coalesce(whole, F.lit(True)), alone).otherwise(divided)
-    return payloads.select(*others, F.posexplode(divided).alias("part", "_p")).select(*others, F.col("part").cast("long").alias("part"), "_p.records", "_p.payload")
+    return payloads.select(*others, F.posexplode_outer(divided).alias("part", "_p")).select(*others, F.col("part").cast("long").alias("part"), "_p.records", "_p.payload")
 
 
 def divide_by_count(payloads: DataFrame, form: str, most: int, text: str = "payload") -> DataFrame:

@@ -111,10 +111,10 @@ def line_protocol(records: DataFrame, measurement: str = "health", precision: st
     gone, workout = kind == "deletion", kind == "workout"
     # Which records have a field is told by their own columns: a filter on the written line is pushed below all steps, each of which it repeats for every mention.
     lasted = F.col("duration").isNotNull() | F.coalesce(line_nanos(F.col("endDate")) > line_nanos(F.col("startDate")), F.lit(False))
-    records = records.where(F.when(gone, named).when(workout, named | lasted).otherwise(finite | named))
+    lines = records.where(F.when(gone, named).when(workout, named | lasted).otherwise(finite | named))
     # A type's name is worked out once, not for each of its records.
     named_types = records.select(F.col("type").alias("_key")).distinct().withColumn("_metric", metric_name(F.col("_key")))
-    records = records.join(named_types, F.col("type").eqNullSafe(F.col("_key")), "left")
+    records = lines.join(named_types, F.col("type").eqNullSafe(F.col("_key")), "left")
     tags = {"type": F.col("_metric"), "id": F.col("id").cast("string"), "source": F.col("source"), "device": F.col("device"), "unit": F.col("unit"), "activity": F.col("activity")}
     # All tags are written by one lambda: written out for each of them, the generated method is too long for the JVM to compile.
     written = F.transform(F.array(*(F.struct(F.lit(f",{k}=").alias("k"), F.coalesce(v, F.lit("")).alias("v")) for k, v in tags.items())), lambda t: F.when(t["v"] == "", "").otherwise(F.concat(t["k"], line_key(t["v"]))))

@@ -51,7 +51,8 @@ def lines_of_payloads(payloads: DataFrame) -> DataFrame:
         .when(one == "probe", F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))
         .otherwise(lines)
     )
-    rows = held.select(*keep, "format", F.posexplode(pieces).alias("line", "value")).where("format <> 'csv' or not startswith(value, 'id,type,kind,')")
+    # Outer, so that no filter on the pieces is inferred and pushed below, which would read each payload again.
+    rows = held.select(*keep, "format", F.posexplode_outer(pieces).alias("line", "value")).where("line is not null and (format <> 'csv' or not startswith(value, 'id,type,kind,'))")
     rows = rows.withColumn("fields", F.when(F.col("format") == "csv", formats.split_csv(F.col("value"))))
     value = F.when(F.col("format") == "csv", formats.csv_record(F.col("fields"), F.col("value"))).otherwise(F.col("value"))
     return rows.select(value.alias("value"), *keep, F.col("line").cast("long").alias("line"))

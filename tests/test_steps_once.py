@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 
 from pulsegrid.plans.queries import queries
+from pulsegrid.sinks import division
 from pulsegrid.sinks import formats as out
+from pulsegrid.streaming import ingest
 
 SMALL = "/root/testdata/sf0.001"
 LINE = "id string, type string, kind string, startDate string, endDate string, value double, unit string, source string, device string, activity string, duration double"
@@ -18,7 +20,22 @@ def _filters(df):
 
 def test_no_filter_writes_the_line(spark):
     found = _filters(queries()["line_protocol"](spark, SMALL))
-    assert not [x for x in found if "replace(" in x or "concat" in x]
+    assert not [x for x in found if "translate(" in x or "concat_ws(" in x]
+
+
+def test_no_filter_takes_payloads_apart(spark):
+    """A filter on the pieces made each payload be taken apart three times."""
+    for form in division.FORMS:
+        payloads = spark.createDataFrame([("1,x\n2,y\n",)], "payload string")
+        assert not [x for x in _filters(division.decompose(payloads, form)) if "split(" in x or "regexp_extract_all(" in x], form
+    payloads = spark.createDataFrame([("x", "b", None, 0)], "value string, batch string, modified timestamp, block long")
+    assert not [x for x in _filters(ingest.lines_of_payloads(payloads)) if "from_json" in x or "regexp_extract_all(" in x]
+
+
+def test_payloads_without_records_and_not_taken_apart(spark):
+    payloads = spark.createDataFrame([("a", "x"), ("b", "[\n]\n"), ("c", None), ("d", '[\n{"k":1},\n{"k":2}\n]\n'), ("e", "[\n\n]\n")], "n string, payload string")
+    got = [(r.n, r.pos, r.record) for r in division.decompose(payloads, "json").orderBy("n", "pos").collect()]
+    assert got == [("a", None, "x"), ("b", None, "[\n]\n"), ("c", None, None), ("d", 0, '{"k":1}'), ("d", 1, '{"k":2}'), *[x for x in got if x[0] == "e"]]
 
 
 @pytest.mark.parametrize(
