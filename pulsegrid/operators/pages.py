@@ -84,6 +84,30 @@ def _route_records(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return routes, pages, ends
 
 
+#: Kinds of a route's records, in the order in which they are read: the route itself, its end, its pages.
+_ROUTE_KINDS = ("workoutRoute", "workoutRouteEnd", "workoutRouteLocations")
+
+
+def _route_rows(records: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
+    """Of routed records those of routes: what (0 a route, 1 an end, 2 a page), route_id, workout_id, start_ts, offset, count, declared, decoded, points; only of ``kinds``.
+
+    What links them lies in the records themselves; a location counts if it has a latitude and a longitude.  All
+    are told in one pass: the outer generator is one that no filter is pushed below, where it would parse again.
+    """
+    t = lambda p: F.get_json_object("raw", p)
+    what = F.array_position(F.array(*map(F.lit, _ROUTE_KINDS)), F.col("kind")).cast("int") - 1
+    is_route, is_end, is_page = (F.col("what") == i for i in range(3))
+    long = lambda p: t(p).try_cast("long")
+    found = F.filter(F.from_json(t("$.locations"), _LOCATIONS), lambda x: x["latitude"].isNotNull() & x["longitude"].isNotNull())
+    told = records.select(what.alias("what"), "id", "start_ts", "raw").select(
+        "what", F.when(is_route, F.col("id")).when(is_end | is_page, t("$.sample")).alias("route_id"), F.when(is_route, t("$.workout.id")).alias("workout_id"), F.when(is_route, F.col("start_ts")).alias("start_ts"),
+        F.when(is_page, F.coalesce(long("$.offset"), F.lit(0))).alias("offset"), F.when(is_page, F.coalesce(long("$.count"), F.lit(0))).alias("count"), F.when(is_page, F.coalesce(found, F.array())).alias("points"), F.when(is_end, long("$.locations")).alias("declared"),
+    )
+    linked = F.when(is_route, F.col("workout_id").isNotNull()).otherwise(F.col("route_id").isNotNull())
+    row = F.struct("what", "route_id", "workout_id", "start_ts", "offset", "count", "declared", F.when(is_page, F.size("points").cast("long")).alias("decoded"), "points")
+    return told.select(F.inline_outer(F.when(F.col("what").isin(*kinds) & linked, F.array(row)))).where("what is not null")
+
+
 def workout_routes(records: DataFrame) -> DataFrame:
     """(workout_id, routes, points, missing_pages, complete): the routes of each workout that has points, with all that is missing.
 
@@ -101,17 +125,21 @@ def workout_routes(records: DataFrame) -> DataFrame:
 def workout_route_points(records: DataFrame) -> DataFrame:
     """(workout_id, ordinal, position, latitude, longitude, altitude, timestamp, speed): the points of a workout's routes, one after the other.
 
-    Where a page's points begin follows from the sizes of the pages and routes before it, which are added up
-    over a row a page and a row a route: points themselves are never sorted.
+    A workout's routes are in the order of their starts, each with its pages after it.  Where a page's points
+    begin, and of which route they are, follows from the rows before it, one a page and one a route: points themselves
+    are never sorted.  Pages learn of their route in a pass before; a route that is told twice counts twice.
     """
-    routes, pages, _ = _route_records(records)
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    met = pages.join(routes, "route_id")
-    held = met.groupBy("workout_id", "ordinal").agg(F.sum("decoded").alias("_held"))
-    begun = held.select("workout_id", "ordinal", F.coalesce(F.sum("_held").over(before(Window.partitionBy("workout_id").orderBy("ordinal"))), F.lit(0)).alias("_route"))
-    spot = F.coalesce(F.sum("decoded").over(before(Window.partitionBy("workout_id", "ordinal").orderBy("offset"))), F.lit(0))
-    rows = met.withColumn("_page", spot).join(begun, ["workout_id", "ordinal"]).select("workout_id", "ordinal", (F.col("_route") + F.col("_page")).alias("_from"), F.posexplode("points").alias("_at", "p"))
-    return rows.select("workout_id", "ordinal", (F.col("_from") + F.col("_at")).alias("position"), "p.*")
+    met = Window.partitionBy("route_id").orderBy("what", "workout_id", "start_ts", "offset")
+    numbered = _route_rows(records, (0, 2)).withColumn("_n", F.row_number().over(met))
+    own = F.struct("workout_id", "start_ts", "_n")
+    heads = F.collect_list(F.when(F.col("what") == 0, own)).over(met.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    linked = numbered.withColumn("_heads", heads).select("what", "route_id", "offset", "decoded", "points", F.explode(F.when(F.col("what") == 0, F.array(own)).otherwise(F.col("_heads"))).alias("_head"))
+    rows = linked.select("what", "route_id", "offset", "decoded", "points", "_head.*")
+    order = Window.partitionBy("workout_id").orderBy("start_ts", "route_id", "_n", "what", "offset")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumns({"ordinal": F.sum(F.when(F.col("what") == 0, 1).otherwise(0)).over(before) - 1, "_from": F.coalesce(F.sum("decoded").over(before), F.lit(0))})
+    points = placed.select("workout_id", F.col("ordinal").cast("int").alias("ordinal"), "_from", F.posexplode("points").alias("_at", "p"))
+    return points.select("workout_id", "ordinal", (F.col("_from") + F.col("_at")).alias("position"), "p.*")
 
 
 def explode_wave(series: DataFrame, id_col: str, array_col: str, hertz: float) -> DataFrame:

@@ -41,6 +41,19 @@ def test_points_follow_one_another_over_routes(records):
     assert rows == [("v", 0, 0, 5.0), ("v", 1, 0, 6.0), ("v", 2, 0, 7.0), ("w", 0, 0, 1.0), ("w", 1, 1, 10.0), ("w", 2, 1, 11.0), ("w", 3, 1, 12.0)]
 
 
+def test_routes_told_twice_and_routes_without_names(spark):
+    """A route of two records counts twice, of one workout or of two; one without an id counts and has no pages; a page without a route is nobody's."""
+    told = [
+        _line(id="r1", kind="workoutRoute", workout={"id": "w"}), _line(id="r1", kind="workoutRoute", workout={"id": "w"}), _line(id="r1", kind="workoutRoute", workout={"id": "v"}, startDate="2025-12-31T00:00:00Z"),
+        _line(kind="workoutRoute", workout={"id": "w"}, startDate="2025-12-30T00:00:00Z"), _page("r1", 0, 2, 1.0, 2.0), _page("r1", 2, 1, 3.0), _line(id="p", kind="workoutRouteLocations", offset=0, count=1, locations=[{"latitude": 9.0, "longitude": 2.5}]),
+        _line(id="e1", kind="workoutRouteEnd", sample="r1", locations=3), _line(id="e2", kind="workoutRouteEnd", sample="r1", locations=4), _line(id="x", kind="quantity", sample="r1", locations=9),
+    ]
+    records = formats.route(spark.createDataFrame([(t,) for t in told], "value string"))
+    assert {r.workout_id: (r.routes, r.points, r.missing_pages, r.complete) for r in pages.workout_routes(records).collect()} == {"w": (3, 6, 4, False), "v": (1, 3, 1, False)}
+    rows = sorted((r.workout_id, r.position, r.ordinal, r.latitude) for r in pages.workout_route_points(records).collect())
+    assert rows == [("v", i, 0, i + 1.0) for i in range(3)] + [("w", i, 1 + i // 3, i % 3 + 1.0) for i in range(6)]
+
+
 def test_hours_where_clocks_change(spark):
     plan = lambda a, b, tz: [(r.bucket_start, r.bucket_end) for r in bucket_plan(spark, a, b, "hour", tz=tz).orderBy("idx").collect()]
     spring = plan("2024-03-10 00:00:00", "2024-03-10 23:30:00", "America/New_York")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pytest
 
+from pulsegrid.operators import pages
 from pulsegrid.plans.queries import queries
 from pulsegrid.sinks import division
 from pulsegrid.sinks import formats as out
+from pulsegrid.sources import formats
 from pulsegrid.streaming import ingest
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,6 +40,14 @@ def test_payloads_without_records_and_not_taken_apart(spark):
     assert got == [("a", None, "x"), ("b", None, "[\n]\n"), ("c", None, None), ("d", 0, '{"k":1}'), ("d", 1, '{"k":2}'), *[x for x in got if x[0] == "e"]]
 
 
+@pytest.mark.parametrize("reader", [pages.workout_route_points])
+def test_lines_of_routes_are_parsed_once(spark, reader):
+    """Three readers parsed every line, and each of their filters did so again."""
+    lines = spark.range(3).selectExpr("cast(id as string) value")
+    plan = reader(formats.route(lines))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and plan.count("Range (") == 1
+
+
 @pytest.mark.parametrize(
     ("row", "told"),
     [
