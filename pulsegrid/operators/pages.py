@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 PAGE = 500
@@ -51,14 +51,18 @@ def segments(pages: DataFrame, declared: DataFrame, series: str = "sample_id") -
     return runs.select(series, (F.col("gaps") + 1).cast("long").alias("segments"), F.col("points").alias("present"), missing.alias("missing"), complete.alias("complete"))
 
 
+def _lost(order: WindowSpec) -> Column:
+    """What is lost before a page and in it: it doesn't begin where the decoded points of the page before it end, or holds less than it claims."""
+    expected = F.coalesce(F.lag(F.col("offset") + F.col("decoded")).over(order), F.lit(0))
+    return F.when(F.col("offset") != expected, 1).otherwise(0) + F.when(F.col("decoded") < F.col("count"), 1).otherwise(0)
+
+
 def route_gaps(pages: DataFrame, declared: DataFrame, series: str = "sample_id") -> DataFrame:
     """(series, points, missing_pages): one per hole, per page that holds less than it claims, and per missing tail.
 
     ``pages``: series, offset, count (claimed), decoded; the next page is expected where the decoded points end.
     """
-    order = Window.partitionBy(series).orderBy("offset")
-    expected = F.coalesce(F.lag(F.col("offset") + F.col("decoded")).over(order), F.lit(0))
-    lost = F.when(F.col("offset") != expected, 1).otherwise(0) + F.when(F.col("decoded") < F.col("count"), 1).otherwise(0)
+    lost = _lost(Window.partitionBy(series).orderBy("offset"))
     end = F.max_by(F.col("offset") + F.col("decoded"), "offset")
     sums = pages.withColumn("_lost", lost).groupBy(series).agg(F.sum("decoded").alias("points"), F.sum("_lost").alias("_lost"), end.alias("_end"))
     tail = F.when(F.col("_end") < F.col("declared"), 1).otherwise(0)
@@ -68,22 +72,6 @@ def route_gaps(pages: DataFrame, declared: DataFrame, series: str = "sample_id")
 _LOCATIONS = "array<struct<latitude: double, longitude: double, altitude: double, timestamp: string, speed: double>>"
 
 
-def _route_records(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of routed records: routes (route_id, workout_id, ordinal), their pages (route_id, offset, count, decoded, points), what their ends declare.
-
-    What links them lies in the records themselves.  A workout's routes are in the order of their starts; a
-    location counts if it has a latitude and a longitude.
-    """
-    t = lambda p: F.get_json_object("raw", p)
-    routes = records.where("kind = 'workoutRoute'").select(F.col("id").alias("route_id"), t("$.workout.id").alias("workout_id"), "start_ts").where("workout_id is not null")
-    routes = routes.withColumn("ordinal", F.row_number().over(Window.partitionBy("workout_id").orderBy("start_ts", "route_id")) - 1).drop("start_ts")
-    found = F.filter(F.from_json(t("$.locations"), _LOCATIONS), lambda x: x["latitude"].isNotNull() & x["longitude"].isNotNull())
-    pages = records.where("kind = 'workoutRouteLocations'").select(t("$.sample").alias("route_id"), F.coalesce(t("$.offset").try_cast("long"), F.lit(0)).alias("offset"), F.coalesce(t("$.count").try_cast("long"), F.lit(0)).alias("count"), F.coalesce(found, F.array()).alias("points"))
-    pages = pages.withColumn("decoded", F.size("points").cast("long"))
-    ends = records.where("kind = 'workoutRouteEnd'").groupBy(t("$.sample").alias("route_id")).agg(F.max(t("$.locations").try_cast("long")).alias("declared"))
-    return routes, pages, ends
-
-
 #: Kinds of a route's records, in the order in which they are read: the route itself, its end, its pages.
 _ROUTE_KINDS = ("workoutRoute", "workoutRouteEnd", "workoutRouteLocations")
 
@@ -112,13 +100,18 @@ def workout_routes(records: DataFrame) -> DataFrame:
     """(workout_id, routes, points, missing_pages, complete): the routes of each workout that has points, with all that is missing.
 
     ``records``: id, kind, start_ts, raw.  Every route after the first is a gap like a missing page; a route
-    without pages misses one if its end declares locations.
+    without pages misses one if its end declares locations.  A workout's routes are in the order of their starts.
+    A route meets its end and its pages, which it has after it, in one sorted pass.
     """
-    routes, pages, ends = _route_records(records)
-    gaps = route_gaps(pages, ends, "route_id").withColumnRenamed("missing_pages", "lost")
-    met = routes.join(gaps, "route_id", "left").join(ends, "route_id", "left")
-    lost = F.coalesce("lost", F.when(F.col("declared") > 0, 1).otherwise(0)) + F.when(F.col("ordinal") > 0, 1).otherwise(0)
-    sums = met.groupBy("workout_id").agg(F.count(F.lit(1)).alias("routes"), F.coalesce(F.sum("points"), F.lit(0)).alias("points"), F.sum(lost).cast("long").alias("missing_pages"))
+    order = Window.partitionBy("route_id").orderBy("what", "offset")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = _route_rows(records, (0, 1, 2)).withColumn("_lost", F.when(F.col("what") == 2, _lost(order)))
+    ends = {"points": F.sum("decoded"), "lost": F.sum("_lost"), "declared": F.max("declared"), "end": F.max_by(F.col("offset") + F.col("decoded"), "offset")}
+    routes = marked.withColumns({k: v.over(whole) for k, v in ends.items()}).where("what = 0")
+    routes = routes.withColumn("ordinal", F.row_number().over(Window.partitionBy("workout_id").orderBy("start_ts", "route_id")) - 1)
+    tail = F.when(F.col("end") < F.col("declared"), 1).otherwise(0)
+    lost = F.coalesce(F.col("lost") + tail, F.when(F.col("declared") > 0, 1).otherwise(0)) + F.when(F.col("ordinal") > 0, 1).otherwise(0)
+    sums = routes.groupBy("workout_id").agg(F.count(F.lit(1)).alias("routes"), F.coalesce(F.sum("points"), F.lit(0)).alias("points"), F.sum(lost).cast("long").alias("missing_pages"))
     return sums.where("points > 0").withColumn("complete", F.col("missing_pages") == 0)
 
 

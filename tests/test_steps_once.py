@@ -40,7 +40,7 @@ def test_payloads_without_records_and_not_taken_apart(spark):
     assert got == [("a", None, "x"), ("b", None, "[\n]\n"), ("c", None, None), ("d", 0, '{"k":1}'), ("d", 1, '{"k":2}'), *[x for x in got if x[0] == "e"]]
 
 
-@pytest.mark.parametrize("reader", [pages.workout_route_points])
+@pytest.mark.parametrize("reader", [pages.workout_route_points, pages.workout_routes])
 def test_lines_of_routes_are_parsed_once(spark, reader):
     """Three readers parsed every line, and each of their filters did so again."""
     lines = spark.range(3).selectExpr("cast(id as string) value")
