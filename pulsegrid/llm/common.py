@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows that a broadcast id list may have; beyond it the same rows go through a shuffle join.
 BROADCAST_IDS = 200_000
 
+#: Words of 64 bits of the bitmap that ``likely`` broadcasts, at most.
+BITMAP_WORDS = 1 << 20
+
 _made: dict[str, str] = {}
 
 
@@ -89,6 +92,18 @@ def drop_rows(docs: DataFrame, gone: DataFrame, key: Column, id_col: str = "doc_
     return docs.join(F.broadcast(listed) if few else listed, met, "left_anti")
 
 
+def likely(rows: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
+    """``rows`` that may have the values of ``names`` that a row of ``wanted`` has: all that do, and few others.
+
+    None of ``rows`` is shuffled: what is broadcast is a bitmap of the hashes of ``wanted``, a row a word and
+    ``BITMAP_WORDS`` of them at most, so that of n wanted values a share of n / 2^26 of the others stays.
+    """
+    spot, word = free_names(rows, "spot", "word")
+    at, bit = F.pmod(F.xxhash64(*names), F.lit(BITMAP_WORDS)), F.shiftrightunsigned(F.xxhash64(*names), 58).cast("int")
+    words = wanted.groupBy(at.alias(spot)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias(word))
+    return rows.join(F.broadcast(words), (at == F.col(spot)) & (F.bit_get(F.col(word), bit) == 1), "left_semi")
+
+
 def row_slices(batch, column: int, most: int = 4 << 20):  # noqa: ANN001, ANN201  Arrow record batches
     """The batch in slices of about ``most`` bytes of ``column``, one row at least: what a task holds at once."""
     import pyarrow.compute as pc

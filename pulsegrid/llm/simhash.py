@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import drop_table, row_slices, spread, write_table
+from pulsegrid.llm.common import drop_table, likely, row_slices, spread, write_table
 
 #: Bits that linked fingerprints may differ in.
 MOST_BITS = 4
@@ -336,12 +336,14 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
 def verified_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
     """The ``links`` (a, b) whose texts' sets of shingles have a Jaccard similarity of ``least`` or more.
 
-    ``nodes``: node, and id and key of a row that has its text.  Sets are made for texts that are in a link.
+    ``nodes``: node, and id and key of a row that has its text.  Sets are made for texts that are in a link, and
+    hardly any other text is shuffled.
     """
     asked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes, "node")
     asked = write_table(asked.select("node", F.col("id").alias("_id"), F.col("key").alias("_key")), "asked")
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    held = rows.join(asked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("node", "text").dropDuplicates(["node"])
+    held = likely(rows, asked.select(F.col("_id").alias("id"), F.col("_key").alias("key")), "id", "key")
+    held = held.join(asked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("node", "text").dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

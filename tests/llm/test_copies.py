@@ -9,7 +9,7 @@ import numpy as np
 from oracle import compare, views
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import linededup, merkle, simhash
+from pulsegrid.llm import common, linededup, merkle, simhash
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -75,6 +75,35 @@ def test_near_duplicates_query(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries()["op4_simhash"](spark, SMALL).collect()} == {d: (f"{f:016x}", want[d]) for d, f in docs}
 
 
+def test_likely_rows(spark):
+    """All rows that are wanted, a null id among them, and hardly any other."""
+    rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), (F.col("id") % 7).alias("key"), F.lit("s").alias("spot"))
+    wanted = rows.where("id is null or id % 10 = 0").select("id", "key")
+    got = {r.id for r in common.likely(rows, wanted, "id", "key").collect()}
+    assert {r.id for r in wanted.collect()} <= got and len(got) <= 2_000 + 20
+    assert common.likely(rows, wanted.limit(0), "id", "key").count() == 0
+
+
+def test_texts_without_candidates_stay_where_they_are(spark):
+    """Of many long texts two are alike: where the list of candidates wasn't broadcast, all texts were shuffled."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=20_000)) for _ in range(150)]
+    docs = spark.createDataFrame([*enumerate(texts), (150, texts[0] + " more"), (150, texts[0] + " more"), (None, texts[1])], "doc_id long, text string").repartition(8)
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    none = sc._jvm.java.util.ArrayList()
+    written = lambda: sum(x.shuffleWriteBytes() for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)))
+    docs = common.write_table(docs, "docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = written()
+        gone = {r.doc_id for r in simhash.similar_copies(docs).collect()}
+        moved = written() - began
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert gone == {150, None}
+    assert moved < sum(map(len, texts)) / 4
+
+
 def test_line_dedup_edges(spark, edge_docs, edge_rows, no_docs):
     want = brute.kept_lines([(d, t) for d, t in edge_rows if d is not None])
     rows = {r.doc_id: r for r in linededup.dedup_lines(edge_docs).collect()}
