@@ -36,6 +36,13 @@ def test_nested_and_unsupported(spark):
     assert spark.range(1).select(untagged(F.lit("junk")), untagged(F.lit(None).cast("string"))).first()[0] is None
 
 
+def test_untagged_takes_one_value_and_nothing_more(spark):
+    one = '{"type":"string","value":"a"}'
+    rows = spark.createDataFrame([(one,), (f" {one}\n",), (one + " x",), (f"{one},{one}",), ("1",), ("",), (None,)], "t string")
+    got = [r.j for r in rows.select(F.to_json(untagged(F.col("t"))).alias("j")).collect()]
+    assert got == ['"a"', '"a"', None, None, None, None, None]
+
+
 def test_envelope(spark):
     rows = [("u1", "app", "t", "n", "Lab", "id-1", '{"b":1,"a":[2]}'.encode(), "R4"), ("u2", "app", "t", "n", "Lab", "id-1", b"not json \xff", None), ("u3", "app", "t", "n", None, None, None, None), ("u4", "app", "t", "n", "Lab", "", b"1", None)]
     df = spark.createDataFrame(rows, "uuid string, source string, clinical_type string, display_name string, resource_type string, identifier string, resource binary, fhir_version string")
