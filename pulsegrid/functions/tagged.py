@@ -53,7 +53,11 @@ def tagged_map(values: Column) -> Column:
 
 def untagged(text: Column) -> Column:
     """The VARIANT of a tagged scalar, or of an array of them as its JSON; null for what can't be told or isn't tagged."""
-    v = whole_json(text)
+    # Through an array of one, so that the text is parsed once.
+    return F.get(F.transform(F.array(whole_json(text)), _told), F.lit(0))
+
+
+def _told(v: Column) -> Column:
     kind, value = F.try_variant_get(v, "$.type", "string"), F.try_variant_get(v, "$.value", "string")
     odd = F.when(value == "nan", float("nan")).when(value == "infinity", float("inf")).when(value == "-infinity", float("-inf"))
     quantity = F.to_variant_object(F.struct(F.try_variant_get(v, "$.description", "string").alias("quantity")))

@@ -48,6 +48,12 @@ def test_lines_of_routes_are_parsed_once(spark, reader):
     assert plan.count("parseJson(") == 1 and plan.count("Range (") == 1
 
 
+def test_tagged_values_are_parsed_once_each(spark):
+    """Two values are read back, and each of their uses parsed the text again."""
+    plan = queries()["tagged_metadata"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 2
+
+
 @pytest.mark.parametrize(
     ("row", "told"),
     [
